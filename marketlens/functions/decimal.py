@@ -47,12 +47,13 @@ def round_div(num: Column, den: Column, digits: int, scale: int = 2,
 
 
 def round_div_sql(num: str, den: str, digits: int, scale: int = 2) -> str:
-    """The same exact rounding as DuckDB SQL text (a DOUBLE result)."""
+    """The same exact rounding as DuckDB SQL text (DECIMAL(38, digits))."""
     p = f"CAST(CAST({num} AS DECIMAL(38,{scale})) * {10 ** (digits + scale)} AS HUGEINT)"
     q = f"NULLIF(CAST(CAST({den} AS DECIMAL(38,{scale})) * {10 ** scale} AS HUGEINT), 0)"
     mag = f"((2 * ABS({p}) + ABS({q})) // (2 * ABS({q})))"
     signed = f"(CASE WHEN ({p} < 0) <> ({q} < 0) THEN -{mag} ELSE {mag} END)"
-    return f"(CAST({signed} AS DOUBLE) / {10 ** digits})"
+    unit = f"CAST({10 ** -digits:.{digits}f} AS DECIMAL({digits + 1},{digits}))" if digits else "1"
+    return f"(CAST({signed} AS DECIMAL(38,0)) * {unit})"
 
 
 def round_half_even_2(x: Column) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from marketlens.operators import marts
+from marketlens.operators import insights, marts
 from marketlens.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
+_REGISTRY: dict[str, Query] = {}
 
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
@@ -27,24 +28,101 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-def q_channel_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(name: str):
+    """Register ``fn(spark, sf_dir) -> DataFrame``; decimals leave as DOUBLE."""
+    def deco(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return decimals_to_double(fn(spark, sf_dir))
+        run.__name__ = f"q_{name}"
+        run.__doc__ = fn.__doc__
+        _REGISTRY[name] = run
+        return run
+    return deco
+
+
+def _econ(spark, sf_dir):
     s = staged(spark, sf_dir)
-    return decimals_to_double(marts.channel_economics(s["customers"], s["orders"], s["spend"]))
+    return marts.channel_economics(s["customers"], s["orders"], s["spend"])
 
 
-def q_customer_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ltv(spark, sf_dir):
     s = staged(spark, sf_dir)
-    return decimals_to_double(marts.customer_ltv(s["customers"], s["orders"]))
+    return marts.customer_ltv(s["customers"], s["orders"])
 
 
-def q_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retention(spark, sf_dir):
     s = staged(spark, sf_dir)
-    return decimals_to_double(marts.cohort_retention(s["customers"], s["orders"]))
+    return marts.cohort_retention(s["customers"], s["orders"])
+
+
+# ------------------------------------------------------------------ marts
+@query("channel_economics")
+def q_channel_economics(spark, sf_dir):
+    """M1 channel unit economics by month."""
+    return _econ(spark, sf_dir)
+
+
+@query("customer_ltv")
+def q_customer_ltv(spark, sf_dir):
+    """M2 per-order LTV."""
+    return _ltv(spark, sf_dir)
+
+
+@query("cohort_retention")
+def q_cohort_retention(spark, sf_dir):
+    """M3 cohort retention."""
+    return _retention(spark, sf_dir)
+
+
+# --------------------------------------------------------------- insights
+@query("channel_summary")
+def q_channel_summary(spark, sf_dir):
+    return insights.channel_summary(_econ(spark, sf_dir))
+
+
+@query("ltv_curve")
+def q_ltv_curve(spark, sf_dir):
+    return insights.ltv_curve(_ltv(spark, sf_dir))
+
+
+@query("retention_matrix")
+def q_retention_matrix(spark, sf_dir):
+    return insights.retention_matrix(_retention(spark, sf_dir))
+
+
+@query("channel_romi_ranking")
+def q_channel_romi_ranking(spark, sf_dir):
+    return insights.channel_romi_ranking(insights.channel_summary(_econ(spark, sf_dir)))
+
+
+@query("revenue_per_spend")
+def q_revenue_per_spend(spark, sf_dir):
+    return insights.revenue_per_spend(_econ(spark, sf_dir))
+
+
+@query("first_order_payback")
+def q_first_order_payback(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    summary = insights.channel_summary(
+        marts.channel_economics(s["customers"], s["orders"], s["spend"]))
+    return insights.first_order_payback(s["orders"], s["customers"], summary)
+
+
+@query("mean_retention_curve")
+def q_mean_retention_curve(spark, sf_dir):
+    return insights.mean_retention_curve(_retention(spark, sf_dir))
+
+
+@query("steepest_retention_drop")
+def q_steepest_retention_drop(spark, sf_dir):
+    return insights.steepest_retention_drop(
+        insights.mean_retention_curve(_retention(spark, sf_dir)))
+
+
+@query("channel_spend_share")
+def q_channel_spend_share(spark, sf_dir):
+    return insights.channel_spend_share(insights.channel_summary(_econ(spark, sf_dir)))
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "channel_economics": q_channel_economics,
-        "customer_ltv": q_customer_ltv,
-        "cohort_retention": q_cohort_retention,
-    }
+    return dict(_REGISTRY)
