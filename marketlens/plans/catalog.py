@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from marketlens.operators import insights, marts
+from marketlens.operators import insights, marts, rollup
+from marketlens.session import scratch_path
 from marketlens.sources.staging import staged
+from marketlens.streaming import rollup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -124,5 +126,77 @@ def q_channel_spend_share(spark, sf_dir):
     return insights.channel_spend_share(insights.channel_summary(_econ(spark, sf_dir)))
 
 
+# ----------------------------------------------------------------- roll-up
+def _events(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return rollup.order_events(s["orders"], s["customers"])
+
+
+def _stored_events(spark, sf_dir) -> str:
+    """K5: write the denormalised events once into the shared scratch folder."""
+    path = scratch_path(spark, "order_events")
+    rollup.write_events(_events(spark, sf_dir), path)
+    return path
+
+
+def _loaded(spark, sf_dir) -> tuple[str, str]:
+    """K4: events and their partial states, replaced together."""
+    s = staged(spark, sf_dir)
+    events, states = scratch_path(spark, "order_events"), scratch_path(spark, "rollup_states")
+    rollup.load_events_and_rollup(s["orders"], s["customers"], events, states)
+    return events, states
+
+
+@query("order_events")
+def q_order_events(spark, sf_dir):
+    return _events(spark, sf_dir)
+
+
+@query("orphan_orders")
+def q_orphan_orders(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return rollup.orphan_orders(s["orders"], s["customers"])
+
+
+@query("rollup_from_orders")
+def q_rollup_from_orders(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return rollup.rollup_from_orders(s["orders"], s["customers"])
+
+
+@query("rollup_from_events")
+def q_rollup_from_events(spark, sf_dir):
+    return rollup.rollup_from_events(rollup.read_events(spark, _stored_events(spark, sf_dir)))
+
+
+@query("rollup_merged")
+def q_rollup_merged(spark, sf_dir):
+    _, states = _loaded(spark, sf_dir)
+    return rollup.merge_states(spark.read.parquet(states))
+
+
+@query("rollup_streamed")
+def q_rollup_streamed(spark, sf_dir):
+    """The events folder is consumed as a stream, a few files per batch."""
+    events = _stored_events(spark, sf_dir)
+    states = scratch_path(spark, "stream_states")
+    stream = rollup_stream.start_rollup_stream(
+        spark, events, states, scratch_path(spark, "stream_checkpoint"),
+        max_files_per_trigger=32)
+    stream.awaitTermination()
+    return rollup_stream.read_rollup(spark, states)
+
+
+@query("rollup_consistency")
+def q_rollup_consistency(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    events, states = _loaded(spark, sf_dir)
+    return rollup.rollup_consistency({
+        "orders": rollup.rollup_from_orders(s["orders"], s["customers"]),
+        "events": rollup.rollup_from_events(rollup.read_events(spark, events)),
+        "merged": rollup.merge_states(spark.read.parquet(states)),
+    })
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

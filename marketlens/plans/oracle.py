@@ -171,5 +171,42 @@ register("channel_spend_share", f"""
     FROM summary""", "summary")
 
 
+# ----------------------------------------------------------------- roll-up
+fragment("events", ("stg_orders", "stg_customers"), """
+    SELECT o.order_id, o.customer_id, c.channel, o.order_date,
+           CAST(o.total_amount AS DECIMAL(10,2)) AS total_amount
+    FROM stg_orders o JOIN stg_customers c ON c.customer_id = o.customer_id""")
+fragment("rollup_pg", ("stg_orders", "stg_customers"), """
+    SELECT c.channel, CAST(date_trunc('month', o.order_date) AS DATE) AS revenue_month,
+           SUM(o.total_amount) AS revenue, COUNT(*) AS orders
+    FROM stg_orders o JOIN stg_customers c ON c.customer_id = o.customer_id
+    GROUP BY 1, 2""")
+fragment("rollup_ch", ("events",), """
+    SELECT channel, CAST(date_trunc('month', order_date) AS DATE) AS revenue_month,
+           SUM(total_amount) AS revenue, COUNT(*) AS orders
+    FROM events GROUP BY 1, 2""")
+ROLLUP_COLS = f"channel, revenue_month, {D('revenue')} AS revenue, orders"
+register("order_events", f"SELECT order_id, customer_id, channel, order_date, "
+         f"{D('total_amount')} AS total_amount FROM events", "events")
+register("orphan_orders", f"""
+    SELECT o.order_id, o.customer_id, o.order_date, {D('o.total_amount')} AS total_amount
+    FROM stg_orders o
+    WHERE NOT EXISTS (SELECT 1 FROM stg_customers c WHERE c.customer_id = o.customer_id)""",
+         "stg_orders", "stg_customers")
+register("rollup_from_orders", f"SELECT {ROLLUP_COLS} FROM rollup_pg", "rollup_pg")
+register("rollup_from_events", f"SELECT {ROLLUP_COLS} FROM rollup_ch", "rollup_ch")
+register("rollup_merged", f"SELECT {ROLLUP_COLS} FROM rollup_ch", "rollup_ch")
+register("rollup_streamed", f"SELECT {ROLLUP_COLS} FROM rollup_ch", "rollup_ch")
+register("rollup_consistency", """
+    SELECT 'orders_vs_events' AS comparison,
+           (SELECT COUNT(*) FROM (SELECT * FROM rollup_pg EXCEPT ALL SELECT * FROM rollup_ch)) AS only_left,
+           (SELECT COUNT(*) FROM (SELECT * FROM rollup_ch EXCEPT ALL SELECT * FROM rollup_pg)) AS only_right
+    UNION ALL
+    SELECT 'orders_vs_merged',
+           (SELECT COUNT(*) FROM (SELECT * FROM rollup_pg EXCEPT ALL SELECT * FROM rollup_ch)),
+           (SELECT COUNT(*) FROM (SELECT * FROM rollup_ch EXCEPT ALL SELECT * FROM rollup_pg))""",
+         "rollup_pg", "rollup_ch")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
