@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from marketlens.operators import insights, marts, rollup
+from marketlens.operators import experiment, features, insights, marts, quality, rollup, snapshot
 from marketlens.session import scratch_path
 from marketlens.sources.staging import staged
 from marketlens.streaming import rollup_stream
@@ -198,5 +198,143 @@ def q_rollup_consistency(spark, sf_dir):
     })
 
 
+def round_doubles(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Presentation rounding for statistics computed with exp/sqrt."""
+    return df.select(*[
+        F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
+        else F.col(f.name) for f in df.schema.fields])
+
+
+# --------------------------------------------------------------- snapshots
+MART_KEYS = {
+    "channel_economics": ["channel", "spend_month"],
+    "customer_ltv": ["order_id"],
+    "cohort_retention": ["cohort_month", "month_number"],
+}
+
+
+@query("snapshot_key_check")
+def q_snapshot_key_check(spark, sf_dir):
+    """V1/V2/V3/V5: refresh all three mart snapshots, report their key checks."""
+    s = staged(spark, sf_dir)
+    built = {
+        "channel_economics": marts.channel_economics(s["customers"], s["orders"], s["spend"]),
+        "customer_ltv": marts.customer_ltv(s["customers"], s["orders"]),
+        "cohort_retention": marts.cohort_retention(s["customers"], s["orders"]),
+    }
+    root = scratch_path(spark, "snapshots")
+    snapshot.refresh_all({n: (df, MART_KEYS[n]) for n, df in built.items()}, root)
+    parts = [snapshot.key_violations(snapshot.read_current(spark, f"{root}/{n}"), MART_KEYS[n])
+             .select(F.lit(n).alias("mart"), "*") for n in built]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _orders_before_last_month(orders: DataFrame) -> DataFrame:
+    """The orders as they stood before the latest month was loaded."""
+    last = orders.agg(F.trunc(F.max("order_date"), "MM").alias("_load_month"))
+    return (orders.crossJoin(F.broadcast(last))
+            .where(F.col("order_date") < F.col("_load_month")).drop("_load_month"))
+
+
+@query("snapshot_diff")
+def q_snapshot_diff(spark, sf_dir):
+    """V4: LTV snapshot before vs after the latest month's orders arrived."""
+    s = staged(spark, sf_dir)
+    root = scratch_path(spark, "ltv_snapshots")
+    old = snapshot.materialise(
+        marts.customer_ltv(s["customers"], _orders_before_last_month(s["orders"])), root, ["order_id"])
+    new = snapshot.materialise(marts.customer_ltv(s["customers"], s["orders"]), root, ["order_id"])
+    return snapshot.snapshot_diff(snapshot.read_version(spark, root, old),
+                                  snapshot.read_version(spark, root, new), ["order_id"])
+
+
+# ------------------------------------------------------------- experiment
+EXPERIMENT = "email_reactivation"
+EXPERIMENT_SALT = "email-reactivation-2025"
+SENT_AT = "1998-06-01"
+AA_SALT = "aa-calibration"
+AA_REPLICATES = 200
+
+
+def _experiment(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    assigned = experiment.assign(s["customers"], EXPERIMENT_SALT, experiment=EXPERIMENT)
+    return experiment.attribute_conversions(assigned, s["orders"], SENT_AT)
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return quality.check_experiment(_experiment(spark, sf_dir), s["customers"])
+
+
+@query("experiment_assignment")
+def q_experiment_assignment(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return experiment.assign(s["customers"], EXPERIMENT_SALT, experiment=EXPERIMENT)
+
+
+@query("experiment_conversion")
+def q_experiment_conversion(spark, sf_dir):
+    return _experiment(spark, sf_dir)
+
+
+@query("experiment_arms")
+def q_experiment_arms(spark, sf_dir):
+    return experiment.arm_summary(_experiment(spark, sf_dir), ["experiment"])
+
+
+@query("experiment_report")
+def q_experiment_report(spark, sf_dir):
+    """X10 for the whole experiment and for every channel segment at once."""
+    s = staged(spark, sf_dir)
+    tagged = _experiment(spark, sf_dir).join(
+        s["customers"].select("customer_id", F.col("channel").alias("segment")), "customer_id")
+    # Each row counts towards its channel and towards "all": one pass, and
+    # the aggregation still combines map-side.
+    both = tagged.withColumn("segment", F.explode(F.array(
+        F.coalesce(F.col("segment"), F.lit("?")), F.lit("all"))))
+    return round_doubles(experiment.analyse(experiment.arm_counts(both, ["experiment", "segment"])))
+
+
+def _aa(spark, sf_dir):
+    return experiment.aa_replicates(_experiment(spark, sf_dir), AA_REPLICATES, AA_SALT)
+
+
+@query("replicate_rejection_rate")
+def q_replicate_rejection_rate(spark, sf_dir):
+    return round_doubles(experiment.rejection_rate(_aa(spark, sf_dir)))
+
+
+@query("power_comparison")
+def q_power_comparison(spark, sf_dir):
+    return round_doubles(experiment.power_comparison(_aa(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- features
+def _features(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return features.build_customer_features(s["customers"], s["orders"])
+
+
+@query("churn_features")
+def q_churn_features(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+@query("churn_summary")
+def q_churn_summary(spark, sf_dir):
+    return features.churn_summary(_features(spark, sf_dir))
+
+
+@query("censoring_check")
+def q_censoring_check(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return features.censoring_check(s["customers"], s["orders"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

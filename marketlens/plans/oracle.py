@@ -11,6 +11,8 @@ projection, as the Spark registry does.
 from __future__ import annotations
 
 from marketlens.functions.decimal import round_div_sql as rd
+from marketlens.functions.decimal import round_half_even_2_sql
+from marketlens.functions.stats import chi2_sf_df1_sql, normal_cdf_sql, normal_quantile, two_sided_p_sql
 from marketlens.sources.staging import STAGING_SQL
 
 
@@ -208,5 +210,211 @@ register("rollup_consistency", """
          "rollup_pg", "rollup_ch")
 
 
+# --------------------------------------------------------------- snapshots
+def ltv_over(orders: str) -> str:
+    return f"""
+    SELECT o.customer_id, c.channel, o.order_id, o.order_date, o.total_amount,
+           CAST(ROW_NUMBER() OVER (PARTITION BY o.customer_id ORDER BY o.order_date, o.order_id)
+                AS BIGINT) AS order_seq,
+           SUM(o.total_amount) OVER (PARTITION BY o.customer_id ORDER BY o.order_date, o.order_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_revenue,
+           {rd('SUM(o.total_amount) OVER (PARTITION BY o.customer_id)',
+               'COUNT(*) OVER (PARTITION BY o.customer_id)', 2)} AS avg_order_value
+    FROM {orders} o JOIN stg_customers c ON c.customer_id = o.customer_id"""
+
+
+def key_check(mart: str, source: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    nulls = " OR ".join(f"{c} IS NULL" for c in keys)
+    return f"""
+    SELECT '{mart}' AS mart, CAST(SUM(n) AS BIGINT) AS rows,
+           CAST(SUM(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_keys,
+           CAST(SUM(CASE WHEN {nulls} THEN n ELSE 0 END) AS BIGINT) AS null_keys
+    FROM (SELECT {k}, COUNT(*) AS n FROM {source} GROUP BY {k})"""
+
+
+register("snapshot_key_check", " UNION ALL ".join([
+    key_check("channel_economics", "econ", ["channel", "spend_month"]),
+    key_check("customer_ltv", "ltv", ["order_id"]),
+    key_check("cohort_retention", "retention", ["cohort_month", "month_number"]),
+]), "econ", "ltv", "retention")
+
+fragment("load_month", ("stg_orders",), """
+    SELECT CAST(date_trunc('month', MAX(order_date)) AS DATE) AS m FROM stg_orders""")
+fragment("orders_before", ("stg_orders", "load_month"), """
+    SELECT o.* FROM stg_orders o, load_month WHERE o.order_date < load_month.m""")
+fragment("ltv_old", ("orders_before", "stg_customers"), ltv_over("orders_before"))
+_LTV_VALUES = ["customer_id", "channel", "order_date", "total_amount", "order_seq",
+               "cumulative_revenue", "avg_order_value"]
+register("snapshot_diff", f"""
+    SELECT COALESCE(n.order_id, o.order_id) AS order_id,
+           CASE WHEN o.order_id IS NULL THEN 'inserted'
+                WHEN n.order_id IS NULL THEN 'deleted'
+                ELSE 'updated' END AS change_type
+    FROM ltv_old o FULL OUTER JOIN ltv n ON n.order_id = o.order_id
+    WHERE o.order_id IS NULL OR n.order_id IS NULL OR NOT ({' AND '.join(
+        f'o.{c} IS NOT DISTINCT FROM n.{c}' for c in _LTV_VALUES)})""", "ltv_old", "ltv")
+
+# ------------------------------------------------------------- experiment
+EXPERIMENT = "email_reactivation"
+EXPERIMENT_SALT = "email-reactivation-2025"
+SENT_AT = "1998-06-01"
+AA_SALT = "aa-calibration"
+AA_REPLICATES = 200
+ALPHA, POWER, CONFIDENCE, SRM_ALPHA = 0.05, 0.80, 0.95, 0.01
+
+fragment("assigned", ("stg_customers",), f"""
+    SELECT customer_id,
+           CASE WHEN ROW_NUMBER() OVER (ORDER BY md5('{EXPERIMENT_SALT}' || CAST(customer_id AS VARCHAR)),
+                                                 customer_id)
+                     <= FLOOR(COUNT(*) OVER () / 2) THEN 'control' ELSE 'treatment' END AS variant,
+           '{EXPERIMENT}' AS experiment
+    FROM stg_customers""")
+fragment("first_conversion", ("stg_orders",), f"""
+    SELECT customer_id, MIN(order_date) AS converted_at FROM stg_orders
+    WHERE order_date > DATE '{SENT_AT}' AND order_date <= DATE '{SENT_AT}' + 14
+    GROUP BY customer_id""")
+fragment("exp", ("assigned", "first_conversion"), f"""
+    SELECT a.customer_id, a.variant, a.experiment, DATE '{SENT_AT}' AS sent_at,
+           f.converted_at IS NOT NULL AS converted, f.converted_at
+    FROM assigned a LEFT JOIN first_conversion f ON f.customer_id = a.customer_id""")
+
+
+def _d(a: str, b: str) -> str:
+    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
+
+
+def stats_sql(n1="n_control", x1="x_control", n2="n_treatment", x2="x_treatment") -> dict[str, str]:
+    """SQL twins of the experiment statistics, operation for operation."""
+    p1, p2 = _d(x1, n1), _d(x2, n2)
+    total = f"CAST(({n1} + {n2}) AS DOUBLE)"
+    e1, e2 = f"({total} * 0.5)", f"({total} * 0.5)"
+    chi2 = f"({_d(f'(({n1} - {e1}) * ({n1} - {e1}))', e1)} + {_d(f'(({n2} - {e2}) * ({n2} - {e2}))', e2)})"
+    pool = _d(f"({x1} + {x2})", f"({n1} + {n2})")
+    se = f"SQRT({pool} * (1.0 - {pool}) * ({_d('1', n1)} + {_d('1', n2)}))"
+    z = f"(CASE WHEN {se} > 0 THEN ({p2} - {p1}) / {se} END)"
+    p_value = two_sided_p_sql(z)
+    diff = f"({p2} - {p1})"
+    se_d = f"SQRT({p1} * (1.0 - {p1}) / {n1} + {p2} * (1.0 - {p2}) / {n2})"
+    zc = normal_quantile(1 - (1 - CONFIDENCE) / 2)
+    za, zb = normal_quantile(1 - ALPHA / 2), normal_quantile(POWER)
+    num = f"({(za + zb) ** 2!r} * ({p1} * (1.0 - {p1}) + {p2} * (1.0 - {p2})))"
+    den = f"(({p2} - {p1}) * ({p2} - {p1}))"
+    p_bar = f"(({p1} + {p2}) / 2)"
+    se_alt = f"SQRT({p1} * (1.0 - {p1}) + {p2} * (1.0 - {p2}))"
+    pw_num = f"(ABS({p2} - {p1}) * SQRT(CAST({n1} AS DOUBLE)) - {za!r} * SQRT(2.0 * {p_bar} * (1.0 - {p_bar})))"
+    significant = f"COALESCE({p_value} < {ALPHA}, FALSE)"
+    srm_p = chi2_sf_df1_sql(chi2)
+    return {
+        "rate_control": p1, "rate_treatment": p2, "srm_chi2": chi2, "srm_p": srm_p,
+        "z": z, "p_value": p_value, "diff": diff,
+        "ci_low": f"({diff} - {zc!r} * {se_d})", "ci_high": f"({diff} + {zc!r} * {se_d})",
+        "required_n_per_arm": f"CAST((CASE WHEN {den} > 0 THEN CEIL({num} / {den}) END) AS BIGINT)",
+        "power_now": f"(CASE WHEN {se_alt} > 0 THEN {normal_cdf_sql(f'({pw_num} / {se_alt})')} END)",
+        "significant": significant,
+        "verdict": (f"(CASE WHEN {srm_p} < {SRM_ALPHA} THEN 'NO SHIP - SRM triggered' "
+                    f"WHEN {significant} THEN 'SHIP - significant difference, SRM passed' "
+                    f"ELSE 'NO SHIP (inconclusive) - no significant difference' END)"),
+        "direction": f"(CASE WHEN {diff} > 0 THEN 'positive' WHEN {diff} < 0 THEN 'negative' ELSE 'none' END)",
+    }
+
+
+def R(expr: str) -> str:  # noqa: N802 - presentation rounding of doubles
+    return f"ROUND({expr}, 9)"
+
+
+ARM_COUNTS = """
+    CAST(SUM(CASE WHEN variant = 'control' THEN 1 ELSE 0 END) AS BIGINT) AS n_control,
+    CAST(SUM(CASE WHEN variant = 'control' AND converted THEN 1 ELSE 0 END) AS BIGINT) AS x_control,
+    CAST(SUM(CASE WHEN variant = 'treatment' THEN 1 ELSE 0 END) AS BIGINT) AS n_treatment,
+    CAST(SUM(CASE WHEN variant = 'treatment' AND converted THEN 1 ELSE 0 END) AS BIGINT) AS x_treatment"""
+DOUBLE_STATS = {"rate_control", "rate_treatment", "srm_chi2", "srm_p", "z", "p_value", "diff",
+                "ci_low", "ci_high", "power_now"}
+
+register("quality_report", """
+    SELECT 'primary_key_unique' AS check_name,
+           (SELECT COUNT(*) FROM (SELECT customer_id FROM exp WHERE customer_id IS NOT NULL
+                                  GROUP BY customer_id HAVING COUNT(*) > 1)) AS violations
+    UNION ALL SELECT 'primary_key_null', (SELECT COUNT(*) FROM exp WHERE customer_id IS NULL)
+    UNION ALL SELECT 'foreign_key_customers',
+           (SELECT COUNT(*) FROM exp e WHERE e.customer_id IS NOT NULL AND NOT EXISTS
+               (SELECT 1 FROM stg_customers c WHERE c.customer_id = e.customer_id))
+    UNION ALL SELECT 'variant_domain',
+           (SELECT COUNT(*) FROM exp WHERE variant IS NOT NULL AND variant NOT IN ('control', 'treatment'))
+    UNION ALL SELECT 'variant_not_null', (SELECT COUNT(*) FROM exp WHERE variant IS NULL)
+    UNION ALL SELECT 'sent_at_not_null', (SELECT COUNT(*) FROM exp WHERE sent_at IS NULL)
+    UNION ALL SELECT 'converted_not_null', (SELECT COUNT(*) FROM exp WHERE converted IS NULL)""",
+         "exp", "stg_customers")
+register("experiment_assignment", "SELECT customer_id, variant, experiment FROM assigned", "assigned")
+register("experiment_conversion",
+         "SELECT customer_id, variant, experiment, sent_at, converted, converted_at FROM exp", "exp")
+register("experiment_arms", """
+    SELECT experiment, variant, COUNT(*) AS n,
+           CAST(SUM(CAST(converted AS INTEGER)) AS BIGINT) AS conversions,
+           CAST(SUM(CAST(converted AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS rate
+    FROM exp GROUP BY experiment, variant""", "exp")
+_ST = stats_sql()
+fragment("segmented", ("exp", "stg_customers"), """
+    SELECT e.*, COALESCE(c.channel, '?') AS segment
+    FROM exp e JOIN stg_customers c ON c.customer_id = e.customer_id""")
+fragment("report_arms", ("segmented",), f"""
+    SELECT experiment, segment, {ARM_COUNTS} FROM segmented GROUP BY experiment, segment
+    UNION ALL
+    SELECT experiment, 'all' AS segment, {ARM_COUNTS} FROM segmented GROUP BY experiment""")
+register("experiment_report", "SELECT experiment, segment, n_control, x_control, n_treatment, x_treatment, "
+         + ", ".join(f"{R(v) if k in DOUBLE_STATS else v} AS {k}" for k, v in _ST.items())
+         + " FROM report_arms", "report_arms")
+fragment("aa", ("exp",), f"""
+    SELECT r.replicate,
+           CASE WHEN substr(md5(concat_ws('|', '{AA_SALT}', CAST(r.replicate AS VARCHAR),
+                                          CAST(e.customer_id AS VARCHAR))), 1, 1) < '8'
+                THEN 'control' ELSE 'treatment' END AS variant,
+           e.converted
+    FROM exp e CROSS JOIN range(1, {AA_REPLICATES + 1}) r(replicate)""")
+fragment("aa_tests", ("aa",), f"""
+    SELECT replicate, n_control, x_control, n_treatment, x_treatment,
+           {_ST['significant']} AS significant, {_ST['power_now']} AS power_now
+    FROM (SELECT replicate, {ARM_COUNTS} FROM aa GROUP BY replicate)""")
+register("replicate_rejection_rate", f"""
+    SELECT COUNT(*) AS replicates, CAST(SUM(CAST(significant AS INTEGER)) AS BIGINT) AS rejections,
+           {R('CAST(SUM(CAST(significant AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)')}
+               AS rejection_rate
+    FROM aa_tests""", "aa_tests")
+register("power_comparison", f"""
+    SELECT COUNT(*) AS replicates,
+           {R('CAST(SUM(CAST(significant AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)')}
+               AS empirical_power,
+           {R('AVG(power_now)')} AS theoretical_power
+    FROM aa_tests""", "aa_tests")
+
+# ---------------------------------------------------------------- features
+fragment("cutoff", ("stg_orders",), "SELECT MAX(order_date) AS cutoff FROM stg_orders")
+fragment("customer_agg", ("stg_orders",), """
+    SELECT customer_id, COUNT(order_date) AS total_orders, SUM(total_amount) AS revenue,
+           COUNT(total_amount) AS n_amount, MIN(order_date) AS first_order, MAX(order_date) AS last_order
+    FROM stg_orders GROUP BY customer_id""")
+fragment("features", ("stg_customers", "customer_agg", "cutoff"), f"""
+    SELECT c.customer_id, c.channel,
+           CAST(date_diff('day', c.signup_date, k.cutoff) AS BIGINT) AS tenure_days,
+           CAST(a.total_orders AS BIGINT) AS total_orders,
+           CAST(a.revenue AS DOUBLE) AS total_revenue,
+           {round_half_even_2_sql('CAST(a.revenue AS DOUBLE) / a.n_amount')} AS avg_order_value,
+           CAST(date_diff('day', c.signup_date, a.first_order) AS BIGINT) AS first_order_gap_days,
+           CAST(a.total_orders AS DOUBLE) / GREATEST(date_diff('day', c.signup_date, k.cutoff), 1)
+               AS order_frequency,
+           CAST(date_diff('day', a.last_order, k.cutoff) AS BIGINT) AS days_since_last_order,
+           CAST(date_diff('day', a.last_order, k.cutoff) > 90 AS INTEGER) AS churned
+    FROM stg_customers c JOIN customer_agg a ON a.customer_id = c.customer_id CROSS JOIN cutoff k""")
+register("churn_features", "SELECT * FROM features", "features")
+register("churn_summary", """
+    SELECT COUNT(*) AS customers, CAST(SUM(churned) AS BIGINT) AS churned,
+           CAST(SUM(churned) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS churn_rate
+    FROM features""", "features")
+register("censoring_check", """
+    SELECT k.cutoff, CAST(MIN(date_diff('day', c.signup_date, k.cutoff)) AS BIGINT) AS min_tenure_days,
+           MIN(date_diff('day', c.signup_date, k.cutoff)) < 90 AS is_censored
+    FROM stg_customers c CROSS JOIN cutoff k GROUP BY k.cutoff""", "stg_customers", "cutoff")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
