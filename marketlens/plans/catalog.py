@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from marketlens.operators import experiment, features, insights, marts, quality, rollup, snapshot
+from marketlens.operators import (experiment, features, insights, marts, metrics, modelling, quality,
+                                  rollup, snapshot)
 from marketlens.session import scratch_path
 from marketlens.sources.staging import staged
 from marketlens.streaming import rollup_stream
@@ -336,5 +337,106 @@ def q_censoring_check(spark, sf_dir):
     return features.censoring_check(s["customers"], s["orders"])
 
 
+# --------------------------------------------------------------- modelling
+SPLIT_SALT = "split"
+
+
+def _split(spark, sf_dir):
+    return modelling.stratified_split(_features(spark, sf_dir), salt=SPLIT_SALT)
+
+
+def _train(spark, sf_dir):
+    return _split(spark, sf_dir).where(F.col("split") == "train")
+
+
+def reference_scores(df: DataFrame) -> DataFrame:
+    """A deterministic churn score for metric checks: fewer orders, higher
+    score; predicted churned at 9 orders or fewer."""
+    s = F.lit(1.0) / (F.lit(1) + F.col("total_orders"))
+    return df.select(F.col("customer_id").alias("id"), F.col("churned").cast("int").alias("label"),
+                     s.alias("score"), (s >= 0.1).cast("int").alias("prediction"))
+
+
+def _scored(spark, sf_dir):
+    return reference_scores(_split(spark, sf_dir).where(F.col("split") == "test"))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("customer_id", "churned", "split")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return modelling.class_weights(_train(spark, sf_dir))
+
+
+@query("scaled_features")
+def q_scaled_features(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    stats = modelling.fit_standardizer(split.where(F.col("split") == "train"))
+    scaled = modelling.apply_standardizer(split, stats)
+    return round_doubles(scaled.select(
+        "customer_id", *[f"{c}_scaled" for c in modelling.NUMERIC_FEATURES]), 6)
+
+
+@query("one_hot_channel")
+def q_one_hot_channel(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    model = modelling.fit_one_hot(split.where(F.col("split") == "train"))
+    return modelling.one_hot_positions(model, split.select("customer_id", "channel"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return metrics.roc_auc(_scored(spark, sf_dir))
+
+
+@query("average_precision")
+def q_average_precision(spark, sf_dir):
+    return round_doubles(metrics.average_precision(_scored(spark, sf_dir)))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return metrics.roc_curve(_scored(spark, sf_dir))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return metrics.confusion(_scored(spark, sf_dir))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return metrics.classification_report(_scored(spark, sf_dir))
+
+
+@query("accuracy")
+def q_accuracy(spark, sf_dir):
+    return metrics.accuracy(_scored(spark, sf_dir))
+
+
+def _prepared(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    train, others = modelling.prepare(split.where(F.col("split") == "train"),
+                                      {"test": split.where(F.col("split") == "test")})
+    return train, others["test"]
+
+
+@query("logistic_scores")
+def q_logistic_scores(spark, sf_dir):
+    """Balanced logistic regression scores on the test split."""
+    train, test = _prepared(spark, sf_dir)
+    return modelling.score(modelling.fit_logistic(train), test)
+
+
+@query("forest_importance")
+def q_forest_importance(spark, sf_dir):
+    """Random forest (300 trees, seed 42) feature importances."""
+    train, _ = _prepared(spark, sf_dir)
+    return modelling.importance(modelling.fit_forest(train))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

@@ -43,7 +43,10 @@ def build(select: str, *deps: str) -> str:
     for d in deps:
         visit(d)
     ctes = ",\n".join(f"{n} AS (\n{FRAGMENTS[n][1]}\n)" for n in order)
-    return f"WITH {ctes}\n{select}"
+    body = select.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 # ------------------------------------------------------------------- marts
@@ -416,5 +419,101 @@ register("censoring_check", """
     FROM stg_customers c CROSS JOIN cutoff k GROUP BY k.cutoff""", "stg_customers", "cutoff")
 
 
+# --------------------------------------------------------------- modelling
+NUMERIC_FEATURES = ["tenure_days", "total_orders", "total_revenue", "avg_order_value",
+                    "first_order_gap_days", "order_frequency"]
+fragment("split", ("features",), """
+    SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY churned
+                                           ORDER BY md5('split' || CAST(customer_id AS VARCHAR)), customer_id)
+                        <= CEIL(0.25 * COUNT(*) OVER (PARTITION BY churned))
+                   THEN 'test' ELSE 'train' END AS split
+    FROM features""")
+fragment("train", ("split",), "SELECT * FROM split WHERE split = 'train'")
+fragment("scored", ("split",), """
+    SELECT customer_id AS id, CAST(churned AS INTEGER) AS label,
+           CAST(1 AS DOUBLE) / (1 + total_orders) AS score,
+           CAST(CAST(1 AS DOUBLE) / (1 + total_orders) >= 0.1 AS INTEGER) AS prediction
+    FROM split WHERE split = 'test'""")
+fragment("score_counts", ("scored",), """
+    SELECT score, SUM(label) AS pos, SUM(1 - label) AS neg FROM scored GROUP BY score""")
+fragment("cum", ("score_counts",), """
+    SELECT score, pos, neg,
+           SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+           SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+           COALESCE(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS tp_above
+    FROM score_counts""")
+fragment("cells", ("scored",), ", ".join(
+    f"CAST(COALESCE(SUM(CASE WHEN label = {a} AND prediction = {b} THEN 1 ELSE 0 END), 0) AS BIGINT) AS n{a}{b}"
+    for a in (0, 1) for b in (0, 1)).join(["SELECT ", " FROM scored"]))
+
+register("stratified_split", "SELECT customer_id, churned, split FROM split", "split")
+register("class_weights", """
+    SELECT g.churned, g.class_count,
+           CAST(t.n AS DOUBLE) / CAST(t.k * g.class_count AS DOUBLE) AS weight
+    FROM (SELECT churned, COUNT(*) AS class_count FROM train GROUP BY churned) g
+    CROSS JOIN (SELECT COUNT(*) AS n, COUNT(DISTINCT churned) AS k FROM train) t""", "train")
+register("scaled_features", "SELECT s.customer_id, " + ", ".join(
+    f"ROUND(CASE WHEN st.sd_{c} > 0 THEN (CAST(s.{c} AS DOUBLE) - st.m_{c}) / st.sd_{c} "
+    f"ELSE CAST(s.{c} AS DOUBLE) - st.m_{c} END, 6) AS {c}_scaled" for c in NUMERIC_FEATURES)
+    + " FROM split s CROSS JOIN (SELECT " + ", ".join(
+        f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS sd_{c}" for c in NUMERIC_FEATURES) + " FROM train) st",
+    "split", "train")
+register("one_hot_channel", """
+    WITH cats AS (SELECT channel, CAST(ROW_NUMBER() OVER (ORDER BY channel) - 1 AS INTEGER) AS idx
+                  FROM (SELECT DISTINCT channel FROM train WHERE channel IS NOT NULL))
+    SELECT s.customer_id, s.channel, c.idx AS onehot_index,
+           CAST((SELECT COUNT(*) FROM cats) AS INTEGER) AS onehot_size
+    FROM split s LEFT JOIN cats c ON c.channel = s.channel""", "split", "train")
+register("roc_auc", """
+    SELECT CAST(SUM(neg * (2 * tp_above + pos)) AS DOUBLE) / CAST(2 * SUM(pos) * SUM(neg) AS DOUBLE)
+           AS roc_auc FROM cum""", "cum")
+register("average_precision", """
+    SELECT ROUND(SUM(CAST(pos AS DOUBLE) * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)))
+                 / CAST(SUM(pos) AS DOUBLE), 9) AS average_precision FROM cum""", "cum")
+register("roc_curve", """
+    SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+    UNION ALL
+    SELECT CAST(c.score AS DOUBLE), CAST(c.fp AS DOUBLE) / CAST(t.n AS DOUBLE),
+           CAST(c.tp AS DOUBLE) / CAST(t.p AS DOUBLE)
+    FROM cum c CROSS JOIN (SELECT SUM(pos) AS p, SUM(neg) AS n FROM score_counts) t""",
+         "cum", "score_counts")
+register("confusion_matrix", """
+    SELECT 0 AS label, 0 AS prediction, n00 AS count FROM cells
+    UNION ALL SELECT 0, 1, n01 FROM cells UNION ALL SELECT 1, 0, n10 FROM cells
+    UNION ALL SELECT 1, 1, n11 FROM cells""", "cells")
+
+
+def _safe_sql(num: str, den: str) -> str:
+    return f"(CASE WHEN {den} <> 0 THEN {num} / {den} ELSE 0.0 END)"
+
+
+def _report_sql() -> str:
+    n = {k: f"CAST(n{k} AS DOUBLE)" for k in ("00", "01", "10", "11")}
+    per = {}
+    for cls, tp, pred, actual in (("0", n["00"], f"({n['00']} + {n['10']})", f"({n['00']} + {n['01']})"),
+                                  ("1", n["11"], f"({n['01']} + {n['11']})", f"({n['10']} + {n['11']})")):
+        p, r = _safe_sql(tp, pred), _safe_sql(tp, actual)
+        per[cls] = {"precision": p, "recall": r, "f1": _safe_sql(f"2.0 * {p} * {r}", f"({p} + {r})"),
+                    "support": actual}
+    wide = ", ".join(f"{e} AS {m}_{cls}" for cls, d in per.items() for m, e in d.items())
+    rows = [f"SELECT '{cls}' AS class_label, precision_{cls} AS precision, recall_{cls} AS recall, "
+            f"f1_{cls} AS f1_score, CAST(support_{cls} AS BIGINT) AS support FROM w" for cls in ("0", "1")]
+    total = "(support_0 + support_1)"
+    rows.append("SELECT 'macro avg', (precision_0 + precision_1) / 2, (recall_0 + recall_1) / 2, "
+                f"(f1_0 + f1_1) / 2, CAST({total} AS BIGINT) FROM w")
+    wavg = {m: _safe_sql(f"({m}_0 * support_0 + {m}_1 * support_1)", total)
+            for m in ("precision", "recall", "f1")}
+    rows.append(f"SELECT 'weighted avg', {wavg['precision']}, {wavg['recall']}, {wavg['f1']}, "
+                f"CAST({total} AS BIGINT) FROM w")
+    return f"WITH w AS (SELECT {wide} FROM cells) " + " UNION ALL ".join(rows)
+
+
+register("classification_report", _report_sql(), "cells")
+register("accuracy", """
+    SELECT CAST(SUM(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)
+           AS accuracy FROM scored""", "scored")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
