@@ -46,7 +46,7 @@ def normal_tail(x: Column) -> Column:
     fraction = e / cont / F.lit(SQRT_2PI)
     return (F.when(a < SPLIT, rational)
             .when(a <= CUTOFF, fraction)
-            .otherwise(F.lit(0.0)))
+            .when(a > CUTOFF, F.lit(0.0)))  # NULL stays NULL
 
 
 def normal_cdf(x: Column) -> Column:
@@ -85,7 +85,7 @@ def normal_tail_sql(x: str) -> str:
     cont = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65)))))"
     fraction = f"({e} / {cont} / {SQRT_2PI!r})"
     return (f"(CASE WHEN {a} < {SPLIT!r} THEN {rational} "
-            f"WHEN {a} <= {CUTOFF!r} THEN {fraction} ELSE 0.0 END)")
+            f"WHEN {a} <= {CUTOFF!r} THEN {fraction} WHEN {a} > {CUTOFF!r} THEN 0.0 END)")
 
 
 def normal_cdf_sql(x: str) -> str:
