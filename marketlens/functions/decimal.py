@@ -24,11 +24,31 @@ def _whole(c: Column, scale: int, shift: int) -> Column:
             .cast(DecimalType(len(str(10 ** shift)), 0))).cast(_INT38)
 
 
+def _floor_div38(a: Column, b: Column) -> Column:
+    """floor(a / b) for whole, non-negative DECIMAL(38,0) values, exactly.
+
+    ``a - a % b`` is a multiple of ``b``, so the decimal division is exact
+    (``div`` would be, but it returns LONG and wraps beyond 2^63).
+    """
+    a38, b38 = a.cast(_INT38), b.cast(_INT38)
+    return ((a38 - a38 % b38) / b38).cast(_INT38)
+
+
 def int_div(a: Column, b: Column) -> Column:
     """Spark's integral division ``a div b`` (truncates toward zero), LONG."""
     return F.call_function("div", a, b)
 
 
+def _to_decimal(units: Column, digits: int, precision: int) -> Column:
+    """Whole units of 10^-digits as DECIMAL(precision, digits)."""
+    unit = F.lit(f"{10 ** -digits:.{digits}f}" if digits else "1").cast(
+        DecimalType(digits + 1, digits))
+    return (units.cast(_INT38) * unit).cast(DecimalType(precision, digits))
+
+
+_LONG_SAFE = 2 ** 61  # 2|P| + |Q| stays below 2^63 when both are under this
+
+
 def round_div(num: Column, den: Column, digits: int, scale: int = 2,
               precision: int = 38) -> Column:
     """Exact ``ROUND(num / NULLIF(den, 0), digits)``, half away from zero.
@@ -36,14 +56,25 @@ def round_div(num: Column, den: Column, digits: int, scale: int = 2,
     ``scale`` must be at least the decimal scale of both operands (integers
     have scale 0) so that ``num * 10^scale`` and ``den * 10^scale`` are whole.
     Returns DECIMAL(precision, digits); NULL when ``den`` is 0 or NULL.
+
+    Values that fit are rounded in LONG arithmetic (overflow-checked with
+    ``try_*``); anything larger falls back to DECIMAL(38,0), so the result
+    is exact either way and the common case avoids BigDecimal work per row.
     """
+    p_long = F.try_multiply(num, F.lit(10 ** (digits + scale))).try_cast("long")
+    q_long = F.try_multiply(den, F.lit(10 ** scale)).try_cast("long")
+    fits = ((F.abs(p_long) < _LONG_SAFE) & (F.abs(q_long) < _LONG_SAFE))
+    fast_mag = int_div(F.abs(p_long) * 2 + F.abs(q_long), F.abs(q_long) * 2)
+    fast = F.when(fits, F.when((p_long < 0) != (q_long < 0), -fast_mag).otherwise(fast_mag))
+
     p = _whole(num, scale, digits + scale)
     q = F.nullif(_whole(den, scale, scale), F.lit(0).cast(_INT38))
-    magnitude = int_div(F.abs(p) * 2 + F.abs(q), F.abs(q) * 2)
-    signed = F.when((p < 0) != (q < 0), -magnitude).otherwise(magnitude)
-    unit = F.lit(f"{10 ** -digits:.{digits}f}" if digits else "1").cast(
-        DecimalType(digits + 1, digits))
-    return (signed.cast(_INT38) * unit).cast(DecimalType(precision, digits))
+    magnitude = _floor_div38(F.abs(p) * 2 + F.abs(q), F.abs(q) * 2)
+    exact = F.when((p < 0) != (q < 0), -magnitude).otherwise(magnitude)
+
+    units = F.coalesce(fast.cast(_INT38), exact.cast(_INT38))
+    return F.when(den.isNull() | (den == 0), F.lit(None)).otherwise(
+        _to_decimal(units, digits, precision))
 
 
 def round_div_sql(num: str, den: str, digits: int, scale: int = 2) -> str:

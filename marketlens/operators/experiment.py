@@ -128,41 +128,55 @@ def required_n(p1: Column, p2: Column, alpha: float = ALPHA, power: float = TARG
     return F.when(den > 0, F.ceil(num / den)).cast("long")
 
 
-def achieved_power(p1: Column, p2: Column, n_per_arm: Column, alpha: float = ALPHA) -> Column:
-    """Normal-approximation power of the pooled test at ``n_per_arm``."""
+def power_argument(p1: Column, p2: Column, n_per_arm: Column, alpha: float = ALPHA) -> Column:
+    """X8's normal quantile: NULL when both rates are 0 or 1."""
     za = normal_quantile(1 - alpha / 2)
     p_bar = (p1 + p2) / 2
     se_alt = F.sqrt(p1 * (F.lit(1.0) - p1) + p2 * (F.lit(1.0) - p2))
     num = (F.abs(p2 - p1) * F.sqrt(n_per_arm.cast("double"))
            - F.lit(za) * F.sqrt(F.lit(2.0) * p_bar * (F.lit(1.0) - p_bar)))
-    return F.when(se_alt > 0, normal_cdf(num / se_alt))
+    return F.when(se_alt > 0, num / se_alt)
+
+
+def achieved_power(p1: Column, p2: Column, n_per_arm: Column, alpha: float = ALPHA) -> Column:
+    """Normal-approximation power of the pooled test at ``n_per_arm``."""
+    return normal_cdf(power_argument(p1, p2, n_per_arm, alpha))
 
 
 def analyse(arms: DataFrame, alpha: float = ALPHA, power: float = TARGET_POWER,
             expected_ratio: float = 0.5, confidence: float = 0.95,
             srm_alpha: float = SRM_ALPHA) -> DataFrame:
-    """The full report per row of wide arm counts (``arm_counts``)."""
+    """The full report per row of wide arm counts (``arm_counts``).
+
+    Computed in stages that reference earlier columns by name, so the normal
+    CDF polynomial is applied to a column, not to an inlined copy of the
+    whole z expression (keeps the plan and the generated code small).
+    """
     n1, x1, n2, x2 = (F.col(c) for c in ("n_control", "x_control", "n_treatment", "x_treatment"))
-    p1, p2 = _div(x1, n1), _div(x2, n2)
-    chi2, srm_p = srm(n1, n2, expected_ratio)
-    z, p_value = ztest(x1, n1, x2, n2)
+    chi2, _ = srm(n1, n2, expected_ratio)
+    z, _ = ztest(x1, n1, x2, n2)
     diff, lo, hi = diff_ci(x1, n1, x2, n2, confidence)
-    significant = F.coalesce(p_value < alpha, F.lit(False))
-    verdict = (F.when(srm_p < srm_alpha, VERDICT_SRM)
-               .when(significant, VERDICT_SHIP)
-               .otherwise(VERDICT_INCONCLUSIVE))
-    direction = (F.when(diff > 0, "positive").when(diff < 0, "negative").otherwise("none"))
-    return arms.select(
+    stage1 = arms.select(
         "*",
-        p1.alias("rate_control"), p2.alias("rate_treatment"),
-        chi2.alias("srm_chi2"), srm_p.alias("srm_p"),
-        z.alias("z"), p_value.alias("p_value"),
+        _div(x1, n1).alias("rate_control"), _div(x2, n2).alias("rate_treatment"),
+        chi2.alias("srm_chi2"), z.alias("z"),
         diff.alias("diff"), lo.alias("ci_low"), hi.alias("ci_high"),
+        power_argument(_div(x1, n1), _div(x2, n2), n1, alpha).alias("_power_arg"))
+    p1, p2 = F.col("rate_control"), F.col("rate_treatment")
+    stage2 = stage1.select(
+        "*",
+        chi2_sf_df1(F.col("srm_chi2")).alias("srm_p"),
+        two_sided_p(F.col("z")).alias("p_value"),
         required_n(p1, p2, alpha, power).alias("required_n_per_arm"),
-        achieved_power(p1, p2, n1, alpha).alias("power_now"),
-        significant.alias("significant"),
-        verdict.alias("verdict"), direction.alias("direction"),
-    )
+        normal_cdf(F.col("_power_arg")).alias("power_now")).drop("_power_arg")
+    significant = F.coalesce(F.col("p_value") < alpha, F.lit(False))
+    stage3 = stage2.withColumn("significant", significant)
+    verdict = (F.when(F.col("srm_p") < srm_alpha, VERDICT_SRM)
+               .when(F.col("significant"), VERDICT_SHIP)
+               .otherwise(VERDICT_INCONCLUSIVE))
+    direction = (F.when(F.col("diff") > 0, "positive").when(F.col("diff") < 0, "negative")
+                 .otherwise("none"))
+    return stage3.select("*", verdict.alias("verdict"), direction.alias("direction"))
 
 
 # --------------------------------------------------- replicated experiments
@@ -186,9 +200,9 @@ def replicate_tests(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """X11 per replicate: arm counts, z-test, significance (degenerate = no)."""
     arms = arm_counts(replicates, ["replicate"])
     n1, x1, n2, x2 = (F.col(c) for c in ("n_control", "x_control", "n_treatment", "x_treatment"))
-    z, p = ztest(x1, n1, x2, n2)
-    return arms.select("*", z.alias("z"), p.alias("p_value"),
-                       F.coalesce(p < alpha, F.lit(False)).alias("significant"))
+    z, _ = ztest(x1, n1, x2, n2)
+    with_p = arms.select("*", z.alias("z")).withColumn("p_value", two_sided_p(F.col("z")))
+    return with_p.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
 def rejection_rate(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -206,7 +220,8 @@ def power_comparison(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
     tests = replicate_tests(replicates, alpha)
     p1 = _div(F.col("x_control"), F.col("n_control"))
     p2 = _div(F.col("x_treatment"), F.col("n_treatment"))
-    theory = achieved_power(p1, p2, F.col("n_control"), alpha)
+    tests = tests.withColumn("_arg", power_argument(p1, p2, F.col("n_control"), alpha))
+    theory = normal_cdf(F.col("_arg"))
     return tests.agg(
         F.count(F.lit(1)).alias("replicates"),
         _div(F.sum(F.col("significant").cast("int")), F.count(F.lit(1))).alias("empirical_power"),

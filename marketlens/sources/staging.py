@@ -67,12 +67,24 @@ SIGNUP_SPAN_DAYS = 1461
 RETURNED_FLAG = "R"
 
 
+# Columns of the driver's tables that the adapter reads. Declaring them skips
+# the Parquet footer inference pass on every read and prunes the scan.
+RAW_SCHEMAS = {
+    "customer": "c_custkey long, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": ("l_orderkey long, l_extendedprice double, l_discount double, "
+                 "l_returnflag string, l_shipdate timestamp_ntz"),
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    schema = RAW_SCHEMAS.get(name)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(sf_dir, name))
 
 
 def read_staging(spark: SparkSession, path: str, schema: StructType,
@@ -85,19 +97,17 @@ def read_staging(spark: SparkSession, path: str, schema: StructType,
 
 
 # ------------------------------------------------------------ adapter (Spark)
-def staged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer")
+def customers_from(customer: DataFrame) -> DataFrame:
     offset = (F.col("c_custkey") * SIGNUP_STRIDE % SIGNUP_SPAN_DAYS).cast("int")
-    return c.select(
+    return customer.select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_mktsegment").alias("channel"),
         F.date_add(F.lit(SIGNUP_EPOCH).cast("date"), offset).alias("signup_date"),
     )
 
 
-def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    return o.select(
+def orders_from(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
@@ -105,20 +115,23 @@ def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def staged_marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marketing_spend_from(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Spend and leads per (channel, month) derived from line items.
 
     spend = sum(price * discount) of the month's shipped lines of the
     channel's customers; leads = orders with a returned line that month.
 
     Plan: orders ⋈ customers first (the narrower join, on customer key), then
-    line items are shuffled once, on order key. The per-(order, month)
+    line items are shuffled once, on order key, in a sort-merge join (hinted:
+    after column pruning the optimizer can under-estimate line items enough
+    to broadcast the biggest table; at scale sort-merge is the only safe
+    choice for two fact-sized inputs anyway). The per-(order, month)
     aggregate right after the join reuses that order-key partitioning (no
     extra exchange) and makes the distinct-order count a plain sum, so no
     Expand-based COUNT(DISTINCT) is planned; the final aggregate by
     (channel, month) combines map-side.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = lineitem.select(
         F.col("l_orderkey"),
         month_start(F.col("l_shipdate").cast("date")).alias("spend_month"),
         (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(DecimalType(4, 2)))
@@ -126,13 +139,12 @@ def staged_marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == RETURNED_FLAG).cast("int").alias("returned"),
     )
     order_channel = (
-        read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        .join(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"),
-              F.col("o_custkey") == F.col("c_custkey"))
+        orders.select("o_orderkey", "o_custkey")
+        .join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", F.col("c_mktsegment").alias("channel"))
     )
     per_order_month = (
-        li.join(order_channel, F.col("l_orderkey") == F.col("o_orderkey"))
+        li.hint("merge").join(order_channel, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_orderkey", "channel", "spend_month")
         .agg(F.sum("amount").alias("amount"), F.max("returned").alias("returned"))
     )
@@ -142,12 +154,51 @@ def staged_marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "customers": staged_customers(spark, sf_dir),
-        "orders": staged_orders(spark, sf_dir),
-        "spend": staged_marketing_spend(spark, sf_dir),
-    }
+class Staging:
+    """The three staging tables over one folder of driver tables.
+
+    Each table is built on first use and raw scans are shared, so a query
+    only pays for the tables it reads.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
+
+    def raw(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.sf_dir, name)
+        return self._raw[name]
+
+    def __getitem__(self, key: str) -> DataFrame:
+        if key not in self._built:
+            if key == "customers":
+                self._built[key] = customers_from(self.raw("customer"))
+            elif key == "orders":
+                self._built[key] = orders_from(self.raw("orders"))
+            elif key == "spend":
+                self._built[key] = marketing_spend_from(
+                    self.raw("lineitem"), self.raw("orders"), self.raw("customer"))
+            else:
+                raise KeyError(key)
+        return self._built[key]
+
+
+def staged(spark: SparkSession, sf_dir: str) -> Staging:
+    return Staging(spark, sf_dir)
+
+
+def staged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir)["customers"]
+
+
+def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir)["orders"]
+
+
+def staged_marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir)["spend"]
 
 
 # ---------------------------------------------------------- adapter (DuckDB)
