@@ -72,9 +72,17 @@ def with_weights(df: DataFrame, weights: DataFrame, label: str = LABEL) -> DataF
 
 
 def fit_standardizer(train: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> DataFrame:
-    """L3 fit: one row of population means and standard deviations."""
-    return train.agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols],
-                     *[F.stddev_pop(c).alias(f"_std_{c}") for c in cols])
+    """L3 fit: one row of population means and standard deviations.
+
+    Like any fitted model the parameters are a handful of numbers; they are
+    collected once and returned as a one-row literal table, so applying them
+    never re-runs the training aggregation.
+    """
+    row = train.agg(*[F.avg(c).alias(f"_mean_{c}") for c in cols],
+                    *[F.stddev_pop(c).alias(f"_std_{c}") for c in cols]).first()
+    schema = ", ".join(f"_mean_{c} double" for c in cols) + ", " + ", ".join(
+        f"_std_{c} double" for c in cols)
+    return train.sparkSession.createDataFrame([tuple(row)], schema)
 
 
 def apply_standardizer(df: DataFrame, stats: DataFrame, cols: list[str] = NUMERIC_FEATURES,
@@ -111,12 +119,21 @@ def one_hot_positions(model: PipelineModel, df: DataFrame, col: str = CATEGORICA
 
 
 def prepare(train: DataFrame, others: dict[str, DataFrame] | None = None,
-            features: list[str] = NUMERIC_FEATURES) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Weights + scaling fitted on ``train``; applied to train and others."""
+            features: list[str] = NUMERIC_FEATURES, label: str = LABEL
+            ) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Weights + scaling fitted on ``train``; applied to train and others.
+
+    Class weights (one per class) are collected and attached as a literal
+    CASE expression; no join back to the training rows is needed.
+    """
     assert_no_leakage(features + [CATEGORICAL_FEATURE])
     stats = fit_standardizer(train, features)
-    weights = class_weights(train)
-    prep_train = with_weights(apply_standardizer(train, stats, features), weights)
+    weights = {r[label]: r["weight"] for r in class_weights(train, label).collect()}
+    weight = None
+    for cls, w in weights.items():
+        cond = F.col(label) == F.lit(cls)
+        weight = F.when(cond, F.lit(w)) if weight is None else weight.when(cond, F.lit(w))
+    prep_train = apply_standardizer(train, stats, features).withColumn("weight", weight)
     prepped = {k: apply_standardizer(v, stats, features) for k, v in (others or {}).items()}
     return prep_train, prepped
 
@@ -126,6 +143,27 @@ def _assembler(features: list[str]) -> VectorAssembler:
                            outputCol="features")
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def _fit(stages: list, train: DataFrame, rows: int) -> PipelineModel:
+    """Fit with the training rows persisted and sized to their volume.
+
+    Iterative learners pass over the rows many times: recomputing the
+    feature plan on every pass would dominate, and so would per-task
+    overhead if a small training set stayed spread over many partitions.
+    The cache is released as soon as the fit returns.
+    """
+    spark = train.sparkSession
+    cap = max(1, 4 * spark.sparkContext.defaultParallelism)
+    parts = max(1, min(cap, -(-int(rows) // ROWS_PER_PARTITION)))
+    cached = train.repartition(parts).persist()
+    try:
+        return Pipeline(stages=stages).fit(cached)
+    finally:
+        cached.unpersist()
+
+
 def fit_logistic(train: DataFrame, features: list[str] = NUMERIC_FEATURES,
                  max_iter: int = MAX_ITER) -> PipelineModel:
     """Balanced L2 logistic regression (C = 1).
@@ -135,11 +173,11 @@ def fit_logistic(train: DataFrame, features: list[str] = NUMERIC_FEATURES,
     (regParam/2)||w||^2 up to a constant factor when regParam = 1/(C·Σw).
     ``train`` must come from ``prepare`` (weight and *_scaled columns).
     """
-    total_weight = train.agg(F.sum("weight")).first()[0]
+    total_weight = train.agg(F.sum("weight")).first()[0]  # one scalar for regParam
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight",
                             regParam=1.0 / float(total_weight), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-8)
-    return Pipeline(stages=channel_encoder() + [_assembler(features), lr]).fit(train)
+                            standardization=False, maxIter=max_iter)
+    return _fit(channel_encoder() + [_assembler(features), lr], train, rows=int(total_weight))
 
 
 def fit_forest(train: DataFrame, features: list[str] = NUMERIC_FEATURES, num_trees: int = N_TREES,
@@ -147,8 +185,9 @@ def fit_forest(train: DataFrame, features: list[str] = NUMERIC_FEATURES, num_tre
     """Balanced random forest (sqrt features per split, seeded)."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
                                 numTrees=num_trees, featureSubsetStrategy="sqrt",
-                                maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=channel_encoder() + [_assembler(features), rf]).fit(train)
+                                maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+                                maxMemoryInMB=512)
+    return _fit(channel_encoder() + [_assembler(features), rf], train, rows=train.count())
 
 
 def score(model: PipelineModel, df: DataFrame, id_col: str = "customer_id") -> DataFrame:
