@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 from marketlens.functions.decimal import round_div
 
 
+# Presentation orders, applied only at the output boundary (sorting is
+# a global range shuffle; nothing upstream depends on row order).
+PRESENTATION_ORDER = {
+    "cohort_retention": [("cohort_month", "asc"), ("month_number", "asc")],
+    "channel_summary": [("romi", "desc_nulls_first"), ("channel", "asc")],
+    "ltv_curve": [("order_seq", "asc")],
+    "importance": [("importance", "desc"), ("feature", "asc")],
+}
+
+
+def present(df: DataFrame, kind: str) -> DataFrame:
+    """Sort a result for display (O1 cohort/month, O2 ROMI desc, O3 order
+    depth, O4 importance desc)."""
+    return df.orderBy(*[getattr(F.col(c), how)() for c, how in PRESENTATION_ORDER[kind]])
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     """Fail at plan time when a required column is missing."""
     missing = [n for n in names if n not in df.columns]

@@ -53,3 +53,13 @@ def read_features_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEATURES_SCHEMA).parquet(path)
+
+
+def register_views(marts: dict[str, DataFrame], replace: bool = True) -> None:
+    """K6: define (or replace) a named temporary view per mart, so SQL users
+    can query ``mart_channel_economics`` etc. with ``spark.sql``."""
+    for name, df in marts.items():
+        if replace:
+            df.createOrReplaceTempView(name)
+        else:
+            df.createTempView(name)

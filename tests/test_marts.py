@@ -127,3 +127,13 @@ def test_retention_matrix_and_curve(spark):
     drop = insights.steepest_retention_drop(curve).collect()
     assert len(drop) == 1 and (drop[0].from_month, drop[0].to_month) == (0, 1)
     assert drop[0].retention_drop == pytest.approx(0.35)
+
+
+def test_presentation_order_and_named_views(spark):
+    from marketlens.sources.io import register_views
+    ret = spark.createDataFrame([(d("2025-02-01"), 0), (d("2025-01-01"), 1), (d("2025-01-01"), 0)],
+                                "cohort_month date, month_number int")
+    ordered = [(str(r.cohort_month), r.month_number) for r in insights.present(ret, "cohort_retention").collect()]
+    assert ordered == [("2025-01-01", 0), ("2025-01-01", 1), ("2025-02-01", 0)]
+    register_views({"mart_cohort_retention": ret})
+    assert spark.sql("SELECT COUNT(*) AS n FROM mart_cohort_retention").first().n == 3
