@@ -71,11 +71,14 @@ def ordered_prefix(df: DataFrame, order_col: str, sums: dict[str, str],
 
     ``sums`` maps output column -> input column. With ``inclusive`` the
     current row is included (``<=``), otherwise only strictly earlier rows.
+    The input is read twice (split points, then sums), so it is written once
+    to the shared checkpoint folder instead of being recomputed.
     """
     from pyspark.ml.feature import QuantileDiscretizer
 
     b = "_qb"
-    src = df.withColumn("_ord", F.col(order_col).cast("double"))
+    ensure_checkpoint_dir(df.sparkSession)
+    src = df.withColumn("_ord", F.col(order_col).cast("double")).checkpoint(eager=True)
     model = QuantileDiscretizer(numBuckets=n_buckets, inputCol="_ord", outputCol=b,
                                 relativeError=1e-3, handleInvalid="keep").fit(src)
     bucketed = model.transform(src).withColumn(

@@ -61,24 +61,29 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
+def _log(spark: SparkSession, root: str) -> dict[int, str]:
+    """version -> path; the log has one row per committed refresh."""
+    return {int(r["version"]): r["path"] for r in versions(spark, root).select("version", "path").collect()}
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
-    row = versions(spark, root).agg(F.max("version")).first()
-    return None if row is None or row[0] is None else int(row[0])
+    log = _log(spark, root)
+    return max(log) if log else None
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    row = versions(spark, root).where(F.col("version") == version).select("path").first()
-    if row is None:
+    path = _log(spark, root).get(int(version))
+    if path is None:
         raise FileNotFoundError(f"no committed version {version} under {root}")
-    return spark.read.parquet(row[0])
+    return spark.read.parquet(path)
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """V2 reader: the last committed refresh."""
-    v = current_version(spark, root)
-    if v is None:
+    """V2 reader: the last committed refresh (one small read of the log)."""
+    log = _log(spark, root)
+    if not log:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    return read_version(spark, root, v)
+    return spark.read.parquet(log[max(log)])
 
 
 def materialise(df: DataFrame, root: str, keys: list[str]) -> int:
