@@ -39,8 +39,11 @@ def assign(customers: DataFrame, salt: str, experiment: str | None = None,
 
     Customers are ordered by ``md5(salt || id)`` and ranked with the bucketed
     global rank (no single-task window); the first floor(n/2) are control.
+    Each distinct id is assigned once (duplicates collapse map-side, so no
+    repeated id can pile up in one hash bucket).
     """
-    ranked = rank_by_hash(customers.select(id_col), id_col, salt, rank_col="_r", size_col="_n")
+    ids = customers.select(id_col).distinct()
+    ranked = rank_by_hash(ids, id_col, salt, rank_col="_r", size_col="_n")
     out = ranked.select(
         id_col,
         F.when(F.col("_r") <= F.floor(F.col("_n") / 2), CONTROL).otherwise(TREATMENT)

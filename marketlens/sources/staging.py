@@ -121,34 +121,31 @@ def marketing_spend_from(lineitem: DataFrame, orders: DataFrame, customer: DataF
     spend = sum(price * discount) of the month's shipped lines of the
     channel's customers; leads = orders with a returned line that month.
 
-    Plan: orders ⋈ customers first (the narrower join, on customer key), then
-    line items are shuffled once, on order key, in a sort-merge join (hinted:
-    after column pruning the optimizer can under-estimate line items enough
-    to broadcast the biggest table; at scale sort-merge is the only safe
-    choice for two fact-sized inputs anyway). The per-(order, month)
-    aggregate right after the join reuses that order-key partitioning (no
-    extra exchange) and makes the distinct-order count a plain sum, so no
-    Expand-based COUNT(DISTINCT) is planned; the final aggregate by
-    (channel, month) combines map-side.
+    Plan: line items are first reduced to one row per (order, ship month)
+    (partial aggregation map-side, so even an order holding a huge share of
+    all lines shrinks to at most one row per month before any join), which
+    also turns the distinct-order lead count into a plain sum (no Expand).
+    That table is joined to orders ⋈ customers on the order key in a
+    sort-merge join (hinted: after column pruning the optimizer can
+    under-estimate the line-item side enough to broadcast it), and the final
+    aggregate by (channel, month) combines map-side.
     """
-    li = lineitem.select(
+    per_order_month = lineitem.groupBy(
         F.col("l_orderkey"),
         month_start(F.col("l_shipdate").cast("date")).alias("spend_month"),
-        (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(DecimalType(4, 2)))
+    ).agg(
+        F.sum(F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(DecimalType(4, 2)))
         .alias("amount"),
-        (F.col("l_returnflag") == RETURNED_FLAG).cast("int").alias("returned"),
+        F.max((F.col("l_returnflag") == RETURNED_FLAG).cast("int")).alias("returned"),
     )
     order_channel = (
         orders.select("o_orderkey", "o_custkey")
         .join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", F.col("c_mktsegment").alias("channel"))
     )
-    per_order_month = (
-        li.hint("merge").join(order_channel, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("l_orderkey", "channel", "spend_month")
-        .agg(F.sum("amount").alias("amount"), F.max("returned").alias("returned"))
-    )
-    return per_order_month.groupBy("channel", "spend_month").agg(
+    joined = per_order_month.hint("merge").join(
+        order_channel, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("channel", "spend_month").agg(
         F.round(F.sum("amount"), 2).cast(SPEND_MONEY).alias("spend"),
         F.sum("returned").cast("long").alias("leads"),
     )
