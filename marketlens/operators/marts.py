@@ -16,7 +16,7 @@ from pyspark.sql.types import DecimalType
 
 from marketlens.functions.dates import month_offset, month_start
 from marketlens.functions.decimal import round_div
-from marketlens.operators.ranking import keyed_scan
+from marketlens.operators.ranking import DEFAULT_MAX_GROUP_ROWS, keyed_scan, max_group_rows
 
 REVENUE = DecimalType(22, 2)
 CUMULATIVE = DecimalType(32, 2)
@@ -76,6 +76,9 @@ def customer_ltv(customers: DataFrame, orders: DataFrame,
     joined = channel_of_orders(orders, customers).select(
         "customer_id", "channel", "order_id", "order_date", "total_amount")
     kwargs = {} if max_rows is None else {"max_rows": max_rows}
+    if skew_safe is None:
+        # Orders per customer before the join bound the group sizes after it.
+        skew_safe = max_group_rows(orders, ["customer_id"]) > kwargs.get("max_rows", DEFAULT_MAX_GROUP_ROWS)
     scanned = keyed_scan(
         joined, ["customer_id"], ["order_date", "order_id"],
         rank_col="order_seq",

@@ -130,12 +130,15 @@ def marketing_spend_from(lineitem: DataFrame, orders: DataFrame, customer: DataF
     under-estimate the line-item side enough to broadcast it), and the final
     aggregate by (channel, month) combines map-side.
     """
+    # price (cents) x discount (hundredths): an exact LONG in 1/10000 units;
+    # one order-month has a handful of lines, so its sum cannot overflow.
+    cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
+    pct = (F.col("l_discount").cast(DecimalType(4, 2)) * 100).cast("long")
     per_order_month = lineitem.groupBy(
         F.col("l_orderkey"),
         month_start(F.col("l_shipdate").cast("date")).alias("spend_month"),
     ).agg(
-        F.sum(F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(DecimalType(4, 2)))
-        .alias("amount"),
+        F.sum(cents * pct).alias("amount4"),
         F.max((F.col("l_returnflag") == RETURNED_FLAG).cast("int")).alias("returned"),
     )
     order_channel = (
@@ -145,8 +148,11 @@ def marketing_spend_from(lineitem: DataFrame, orders: DataFrame, customer: DataF
     )
     joined = per_order_month.hint("merge").join(
         order_channel, F.col("l_orderkey") == F.col("o_orderkey"))
+    # The channel-month total is summed as DECIMAL(38,0) (no overflow at any
+    # scale), then scaled back to money and rounded half-up to cents.
+    total4 = F.sum(F.col("amount4").cast(DecimalType(38, 0)))
     return joined.groupBy("channel", "spend_month").agg(
-        F.round(F.sum("amount"), 2).cast(SPEND_MONEY).alias("spend"),
+        F.round(total4 * F.lit("0.0001").cast(DecimalType(4, 4)), 2).cast(SPEND_MONEY).alias("spend"),
         F.sum("returned").cast("long").alias("leads"),
     )
 
