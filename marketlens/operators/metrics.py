@@ -31,9 +31,10 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> Da
     pref = ordered_prefix(score_counts(scored, label, score), "score",
                           {"tp_above": "pos"}, descending=True, inclusive=False)
     term = F.col("neg").cast(_BIG) * (F.col("tp_above").cast(_BIG) * 2 + F.col("pos").cast(_BIG))
+    # Undefined (NULL) when only one class is present.
     return pref.agg(
-        (F.sum(term).cast("double")
-         / (F.sum("pos").cast(_BIG) * F.sum("neg").cast(_BIG) * 2).cast("double"))
+        F.try_divide(F.sum(term).cast("double"),
+                     (F.sum("pos").cast(_BIG) * F.sum("neg").cast(_BIG) * 2).cast("double"))
         .alias("roc_auc"))
 
 
@@ -46,8 +47,8 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
     """Σ (pos_s / P) · precision at s over distinct scores s."""
     cum = _cumulative(scored, label, score)
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp")).cast("double")
-    return cum.agg((F.sum(F.col("pos").cast("double") * precision)
-                    / F.sum("pos").cast("double")).alias("average_precision"))
+    return cum.agg(F.try_divide(F.sum(F.col("pos").cast("double") * precision),
+                                F.sum("pos").cast("double")).alias("average_precision"))
 
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -56,8 +57,8 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
     totals = score_counts(scored, label, score).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     points = cum.crossJoin(F.broadcast(totals)).select(
         F.col("score").cast("double").alias("threshold"),
-        (F.col("fp").cast("double") / F.col("_N").cast("double")).alias("fpr"),
-        (F.col("tp").cast("double") / F.col("_P").cast("double")).alias("tpr"))
+        F.try_divide(F.col("fp").cast("double"), F.col("_N").cast("double")).alias("fpr"),
+        F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")).alias("tpr"))
     start = totals.select(F.lit(float("inf")).alias("threshold"),
                           F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
@@ -115,4 +116,5 @@ def classification_report(scored: DataFrame, label: str = "label",
 def accuracy(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Share of rows whose prediction equals the label."""
     hit = (F.col(label).cast("int") == F.col(prediction).cast("int")).cast("long")
-    return scored.agg((F.sum(hit).cast("double") / F.count(F.lit(1)).cast("double")).alias("accuracy"))
+    return scored.agg(F.try_divide(F.sum(hit).cast("double"), F.count(F.lit(1)).cast("double"))
+                      .alias("accuracy"))

@@ -10,8 +10,8 @@ offsets, and ranking only inside each bucket:
                     the hash, uniform by construction; offsets table is at most
                     ``groups x 16^k`` rows, so broadcasting it has a proven bound.
 ``ordered_prefix``  running sums over a numeric order column: buckets are
-                    approximate quantiles (``QuantileDiscretizer``), fitted once
-                    so every task sees the same literal split points.
+                    approximate quantiles (``approxQuantile`` + ``Bucketizer``),
+                    fitted once so every task sees the same literal split points.
 ``keyed_scan``      row_number / running sums / totals per key ordered by
                     arbitrary columns: a plain keyed window when no key is hot,
                     otherwise range-partitioned segments (hot keys are split by
@@ -74,13 +74,18 @@ def ordered_prefix(df: DataFrame, order_col: str, sums: dict[str, str],
     The input is read twice (split points, then sums), so it is written once
     to the shared checkpoint folder instead of being recomputed.
     """
-    from pyspark.ml.feature import QuantileDiscretizer
+    from pyspark.ml.feature import Bucketizer
 
     b = "_qb"
     ensure_checkpoint_dir(df.sparkSession)
     src = df.withColumn("_ord", F.col(order_col).cast("double")).checkpoint(eager=True)
-    model = QuantileDiscretizer(numBuckets=n_buckets, inputCol="_ord", outputCol=b,
-                                relativeError=1e-3, handleInvalid="keep").fit(src)
+    # At most n_buckets - 1 split points come back to the driver (a bounded
+    # list, like a range partitioner's sample); an empty input gets one bucket.
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    inner = sorted(set(src.approxQuantile("_ord", probs, 1e-3)))
+    inner = [x for x in inner if x == x] or [0.0]  # Bucketizer needs >= 3 splits
+    splits = [float("-inf")] + inner + [float("inf")]
+    model = Bucketizer(splits=splits, inputCol="_ord", outputCol=b, handleInvalid="keep")
     bucketed = model.transform(src).withColumn(
         b, (-F.col(b) if descending else F.col(b)).cast("int"))
     totals = bucketed.groupBy(b).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])

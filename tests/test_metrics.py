@@ -74,3 +74,15 @@ def test_zero_division_counts_as_zero(spark):
     assert report["1"].precision == 0.0 and report["0"].precision == 0.0 and report["0"].support == 0
     cells = {(r.label, r.prediction): r["count"] for r in metrics.confusion(df).collect()}
     assert cells[(0, 1)] == 0 and cells[(1, 0)] == 2
+
+
+def test_undefined_metrics_are_null_not_errors(spark):
+    one_class = scored(spark, [(1, 0.5, 1), (1, 0.7, 1)])
+    assert metrics.roc_auc(one_class).first().roc_auc is None
+    curve = metrics.roc_curve(one_class).collect()
+    assert all(r.fpr is None for r in curve if r.threshold != float("inf"))
+    empty = scored(spark, [])
+    assert metrics.roc_auc(empty).first().roc_auc is None
+    assert metrics.average_precision(empty).first().average_precision is None
+    assert metrics.roc_curve(empty).collect() == [] or len(metrics.roc_curve(empty).collect()) == 1
+    assert metrics.accuracy(empty).first().accuracy is None
