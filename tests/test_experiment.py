@@ -102,3 +102,10 @@ def test_power_comparison_and_aa_calibration(spark):
     assert rate.replicates == 100 and rate.rejection_rate <= 0.15
     cmp = experiment.power_comparison(reps).collect()[0]
     assert 0 <= cmp.theoretical_power <= 1 and cmp.replicates == 100
+
+
+def test_empty_arm_gives_nulls_not_errors(spark):
+    r = analyse_one(spark, 0, 0, 10, 2)
+    assert r.rate_control is None and r.z is None and r.p_value is None
+    assert r.significant is False and r.srm_p is not None and r.srm_p < 0.01
+    assert r.verdict.startswith("NO SHIP - SRM")
