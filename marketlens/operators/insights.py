@@ -115,9 +115,13 @@ def first_orders(orders: DataFrame) -> DataFrame:
 
 
 def first_order_payback(orders: DataFrame, customers: DataFrame, summary: DataFrame) -> DataFrame:
-    """Mean first-order revenue (all customers) divided by channel CAC."""
-    known = orders.join(customers.select("customer_id"), "customer_id", "left_semi")
-    mean_first = first_orders(known).agg(_mean("first_amount").alias("mean_first_order"))
+    """Mean first-order revenue (all customers) divided by channel CAC.
+
+    First orders are reduced per customer before the semi join with the
+    customer table, so the join sees one row per customer.
+    """
+    known = first_orders(orders).join(customers.select("customer_id"), "customer_id", "left_semi")
+    mean_first = known.agg(_mean("first_amount").alias("mean_first_order"))
     return summary.select("channel", "avg_cac").crossJoin(F.broadcast(mean_first)).select(
         "channel", "avg_cac", "mean_first_order",
         (F.col("mean_first_order") / F.col("avg_cac").cast("double")).alias("payback_ratio"))
