@@ -67,3 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/marketlens/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def recommended_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2,
+                     max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of Parquet.
+
+    Scans split at ``partition_bytes``; the initial shuffle width gives each
+    reducer about that much input so sorts and hash tables fit in executor
+    memory (spilling stays the exception), and AQE coalesces small partitions
+    and splits skewed ones around the same target at run time.
+    """
+    parts = max(8, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    size = f"{partition_bytes // (1024 ** 2)}m"
+    return {
+        **CORE_CONF,
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * partition_bytes // (1024 ** 2)}m",
+    }

@@ -38,3 +38,13 @@ def test_round_half_even_matches_python_round(spark):
     got = [r.y for r in df.select(round_half_even_2(F.col("x")).alias("y")).collect()]
     import numpy as np
     assert got == [float(np.round(v, 2)) for v in vals]
+
+
+def test_recommended_conf_scales_partitions():
+    from marketlens.session import recommended_conf
+    small = recommended_conf(10 * 1024 ** 2)
+    big = recommended_conf(100 * 1024 ** 4)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert recommended_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == "4096"
+    assert big["spark.sql.adaptive.enabled"] == "true"
