@@ -30,6 +30,20 @@ from marketlens.session import ensure_checkpoint_dir
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
+                   broadcast: bool = False) -> DataFrame:
+    """Inner join on ``keys`` where NULL matches NULL (a NULL key is a group
+    of its own and its rows are kept); ``right``'s key columns are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k)
+                             for k in right.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    other = F.broadcast(renamed) if broadcast else renamed
+    return left.join(other, cond).drop(*[f"_r_{k}" for k in keys])
+
+
 def hash_key(salt: str, id_col: str) -> Column:
     """``md5(salt || id)`` as hex text (identical in Spark and DuckDB)."""
     return F.md5(F.concat(F.lit(salt), F.col(id_col).cast("string")))
@@ -57,7 +71,7 @@ def rank_by_hash(df: DataFrame, id_col: str, salt: str, by: list[str] | None = N
         F.sum("_n").over(Window.partitionBy(*by)).alias("_size"),
     )
     local = Window.partitionBy(*by, b).orderBy(h, id_col)
-    out = (keyed.join(F.broadcast(offsets), [*by, b])
+    out = (join_null_safe(keyed, offsets, [*by, b], broadcast=True)
            .withColumn(rank_col, (F.col("_off") + F.row_number().over(local)).cast("long")))
     if size_col:
         out = out.withColumn(size_col, F.col("_size").cast("long"))
@@ -96,7 +110,7 @@ def ordered_prefix(df: DataFrame, order_col: str, sums: dict[str, str],
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     frame = (Window.partitionBy(b).orderBy(order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = bucketed.join(F.broadcast(offsets), b)
+    out = join_null_safe(bucketed, offsets, [b], broadcast=True)
     for name, c in sums.items():
         out = out.withColumn(
             name, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
@@ -168,7 +182,8 @@ def _segmented_scan(df, keys, order, rank_col, running, totals, counts, segments
     )
     local = Window.partitionBy("_seg", *keys).orderBy(*order)
     rows = local.rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(carries, ["_seg", *keys])
+    # Null-safe on the keys: a NULL key is a group of its own, never dropped.
+    out = join_null_safe(ranged, carries, ["_seg", *keys])
     if rank_col:
         out = out.withColumn(rank_col, (F.col("_o_n") + F.row_number().over(local)).cast("long"))
     for name, c in running.items():

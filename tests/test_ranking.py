@@ -52,3 +52,24 @@ def test_keyed_scan_segmented_equals_plain_on_a_hot_key(spark):
     assert sorted(tuple(r) for r in auto.select(*cols).collect()) == a
     assert ranking.max_group_rows(df, ["k"]) == 1000
     assert split.where(F.col("k") == 1).agg(F.max("rn")).first()[0] == 1000
+
+
+def test_keyed_scan_keeps_null_keys(spark):
+    rows = [(None, 1, 1, 5), (None, 2, 2, 7), (1, 1, 3, 1), (1, 2, 4, 2)]
+    df = spark.createDataFrame(rows, "k long, day long, oid long, v long")
+    kwargs = dict(rank_col="rn", running={"cum": "v"}, counts="cnt")
+    for safe in (False, True):
+        out = sorted((r.oid, r.rn, r.cum, r.cnt) for r in
+                     ranking.keyed_scan(df, ["k"], ["day", "oid"], skew_safe=safe, segments=3, **kwargs).collect())
+        assert out == [(1, 1, 5, 2), (2, 2, 12, 2), (3, 1, 1, 2), (4, 2, 3, 2)]
+
+
+def test_rank_by_hash_and_prefix_keep_null_groups(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, 0), (None, 0)], "id long, grp long")
+    out = ranking.rank_by_hash(df, "id", "s", by=["grp"], size_col="size").collect()
+    assert len(out) == 4
+    assert sorted(r["rank"] for r in out if r.grp is None) == [1, 2]
+    assert sorted(r.size for r in out) == [2, 2, 2, 2]
+    scores = spark.createDataFrame([(None, 1), (0.5, 2), (0.7, 3)], "s double, w long")
+    pref = ranking.ordered_prefix(scores, "s", {"cum": "w"}, n_buckets=4).collect()
+    assert len(pref) == 3
