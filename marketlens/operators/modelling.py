@@ -24,7 +24,7 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
                                TimestampType)
 
 from marketlens.operators.features import assert_no_leakage
-from marketlens.operators.ranking import rank_by_hash
+from marketlens.operators.ranking import join_null_safe, rank_by_hash
 
 # Fixed values of the model set-up.
 NUMERIC_FEATURES = ["tenure_days", "total_orders", "total_revenue", "avg_order_value",
@@ -68,7 +68,7 @@ def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
 
 def with_weights(df: DataFrame, weights: DataFrame, label: str = LABEL) -> DataFrame:
     """Attach the class weight; the weights table has one row per class."""
-    return df.join(F.broadcast(weights.select(label, "weight")), label)
+    return join_null_safe(df, weights.select(label, "weight"), [label], broadcast=True)
 
 
 def fit_standardizer(train: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> DataFrame:

@@ -122,14 +122,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     a null-safe comparison of every non-key column; unchanged rows drop out.
     """
     values = [c for c in new.columns if c not in keys]
-    o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in values], F.lit(True).alias("_in_old"))
-    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in values], F.lit(True).alias("_in_new"))
+    o = old.select(*[F.col(k).alias(f"_ok_{k}") for k in keys],
+                   *[F.col(c).alias(f"_o_{c}") for c in values], F.lit(True).alias("_in_old"))
+    n = new.select(*[F.col(k).alias(f"_nk_{k}") for k in keys],
+                   *[F.col(c).alias(f"_n_{c}") for c in values], F.lit(True).alias("_in_new"))
+    match = None
+    for k in keys:  # null-safe: a NULL key matches a NULL key
+        c = F.col(f"_ok_{k}").eqNullSafe(F.col(f"_nk_{k}"))
+        match = c if match is None else match & c
     same = F.lit(True)
     for c in values:
         same = same & F.col(f"_o_{c}").eqNullSafe(F.col(f"_n_{c}"))
     change = (F.when(F.col("_in_old").isNull(), "inserted")
               .when(F.col("_in_new").isNull(), "deleted")
               .when(~same, "updated"))
-    return (o.join(n, keys, "full_outer")
-            .select(*keys, change.alias("change_type"))
+    return (o.join(n, match, "full_outer")
+            .select(*[F.when(F.col("_in_new").isNotNull(), F.col(f"_nk_{k}"))
+                      .otherwise(F.col(f"_ok_{k}")).alias(k) for k in keys],
+                    change.alias("change_type"))
             .where(F.col("change_type").isNotNull()))

@@ -59,3 +59,10 @@ def test_quality_report_flags_each_constraint(spark):
     assert got == {"primary_key_unique": 1, "primary_key_null": 1, "foreign_key_customers": 1,
                    "variant_domain": 1, "variant_not_null": 1, "sent_at_not_null": 1,
                    "converted_not_null": 1}
+
+
+def test_diff_matches_null_keys(spark):
+    old = spark.createDataFrame([(None, 1), (2, 5)], "k long, v long")
+    new = spark.createDataFrame([(None, 2), (2, 5), (3, 1)], "k long, v long")
+    got = sorted((r.k is None, r.k, r.change_type) for r in snapshot.snapshot_diff(old, new, ["k"]).collect())
+    assert got == [(False, 3, "inserted"), (True, None, "updated")]
