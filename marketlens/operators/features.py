@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.dates import days_between
 from marketlens.functions.decimal import round_half_even_2
+from marketlens.operators.frames import attach_one_row
 
 CHURN_WINDOW_DAYS = 90
 FEATURE_COLUMNS = [
@@ -48,8 +49,8 @@ def build_customer_features(customers: DataFrame, orders: DataFrame,
     tenure = days_between(cut, F.col("signup_date"))
     since_last = days_between(cut, F.col("_last"))
     mean = F.col("_revenue").cast("double") / F.col("_n_amount")
-    df = customers.select("customer_id", "channel", "signup_date").join(agg, "customer_id") \
-        .crossJoin(F.broadcast(cutoff_frame(orders, cutoff)))
+    df = attach_one_row(customers.select("customer_id", "channel", "signup_date").join(agg, "customer_id"),
+                        cutoff_frame(orders, cutoff))
     return df.select(
         "customer_id", "channel",
         tenure.cast("long").alias("tenure_days"),
@@ -67,7 +68,7 @@ def censoring_check(customers: DataFrame, orders: DataFrame,
                     cutoff: str | dt.date | None = None,
                     window_days: int = CHURN_WINDOW_DAYS) -> DataFrame:
     """Youngest tenure at the cut-off; censored when below the window."""
-    youngest = customers.crossJoin(F.broadcast(cutoff_frame(orders, cutoff))).agg(
+    youngest = attach_one_row(customers, cutoff_frame(orders, cutoff)).agg(
         F.first("cutoff").alias("cutoff"),
         F.min(days_between(F.col("cutoff"), F.col("signup_date"))).cast("long").alias("min_tenure_days"))
     return youngest.select("cutoff", "min_tenure_days",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.decimal import round_div
+from marketlens.operators.frames import attach_one_row
 
 
 # Presentation orders, applied only at the output boundary (sorting is
@@ -122,7 +123,7 @@ def first_order_payback(orders: DataFrame, customers: DataFrame, summary: DataFr
     """
     known = first_orders(orders).join(customers.select("customer_id"), "customer_id", "left_semi")
     mean_first = known.agg(_mean("first_amount").alias("mean_first_order"))
-    return summary.select("channel", "avg_cac").crossJoin(F.broadcast(mean_first)).select(
+    return attach_one_row(summary.select("channel", "avg_cac"), mean_first).select(
         "channel", "avg_cac", "mean_first_order",
         (F.col("mean_first_order") / F.col("avg_cac").cast("double")).alias("payback_ratio"))
 
@@ -151,6 +152,6 @@ def steepest_retention_drop(curve: DataFrame) -> DataFrame:
 def channel_spend_share(summary: DataFrame) -> DataFrame:
     """Each channel's share of the total marketing budget."""
     total = summary.agg(F.sum("total_spend").alias("_all"))
-    return summary.crossJoin(F.broadcast(total)).select(
+    return attach_one_row(summary, total).select(
         "channel", "total_spend",
         round_div(F.col("total_spend"), F.col("_all"), 4).alias("spend_share"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marketlens.operators.ranking import ordered_prefix
+from marketlens.operators.frames import attach_one_row
 
 _BIG = DecimalType(38, 0)
 
@@ -55,7 +56,7 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") ->
     """(threshold, fpr, tpr) for every distinct score plus the (0, 0) start."""
     cum = _cumulative(scored, label, score)
     totals = score_counts(scored, label, score).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    points = cum.crossJoin(F.broadcast(totals)).select(
+    points = attach_one_row(cum, totals).select(
         F.col("score").cast("double").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("_N").cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")).alias("tpr"))

@@ -24,6 +24,7 @@ from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, St
                                TimestampType)
 
 from marketlens.operators.features import assert_no_leakage
+from marketlens.operators.frames import attach_one_row
 from marketlens.operators.ranking import join_null_safe, rank_by_hash
 
 # Fixed values of the model set-up.
@@ -60,7 +61,7 @@ def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """L2: balanced weights n / (k * n_c), one row per class."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
     totals = counts.agg(F.sum("class_count").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(F.broadcast(totals)).select(
+    return attach_one_row(counts, totals).select(
         label, "class_count",
         (F.col("_n").cast("double") / (F.col("_k") * F.col("class_count")).cast("double"))
         .alias("weight"))
@@ -88,7 +89,7 @@ def fit_standardizer(train: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> Da
 def apply_standardizer(df: DataFrame, stats: DataFrame, cols: list[str] = NUMERIC_FEATURES,
                        suffix: str = "_scaled") -> DataFrame:
     """L3 transform: (x - mean) / std; a zero std leaves x - mean."""
-    joined = df.crossJoin(F.broadcast(stats))
+    joined = attach_one_row(df, stats)
     scaled = []
     for c in cols:
         centred = F.col(c).cast("double") - F.col(f"_mean_{c}")

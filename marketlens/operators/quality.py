@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from marketlens.operators.frames import attach_one_row
 
 # The allowed variants.
 VARIANTS = ("control", "treatment")
@@ -36,7 +37,7 @@ def check_experiment(experiment: DataFrame, customers: DataFrame) -> DataFrame:
     orphans = (experiment.where(F.col("customer_id").isNotNull())
                .join(customers.select("customer_id"), "customer_id", "left_anti")
                .agg(F.count(F.lit(1)).cast("long").alias("foreign_key_customers")))
-    wide = single.crossJoin(duplicates).crossJoin(orphans)
+    wide = attach_one_row(attach_one_row(single, duplicates), orphans)
     checks = ["primary_key_unique", "primary_key_null", "foreign_key_customers",
               "variant_domain", "variant_not_null", "sent_at_not_null", "converted_not_null"]
     stacked = ", ".join(f"'{c}', {c}" for c in checks)

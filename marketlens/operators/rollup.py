@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marketlens.functions.dates import month_start, yyyymm
+from marketlens.operators.frames import attach_one_row
 
 EVENT_MONEY = DecimalType(10, 2)
 STATE_MONEY = DecimalType(38, 2)
@@ -125,7 +126,7 @@ def rollup_consistency(named: dict[str, DataFrame]) -> DataFrame:
         other = named[other_name].select("channel", "revenue_month", "revenue", "orders")
         left = _count_only(base, other).withColumnRenamed("n", "only_left")
         right = _count_only(other, base).withColumnRenamed("n", "only_right")
-        parts.append(left.crossJoin(right).select(
+        parts.append(attach_one_row(left, right).select(
             F.lit(f"{base_name}_vs_{other_name}").alias("comparison"), "only_left", "only_right"))
     out = parts[0]
     for p in parts[1:]:

@@ -17,6 +17,7 @@ from pyspark.sql.types import DecimalType
 from marketlens.operators import (experiment, features, insights, marts, metrics, modelling, quality,
                                   rollup, snapshot)
 from marketlens.session import scratch_path
+from marketlens.operators.frames import attach_one_row
 from marketlens.sources.staging import staged
 from marketlens.streaming import rollup_stream
 
@@ -236,7 +237,7 @@ def q_snapshot_key_check(spark, sf_dir):
 def _orders_before_last_month(orders: DataFrame) -> DataFrame:
     """The orders as they stood before the latest month was loaded."""
     last = orders.agg(F.trunc(F.max("order_date"), "MM").alias("_load_month"))
-    return (orders.crossJoin(F.broadcast(last))
+    return (attach_one_row(orders, last)
             .where(F.col("order_date") < F.col("_load_month")).drop("_load_month"))
 
 
