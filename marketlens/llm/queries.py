@@ -12,11 +12,22 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.toxicity import score
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"),
+                 table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.html_text import extract
     return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.pii import report, sanitise
+    return report(sanitise(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.langid import identify
     return identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
@@ -42,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-OPERATORS = (op1_exact_topk, op6_html_extraction, op8_language_id, op9_warc, op10_byte_bpe)
+OPERATORS = (op1_exact_topk, op4_toxicity, op6_html_extraction, op7_pii, op8_language_id, op9_warc, op10_byte_bpe)
 
 
 def _ready(fn):
@@ -63,13 +74,12 @@ def oracle_sql() -> dict[str, str]:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
