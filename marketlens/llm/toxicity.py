@@ -42,7 +42,7 @@ THREAT_WEIGHT = 2.0
 WITH_TARGET, NEGATED, REPORTED = 1.25, 0.5, 0.6
 NEGATION_SCOPE = 3
 PREFIXES = range(4, 9)
-DEFAULT_CURVE = (2.0, -3.0)
+DEFAULT_CURVE = (2.0, 0.5, -3.0)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -98,6 +98,11 @@ class Lexicon:
             return 0.0
         return sum(self._clause(c) for c in _CLAUSE.split(low))
 
+    def features(self, text: str) -> tuple[float, float]:
+        """Evidence in all, and by length: a long text meets rare patterns by chance."""
+        e = self.evidence(text)
+        return (math.log1p(e), math.log1p(1000 * e / (len(text) + 200))) if e else (0.0, 0.0)
+
     def _clause(self, clause: str) -> float:
         """Run the clause transducer; its state is (negation left, reported, target)."""
         weight, negation, reported, target = 0.0, 0, False, False
@@ -118,11 +123,6 @@ class Lexicon:
         return weight * (REPORTED if reported else 1.0) * (WITH_TARGET if target else 1.0)
 
 
-def curve(evidence: float, a: float, b: float) -> float:
-    z = a * math.log1p(evidence) + b
-    return 1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, z))))
-
-
 def _patterns(word: str):
     yield word
     for n in PREFIXES:
@@ -145,19 +145,19 @@ def _count_patterns(batches):
 
 
 def _count_contexts(wanted):
-    """Neighbour words of the wanted patterns, in toxic documents."""
+    """Words and neighbours of the wanted patterns, in toxic documents."""
     def run(batches):
         known = wanted.value
         for b in batches:
             seen = set()
-            for (text,) in zip(b.column(0).to_pylist()):
+            for text in b.column(0).to_pylist():
                 words = _WORD.findall((text or "").lower())
                 for i, w in enumerate(words):
                     for p in _patterns(w):
                         if p in known:
-                            seen.add((p, " ".join(words[max(0, i - 2):i] + ["_"] + words[i + 1:i + 3])))
-            yield pa.RecordBatch.from_pydict({"pattern": pa.array([x[0] for x in seen], pa.string()),
-                                              "context": pa.array([x[1] for x in seen], pa.string())})
+                            seen.add((p, w, " ".join(words[max(0, i - 2):i] + ["_"] + words[i + 1:i + 3])))
+            yield pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in seen], pa.string())
+                                              for k, n in enumerate(("pattern", "word", "context"))})
     return run
 
 
@@ -177,8 +177,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max
     return stored(joined.select("text", F.col("l_toxic").alias("toxic")), "toxicity-train")
 
 
-def fit(train: DataFrame, *, min_docs: int = 4, min_contexts: int = 4, min_bound: float = 1.5):
-    """(insult weights, curve) from rows (text, toxic)."""
+def _varied(train: DataFrame, picked: dict[str, tuple[int, int]], min_contexts: int) -> dict[str, int]:
+    """Contexts of the patterns that stand in different ones, and of prefixes that start several words."""
+    wanted = train.sparkSession.sparkContext.broadcast(frozenset(picked))
+    by_word = (train.where("toxic = 1").select("text")
+               .mapInArrow(_count_contexts(wanted), "pattern string, word string, context string").distinct()
+               .groupBy("pattern", "word").agg(F.count("*").alias("n")))
+    rows = (by_word.groupBy("pattern").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("words"))
+            .collect())
+    return {r.pattern: r.n for r in rows if r.n >= max(min_contexts, picked[r.pattern][0] / 2)
+            and (not r.pattern.endswith("*") or (r.words >= 3 and r.top <= 0.6 * r.n))}
+
+
+def fit(train: DataFrame, *, min_contexts: int = 5, min_share: float = 0.01, min_bound: float = 1.5):
+    """(insult weights, curve) from rows (text, toxic).
+
+    A pattern needs ``min_contexts`` contexts and ``min_share`` of the toxic
+    documents, and a log odds ratio whose lower bound is at least ``min_bound``.
+    """
     spark = train.sparkSession
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -188,47 +204,51 @@ def fit(train: DataFrame, *, min_docs: int = 4, min_contexts: int = 4, min_bound
                .groupBy("pattern").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     bound = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    # At most the patterns of the bounded sample; the support and bound leave a small part.
-    picked = {r.pattern: r.w for r in counted.where(F.col("pos") >= min_docs).withColumn("w", odds)
-              .where(bound >= min_bound).select("pattern", "w").collect()}
-    if picked:
-        wanted = spark.sparkContext.broadcast(frozenset(picked))
-        varied = {r.pattern for r in train.where("toxic = 1").select("text")
-                  .mapInArrow(_count_contexts(wanted), "pattern string, context string")
-                  .groupBy("pattern").agg(F.countDistinct("context").alias("n"))
-                  .where(F.col("n") >= min_contexts).select("pattern").collect()}
-        picked = {p: w for p, w in picked.items() if p in varied}
-    shared = spark.sparkContext.broadcast(Lexicon(picked))
-    points = train.mapInArrow(_evidence(shared, "toxic int"), "toxic int, evidence double").collect()
-    x = np.array([math.log1p(p.evidence) for p in points])
-    y = np.array([p.toxic for p in points], dtype=float)
-    return picked, _logistic(x, y)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Ridge logistic regression on one feature, classes weighted as they occur."""
-    design, beta = np.column_stack([x, np.ones_like(x)]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (p - y) + ridge * beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(0.0, float(beta[0])), float(beta[1])
-
-
-def _evidence(shared, first: str):
+    # Patterns of the bounded sample; the support leaves at most a few hundred per word of a text.
+    picked = {r.pattern: (r.pos, r.neg) for r in
+              counted.where(F.col("pos") >= max(min_contexts, min_share * pos)).where(bound >= min_bound).collect()}
+    weights = {}
+    for pattern, contexts in (_varied(train, picked, min_contexts) if picked else {}).items():
+        seen, against = picked[pattern]
+        weights[pattern] = (math.log((min(seen, contexts) + 0.5) / (pos + 1.0))
+                            - math.log((against + 0.5) / (neg + 1.0)))
+    shared = spark.sparkContext.broadcast(Lexicon(weights))
+    points = train.mapInArrow(_features(shared, "toxic int"), "toxic int, total double, dense double").collect()
+    x = np.array([(p.total, p.dense) for p in points])
+    return weights, _logistic(x, np.array([p.toxic for p in points], dtype=float))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
+    """Ridge logistic regression; weights aren't negative, so that evidence never lowers a score."""
+    use = list(range(x.shape[1]))
+    while True:
+        design, beta = np.column_stack([x[:, use], np.ones(len(x))]), np.zeros(len(use) + 1)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            grad = design.T @ (p - y) + ridge * beta
+            hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta))
+            step = np.linalg.solve(hess, grad)
+            beta -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        if len(use) == 0 or beta[:-1].min() >= 0:
+            full = np.zeros(x.shape[1])
+            full[use] = beta[:-1]
+            return (*map(float, full), float(beta[-1]))
+        use.pop(int(beta[:-1].argmin()))
+
+
+def _features(shared, first: str):
     name = first.split()[0]
 
     def run(batches):
         lexicon = shared.value
         for b in batches:
+            at = b.schema.get_field_index
+            got = [lexicon.features(t or "") for t in b.column(at("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(name)),
-                 pa.array([lexicon.evidence(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()],
-                          pa.float64())], names=[name, "evidence"])
+                [b.column(at(name)), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))],
+                names=[name, "total", "dense"])
     return run
 
 
@@ -236,11 +256,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
           held: int = 2, max_train_docs: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    insults, (a, b) = fit(training_rows(base, labels, folds, held, max_train_docs))
+    insults, (a, d, b) = fit(training_rows(base, labels, folds, held, max_train_docs))
     shared = docs.sparkSession.sparkContext.broadcast(Lexicon(insults))
     kind = base.schema["id"].dataType.simpleString()
-    found = base.mapInArrow(_evidence(shared, "id"), f"id {kind}, evidence double")
-    p = 1.0 / (1.0 + F.exp(-(F.lit(a) * F.log1p("evidence") + F.lit(b))))
-    return (found.withColumn("score", p)
+    found = base.mapInArrow(_features(shared, "id"), f"id {kind}, total double, dense double")
+    z = F.lit(a) * F.col("total") + F.lit(d) * F.col("dense") + F.lit(b)
+    return (found.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
             .select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted")))
