@@ -12,12 +12,28 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 100 == 0)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.decontaminate import contained_items
+    return contained_items(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           table(spark, sf_dir, "benchmark", "item_id", "text")).drop("key")
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.jaccard_join import linked_components
+    return linked_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.toxicity import score
     return score(table(spark, sf_dir, "documents", "doc_id", "text"),
                  table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.katz import score
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.html_text import extract
     return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
@@ -53,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-OPERATORS = (op1_exact_topk, op4_toxicity, op6_html_extraction, op7_pii, op8_language_id, op9_warc, op10_byte_bpe)
+OPERATORS = (op1_exact_topk, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_katz_lm, op6_html_extraction, op7_pii, op8_language_id, op9_warc, op10_byte_bpe)
 
 
 def _ready(fn):
@@ -69,7 +85,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL}
+    from marketlens.llm import decontaminate
+    return {"op1_exact_topk": OP1_SQL, "op2_decontamination": decontaminate.SQL}
 
 
 OP1_SQL = """
