@@ -241,3 +241,21 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     out = rows.join(by_class, F.col("cls") == F.col("k_cls"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def without_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
+    """One document of each component: the one with the smallest id, all its columns kept.
+
+    Rows that repeat an id are one document, of which the smallest row stays; rows with
+    a null id, and documents without words, are in no group and stay.
+    """
+    found = stored(linked_components(docs.select("doc_id", "text"), percent=percent), "dedup-found")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
+    again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again"))
+                   .agg(F.count("*").alias("_k")).where("_k > 1").select("_again"), "dedup-again")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = (kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+           .groupBy(F.col("doc_id").alias("_id")).agg(F.min(row).alias("_row")).select("_row.*"))
+    return once.unionByName(one)

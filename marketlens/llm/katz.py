@@ -119,7 +119,7 @@ def _ask_unigrams(buckets: int):
     return run
 
 
-def _total(key, t: pa.Table) -> pa.Table:
+def _total(key, t):
     """Sum the groups' counts of a bucket; the table's row has group -1, the replies their group."""
     keys = [_u64(x) for x in t.column("keys").to_pylist()]
     counts = [np.frombuffer(x, dtype=np.int64) for x in t.column("counts").to_pylist()]

@@ -219,6 +219,18 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("id", id_col if carry is None else "carried")
 
 
+def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
+    """``docs`` with masked texts, and n_chars following them if there is such a column; nulls stay null."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = sanitise(docs, carry=row, **thresholds)
+    text = F.when(F.col("carried.text").isNotNull(), F.col("clean_text"))
+    value = {"text": text}
+    if "n_chars" in docs.columns:
+        value["n_chars"] = F.when(text.isNotNull(), F.char_length(text)).otherwise(F.col("carried.n_chars")) \
+            .cast(docs.schema["n_chars"].dataType)
+    return out.select(*[value.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(

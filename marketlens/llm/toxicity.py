@@ -252,15 +252,30 @@ def _features(shared, first: str):
     return run
 
 
+def _scored(rows: DataFrame, insults: dict[str, float], weights: tuple[float, ...]) -> DataFrame:
+    """(id, score) of rows (id, text); id may be any column, such as a struct of the whole row."""
+    a, d, b = weights
+    shared = rows.sparkSession.sparkContext.broadcast(Lexicon(insults))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(_features(shared, "id"), f"id {kind}, total double, dense double")
+    z = F.lit(a) * F.col("total") + F.lit(d) * F.col("dense") + F.lit(b)
+    return found.select("id", (1.0 / (1.0 + F.exp(-z))).alias("score"))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 4,
           held: int = 2, max_train_docs: int = 20_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every row."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    insults, (a, d, b) = fit(training_rows(base, labels, folds, held, max_train_docs))
-    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(insults))
-    kind = base.schema["id"].dataType.simpleString()
-    found = base.mapInArrow(_features(shared, "id"), f"id {kind}, total double, dense double")
-    z = F.lit(a) * F.col("total") + F.lit(d) * F.col("dense") + F.lit(b)
-    return (found.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
-            .select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted")))
+    model = fit(training_rows(base, labels, folds, held, max_train_docs))
+    return _scored(base, *model).select(
+        F.col("id").alias(id_col), (fold(F.col("id"), folds) == held).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2,
+                  max_train_docs: int = 20_000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that score below the threshold."""
+    base = docs.select(F.col("doc_id").alias("id"), "text")
+    model = fit(training_rows(base, labels, folds, held, max_train_docs))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), "text")
+    return _scored(rows, *model).where(F.col("score") < threshold).select("id.*")
