@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 LONG_BYTES = 256
 BLOCK_PIECES = 20_000
-CACHE_PIECES = 250_000
+CACHE_PIECES = 1_500_000
 
 #: Contract every piece's leftmost pair of minimum rank until a fixpoint, then decode.
 RECURSION = """
