@@ -19,7 +19,10 @@ join therefore goes down in levels, each exact:
    region are boundary classes: they go on with a pivot of their own, recursively, for
    ``levels`` levels, and what is then left in another component than its region's
    pivot is copied to the size cells of its window and compared there.
-5. Pairs are verified on the whole shingle sets; components follow from the links.
+5. The universe of shingles is cut into parts, more for larger sets. Through each part
+   as a pivot, the triangle inequality for the symmetric difference gives |x ^ y| >= the
+   sum over parts of | |x in part| - |y in part| |; pairs outside that window are dropped.
+6. The others are verified on the whole shingle sets; components follow from the links.
 
 The global order puts shingles that are frequent in a bounded sample
 (``order_sample`` documents) last. The order decides speed only: any order gives the
@@ -36,12 +39,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marketlens.llm.common import stored
 from marketlens.llm.components import components
 from marketlens.llm.words import WordHash, shingle_set, words
 
+#: A signature has 2**bits parts, about a part for every eight shingles, within these bits.
+PARTS_BITS = (6, 16)
 #: Regions are keyed by this many bits of a shingle's hash; a collision only adds pairs to verify.
 KEY_BITS = 40
 
@@ -56,14 +61,36 @@ def _class_of(s: np.ndarray) -> int | None:
     return np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """How many shingles lie in each part; two neighbouring parts make one of the next coarser cut."""
+    bits = min(PARTS_BITS[1], max(PARTS_BITS[0], int(len(s) // 8).bit_length()))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint32).tobytes() if counts.max() > 255 else b"\x01" + counts.astype(np.uint8).tobytes()
+
+
+def _parts(sig: bytes) -> np.ndarray:
+    small = len(sig) % 2
+    return np.frombuffer(sig, dtype=np.uint8 if small else np.uint32, offset=small).astype(np.int64)
+
+
+def difference_bound(sig_x: bytes, sig_y: bytes) -> int:
+    """A lower bound of the symmetric difference, from two signatures."""
+    p, q = _parts(sig_x), _parts(sig_y)
+    if len(p) > len(q):
+        p, q = q, p
+    q = q.reshape(len(p), -1).sum(axis=1)
+    return int(np.abs(p - q).sum())
+
+
 def _classes(batches):
-    """(doc_id, cls, n) of every row."""
+    """(doc_id, cls, n, sig) of every row."""
     memo = WordHash()
     for b in batches:
         sets = list(_sets(b, 1, memo))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([_class_of(s) for s in sets], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "cls", "n"])
+             pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())],
+            names=["doc_id", "cls", "n", "sig"])
 
 
 def _shingle_lists(batches):
@@ -114,26 +141,43 @@ def _prefixes(shared, percent: int):
     return run
 
 
+def _apart(percent: int):
+    """Keeps the pairs whose signatures allow a link."""
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            bound = np.array([difference_bound(p, q) for p, q in
+                              zip(b.column(4).to_pylist(), b.column(5).to_pylist())], dtype=np.int64)
+            ok = pa.array((100 + percent) * bound <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 1)], names=["x", "y"])
+    return run
+
+
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of classes whose whole sets reach the threshold."""
-    pairs = stored(pairs, "join-pairs")
+    one = reps.select(F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("sig").alias("x_sig"))
+    two = reps.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("sig").alias("y_sig"))
+    pairs = stored(pairs.join(one, "x").join(two, "y").select("x", "y", "x_n", "y_n", "x_sig", "y_sig")
+                   .mapInArrow(_apart(percent), "x long, y long"), "join-pairs")
     need = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    ids = stored(reps.join(need, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-ids")
+    # Sorted, so that the ids are stored small and Spark sees how small.
+    ids = stored(reps.join(need, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+                 .orderBy("doc_id"), "join-ids")
 
     def run(batches):
-        memo = WordHash()
+        memo, seen = WordHash(), set()
         for b in batches:
-            sets = list(_sets(b, 1, memo))
+            sets = {c: s for s in _sets(b, 1, memo) if (c := _class_of(s)) is not None and c not in seen}
+            seen.update(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())],
                 names=["cls", "set"])
 
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary")
-                  .where("cls is not null").groupBy("cls").agg(F.first("set").alias("set")), "join-sets")
+    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"), "join-sets")
 
     def check(batches):
         for b in batches:
-            a, c, ok = [], [], []
+            a, c = [], []
             for x, y, p, q in zip(*(b.column(i).to_pylist() for i in range(4))):
                 p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
@@ -155,15 +199,22 @@ def _in_window(percent: int, a: str = "", b: str = "o_"):
             & ((100 + percent) * F.least(n1 - i1, n2 - i2) >= percent * (n1 + n2)))
 
 
-def _pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members with their region's pivot, and the pairs with a pivot that can be linked."""
-    central = F.struct((F.col("pos") / F.col("n")).alias("at"), "x", "n", "pos")
-    pivot = (members.groupBy("s").agg(F.count("*").alias("size"), F.min(central).alias("p")).where("size > 1")
+def _central():
+    """Orders a region's classes: the most central one has the fewest rarer shingles, for its size."""
+    return F.struct((F.col("pos") / F.col("n")).alias("at"), "x", "n", "pos")
+
+
+def _repivoted(members: DataFrame) -> DataFrame:
+    """Members of the regions that hold two or more, with a pivot chosen among these."""
+    pivot = (members.groupBy("s").agg(F.count("*").alias("size"), F.min(_central()).alias("p")).where("size > 1")
              .select("s", F.col("p.x").alias("o_x"), F.col("p.n").alias("o_n"), F.col("p.pos").alias("o_pos")))
-    both = members.join(pivot, "s")
-    pairs = both.where((F.col("x") != F.col("o_x")) & _in_window(percent)).select(
-        F.least("x", "o_x").alias("x"), F.greatest("x", "o_x").alias("y")).distinct()
-    return both, pairs
+    return members.select("s", "x", "n", "pos").join(pivot, "s")
+
+
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a member and its region's pivot that can be linked."""
+    return (members.where((F.col("x") != F.col("o_x")) & _in_window(percent))
+            .select(F.least("x", "o_x").alias("x"), F.greatest("x", "o_x").alias("y")).distinct())
 
 
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -195,46 +246,55 @@ def _residual_pairs(members: DataFrame, percent: int, cells: float = 1.05) -> Da
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                      levels: int = 2, order_sample: int = 24_000, order_keep: int = 1_000_000) -> DataFrame:
+                      levels: int = 2, order_sample: int = 16_000, order_keep: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    rows = stored(src.mapInArrow(_classes, f"doc_id {kind}, cls long, n long"), "join-classes")
+    rows = stored(src.mapInArrow(_classes, f"doc_id {kind}, cls long, n long, sig binary"), "join-classes")
     known = rows.where("doc_id is not null and cls is not null")
-    reps = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep")), "join-reps")
+    reps = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
+                                           F.first("sig").alias("sig")), "join-reps")
     named = src.where("doc_id is not null and text is not null")
     shared = spark.sparkContext.broadcast(_frequent(named, rows.count(), order_sample, order_keep))
+    # Copies go before their shingles are spread: rows that aren't their class's first.
+    row_key = F.xxhash64("x", "doc_id")
+    copies = stored(known.select(F.col("cls").alias("x"), "doc_id").join(
+        reps.select(F.col("cls").alias("x"), "rep"), "x").where("doc_id <> rep").select(row_key.alias("copy")).distinct()
+        .orderBy("copy"), "join-copies")
     lists = named.mapInArrow(_prefixes(shared, percent), f"doc_id {kind}, x long, n long, keys array<long>")
-    own = reps.select(F.col("cls").alias("x"), F.col("rep").alias("doc_id"))
-    copies = (lists.join(own, ["x", "doc_id"], "left_semi")
-              .select("x", "n", F.posexplode("keys").alias("pos", "s")).withColumn("pos", F.col("pos").cast("long"))
-              .repartition("s"))
-    # Both sides read the same exchange; the maximum of x keeps the sides' columns alike.
-    full = (copies.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("x", "n", "pos")).alias("any"))
-            .where("k > 1").select(F.col("s").alias("f_s")))
-    members = stored(copies.join(full, F.col("s") == F.col("f_s"), "left_semi")
-                     .select("s", "x", "n", "pos").groupBy("s", "x", "n").agg(F.min("pos").alias("pos")), "join-regions")
+    spread = (lists.join(copies, row_key == F.col("copy"), "left_anti")
+              .select("x", "n", F.posexplode("keys").alias("pos", "s")))
+    # One exchange: whether a region holds two classes, or more, and its pivot.
+    region = Window.partitionBy("s")
+    middle = (F.col("x") != F.col("lo")) & (F.col("x") != F.col("hi"))
+    members = stored(spread.withColumn("lo", F.min("x").over(region)).withColumn("hi", F.max("x").over(region))
+                     .withColumn("p", F.min(_central()).over(region)).withColumn("large", F.max(middle).over(region))
+                     .where("lo < hi")
+                     .select("s", "x", "n", F.col("pos").cast("long").alias("pos"), F.col("p.x").alias("o_x"),
+                             F.col("p.n").alias("o_n"), F.col("p.pos").cast("long").alias("o_pos"), "large"),
+                     "join-regions")
 
     several = known.groupBy("doc_id").agg(F.min("cls").alias("a"), F.collect_set("cls").alias("all")) \
         .where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b")
     links = stored(several, "join-links")
     comp = components(links)
-    todo = members
-    for _ in range(levels):
-        with_pivot, pairs = _pivots(todo, percent)
-        found = _verify(named, reps, pairs, percent)
-        links = links.unionByName(found)
+    # A region of two classes is done with its pivot's pair.
+    large = members.where("large").drop("large")
+    todo = members.drop("large")
+    for level in range(levels):
+        if level:
+            # Boundary classes go on with a pivot of their own; one component needs no more pairs.
+            todo = _repivoted(stored(_labelled(todo if level > 1 else large, comp).where("c <> o_c")
+                                     .select("s", "x", "n", "pos"), "join-boundary"))
+        links = links.unionByName(_verify(named, reps, _pivot_pairs(todo, percent), percent))
         comp = components(links)
-        # Boundary classes go on; a region whose members are one component is done.
-        todo = stored(_labelled(with_pivot, comp).where("c <> o_c").select("s", "x", "n", "pos"), "join-boundary")
-    with_pivot, _ = _pivots(members, percent)
-    rest = _residual_pairs(_labelled(with_pivot, comp), percent)
+    rest = _residual_pairs(_labelled(large, comp), percent)
     links = links.unionByName(_verify(named, reps, rest, percent))
     comp = components(links)
 
     label = F.coalesce("b", "cls")
-    lowest = (reps.join(comp, reps["cls"] == comp["a"], "left").withColumn("label", label)
+    lowest = (reps.select("cls", "rep").join(comp, F.col("cls") == F.col("a"), "left").withColumn("label", label)
               .select("cls", "label", "rep"))
     smallest = lowest.groupBy("label").agg(F.min("rep").alias("component_id"))
     by_class = lowest.join(smallest, "label").select(F.col("cls").alias("k_cls"), "component_id")
