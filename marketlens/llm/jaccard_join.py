@@ -246,7 +246,7 @@ def _residual_pairs(members: DataFrame, percent: int, cells: float = 1.05) -> Da
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                      levels: int = 2, order_sample: int = 16_000, order_keep: int = 1_000_000) -> DataFrame:
+                      levels: int = 2, order_sample: int = 64_000, order_keep: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
