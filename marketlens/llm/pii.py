@@ -136,17 +136,25 @@ def disclosing_terms(docs: DataFrame, *, min_contexts: int = 3, generalise: floa
     joint = (seen.groupBy("entity", "term")
              .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("n_te"))
              .where(F.col("contexts") >= min_contexts))
-    joint = stored(joint, "pii-joint")
     n_e = seen.groupBy("entity").agg(F.countDistinct("id").alias("n_e"))
+    n = float(max(1, docs.count()))
+    ic = -F.log2(F.col("n_e") / F.lit(n))
+
+    def share(n_t: str):
+        """PMI over IC, were the term in ``n_t`` documents."""
+        pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e")))
+        return F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+
+    # A term is in at least the documents whose windows hold it: pairs that fall short
+    # even at that count are out before the corpus is counted.
+    n_w = seen.groupBy("term").agg(F.countDistinct("id").alias("n_w"))
+    joint = stored(joint.join(n_w, "term").join(n_e, "entity").where(share("n_w") >= generalise)
+                   .select("entity", "term", "n_te", "n_e"), "pii-joint")
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n_t = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\p{L}{3,})"), 1))).alias("term"))
            .join(joint.select("term").distinct(), "term", "left_semi")
            .groupBy("term").agg(F.count("*").alias("n_t")))
-    n = docs.count()
-    ic = -F.log2(F.col("n_e") / F.lit(float(max(1, n))))
-    pmi = F.log2(F.col("n_te") * F.lit(float(max(1, n))) / (F.col("n_t") * F.col("n_e")))
-    share = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
-    reveal = (joint.join(n_t, "term").join(n_e, "entity").withColumn("share", share)
+    reveal = (joint.join(n_t, "term").withColumn("share", share("n_t"))
               .where(F.col("share") >= generalise)
               .select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))
     return (seen.select("id", "entity").distinct().join(reveal, "entity")
