@@ -39,8 +39,8 @@ def require_columns(df: DataFrame, *names: str) -> None:
 
 
 def _mean(col: str) -> F.Column:
-    """Mean of a DECIMAL column as DOUBLE: exact sum, one final division."""
-    return F.sum(col).cast("double") / F.count(F.lit(1))
+    """Mean of a DECIMAL column's non-NULL values as DOUBLE: exact sum, one final division."""
+    return F.try_divide(F.sum(col).cast("double"), F.count(col).cast("double"))
 
 
 def channel_summary(econ: DataFrame) -> DataFrame:

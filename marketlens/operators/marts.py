@@ -74,7 +74,8 @@ def customer_ltv(customers: DataFrame, orders: DataFrame,
     customer) hot customers are split into range segments (``keyed_scan``).
     """
     joined = channel_of_orders(orders, customers).select(
-        "customer_id", "channel", "order_id", "order_date", "total_amount")
+        "customer_id", "channel", "order_id", "order_date", "total_amount",
+        F.col("total_amount").isNotNull().cast("long").alias("_valued"))
     kwargs = {} if max_rows is None else {"max_rows": max_rows}
     if skew_safe is None:
         # Orders per customer before the join bound the group sizes after it.
@@ -83,8 +84,7 @@ def customer_ltv(customers: DataFrame, orders: DataFrame,
         joined, ["customer_id"], ["order_date", "order_id"],
         rank_col="order_seq",
         running={"_cum": "total_amount"},
-        totals={"_sum": "total_amount"},
-        counts="_cnt",
+        totals={"_sum": "total_amount", "_cnt": "_valued"},
         skew_safe=skew_safe, **kwargs)
     return scanned.select(
         "customer_id", "channel", "order_id", "order_date", "total_amount",

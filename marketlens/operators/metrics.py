@@ -21,9 +21,11 @@ _BIG = DecimalType(38, 0)
 
 
 def score_counts(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; a NULL or NaN score is an error."""
     pos = F.col(label).cast("long")
-    return scored.groupBy(F.col(score).alias("score")).agg(
+    bad = F.col(score).isNull() | F.isnan(F.col(score).cast("double"))
+    value = F.when(bad, F.raise_error(F.lit("score is NULL or NaN"))).otherwise(F.col(score))
+    return scored.groupBy(value.alias("score")).agg(
         F.sum(pos).alias("pos"), F.sum(F.lit(1) - pos).alias("neg"))
 
 

@@ -177,7 +177,7 @@ def _segmented_scan(df, keys, order, rank_col, running, totals, counts, segments
         "_seg", *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
         F.sum("_n").over(whole).alias("_t_n"),
-        *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
+        *[F.sum(f"_s_{v}").over(before).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(whole).alias(f"_t_{v}") for v in values],
     )
     local = Window.partitionBy("_seg", *keys).orderBy(*order)
@@ -187,7 +187,9 @@ def _segmented_scan(df, keys, order, rank_col, running, totals, counts, segments
     if rank_col:
         out = out.withColumn(rank_col, (F.col("_o_n") + F.row_number().over(local)).cast("long"))
     for name, c in running.items():
-        out = out.withColumn(name, F.col(f"_o_{c}") + F.sum(c).over(rows))
+        # NULL only while no value has been seen, as one window over the whole key gives.
+        own, carry = F.sum(c).over(rows), F.col(f"_o_{c}")
+        out = out.withColumn(name, F.coalesce(carry + own, carry, own))
     for name, c in totals.items():
         out = out.withColumn(name, F.col(f"_t_{c}"))
     if counts:

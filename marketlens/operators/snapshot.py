@@ -1,6 +1,6 @@
 """V1-V5, K3: versioned, key-checked snapshots of the marts.
 
-A snapshot root holds immutable version folders ``v=000001, v=000002, ...``
+A snapshot root holds immutable version folders ``v=000001-<unique>, ...``
 and an append-only version log ``_versions`` (Parquet). A refresh writes the
 new version in full, checks its unique key on the stored copy, and only then
 appends one log row; readers resolve the newest logged version, so they keep
@@ -12,7 +12,9 @@ may live on any shared file system named by the cluster.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -57,7 +59,9 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
     """The committed versions of a snapshot root (empty if none yet)."""
     try:
         return spark.read.schema(LOG_SCHEMA).parquet(_log_path(root))
-    except Exception:  # noqa: BLE001 - no log folder yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing log means "no versions yet"
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
@@ -94,8 +98,8 @@ def materialise(df: DataFrame, root: str, keys: list[str]) -> int:
     """
     spark = df.sparkSession
     version = (current_version(spark, root) or 0) + 1
-    path = f"{root.rstrip('/')}/v={version:06d}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{root.rstrip('/')}/v={version:06d}-{uuid.uuid4().hex}"  # never a published folder
+    df.write.mode("errorifexists").parquet(path)
     stored = spark.read.parquet(path)
     check = key_violations(stored, keys).first()
     if check["duplicate_keys"] or check["null_keys"]:

@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="marketlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -69,8 +71,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/marketlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def recommended_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2,
-                     max_partitions: int = 100_000) -> dict[str, str]:
+def recommended_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
     """Partition sizing for a cluster run over ``input_bytes`` of Parquet.
 
     Scans split at ``partition_bytes``; the initial shuffle width gives each
@@ -78,7 +79,7 @@ def recommended_conf(input_bytes: int, partition_bytes: int = 256 * 1024 ** 2,
     memory (spilling stays the exception), and AQE coalesces small partitions
     and splits skewed ones around the same target at run time.
     """
-    parts = max(8, min(max_partitions, -(-int(input_bytes) // partition_bytes)))
+    parts = max(8, -(-int(input_bytes) // partition_bytes))
     size = f"{partition_bytes // (1024 ** 2)}m"
     return {
         **CORE_CONF,

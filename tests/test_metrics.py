@@ -86,3 +86,13 @@ def test_undefined_metrics_are_null_not_errors(spark):
     assert metrics.average_precision(empty).first().average_precision is None
     assert metrics.roc_curve(empty).collect() == [] or len(metrics.roc_curve(empty).collect()) == 1
     assert metrics.accuracy(empty).first().accuracy is None
+
+
+def test_null_or_nan_scores_are_an_error(spark):
+    import pytest
+
+    from marketlens.operators.metrics import roc_auc
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, bad)], "label int, score double")
+        with pytest.raises(Exception, match="score is NULL or NaN"):
+            roc_auc(df).collect()

@@ -83,5 +83,6 @@ confusion_matrix classification_report accuracy logistic_scores forest_importanc
 
 def test_registry_matches_survey_names():
     assert len(SURVEY_NAMES) == 43
-    assert sorted(entry_mod.queries()) == sorted(SURVEY_NAMES)
+    optional = {n for n in entry_mod.queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()}
+    assert sorted(set(entry_mod.queries()) - optional) == sorted(SURVEY_NAMES)
     assert sorted(set(SURVEY_NAMES) - set(entry_mod.oracle_sql())) == ["forest_importance", "logistic_scores"]

@@ -73,3 +73,13 @@ def test_rank_by_hash_and_prefix_keep_null_groups(spark):
     scores = spark.createDataFrame([(None, 1), (0.5, 2), (0.7, 3)], "s double, w long")
     pref = ranking.ordered_prefix(scores, "s", {"cum": "w"}, n_buckets=4).collect()
     assert len(pref) == 3
+
+
+def test_segmented_scan_equals_one_window_on_nulls(spark):
+    from marketlens.operators.ranking import keyed_scan
+    rows = [(1, i, None if i % 3 == 0 else 10 * i) for i in range(60)] + [(2, i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    scan = lambda safe: sorted(tuple(r) for r in keyed_scan(
+        df, ["k"], ["o"], running={"run": "v"}, totals={"all": "v"}, skew_safe=safe, segments=12)
+        .select("k", "o", F.coalesce("run", F.lit(-1)), F.coalesce("all", F.lit(-1))).collect())
+    assert scan(True) == scan(False)
