@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from conftest import make_customers, make_orders
 
 from marketlens.operators import features
 
 
-def test_churn_label_uses_90_day_window(spark):
-    customers = make_customers(spark, [(1, "seo", "2025-01-01"), (2, "seo", "2025-01-01"),
-                                       (3, "seo", "2025-01-01"), (4, "seo", "2025-01-01")])
-    orders = make_orders(spark, [(1, 1, "2025-12-20", 100.0), (2, 2, "2025-06-01", 50.0),
-                                 (3, 3, "2025-10-02", 5.0), (4, 4, "2025-10-01", 5.0)])
-    out = {r.customer_id: r for r in
-           features.build_customer_features(customers, orders, cutoff="2025-12-31").collect()}
-    assert out[1].churned == 0 and out[2].churned == 1
-    assert out[3].days_since_last_order == 90 and out[3].churned == 0   # exactly 90: retained
-    assert out[4].days_since_last_order == 91 and out[4].churned == 1
-
-
-def test_aggregates_per_customer(spark):
-    customers = make_customers(spark, [(1, "seo", "2025-01-01"), (2, "seo", "2025-01-01")])
-    orders = make_orders(spark, [(1, 1, "2025-02-01", 100.0), (2, 1, "2025-03-01", 50.0)])
-    rows = features.build_customer_features(customers, orders, cutoff="2025-12-31").collect()
-    assert len(rows) == 1                          # customer without orders is dropped
-    r = rows[0]
-    assert (r.total_orders, r.total_revenue, r.avg_order_value) == (2, 150.0, 75.0)
-    assert r.first_order_gap_days == 31 and r.tenure_days == 364
-    assert r.order_frequency == pytest.approx(2 / 364)
-    assert set(rows[0].asDict()) == set(features.FEATURE_COLUMNS)
+def test_silence_of_more_than_ninety_days_is_churn(spark):
+    cutoff, silent = dt.date(2024, 6, 30), [0, 1, 45, 89, 90, 91, 92, 200]
+    customers = make_customers(spark, [(k, "email", "2023-03-03") for k in silent])
+    orders = make_orders(spark, [(900 + k, k, str(cutoff - dt.timedelta(days=k)), 8.4) for k in silent])
+    rows = features.build_customer_features(customers, orders, cutoff=str(cutoff)).collect()
+    assert len(rows) == len(silent)
+    for r in rows:
+        assert r.days_since_last_order == r.customer_id and r.churned == (r.customer_id > 90)
+
+
+def test_one_row_per_buying_customer(spark):
+    customers = make_customers(spark, [(c, "referral", "2024-03-10") for c in (31, 32, 33)])
+    orders = make_orders(spark, [(1, 31, "2024-03-10", 20.5), (2, 31, "2024-04-09", 10.0), (3, 31, "2024-05-09", 29.5),
+                                 (4, 33, "2024-05-19", 7.0)])
+    rows = {r.customer_id: r for r in
+            features.build_customer_features(customers, orders, cutoff="2024-06-18").collect()}
+    assert set(rows) == {31, 33}                   # nobody without an order
+    many, single = rows[31], rows[33]
+    assert (many.total_orders, many.total_revenue, many.avg_order_value) == (3, 60.0, 20.0)
+    assert (single.total_orders, single.total_revenue, single.avg_order_value) == (1, 7.0, 7.0)
+    assert (many.first_order_gap_days, single.first_order_gap_days) == (0, 70)
+    assert many.tenure_days == single.tenure_days == 100
+    assert many.order_frequency == pytest.approx(0.03)
+    assert set(many.asDict()) == set(features.FEATURE_COLUMNS)
 
 
 def test_signup_on_cutoff_and_negative_gap(spark):

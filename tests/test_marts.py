@@ -107,11 +107,11 @@ def test_summary_is_ratio_of_sums_and_ranking_orders_by_romi(spark):
     assert [r.profitable for r in ranking] == [False, False]
 
 
-def test_romi_ranking_matches_reference_order(spark):
-    df = spark.createDataFrame([("email", -0.2), ("social_ads", 0.5), ("seo", 0.1), ("context_ads", -0.1)],
+def test_romi_ranking_best_first_and_ties_by_name(spark):
+    df = spark.createDataFrame([("post", 0.0), ("radio", -0.75), ("fairs", 1.25), ("flyers", 0.0)],
                                "channel string, romi double")
     out = insights.channel_romi_ranking(df).orderBy("romi_rank").collect()
-    assert [r.channel for r in out] == ["social_ads", "seo", "context_ads", "email"]
+    assert [(r.channel, r.profitable) for r in out] == [("fairs", True), ("flyers", True), ("post", True), ("radio", False)]
     with pytest.raises(KeyError):
         insights.channel_romi_ranking(df.drop("romi"))
 
