@@ -19,6 +19,7 @@ from marketlens.operators.frames import attach_one_row
 
 EVENT_MONEY = DecimalType(10, 2)
 STATE_MONEY = DecimalType(38, 2)
+# The columns of the event table.
 EVENT_COLUMNS = ["order_id", "customer_id", "channel", "order_date", "total_amount"]
 ROLLUP_KEYS = ["channel", "revenue_month"]
 
