@@ -151,9 +151,11 @@ def disclosing_terms(docs: DataFrame, *, min_contexts: int = 3, generalise: floa
     joint = stored(joint.join(n_w, "term").join(n_e, "entity").where(share("n_w") >= generalise)
                    .select("entity", "term", "n_te", "n_e"), "pii-joint")
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Counted map-side before the join: a join of occurrences grows with terms times documents
+    # (and a semi join would be pushed below the count).
     n_t = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\p{L}{3,})"), 1))).alias("term"))
-           .join(joint.select("term").distinct(), "term", "left_semi")
-           .groupBy("term").agg(F.count("*").alias("n_t")))
+           .groupBy("term").agg(F.count("*").alias("n_t"))
+           .join(joint.select("term").distinct(), "term"))
     reveal = (joint.join(n_t, "term").withColumn("share", share("n_t"))
               .where(F.col("share") >= generalise)
               .select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))
