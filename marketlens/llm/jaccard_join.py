@@ -24,9 +24,11 @@ join therefore goes down in levels, each exact:
    sum over parts of | |x in part| - |y in part| |; pairs outside that window are dropped.
 6. The others are verified on the whole shingle sets; components follow from the links.
 
-The global order puts shingles that are frequent in a bounded sample
-(``order_sample`` documents) last. The order decides speed only: any order gives the
-same links. Shingles are 64-bit hashes of whole word sequences.
+The global order puts frequent shingles last. Their counts are over all documents, in
+2**``ORDER_BITS`` buckets of the shingles' hashes: a fixed size at any corpus, in which
+a shingle stands out once it is more frequent than the spread of a bucket's other
+shingles. The order decides speed only: any order gives the same links. Shingles are
+64-bit hashes of whole word sequences.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are
 their own component; texts of fewer than five words are one shingle; rows that repeat
@@ -49,6 +51,8 @@ from marketlens.llm.words import WordHash, shingle_set, words
 PARTS_BITS = (6, 16)
 #: Regions are keyed by this many bits of a shingle's hash; a collision only adds pairs to verify.
 KEY_BITS = 40
+#: Buckets of the shingle counts, as bits of a hash: 2**19 long counts are 4 MB for every worker.
+ORDER_BITS = 19
 
 
 def _sets(batch, col: int, memo: WordHash):
@@ -93,23 +97,28 @@ def _classes(batches):
             names=["doc_id", "cls", "n", "sig"])
 
 
-def _shingle_lists(batches):
-    memo = WordHash()
+def _bucket(s: np.ndarray) -> np.ndarray:
+    """The count bucket of every shingle, by bits that the region keys' order doesn't start with."""
+    return (s & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
+
+
+def _bucket_counts(batches):
+    """(bucket, c): a task's shingles, counted in buckets before anything is shuffled."""
+    memo, counts = WordHash(), np.zeros(1 << ORDER_BITS, dtype=np.int64)
     for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s.view(np.int64) for s in _sets(b, 1, memo)], pa.list_(pa.int64()))], names=["s"])
+        sets = list(_sets(b, 1, memo))
+        if sets:
+            counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "c"])
 
 
-def _frequent(docs: DataFrame, n_docs: int, order_sample: int, keep: int, least: int = 3):
-    """Sorted hashes and sample counts of the shingles that go last in the order."""
-    edge = int((1 << 20) * min(1.0, order_sample / max(1, n_docs)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < edge)
-    rows = (sample.mapInArrow(_shingle_lists, "s array<long>").select(F.explode("s").alias("s"))
-            .groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-            .orderBy(F.desc("c"), "s").limit(keep).toPandas())
-    s = rows["s"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(s)
-    return s[order], rows["c"].to_numpy(dtype=np.int64)[order]
+def _frequencies(docs: DataFrame) -> np.ndarray:
+    """Shingles of all documents per bucket; at most 2**ORDER_BITS rows reach the driver."""
+    rows = (docs.mapInArrow(_bucket_counts, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas())
+    counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
+    return counts
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -118,7 +127,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _prefixes(shared, percent: int):
     def run(batches):
-        hot, counts = shared.value
+        counts = shared.value
         memo = WordHash()
         for b in batches:
             ids, cls, ns, keys = b.column(0).to_pylist(), [], [], []
@@ -126,11 +135,7 @@ def _prefixes(shared, percent: int):
             for i, s in zip(ids, _sets(b, 1, memo)):
                 if not len(s):
                     continue
-                freq = np.zeros(len(s), dtype=np.int64)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    freq = np.where(hot[at] == s, counts[at], 0)
-                first = s[np.lexsort((s, freq))[:prefix_size(len(s), percent)]]
+                first = s[np.lexsort((s, counts[_bucket(s)]))[:prefix_size(len(s), percent)]]
                 kept.append(i)
                 cls.append(_class_of(s))
                 ns.append(len(s))
@@ -246,7 +251,7 @@ def _residual_pairs(members: DataFrame, percent: int, cells: float = 1.05) -> Da
 
 
 def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                      levels: int = 2, order_sample: int = 64_000, order_keep: int = 1_000_000) -> DataFrame:
+                      levels: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -256,7 +261,7 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                            F.first("sig").alias("sig")), "join-reps")
     named = src.where("doc_id is not null and text is not null")
-    shared = spark.sparkContext.broadcast(_frequent(named, rows.count(), order_sample, order_keep))
+    shared = spark.sparkContext.broadcast(_frequencies(named))
     # Copies go before their shingles are spread: rows that aren't their class's first.
     row_key = F.xxhash64("x", "doc_id")
     copies = stored(known.select(F.col("cls").alias("x"), "doc_id").join(
