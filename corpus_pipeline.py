@@ -51,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
           ("pii", pii), ("byte_bpe", byte_bpe)]
 
-#: No SQL: the toxicity grammar and the tokenizer can't be expressed in it; tests/llm holds a brute-force version.
+#: No SQL: the toxicity grammar and the tokenizer can't be expressed in it; tests/llm checks the stages one by one.
 ORACLE_SQL = None
 
 
