@@ -27,8 +27,9 @@ join therefore goes down in levels, each exact:
 The global order puts frequent shingles last. Their counts are over all documents, in
 2**``ORDER_BITS`` buckets of the shingles' hashes: a fixed size at any corpus, in which
 a shingle stands out once it is more frequent than the spread of a bucket's other
-shingles. The order decides speed only: any order gives the same links. Shingles are
-64-bit hashes of whole word sequences.
+shingles. Tasks pass their counts on as compressed blocks of buckets, summed in two
+steps; workers get the logarithms, a byte per bucket. The order decides speed only: any
+order gives the same links. Shingles are 64-bit hashes of whole word sequences.
 
 Defined cases: null and empty texts have an empty set, link with nothing and are
 their own component; texts of fewer than five words are one shingle; rows that repeat
@@ -38,12 +39,15 @@ no component (null), though its text counts for nobody else's links either.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import shuffle_width, stored
 from marketlens.llm.components import components
 from marketlens.llm.words import WordHash, shingle_set, words
 
@@ -51,8 +55,10 @@ from marketlens.llm.words import WordHash, shingle_set, words
 PARTS_BITS = (6, 16)
 #: Regions are keyed by this many bits of a shingle's hash; a collision only adds pairs to verify.
 KEY_BITS = 40
-#: Buckets of the shingle counts, as bits of a hash: 2**19 long counts are 4 MB for every worker.
-ORDER_BITS = 19
+#: Buckets of the shingle counts, as bits of a hash: 8 MB for every worker, at any corpus size.
+ORDER_BITS = 23
+#: The buckets travel in this many blocks.
+ORDER_BLOCKS = 64
 
 
 def _sets(batch, col: int, memo: WordHash):
@@ -102,23 +108,49 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
 
 
+def _packed(no: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())],
+                                      names=["block", "counts"])
+
+
 def _bucket_counts(batches):
-    """(bucket, c): a task's shingles, counted in buckets before anything is shuffled."""
+    """(block, counts): a task's shingles, counted in buckets before anything is shuffled."""
     memo, counts = WordHash(), np.zeros(1 << ORDER_BITS, dtype=np.int64)
     for b in batches:
         sets = list(_sets(b, 1, memo))
         if sets:
-            counts += np.bincount(_bucket(np.concatenate(sets)), minlength=len(counts))
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "c"])
+            np.add.at(counts, _bucket(np.concatenate(sets)), 1)
+    for no, block in enumerate(counts.reshape(ORDER_BLOCKS, -1)):
+        if block.any():
+            yield _packed(no, block)
+
+
+def _block_sums(batches):
+    """(block, counts): the sum of every block that a task is dealt, one blob at a time."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for no, blob in zip(b.column(0).to_pylist(), b.column(1)):
+            counts = np.frombuffer(zlib.decompress(blob.as_buffer()), dtype=np.int64)
+            sums[no] = sums[no] + counts if no in sums else counts
+    for no, counts in sums.items():
+        yield _packed(no, counts)
 
 
 def _frequencies(docs: DataFrame) -> np.ndarray:
-    """Shingles of all documents per bucket; at most 2**ORDER_BITS rows reach the driver."""
-    rows = (docs.mapInArrow(_bucket_counts, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas())
-    counts = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy(dtype=np.int64)
-    return counts
+    """4 * log2 of the shingles of all documents in every bucket: a byte for any 64-bit count.
+
+    ``ORDER_BLOCKS`` rows of a fixed size reach the driver.
+    """
+    kind = "block int, counts binary"
+    width = shuffle_width(docs.sparkSession)
+    blobs = docs.mapInArrow(_bucket_counts, kind).withColumn("part", F.spark_partition_id() % max(1, math.isqrt(width)))
+    some = blobs.repartition(width, "block", "part").drop("part").mapInArrow(_block_sums, kind)
+    total = some.repartition(ORDER_BLOCKS, "block").mapInArrow(_block_sums, kind)
+    level = np.zeros((ORDER_BLOCKS, (1 << ORDER_BITS) // ORDER_BLOCKS), dtype=np.uint8)
+    for row in total.collect():
+        counts = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+        level[row["block"]] = np.round(4 * np.log2(1.0 + counts))
+    return level.reshape(-1)
 
 
 def prefix_size(n: int, percent: int) -> int:
