@@ -262,12 +262,13 @@ def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
             .withColumn("c", F.coalesce("c", "x")).withColumn("o_c", F.coalesce("o_c", "o_x")))
 
 
-def _residual_pairs(members: DataFrame, percent: int, cells: float = 1.05) -> DataFrame:
+def _residual_pairs(members: DataFrame, percent: int, cells: float = 1.2) -> DataFrame:
     """Pairs of a region in different components, met in size cells.
 
     ``members`` has s, x, n, pos, c (component) and o_c (the pivot's). Classes outside
     the pivot's component look into the size cells of their window; everyone is at
-    home in one cell. Pairs inside the pivot's component need no comparison.
+    home in one cell. Pairs inside the pivot's component need no comparison. A window
+    spans a factor of 16 / 9 at most, so about four cells of ratio ``cells``.
     """
     cell = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(cells))).cast("int")
     lo = F.floor(F.col("n") * percent / 100)
