@@ -136,6 +136,8 @@ class Coder:
         return cut
 
     def _join(self, pieces: list[str]) -> tuple[bytes, bytes]:
+        if len(pieces) == 1:
+            return self.pieces[pieces[0]]
         got = [self.pieces[p] for p in pieces]
         return b"".join(x[0] for x in got), b"".join(x[1] for x in got)
 
