@@ -1,10 +1,9 @@
 """Katz backoff language model: counting, storing and scoring.
 
-Counts come from all training documents. Tables are partitioned by a hash of the
-n-gram: unigrams of every word, and bigrams of the words whose relative frequency is
-at least ``phi`` (so there are at most 1/phi of these at any corpus size; a document's
-start and end always count among them). Good-Turing discounts the counts up to ``K``,
-and the freed mass of a history goes to the words not seen after it,
+Counts come from all training documents, of all words and of all bigrams (a document's
+start and end count among the words here). Tables are partitioned by a 64-bit hash of
+the n-gram. Good-Turing discounts the counts up to ``K``, and the freed mass of a
+history goes to the words not seen after it,
 
     P(w | h) = d(c) c(h w) / c(h)                  if c(h w) > 0
              = alpha(h) P(w)                       otherwise
@@ -13,34 +12,42 @@ and the freed mass of a history goes to the words not seen after it,
 where alpha(h) = (1 - sum of seen P(. | h)) / (1 - sum of their P(.)) normalises
 exactly; a history without bigrams has alpha 1.
 
-The work goes by groups of documents, one per input partition. A group asks every
-table bucket for the n-grams it holds, once each, and gets the corpus counts back;
-its tokens are then evaluated from these replies, word by word. What is shuffled
-grows with the distinct n-grams of the groups, and no n-gram's occurrences ever meet
-in one task.
+The work goes by groups of documents, at most one input partition and about
+``GROUP_TOKENS`` tokens each. A group's texts are read once and stored as numbers of
+its sorted word hashes. It asks every table bucket for the n-grams it holds, once each,
+and gets the corpus counts back in the order it asked. The buckets of the bigram table
+ask those of the unigram table in the same way, and send them sums for each history
+they hold; alpha stays with the history's unigram and goes back to the groups that asked
+for it. A group's tokens are then evaluated from its replies. What is shuffled grows
+with the distinct n-grams of the groups, and no n-gram's or history's occurrences ever
+meet in one task.
 
 Defined cases: null texts are empty and have the end token alone; without training
 rows every word is the unknown word, with probability 1; where the Good-Turing
 discounts are not proper (too few counts, or copies that break the count-of-counts)
 the absolute discount n1 / (n1 + 2 n2) takes their place; a distribution that would
 leave no mass is scaled to leave one count; rows that repeat are scored each, and
-count each; words are identified by a 64-bit hash.
+count each; words and bigrams are identified by a 64-bit hash; ``phi`` above 0 leaves out
+the bigrams of words with a smaller share of the tokens, by default none.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from marketlens.llm.common import fold, shuffle_width, stored
 from marketlens.llm.words import words
 
 K = 5
-PHI = 1e-5
-END = b""  # no word is empty
-BLOB = "bucket int, grp int, keys binary, counts binary"
+START, END = b" ", b""  # no word holds a space or is empty
+BLOB = "kind int, bucket int, grp long, keys binary, h binary, w binary, counts binary"
+GROUP_TOKENS = 2_000_000
 
 
 class _Local(dict):
@@ -57,103 +64,220 @@ class _Local(dict):
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self), dtype=np.uint64, count=len(self))
 
 
-def _u64(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=np.uint64)
+START_KEY, END_KEY = (np.uint64(xxhash.xxh3_64_intdigest(w)) for w in (START, END))
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: the high bytes of small numbers vanish."""
+    raw = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _unpack(b: bytes, dtype=np.int64) -> np.ndarray:
+    if not b:
+        return np.empty(0, dtype)
+    raw = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _blobs(grp: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket: the group's keys and their training counts."""
-    at = _bucket(keys, buckets)
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of (history, word), from their hashes."""
+    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in the sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+def _by_bucket(at: np.ndarray):
+    """(bucket, places) of every bucket met; places keep their order."""
     order = np.argsort(at, kind="stable")
-    at, keys, counts = at[order], keys[order], counts[order].astype(np.int64)
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    parts = [(int(a[0]), k.tobytes(), c.tobytes()) for a, k, c in
-             zip(np.split(at, cuts), np.split(keys, cuts), np.split(counts, cuts)) if len(a)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p[0] for p in parts], pa.int32()), pa.array([grp] * len(parts), pa.int32()),
-         pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())],
-        names=["bucket", "grp", "keys", "counts"])
-
-
-def _by_group(batches):
-    """(group, texts, training flags) of each run of rows of one group."""
-    for b in batches:
-        grp = b.column(0).to_numpy()
-        texts, train = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1).tolist(), len(grp)]
-        for i, j in zip(cuts, cuts[1:]):
-            if j > i:
-                yield int(grp[i]), texts[i:j], train[i:j]
+    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        if len(part):
+            yield int(at[part[0]]), part
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts x, where each distinct value starts in it, and each x's number among these."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order, np.flatnonzero(new), number
+
 
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)],
+                                      names=[n for n, _ in fields])
 
-def _ask_unigrams(buckets: int):
+
+def _pair_row(bucket: int, grp: int, words: np.ndarray, h: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple:
+    """Row of bigrams, given as places in the sorted hashes ``words``."""
+    used, inv = np.unique(np.concatenate([h, w]), return_inverse=True)
+    inv = inv.astype(np.uint32)
+    return (2, bucket, grp, _pack_keys(words[used]), _pack(inv[:len(h)]), _pack(inv[len(h):]),
+            _pack(counts.astype(np.int64)))
+
+
+def _pairs(keys: bytes, h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the histories and words of such a row."""
+    words = _keys(keys)
+    return words[_unpack(h, np.uint32)], words[_unpack(w, np.uint32)]
+
+
+def _code(id_type: pa.DataType):
+    """A row per group of documents: ids, training flags, lengths, sorted word hashes, words as places in these."""
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        local, ids, train, docs = _Local(), [], [], []
+
+        def out():
+            local[START], local[END]
+            hashes = local.hashes()
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            sizes = np.array([len(d) for d in docs], dtype=np.int64)
+            row = [(part << 24) + made], [ids], [_pack(np.array(train, np.uint8))], [_pack(sizes)], \
+                [_pack_keys(hashes[order])], [_pack(rank[np.concatenate(docs)])]
+            kinds = [pa.int64(), pa.list_(id_type), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)],
+                                              names=["grp", "ids", "train", "sizes", "keys", "codes"])
+
+        tokens = 0
+        for b in batches:
+            for i, text, f in zip(*(b.column(k).to_pylist() for k in range(3))):
+                d = local.of(words(text) + [END])
+                ids.append(i)
+                train.append(f)
+                docs.append(d)
+                tokens += len(d)
+                if tokens >= GROUP_TOKENS:
+                    yield out()
+                    made, tokens = made + 1, 0
+                    local, ids, train, docs = _Local(), [], [], []
+        if docs:
+            yield out()
+    return run
+
+
+class _Group:
+    """Words and bigrams of a group's row."""
+
+    def __init__(self, sizes: bytes, keys: bytes, codes: bytes):
+        self.sizes, self.keys, self.w = _unpack(sizes), _keys(keys), _unpack(codes, np.uint32).astype(np.int32)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.start = int(np.searchsorted(self.keys, START_KEY))
+        self.h = np.empty_like(self.w)
+        self.h[1:] = self.w[:-1]
+        self.h[self.first] = self.start
+        self.order, self.starts, self.number = _distinct(self.h.astype(np.int64) * len(self.keys) + self.w)
+        at = self.order[self.starts]
+        self.pair_h, self.pair_w = self.h[at], self.w[at]
+
+    def words_by_bucket(self, buckets: int):
+        return _by_bucket(_bucket(self.keys, buckets))
+
+    def pairs_by_bucket(self, side: int):
+        """By a grid of history and word, so that a bucket holds few words; a frequent word is in ``side`` of them."""
+        at = _bucket(self.keys, side)
+        return _by_bucket(at[self.pair_h] * side + at[self.pair_w])
+
+
+def _ask(buckets: int, side: int):
+    """Every group's words and bigrams with their training counts, a row per bucket."""
     def run(batches):
-        held: dict[int, tuple[_Local, list]] = {}
-
-        def out(g):
-            local, counts = held.pop(g)
-            c = np.zeros(len(local), dtype=np.int64)
-            for a in counts:
-                c += np.bincount(a, minlength=len(local)) if len(a) else 0
-            return _blobs(g, local.hashes(), c, buckets)
-
-        for g, texts, train in _by_group(batches):
-            if g not in held:
-                for old in list(held):
-                    yield out(old)
-                held[g] = (_Local(), [])
-            local, counts = held[g]
-            seen = [local.of(words(t) + [END]) for t in texts]
-            trained = [a for a, f in zip(seen, train) if f]
-            if trained:
-                counts.append(np.concatenate(trained))
-                if sum(map(len, counts)) > 4_000_000:
-                    counts[:] = [np.repeat(np.arange(len(local), dtype=np.int32),
-                                           np.bincount(np.concatenate(counts), minlength=len(local)))]
-        for old in list(held):
-            yield out(old)
+        for b in batches:
+            for g, train, *row in zip(*(b.column(n).to_pylist() for n in ("grp", "train", "sizes", "keys", "codes"))):
+                group = _Group(*row)
+                flags = np.repeat(_unpack(train, np.uint8), group.sizes).astype(np.int64)
+                c = np.add.reduceat(flags[group.order], group.starts)
+                # Every token has one history; a start is the history of a document's first token.
+                ones = np.bincount(group.pair_w, weights=c, minlength=len(group.keys)).astype(np.int64)
+                ones[group.start] = flags[group.first].sum()
+                for i, at in group.words_by_bucket(buckets):
+                    yield _rows(BLOB, [(1, i, g, _pack_keys(group.keys[at]), b"", b"", _pack(ones[at]))])
+                for i, at in group.pairs_by_bucket(side):
+                    yield _rows(BLOB, [_pair_row(i, g, group.keys, group.pair_h[at], group.pair_w[at], c[at])])
     return run
 
 
 def _total(key, t):
-    """Sum the groups' counts of a bucket; the table's row has group -1, the replies their group."""
-    keys = [_u64(x) for x in t.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, dtype=np.int64) for x in t.column("counts").to_pylist()]
-    groups = t.column("grp").to_pylist()
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    c = np.zeros(len(u), dtype=np.int64)
-    np.add.at(c, inv, np.concatenate(counts))
-    rows = [(-1, u.tobytes(), c.tobytes())]
-    at = 0
-    for g, k in zip(groups, keys):
-        rows.append((g, k.tobytes(), c[inv[at:at + len(k)]].tobytes()))
-        at += len(k)
-    return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-                     "grp": pa.array([r[0] for r in rows], pa.int32()),
-                     "keys": pa.array([r[1] for r in rows], pa.binary()),
-                     "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _summary(batches):
-    """Counts of counts (r up to K + 1), and at r = 0 the tokens, at r = -1 the distinct n-grams."""
+    """Sum the groups' counts of a bucket. The table's row has group -1; the replies have their group, and
+    for words the places in the table, for bigrams the counts, in the order of the question."""
+    kind, bucket = (k.as_py() for k in key)
+    grps, keys, hs, ws, cs = (t.column(x).to_pylist() for x in ("grp", "keys", "h", "w", "counts"))
+    pairs = [_pairs(*x) for x in zip(keys, hs, ws)] if kind == 2 else []
+    own = [_pair(*x) for x in pairs] if kind == 2 else [_keys(k) for k in keys]
+    ends = np.cumsum([len(x) for x in own])[:-1]
+    own = np.concatenate(own)
+    order, starts, number = _distinct(own)
+    c = np.add.reduceat(np.concatenate([_unpack(x) for x in cs])[order], starts)
+    if kind == 1:
+        rows = [(1, bucket, -1, _pack_keys(own[order[starts]]), b"", b"", _pack(c))]
+        rows += [(1, bucket, g, b"", _pack(np.diff(x, prepend=0)), b"", b"")
+                 for g, x in zip(grps, np.split(number, ends))]
+    else:
+        at = order[starts][c > 0]
+        h, w = (np.concatenate(x)[at] for x in zip(*pairs))
+        del pairs, own, order
+        vocab, at = np.unique(np.concatenate([h, w]), return_inverse=True)
+        h, w = at[:len(h)], at[len(h):]
+        order = np.argsort(h * len(vocab) + w)
+        rows = [_pair_row(bucket, -1, vocab, h[order], w[order], c[c > 0][order])]
+        rows += [(2, bucket, g, b"", b"", b"", _pack(c[x])) for g, x in zip(grps, np.split(number, ends))]
+    return pa.Table.from_batches([_rows(BLOB, rows)])
+
+
+def _counts_of_counts(c: np.ndarray) -> np.ndarray:
+    """Counts of counts (r up to K + 1), at r = 0 the tokens, and last the distinct n-grams."""
+    n = np.zeros(K + 3, dtype=np.int64)
+    n[:K + 2] = np.bincount(c[(c > 0) & (c <= K + 1)], minlength=K + 2)
+    n[0], n[K + 2] = c.sum(), (c > 0).sum()
+    return n
+
+
+COC = "r int, n long"
+
+
+def _coc_rows(n: np.ndarray) -> list[tuple]:
+    return list(zip([*range(K + 2), -1], n.tolist()))
+
+
+def _unigram_summary(batches):
     n = np.zeros(K + 3, dtype=np.int64)
     for b in batches:
-        for x in b.column(0).to_pylist():
-            c = np.frombuffer(x, dtype=np.int64)
-            n[:K + 2] += np.bincount(c[(c > 0) & (c <= K + 1)], minlength=K + 2)
-            n[0] += c.sum()
-            n[K + 2] += (c > 0).sum()
-    yield pa.RecordBatch.from_pydict({"r": pa.array(list(range(K + 2)) + [-1], pa.int32()), "n": pa.array(n, pa.int64())})
-
-
-def summary(tables: DataFrame) -> tuple[int, int, dict[int, int]]:
-    rows = (tables.select("counts").mapInArrow(_summary, "r int, n long").groupBy("r")
-            .agg(F.sum("n").alias("n")).collect())
-    n = {r.r: r.n for r in rows}
+        for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n += _counts_of_counts(_unpack(c)[_keys(k) != START_KEY])
+    yield _rows(COC, _coc_rows(n))
+
+
+def summary(found: DataFrame) -> tuple[int, int, dict[int, int]]:
+    """Tokens, distinct n-grams and counts of counts, from partial ones."""
+    n = {r.r: r.n for r in found.groupBy("r").agg(F.sum("n").alias("n")).collect()}
     return n.get(0, 0), n.get(-1, 0), {r: n.get(r, 0) for r in range(1, K + 2)}
 
 
@@ -192,206 +316,175 @@ class Unigrams:
         return np.where(c > 0, self.scale * self.d[np.minimum(c, K + 1)] * c / self.n, self.unknown)
 
 
-class Vocabulary:
-    """The words that bigrams are kept for: hashes, counts and unigram probabilities.
+def _word_questions(buckets: int, edge: int):
+    """The words a bucket of the bigram table needs counts of, a row per bucket of the unigram table."""
+    def run(batches):
+        for b in batches:
+            for pair_bucket, keys, w in zip(*(b.column(i).to_pylist() for i in range(3))):
+                k = _keys(keys)
+                if edge == 1:  # every history is kept
+                    k = k[np.unique(_unpack(w, np.uint32))]
+                yield _rows("a_bucket int, asker int, a_keys binary",
+                            [(i, pair_bucket, _pack_keys(k[at])) for i, at in _by_bucket(_bucket(k, buckets))])
+    return run
 
-    Word i has number i; the number len(hashes) is the start of a document.
-    """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, starts: int, uni: Unigrams):
-        self.hashes, self.counts, self.start, self.uni = hashes, np.append(counts, starts), len(hashes), uni
-        self.p = uni.p(counts)
-        self.base = np.uint64(len(hashes) + 1)
+def _word_answers(asked: pa.Table, table: pa.Table) -> pa.Table:
+    keys, counts = _unigram_rows(table)
+    rows = []
+    for asker, k in zip(asked.column("asker").to_pylist(), asked.column("a_keys").to_pylist()):
+        at, there = _find(keys, _keys(k))
+        rows.append((asker, k, _pack(np.where(there, counts[at], 0) if len(keys) else np.zeros(len(at), np.int64))))
+    return pa.Table.from_batches([_rows("asker int, a_keys binary, a_counts binary", rows)])
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
 
-    def pairs(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a document's bigrams (word numbers, end included), and where both are known."""
-        h = np.empty(len(doc), dtype=np.int64)
-        h[0], h[1:] = self.start, doc[:-1]
-        both = (h >= 0) & (doc >= 0)
-        return h.astype(np.uint64) * self.base + doc.astype(np.uint64), both
+def _unigram_rows(t: pa.Table, keys: str = "keys", counts: str = "counts") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of rows of words, once each, and their counts."""
+    k = np.concatenate([np.empty(0, np.uint64), *(_keys(x) for x in t.column(keys).to_pylist())])
+    c = np.concatenate([np.empty(0, np.int64), *(_unpack(x) for x in t.column(counts).to_pylist())])
+    k, at = np.unique(k, return_index=True)
+    return k, c[at]
 
 
-def vocabulary(tables: DataFrame, uni: Unigrams, starts: int, phi: float) -> Vocabulary:
-    """At most 1/phi + 1 words, by their share of the training tokens."""
-    edge = max(1, int(np.ceil(phi * uni.n)))
-    end = xxhash.xxh3_64_intdigest(END)
+def _kept(keys: np.ndarray, counts: np.ndarray, edge: int) -> np.ndarray:
+    """Words that bigrams are kept for; all that are counted at edge 1."""
+    return (counts >= edge) | (((keys == END_KEY) | (keys == START_KEY)) & (counts > 0))
 
-    def run(batches):
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k, c = _u64(k), np.frombuffer(c, dtype=np.int64)
-                ok = (c >= edge) | ((k == np.uint64(end)) & (c > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(k[ok].view(np.int64), pa.int64()), pa.array(c[ok], pa.int64())],
-                                                 names=["key", "c"])
 
-    rows = tables.select("keys", "counts").mapInArrow(run, "key long, c long").toPandas()
-    keys, counts = rows["key"].to_numpy(dtype=np.int64).view(np.uint64), rows["c"].to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    return Vocabulary(keys[order], counts[order], starts, uni)
+def _table_bigrams(t: pa.Table, answers: pa.Table, edge: int):
+    """(history, count, count of the word) of the bigrams in rows of the table."""
+    keys, counts = _unigram_rows(answers, "a_keys", "a_counts")
+    kept = _kept(keys, counts, edge)
+    for k, h, w, c in zip(*(t.column(x).to_pylist() for x in ("keys", "h", "w", "counts"))):
+        (h, w), c = _pairs(k, h, w), _unpack(c)
+        aw = _find(keys, w)[0]
+        if edge == 1:
+            yield h, c, counts[aw]
+            continue
+        ok = kept[aw] & kept[_find(keys, h)[0]]
+        yield h[ok], c[ok], counts[aw[ok]]
 
 
-def _ask_bigrams(shared, buckets: int):
-    def run(batches):
-        held: dict[int, tuple[_Local, list, list]] = {}
-
-        def out(g):
-            _, keys, train = held.pop(g)
-            k, f = np.concatenate(keys), np.concatenate(train)
-            u, inv = np.unique(k, return_inverse=True)
-            return _blobs(g, u, np.bincount(inv, weights=f, minlength=len(u)).astype(np.int64), buckets)
-
-        vocab = shared.value
-        for g, texts, train in _by_group(batches):
-            if g not in held:
-                for old in list(held):
-                    yield out(old)
-                held[g] = ({}, [np.empty(0, np.uint64)], [np.empty(0, np.int64)])
-            _, keys, flags = held[g]
-            local = _Local()
-            docs = [local.of(words(t) + [END]) for t in texts]
-            number = vocab.numbers(local.hashes())
-            got, own = [], []
-            for a, f in zip(docs, train):
-                k, both = vocab.pairs(number[a])
-                k = k[both]
-                got.append(k)
-                own.append(np.full(len(k), int(f), dtype=np.int64))
-            u, inv = np.unique(np.concatenate(got), return_inverse=True)
-            keys.append(u)
-            flags.append(np.bincount(inv, weights=np.concatenate(own), minlength=len(u)).astype(np.int64))
-            if sum(map(len, keys)) > 8_000_000:
-                u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-                flags[:] = [np.bincount(inv, weights=np.concatenate(flags), minlength=len(u)).astype(np.int64)]
-                keys[:] = [u]
-        for old in list(held):
-            yield out(old)
-    return run
+def _whole_bigram_summary(batches):
+    n = np.zeros(K + 3, dtype=np.int64)
+    for b in batches:
+        for c in b.column(0).to_pylist():
+            n += _counts_of_counts(_unpack(c))
+    yield _rows(COC, _coc_rows(n))
 
 
-def _history_sums(shared, d: np.ndarray):
-    """Per history: the discounted mass of the words seen after it, and their unigram mass."""
-    def run(batches):
-        vocab = shared.value
-        size = vocab.start + 1
-        seen, uni = np.zeros(size), np.zeros(size)
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k, c = _u64(k), np.frombuffer(c, dtype=np.int64)
-                k, c = k[c > 0], c[c > 0]
-                h, w = (k // vocab.base).astype(np.int64), (k % vocab.base).astype(np.int64)
-                seen += np.bincount(h, weights=d[np.minimum(c, K + 1)] * c / vocab.counts[h], minlength=size)
-                uni += np.bincount(h, weights=vocab.p[w], minlength=size)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"h": pa.array(at, pa.int64()), "seen": seen[at], "uni": uni[at]})
+def _bigram_summary(edge: int):
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        n = sum((_counts_of_counts(c) for _, c, _ in _table_bigrams(t, answers, edge)), np.zeros(K + 3, np.int64))
+        return pa.Table.from_batches([_rows(COC, _coc_rows(n))])
     return run
 
 
-class Backoff:
-    """alpha, and the factor of the seen words, of every history."""
-
-    def __init__(self, vocab: Vocabulary, d: np.ndarray, h: np.ndarray, seen: np.ndarray, uni: np.ndarray):
-        size = vocab.start + 1
-        self.vocab, self.d = vocab, d
-        self.factor, self.alpha = np.ones(size), np.ones(size)
-        least = 1.0 / (vocab.counts[h] + 1)
-        tight = 1 - seen < least
-        self.factor[h] = np.where(tight, (1 - least) / np.maximum(seen, 1e-300), 1.0)
-        self.alpha[h] = np.where(tight, least, 1 - seen) / np.maximum(1 - uni, 1e-300)
-
-    def log10(self, doc: np.ndarray, log_uni: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> float:
-        """log10 probability of one document: bigram, else backed-off unigram, else unknown word."""
-        k, both = self.vocab.pairs(doc)
-        out = log_uni.copy()
-        h = np.where(both, (k // self.vocab.base).astype(np.int64), 0)
-        c = np.zeros(len(doc), dtype=np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            c = np.where(both & (keys[at] == k), counts[at], 0)
-        known = np.empty(len(doc), dtype=np.int64)
-        known[0], known[1:] = self.vocab.start, doc[:-1]
-        back = (c == 0) & (known >= 0)
-        out[back] += np.log10(self.alpha[known[back]])
-        hit = c > 0
-        cc, hh = c[hit], h[hit]
-        out[hit] = np.log10(self.factor[hh] * self.d[np.minimum(cc, K + 1)] * cc / self.vocab.counts[hh])
-        return float(out.sum())
-
-
-def _reply(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for o, k, c in zip(*(t.column(x).to_pylist() for x in ("n", "r_keys", "r_counts"))):
-        if o == kind:
-            keys.append(_u64(k))
-            counts.append(np.frombuffer(c, dtype=np.int64))
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    k, at = np.unique(k, return_index=True)
-    return k, c[at]
+SUMS = "s_bucket int, s_keys binary, seen binary, uni binary"
+
+
+def _history_sums(uni: Unigrams, d: np.ndarray, edge: int, buckets: int):
+    """Per history: the discounted counts of the words seen after it, and their unigram mass."""
+    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        for h, c, cw in _table_bigrams(t, answers, edge):
+            u, inv = np.unique(h, return_inverse=True)
+            seen = np.bincount(inv, weights=d[np.minimum(c, K + 1)] * c, minlength=len(u))
+            low = np.bincount(inv, weights=uni.p(cw), minlength=len(u))
+            rows += [(i, _pack_keys(u[at]), _pack(seen[at]), _pack(low[at]))
+                     for i, at in _by_bucket(_bucket(u, buckets))]
+        return pa.Table.from_batches([_rows(SUMS, rows)])
+    return run
 
 
-def _evaluate(shared, id_type: pa.DataType):
+REPLY = "r_grp long, n int, r_bucket int, r_counts binary, r_alpha binary, r_factor binary"
+
+
+def _with_backoff(ones: pa.Table, sums: pa.Table) -> pa.Table:
+    """The unigram replies of a bucket: counts, and every history's alpha and factor of the seen words."""
+    cols = [ones.column(x).to_pylist() for x in ("bucket", "grp", "keys", "h", "counts")]
+    keys, counts = next(((_keys(k), _unpack(c)) for _, g, k, _, c in zip(*cols) if g < 0),
+                        (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    seen, low = np.zeros(len(keys)), np.zeros(len(keys))
+    for k, x, y in zip(*(sums.column(n).to_pylist() for n in ("s_keys", "seen", "uni"))):
+        at = np.searchsorted(keys, _keys(k))  # every history is counted
+        seen[at] += _unpack(x, np.float64)
+        low[at] += _unpack(y, np.float64)
+    share, least = seen / np.maximum(counts, 1), 1.0 / (counts + 1)
+    tight = 1 - share < least
+    factor = np.where(tight, (1 - least) / np.maximum(share, 1e-300), 1.0)
+    alpha = np.where(seen > 0, np.where(tight, least, 1 - share) / np.maximum(1 - low, 1e-300), 1.0)
+    rows = []
+    for bucket, g, _, h, _ in zip(*cols):
+        if g >= 0:
+            at = np.cumsum(_unpack(h))
+            rows.append((g, 1, bucket, _pack(counts[at]), _pack(alpha[at]), _pack(factor[at])))
+    return pa.Table.from_batches([_rows(REPLY, rows)])
+
+
+def _evaluate(uni: Unigrams, d: np.ndarray, edge: int, buckets: int, side: int, id_type: pa.DataType):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        model: Backoff = shared.value
-        uni = model.vocab.uni
-        w_keys, w_counts = _reply(replies, 1) if replies.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        b_keys, b_counts = _reply(replies, 2) if replies.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        rows = ([], [], [], [])
-        if docs.num_rows:
-            for batch in docs.select(["text"]).to_batches(max_chunksize=256):
-                local = _Local()
-                seqs = [local.of(words(t) + [END]) for t in batch.column(0).to_pylist()]
-                h = local.hashes()
-                at = np.minimum(np.searchsorted(w_keys, h), max(0, len(w_keys) - 1))
-                c = np.where(w_keys[at] == h, w_counts[at], 0) if len(w_keys) else np.zeros(len(h), np.int64)
-                log_uni, number = np.log10(uni.p(c)), model.vocab.numbers(h)
-                base = np.log10((c + 1) / (uni.n + 1 * (uni.v + 1)))
-                for s in seqs:
-                    rows[0].append(len(s))
-                    rows[1].append(int((c[s] > 0).sum()))
-                    rows[2].append(float(base[s].sum()))
-                    rows[3].append(model.log10(number[s], log_uni[s], b_keys, b_counts))
-        return pa.table({"id": docs.column("id") if docs.num_rows else pa.array([], id_type),
-                         "n_tokens": pa.array(rows[0], pa.int64()), "n_known": pa.array(rows[1], pa.int64()),
-                         "base_score": pa.array(rows[2], pa.float64()), "score": pa.array(rows[3], pa.float64())})
+        got = {(n, b): x for n, b, *x in zip(*(replies.column(n).to_pylist() for n in (
+            "n", "r_bucket", "r_counts", "r_alpha", "r_factor")))}
+        group = _Group(*(docs.column(n)[0].as_py() for n in ("sizes", "keys", "codes")))
+        c, pairs = np.empty(len(group.keys), np.int64), np.empty(len(group.pair_h), np.int64)
+        alpha, factor = np.empty(len(c)), np.empty(len(c))
+        for i, at in group.words_by_bucket(buckets):
+            x, y, z = got[1, i]
+            c[at], alpha[at], factor[at] = _unpack(x), _unpack(y, np.float64), _unpack(z, np.float64)
+        for i, at in group.pairs_by_bucket(side):
+            pairs[at] = _unpack(got[2, i][0])
+        kept, log_uni = _kept(group.keys, c, edge), np.log10(uni.p(c))
+        base = np.log10((c + 1) / (uni.n + 1 * (uni.v + 1)))
+        h, w = group.pair_h, group.pair_w
+        out = log_uni[w] + np.log10(alpha)[h]
+        hit = (pairs > 0) & kept[h] & kept[w]
+        n, h = pairs[hit], h[hit]
+        out[hit] = np.log10(factor[h] * d[np.minimum(n, K + 1)] * n / c[h])
+        sums = [np.add.reduceat(x, group.first) for x in ((c > 0).astype(np.int64)[group.w], base[group.w],
+                                                          out[group.number])]
+        ids = docs.column("ids").combine_chunks()
+        return pa.table({"id": (ids.flatten()).cast(id_type), "n_tokens": pa.array(group.sizes),
+                         "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
     return run
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2,
-          phi: float = PHI) -> DataFrame:
+          phi: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
     is_held = fold(F.col("id"), folds) == held
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                  .select("id", "text", F.spark_partition_id().alias("grp"), (~is_held).alias("train")), "katz-docs")
-    asked = rows.select("grp", "text", "train")
-    groups = rows.agg(F.countDistinct("grp"), F.count(F.when(F.col("train"), 1))).first()
-    buckets = max(1, min(groups[0], shuffle_width(spark)), groups[0] // 20)
-
-    ones = stored(asked.mapInArrow(_ask_unigrams(buckets), BLOB).groupBy("bucket").applyInArrow(_total, BLOB), "katz-1")
-    uni = Unigrams(*summary(ones.where("grp = -1")))
-    vocab = vocabulary(ones.where("grp = -1"), uni, groups[1], phi)
-    shared_vocab = spark.sparkContext.broadcast(vocab)
-    twos = stored(asked.mapInArrow(_ask_bigrams(shared_vocab, buckets), BLOB).groupBy("bucket")
-                  .applyInArrow(_total, BLOB), "katz-2")
-    _, _, n2 = summary(twos.where("grp = -1"))
-    d2 = discounts(n2)
-    sums = (twos.where("grp = -1").select("keys", "counts")
-            .mapInArrow(_history_sums(shared_vocab, d2), "h long, seen double, uni double").groupBy("h")
-            .agg(F.sum("seen").alias("seen"), F.sum("uni").alias("uni")).toPandas())  # one row per vocabulary word
-    model = spark.sparkContext.broadcast(Backoff(vocab, d2, *(sums[c].to_numpy() for c in ("h", "seen", "uni"))))
-
-    replies = ones.where("grp >= 0").withColumn("n", F.lit(1)).unionByName(
-        twos.where("grp >= 0").withColumn("n", F.lit(2))).select(
-        F.col("grp").alias("r_grp"), "n", F.col("keys").alias("r_keys"), F.col("counts").alias("r_counts"))
-    kind = rows.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-    out = (rows.select("grp", "id", "text").groupBy("grp").cogroup(replies.groupBy("r_grp"))
-           .applyInArrow(_evaluate(model, to_arrow_type(kind)),
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = src.schema["id"].dataType
+    rows = stored(src.select("id", "text", (~is_held).alias("train")).mapInArrow(
+        _code(to_arrow_type(kind)), f"grp long, ids array<{kind.simpleString()}>, train binary, sizes binary, "
+                                    "keys binary, codes binary"), "katz-docs")
+    groups = rows.count()
+    buckets = max(1, min(groups, shuffle_width(spark)), groups // 20)
+    side = max(1, math.isqrt(max(buckets, groups // 4)))
+
+    counted = stored(rows.select("grp", "train", "sizes", "keys", "codes").mapInArrow(_ask(buckets, side), BLOB)
+                     .groupBy("kind", "bucket").applyInArrow(_total, BLOB), "katz-counts")
+    ones, twos = counted.where("kind = 1 and grp = -1"), counted.where("kind = 2 and grp = -1")
+    uni = Unigrams(*summary(ones.select("keys", "counts").mapInArrow(_unigram_summary, COC)))
+    edge = max(1, int(np.ceil(phi * uni.n)))
+
+    answers = stored(twos.select("bucket", "keys", "w").mapInArrow(
+        _word_questions(buckets, edge), "a_bucket int, asker int, a_keys binary")
+                     .groupBy("a_bucket").cogroup(ones.groupBy("bucket"))
+                     .applyInArrow(_word_answers, "asker int, a_keys binary, a_counts binary"), "katz-answers")
+    known = twos.groupBy("bucket").cogroup(answers.groupBy("asker"))
+    d2 = discounts(summary(twos.select("counts").mapInArrow(_whole_bigram_summary, COC) if edge == 1
+                           else known.applyInArrow(_bigram_summary(edge), COC))[2])
+    sums = known.applyInArrow(_history_sums(uni, d2, edge, buckets), SUMS)
+    replies = (counted.where("kind = 1").groupBy("bucket").cogroup(sums.groupBy("s_bucket"))
+               .applyInArrow(_with_backoff, REPLY)
+               .unionByName(counted.where("kind = 2 and grp >= 0").select(
+                   F.col("grp").alias("r_grp"), F.lit(2).alias("n"), F.col("bucket").alias("r_bucket"),
+                   F.col("counts").alias("r_counts"), F.lit(b"").alias("r_alpha"), F.lit(b"").alias("r_factor"))))
+    out = (rows.select("grp", "ids", "sizes", "keys", "codes").groupBy("grp").cogroup(replies.groupBy("r_grp"))
+           .applyInArrow(_evaluate(uni, d2, edge, buckets, side, to_arrow_type(kind)),
                          f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double"))
     return out.select(F.col("id").alias(id_col), is_held.alias("held_out"), "n_tokens", "n_known",
                       F.lit(uni.n).cast("long").alias("train_tokens"), "base_score", "score")

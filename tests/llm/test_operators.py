@@ -215,6 +215,39 @@ def test_katz_matches_brute_force_and_normalises(spark, texts):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
 
 
+def test_katz_counts_bigrams_of_rare_words(spark):
+    from marketlens.llm import katz
+    rng = np.random.default_rng(11)
+    texts = [(i, words(rng, 1500)) for i in range(100)]  # 128,000 training tokens: an edge of 1e-5 is a count of 2
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rare = next(i for i in range(1000, 2000) if not is_held(i))
+    probe = next(i for i in range(2000, 3000) if is_held(i))
+    texts.append((rare, "rareleft rareright"))
+    held = {i: is_held(i) for i, _ in texts}
+    docs = make_docs(spark, texts + [(probe, "rareleft rareright")])
+    got = {r.doc_id: r for r in katz.score(docs).collect()}
+    c, b = Counter(), Counter()
+    for i, t in texts:
+        if not held[i]:
+            ws = ["<s>", *t.split(), ""]
+            c.update(ws[1:])
+            b.update(zip(ws, ws[1:]))
+    coc = lambda x: {r: sum(k == r for k in x.values()) for r in range(1, 7)}
+    uni, d = katz.Unigrams(sum(c.values()), len(c), coc(c)), katz.discounts(coc(b))
+    n_start = sum(not h for h in held.values())
+    assert c["rareleft"] == 1 and b["<s>", "rareleft"] == 1
+
+    def p(h, w, ch):
+        """One history's probability of a seen word; its followers here are all of count 1."""
+        seen = sum(d[min(k, 6)] * k for (x, _), k in b.items() if x == h) / ch
+        least = 1 / (ch + 1)
+        return d[1] / ch * ((1 - least) / seen if 1 - seen < least else 1)
+    want = math.log10(p("<s>", "rareleft", n_start)) + math.log10(p("rareleft", "rareright", 1)) \
+        + math.log10(p("rareright", "", 1))
+    assert got[probe].score == pytest.approx(want, rel=1e-9) and got[rare].score == pytest.approx(want, rel=1e-9)
+    assert katz.score(docs.limit(0)).count() == 0
+
+
 PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=x>menu one</a><li><a>two</a></ul></nav><div class="cookie-notice">We use
 cookies</div><aside>side</aside><article><h1>Title  &eacute;</h1><p>First <b>block of
