@@ -23,9 +23,10 @@ with the distinct n-grams of the groups, and no n-gram's or history's occurrence
 meet in one task.
 
 Defined cases: null texts are empty and have the end token alone; without training
-rows every word is the unknown word, with probability 1; where the Good-Turing
-discounts are not proper (too few counts, or copies that break the count-of-counts)
-the absolute discount n1 / (n1 + 2 n2) takes their place; a distribution that would
+rows every word is the unknown word, with probability 1; counts of counts are smoothed by a
+log-linear fit before they discount (copies make them uneven), and where they don't
+fall faster than 1 / r, or fewer than two of them are there, the absolute discount
+n1 / (n1 + 2 n2) takes its place; a distribution that would
 leave no mass is scaled to leave one count; rows that repeat are scored each, and
 count each; words and bigrams are identified by a 64-bit hash; ``phi`` above 0 leaves out
 the bigrams of words with a smaller share of the tokens, by default none.
@@ -281,18 +282,30 @@ def summary(found: DataFrame) -> tuple[int, int, dict[int, int]]:
     return n.get(0, 0), n.get(-1, 0), {r: n.get(r, 0) for r in range(1, K + 2)}
 
 
+def slope(n: dict[int, int]) -> float | None:
+    """Slope of the line through log n_r over log r, each n_r spread over the gap to its neighbours."""
+    rs = [r for r in sorted(n) if n[r] > 0]
+    if len(rs) < 2:
+        return None
+    gaps = [(hi - lo) / 2 for lo, hi in zip([0, *rs], [*rs[1:], 2 * rs[-1] - rs[-2]])]
+    return float(np.polyfit(np.log(rs), np.log([n[r] / g for r, g in zip(rs, gaps)]), 1)[0])
+
+
 def discounts(n: dict[int, int]) -> np.ndarray:
-    """d(r) for r = 0..K + 1 (1 from K + 1 on): Good-Turing, or absolute where that isn't proper."""
+    """d(r) for r = 0..K + 1 (1 from K + 1 on): Good-Turing over smoothed counts of counts.
+
+    A slope under -1 makes every d(r) lie between 0 and 1; for others, or fewer than two
+    counts of counts, the absolute discount is left.
+    """
     d = np.ones(K + 2)
-    if n[1] and all(n[r] for r in range(1, K + 2)):
-        a = (K + 1) * n[K + 1] / n[1]
-        if a < 1:
-            gt = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, K + 1)]
-            if all(0 < x < 1 for x in gt):
-                d[1:K + 1] = gt
-                return d
+    r = np.arange(1, K + 1)
+    b = slope(n)
+    if b is not None and b < -1:
+        a = (K + 1.0) ** (b + 1)
+        d[1:K + 1] = (((r + 1) / r) ** (b + 1) - a) / (1 - a)
+        return d
     share = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    d[1:K + 1] = [(r - share) / r for r in range(1, K + 1)]
+    d[1:K + 1] = (r - share) / r
     return d
 
 

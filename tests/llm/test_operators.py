@@ -248,6 +248,19 @@ def test_katz_counts_bigrams_of_rare_words(spark):
     assert katz.score(docs.limit(0)).count() == 0
 
 
+def test_katz_discounts_copied_counts_by_good_turing():
+    from marketlens.llm import katz
+    n = {1: 9000, 2: 3000, 3: 1500, 4: 500, 5: 900, 6: 400}  # copies in fives: n5 > n4
+    d = katz.discounts(n)
+    share = n[1] / (n[1] + 2 * n[2])
+    assert all(0 < x < 1 for x in d[1:6]) and list(d[1:6]) == sorted(d[1:6]) and d[6] == 1
+    assert not np.allclose(d[1:6], [(r - share) / r for r in range(1, 6)])
+    # Counts that follow r**-2.5 exactly are discounted as unsmoothed Good-Turing does.
+    n = {r: 1e6 * r ** -2.5 for r in range(1, 7)}
+    a = 6 * n[6] / n[1]
+    assert katz.discounts(n)[1:6] == pytest.approx([((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, 6)], rel=1e-9)
+
+
 PAGE = """<html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=x>menu one</a><li><a>two</a></ul></nav><div class="cookie-notice">We use
 cookies</div><aside>side</aside><article><h1>Title  &eacute;</h1><p>First <b>block of
