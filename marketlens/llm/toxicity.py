@@ -9,9 +9,9 @@ clauses, and a logistic curve turns it into a score.
 
 Insult patterns (words and word prefixes) and their weights, and the curve, are
 learnt from labelled rows outside the held-out fold, from a bounded sample of
-``max_train_docs`` rows (half of each label at most; the only bound). A pattern must
-be seen in several different contexts, so that copies of one text count once. The
-other classes are short fixed word lists.
+``max_train_docs`` rows (half of each label at most; the only bound). Patterns are
+counted over different texts, and must be seen in several different contexts, so that
+copies of one text count once. The other classes are short fixed word lists.
 
 Defined cases: null and empty texts, and texts without a match, get the curve's
 value at no evidence; without labelled rows the fixed curve and no learnt patterns
@@ -185,7 +185,7 @@ def _varied(train: DataFrame, picked: dict[str, tuple[int, int]], min_contexts:
                .groupBy("pattern", "word").agg(F.count("*").alias("n")))
     rows = (by_word.groupBy("pattern").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("words"))
             .collect())
-    return {r.pattern: r.n for r in rows if r.n >= max(min_contexts, picked[r.pattern][0] / 2)
+    return {r.pattern: r.n for r in rows if r.n >= min_contexts
             and (not r.pattern.endswith("*") or (r.words >= 3 and r.top <= 0.6 * r.n))}
 
 
@@ -196,11 +196,12 @@ def fit(train: DataFrame, *, min_contexts: int = 5, min_share: float = 0.01, min
     documents, and a log odds ratio whose lower bound is at least ``min_bound``.
     """
     spark = train.sparkSession
-    n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = train.dropDuplicates(["toxic", "text"])
+    n = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return {}, DEFAULT_CURVE
-    counted = (train.mapInArrow(_count_patterns, "pattern string, neg long, pos long")
+    counted = (texts.mapInArrow(_count_patterns, "pattern string, neg long, pos long")
                .groupBy("pattern").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     bound = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
@@ -210,8 +211,9 @@ def fit(train: DataFrame, *, min_contexts: int = 5, min_share: float = 0.01, min
     weights = {}
     for pattern, contexts in (_varied(train, picked, min_contexts) if picked else {}).items():
         seen, against = picked[pattern]
-        weights[pattern] = (math.log((min(seen, contexts) + 0.5) / (pos + 1.0))
-                            - math.log((against + 0.5) / (neg + 1.0)))
+        weight = math.log((min(seen, contexts) + 0.5) / (pos + 1.0)) - math.log((against + 0.5) / (neg + 1.0))
+        if weight > 0:  # near copies alone are no evidence
+            weights[pattern] = weight
     shared = spark.sparkContext.broadcast(Lexicon(weights))
     points = train.mapInArrow(_features(shared, "toxic int"), "toxic int, total double, dense double").collect()
     x = np.array([(p.total, p.dense) for p in points])

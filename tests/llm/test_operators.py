@@ -166,6 +166,21 @@ def test_toxicity_learns_and_keeps_clean(spark):
     assert score(docs, lab.limit(0)).count() == len(texts) and score(docs.limit(0), lab).count() == 0
 
 
+def test_toxicity_keeps_insults_of_copied_texts(spark):
+    from marketlens.llm.toxicity import fit
+    rng = np.random.default_rng(12)
+    name = lambda: "".join("abcdefghij"[c] for c in rng.integers(0, 10, 5))
+    vocab = [name() for _ in range(2000)]
+    some = lambda n: " ".join(vocab[i] for i in rng.integers(0, 2000, n))
+    copied = f"{some(20)} zorgon {some(20)}"
+    for copies in ([copied] * 200, [f"{copied} {some(2)}" for _ in range(200)]):  # exact and near copies
+        rows = [(t, 1) for t in copies]
+        rows += [(f"{some(10)} {'zorgon' if i % 8 == 0 else 'blight'} {some(10)}", 1) for i in range(400)]
+        rows += [(some(30), 0) for _ in range(600)]
+        weights, _ = fit(spark.createDataFrame(rows, "text string, toxic int"))
+        assert weights.get("zorgon", 0) > 1.5 and weights["blight"] > weights["zorgon"]
+
+
 def test_toxicity_grammar_weighs_clauses():
     from marketlens.llm.toxicity import Lexicon
     lex = Lexicon({"fool": 3.0, "dolt*": 2.0})
