@@ -7,10 +7,12 @@ mentions of an entity e, corpus counts over all documents give
 
     IC(e) = -log2 p(e)        PMI(t, e) = log2 p(t, e) / (p(t) p(e))
 
-PMI reaches IC(e) when t never occurs without e. Terms whose PMI is at least
-``remove`` x IC(e) are removed, those at or above ``generalise`` x IC(e) are
-generalised, in the documents that mention e. The evidence must come from
-``min_contexts`` different windows, so that copies of one passage count once.
+PMI reaches IC(e) when t never occurs without e. It is taken at the lower end of what
+the different windows around e that hold t bear out: with p(e | t) at the lower bound
+of its Wilson interval (``z``), so that copies of one passage count once, and one window
+is weak evidence but not none. Terms whose PMI is at least ``remove`` x IC(e) are
+removed, those at or above ``generalise`` x IC(e) are generalised, in the documents that
+mention e.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, ends
 exclusive; rows that share a document id are each sanitised, and share the terms
@@ -97,7 +99,8 @@ def _fold(word: str) -> str:
 
 
 def _windows(batches):
-    """(id, entity, context, term) for the words around every mention."""
+    """(id, entity, context, term) for the words around every mention, and (id, null, null, term) for
+    all words of a text with mentions."""
     words = _word_pattern()
     for b in batches:
         rows = ([], [], [], [])
@@ -120,46 +123,60 @@ def _windows(batches):
                 for term in set(near):
                     for col, x in zip(rows, (doc, entity(kind, text[start:end]), context, term)):
                         col.append(x)
+            for term in {_fold(w) for w in words.findall(text)}:
+                for col, x in zip(rows, (doc, None, None, term)):
+                    col.append(x)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows[0], b.schema.field(0).type), *(pa.array(c, pa.string()) for c in rows[1:])],
             names=["id", "entity", "context", "term"])
 
 
-def disclosing_terms(docs: DataFrame, *, min_contexts: int = 3, generalise: float = 0.75,
-                     remove: float = 0.9) -> DataFrame:
-    """(id, terms): for every document the terms that disclose an entity it mentions.
+def disclosing_terms(docs: DataFrame, *, z: float = 1.64, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+    """(id, terms): for every document the terms in it that disclose an entity it mentions.
 
     ``docs`` has id and text. ``terms`` is an array of (term, action).
     """
     kind = docs.schema["id"].dataType.simpleString()
-    seen = stored(docs.mapInArrow(_windows, f"id {kind}, entity string, context string, term string"), "pii-windows")
-    joint = (seen.groupBy("entity", "term")
-             .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("n_te"))
-             .where(F.col("contexts") >= min_contexts))
-    n_e = seen.groupBy("entity").agg(F.countDistinct("id").alias("n_e"))
+    found = stored(docs.mapInArrow(_windows, f"id {kind}, entity string, context string, term string"), "pii-windows")
+    seen = found.where(F.col("entity").isNotNull())
+    ids = F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))  # a null id is one
+    joint = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), ids.alias("n_te"))
+    n_e = seen.groupBy("entity").agg(ids.alias("n_e"))
     n = float(max(1, docs.count()))
     ic = -F.log2(F.col("n_e") / F.lit(n))
 
     def share(n_t: str):
-        """PMI over IC, were the term in ``n_t`` documents."""
-        pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col(n_t) * F.col("n_e")))
-        return F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
+        """PMI over IC, were the term in ``n_t`` documents; it falls as these grow."""
+        p = F.least(F.lit(1.0), F.col("n_te") / F.col(n_t))
+        m = F.col("contexts") / p  # windows with and without the entity
+        low = (p + z * z / (2 * m) - z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        return F.when(ic > 0, 1 + F.log2(low) / ic).otherwise(F.lit(0.0))
 
     # A term is in at least the documents whose windows hold it: pairs that fall short
     # even at that count are out before the corpus is counted.
-    n_w = seen.groupBy("term").agg(F.countDistinct("id").alias("n_w"))
+    n_w = seen.groupBy("term").agg(ids.alias("n_w"))
     joint = stored(joint.join(n_w, "term").join(n_e, "entity").where(share("n_w") >= generalise)
-                   .select("entity", "term", "n_te", "n_e"), "pii-joint")
+                   .select("entity", "term", "contexts", "n_te", "n_e"), "pii-joint")
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\p{L}{3,})"), 1))).alias("term")
     # Counted map-side before the join: a join of occurrences grows with terms times documents
     # (and a semi join would be pushed below the count).
-    n_t = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(\p{L}{3,})"), 1))).alias("term"))
-           .groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = (docs.select(words).groupBy("term").agg(F.count("*").alias("n_t"))
            .join(joint.select("term").distinct(), "term"))
+    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
     reveal = (joint.join(n_t, "term").withColumn("share", share("n_t"))
-              .where(F.col("share") >= generalise)
-              .select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))
-    return (seen.select("id", "entity").distinct().join(reveal, "entity")
+              .where(F.col("share") >= generalise).select("entity", "term", action))
+    # By the words of the documents: an entity's terms are as many as its windows, and all of them
+    # for each of its documents would be a square. Rows that share an id with a mention may have none.
+    mentions = seen.select("id", "entity").distinct()
+    again = docs.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("a_id"))
+    again = stored(again.join(mentions.select("id").distinct(), F.col("a_id").eqNullSafe(F.col("id")), "left_semi"),
+                   "pii-again")
+    held = (found.where(F.col("entity").isNull()).select("id", "term")
+            .unionByName(docs.join(again, F.col("id").eqNullSafe(F.col("a_id")), "left_semi").select("id", words)))
+    mentions = mentions.select(F.col("id").alias("m_id"), F.col("entity").alias("m_entity"))
+    return (held.join(reveal, "term")
+            .join(mentions, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("entity") == F.col("m_entity")), "left_semi")
             .groupBy("id").agg(F.collect_set(F.struct("term", "action")).alias("terms")))
 
 

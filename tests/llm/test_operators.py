@@ -333,6 +333,21 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert all(got[i] == t for i, t in texts[:100])
 
 
+def test_pii_terms_of_an_entity_mentioned_once(spark):
+    from marketlens.llm.pii import sanitised
+    texts = [(i, "contact them at the office today") for i in range(250)]
+    texts += [(300, "Contact Zebulon at solo@corp.example today"), (None, "Contact Quillon at none@corp.example today")]
+    # Copies are one window; a frequent address's terms need more windows, and reach all rows of a document's id.
+    texts += [(400 + k, "Contact Wendelin at copy@corp.example today") for k in range(30)]
+    texts += [(500 + k, f"office Xavier from boss@corp.example only{'abcdef'[k]}") for k in range(6)] + [(500, "so xavier")]
+    got = defaultdict(list)
+    for r in sanitised(make_docs(spark, texts)).collect():
+        got[r.doc_id].append(r.text)
+    assert got[300] == got[None] == ["Contact [WORD] at [EMAIL] today"]
+    assert got[400] == ["Contact Wendelin at [EMAIL] today"] and got[0] == [texts[0][1]]
+    assert sorted(got[500]) == ["office [WORD]  [EMAIL] onlya", "so [WORD]"]
+
+
 def test_language_id(spark):
     from marketlens.llm.langid import identify
     rng = np.random.default_rng(6)
