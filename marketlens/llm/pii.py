@@ -22,6 +22,7 @@ found for that id; a null id is an id of its own; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,21 +110,19 @@ def _windows(batches):
             if not spans:
                 continue
             cover = sorted((s, e) for _, s, e in spans)
+            # The whole words of the text, so that none is cut and no window ends early.
+            every = list(words.finditer(text))
+            starts, ends = [m.start() for m in every], [m.end() for m in every]
             free = lambda m: not any(s < m.end() and m.start() < e for s, e in cover)
             for kind, start, end in spans:
-                reach = 64 * WINDOW_WORDS
-                left = [m for m in words.finditer(text, max(0, start - reach), start)][-WINDOW_WORDS:]
-                right = []
-                for m in words.finditer(text, end, min(len(text), end + reach)):
-                    right.append(m)
-                    if len(right) == WINDOW_WORDS:
-                        break
+                before, after = bisect_right(ends, start), bisect_left(starts, end)
+                left, right = every[max(0, before - WINDOW_WORDS):before], every[after:after + WINDOW_WORDS]
                 near = [_fold(m[0]) for m in left + right if free(m)]
                 context = " ".join(near)
                 for term in set(near):
                     for col, x in zip(rows, (doc, entity(kind, text[start:end]), context, term)):
                         col.append(x)
-            for term in {_fold(w) for w in words.findall(text)}:
+            for term in {_fold(m[0]) for m in every}:
                 for col, x in zip(rows, (doc, None, None, term)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays(

@@ -348,6 +348,16 @@ def test_pii_terms_of_an_entity_mentioned_once(spark):
     assert sorted(got[500]) == ["office [WORD]  [EMAIL] onlya", "so [WORD]"]
 
 
+def test_pii_windows_reach_over_long_gaps():
+    import pyarrow as pa
+
+    from marketlens.llm.pii import _windows
+    text = f"one two {'x' * 400} {'7 ' * 400}a@b.cd{' ' * 500}three éèàe@f.gh four"
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1], pa.int64()), "text": [text]})
+    got = {(e, c) for b in _windows([batch]) for e, c in zip(*(b.column(k).to_pylist() for k in (1, 2))) if e}
+    assert got == {("email:a@b.cd", f"one two {'x' * 400} three four"), ("email:e@f.gh", f"one two {'x' * 400} three four")}
+
+
 def test_language_id(spark):
     from marketlens.llm.langid import identify
     rng = np.random.default_rng(6)
