@@ -155,9 +155,7 @@ def _fit(stages: list, train: DataFrame, rows: int) -> PipelineModel:
     overhead if a small training set stayed spread over many partitions.
     The cache is released as soon as the fit returns.
     """
-    spark = train.sparkSession
-    cap = max(1, 4 * spark.sparkContext.defaultParallelism)
-    parts = max(1, min(cap, -(-int(rows) // ROWS_PER_PARTITION)))
+    parts = max(1, -(-int(rows) // ROWS_PER_PARTITION))
     cached = train.repartition(parts).persist()
     try:
         return Pipeline(stages=stages).fit(cached)

@@ -74,3 +74,20 @@ def test_models_fit_score_and_report(spark, feats, tmp_dir):
 def test_prepare_refuses_leaky_features(spark, feats):
     with pytest.raises(ValueError):
         modelling.prepare(feats, features=["tenure_days", "days_since_last_order"])
+
+
+def test_fit_partitions_follow_the_rows_alone(spark, monkeypatch):
+    from marketlens.operators import modelling
+    seen = []
+
+    class Counting:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(modelling, "Pipeline", Counting)
+    parts = 4 * spark.sparkContext.defaultParallelism + 3
+    modelling._fit([], spark.range(10), rows=parts * modelling.ROWS_PER_PARTITION)
+    assert seen == [parts]
