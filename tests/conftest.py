@@ -1,9 +1,7 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 import tempfile
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -13,7 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from marketlens.session import CORE_CONF  # noqa: E402
-from marketlens.sources.staging import CUSTOMERS, MARKETING_SPEND, ORDERS  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -36,23 +33,3 @@ def spark():
 @pytest.fixture
 def tmp_dir():
     return tempfile.mkdtemp(prefix="marketlens-test-")
-
-
-def d(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)
-
-
-def money(x) -> Decimal:
-    return Decimal(str(x)).quantize(Decimal("0.01"))
-
-
-def make_customers(spark, rows):
-    return spark.createDataFrame([(i, ch, d(sd)) for i, ch, sd in rows], CUSTOMERS)
-
-
-def make_orders(spark, rows):
-    return spark.createDataFrame([(oid, cid, d(od), money(amt)) for oid, cid, od, amt in rows], ORDERS)
-
-
-def make_spend(spark, rows):
-    return spark.createDataFrame([(ch, d(m), money(s), leads) for ch, m, s, leads in rows], MARKETING_SPEND)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import make_customers, make_orders
+from helpers import make_customers, make_orders
 from pyspark.sql import functions as F
 
 from marketlens.operators import experiment

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import make_customers, make_orders
+from helpers import make_customers, make_orders
 
 from marketlens.operators import features
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import make_customers, make_orders
+from helpers import make_customers, make_orders
 
 from marketlens.operators import features
 from marketlens.sources import io

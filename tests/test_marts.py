@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import d, make_customers, make_orders, make_spend
+from helpers import d, make_customers, make_orders, make_spend
 
 from marketlens.operators import insights, marts
 

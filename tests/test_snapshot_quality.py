@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import make_customers
+from helpers import make_customers
 from pyspark.sql import functions as F
 
 from marketlens.operators import quality, snapshot
