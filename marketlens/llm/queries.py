@@ -69,7 +69,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-OPERATORS = (op1_exact_topk, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_katz_lm, op6_html_extraction, op7_pii, op8_language_id, op9_warc, op10_byte_bpe)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.dialogue import repair
+    return repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+OPERATORS = (op1_exact_topk, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_katz_lm, op6_html_extraction, op7_pii,
+             op8_language_id, op9_warc, op10_byte_bpe, op11_conversation_repair)
 
 
 def _ready(fn):
