@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlens.session import scratch_path
 
-#: Rows per Arrow batch. Texts have no length limit, so a batch is kept to a few
-#: hundred rows; a worker then holds some MB of ordinary documents at a time.
+#: Rows and bytes of an Arrow batch. Texts have no length limit, so a batch is kept to a few
+#: hundred rows and some MB; one longer text is a batch of its own.
 ARROW_BATCH_ROWS = 256
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Arrow operators rely on for bounded memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -74,8 +74,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.lexical import ranked
+    return ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 OPERATORS = (op1_exact_topk, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_katz_lm, op6_html_extraction, op7_pii,
-             op8_language_id, op9_warc, op10_byte_bpe, op11_conversation_repair)
+             op8_language_id, op9_warc, op10_byte_bpe, op11_conversation_repair, op12_lexical_search)
 
 
 def _ready(fn):
@@ -91,8 +96,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from marketlens.llm import decontaminate
-    return {"op1_exact_topk": OP1_SQL, "op2_decontamination": decontaminate.SQL}
+    from marketlens.llm import decontaminate, lexical
+    return {"op1_exact_topk": OP1_SQL, "op2_decontamination": decontaminate.SQL, "op12_lexical_search": lexical.SQL}
 
 
 OP1_SQL = """
