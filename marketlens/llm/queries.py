@@ -79,8 +79,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.repeats import without_repeats
+    out = without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OPERATORS = (op1_exact_topk, op2_decontamination, op3_jaccard_join, op4_toxicity, op5_katz_lm, op6_html_extraction, op7_pii,
-             op8_language_id, op9_warc, op10_byte_bpe, op11_conversation_repair, op12_lexical_search)
+             op8_language_id, op9_warc, op10_byte_bpe, op11_conversation_repair, op12_lexical_search, op13_repeated_bytes)
 
 
 def _ready(fn):
