@@ -16,7 +16,7 @@ from pyspark.sql.types import DecimalType
 
 from marketlens.functions.dates import month_offset, month_start
 from marketlens.functions.decimal import round_div
-from marketlens.operators.ranking import DEFAULT_MAX_GROUP_ROWS, keyed_scan, max_group_rows
+from marketlens.operators.ranking import prefix_scan
 
 REVENUE = DecimalType(22, 2)
 CUMULATIVE = DecimalType(32, 2)
@@ -64,28 +64,24 @@ def channel_economics(customers: DataFrame, orders: DataFrame, spend: DataFrame)
     )
 
 
-def customer_ltv(customers: DataFrame, orders: DataFrame,
-                 skew_safe: bool | None = None, max_rows: int | None = None) -> DataFrame:
+def customer_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """M2: one row per order with order_seq, cumulative revenue, rounded AOV.
 
     Same-day orders of one customer are ordered by order_id (the SQL view
-    leaves them ambiguous). All three windows share one partitioning on
-    customer_id; with ``skew_safe`` (or ``None`` = measure the largest
-    customer) hot customers are split into range segments (``keyed_scan``).
+    leaves them ambiguous). A scan over segments of (customer, order date):
+    the sums of a customer's days need no order's details and have at most a
+    row per calendar day, the channel joins them there, and the orders are
+    shuffled once, by customer and day, so that a customer with a third of all
+    orders is spread over as many tasks as there are days.
     """
-    joined = channel_of_orders(orders, customers).select(
-        "customer_id", "channel", "order_id", "order_date", "total_amount",
+    valued = orders.select(
+        "customer_id", "order_id", "order_date", "total_amount",
         F.col("total_amount").isNotNull().cast("long").alias("_valued"))
-    kwargs = {} if max_rows is None else {"max_rows": max_rows}
-    if skew_safe is None:
-        # Orders per customer before the join bound the group sizes after it.
-        skew_safe = max_group_rows(orders, ["customer_id"]) > kwargs.get("max_rows", DEFAULT_MAX_GROUP_ROWS)
-    scanned = keyed_scan(
-        joined, ["customer_id"], ["order_date", "order_id"],
-        rank_col="order_seq",
-        running={"_cum": "total_amount"},
-        totals={"_sum": "total_amount", "_cnt": "_valued"},
-        skew_safe=skew_safe, **kwargs)
+    scanned = prefix_scan(
+        valued, ["customer_id"], {"_day": F.col("order_date")}, ["order_date", "order_id"],
+        extra=customers.select("customer_id", "channel"),
+        rank_col="order_seq", running={"_cum": "total_amount"},
+        totals={"_sum": "total_amount", "_cnt": "_valued"})
     return scanned.select(
         "customer_id", "channel", "order_id", "order_date", "total_amount",
         F.col("order_seq").cast("long").alias("order_seq"),

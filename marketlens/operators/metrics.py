@@ -2,8 +2,9 @@
 
 Curve metrics first collapse the table to one row per distinct score (positive
 and negative counts, combined map-side), then take running sums in score
-order with ``ordered_prefix`` (quantile buckets + broadcast offsets, never a
-single-task global window). Ties share one threshold, so ROC-AUC equals the
+order with ``ordered_prefix`` (segments by exponent and leading bits, never a
+single-task global window). The input is read once: the counts per score feed
+both the segments' sums and the rows. Ties share one threshold, so ROC-AUC equals the
 Mann-Whitney statistic with half credit for ties, and average precision is
 the step-wise sum (not the trapezoid).
 """
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marketlens.operators.ranking import ordered_prefix
-from marketlens.operators.frames import attach_one_row
 
 _BIG = DecimalType(38, 0)
 
@@ -56,14 +56,14 @@ def average_precision(scored: DataFrame, label: str = "label", score: str = "sco
 
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score plus the (0, 0) start."""
-    cum = _cumulative(scored, label, score)
-    totals = score_counts(scored, label, score).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    points = attach_one_row(cum, totals).select(
+    cum = ordered_prefix(score_counts(scored, label, score), "score", {"tp": "pos", "fp": "neg"},
+                         totals={"_P": "pos", "_N": "neg"})
+    points = cum.select(
         F.col("score").cast("double").alias("threshold"),
         F.try_divide(F.col("fp").cast("double"), F.col("_N").cast("double")).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.col("_P").cast("double")).alias("tpr"))
-    start = totals.select(F.lit(float("inf")).alias("threshold"),
-                          F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    start = scored.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
+                                                F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
 

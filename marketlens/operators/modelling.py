@@ -1,7 +1,7 @@
 """Churn models with Spark ML.
 
 Preparation is plain DataFrame work so it scales and stays checkable:
-a hash-ordered stratified split (exact class shares, no single-task window),
+a hash-ordered stratified split (test rows apportioned by largest remainder, no single-task window),
 balanced class weights from a per-class count, and standardisation with the
 population standard deviation of the training split (one aggregation, joined
 back as a one-row broadcast). The channel is one-hot encoded with Spark ML
@@ -18,7 +18,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
                                TimestampType)
@@ -48,13 +48,33 @@ RUNS_SCHEMA = StructType([
 ])
 
 
+def class_quotas(df: DataFrame, label: str = LABEL, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """(label, quota): the ceil(f * n) test rows apportioned to the classes by largest remainder.
+
+    Every class gets the whole part of its share, and the rows that are left
+    go to the largest fractions (equal ones: the smaller label). In integers,
+    over one row per class.
+    """
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    every = Window.partitionBy(F.lit(0))  # one row per class
+    share = (counts.withColumn("_n", F.sum("_c").over(every))
+             .withColumn("_test", F.ceil(F.lit(test_fraction) * F.col("_n")))
+             .withColumn("_whole", F.expr("_test * _c div _n"))
+             .withColumn("_rest", F.expr("_test * _c % _n"))
+             .withColumn("_left", F.col("_test") - F.sum("_whole").over(every)))
+    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.col("_rest").desc(), F.col(label))
+    extra = (F.row_number().over(by_rest) <= F.col("_left")).cast("long")
+    return share.select(label, (F.col("_whole") + extra).alias("quota"))
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, test_fraction: float = TEST_FRACTION,
                      salt: str = "split", id_col: str = "customer_id") -> DataFrame:
-    """L1: ``split`` = test for the first ceil(f * n_c) rows of each class in
-    ``md5(salt || id)`` order, train otherwise (exact per-class shares)."""
-    ranked = rank_by_hash(df, id_col, salt, by=[label], rank_col="_r", size_col="_n")
-    test = F.col("_r") <= F.ceil(F.lit(test_fraction) * F.col("_n"))
-    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_r", "_n")
+    """L1: ``split`` = test for the first ``class_quotas`` rows of each class in
+    ``md5(salt || id)`` order, train otherwise."""
+    ranked = rank_by_hash(df, id_col, salt, by=[label], rank_col="_r")
+    quotas = class_quotas(df, label, test_fraction)
+    marked = join_null_safe(ranked, quotas, [label], broadcast=True)  # one row per class
+    return marked.withColumn("split", F.when(F.col("_r") <= F.col("quota"), "test").otherwise("train")).drop("_r", "quota")
 
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:

@@ -1,22 +1,19 @@
 """G1: ranks and running sums that never put an unbounded group in one task.
 
 A window with no PARTITION BY, or partitioned by a key that may hold a third of
-all rows, sorts that whole group in a single task. Three building blocks avoid
-it, each by cutting the order into contiguous buckets, counting per bucket
-(aggregation, combined map-side), turning the small per-bucket table into
-offsets, and ranking only inside each bucket:
-
-``rank_by_hash``    order by ``md5(salt || id)``: buckets are hex prefixes of
-                    the hash, uniform by construction; offsets table is at most
-                    ``groups x 16^k`` rows, so broadcasting it has a proven bound.
-``ordered_prefix``  running sums over a numeric order column: buckets are
-                    approximate quantiles (``approxQuantile`` + ``Bucketizer``),
-                    fitted once so every task sees the same literal split points.
-``keyed_scan``      row_number / running sums / totals per key ordered by
-                    arbitrary columns: a plain keyed window when no key is hot,
-                    otherwise range-partitioned segments (hot keys are split by
-                    the sampled range bounds), frozen with ``checkpoint()`` on
-                    the shared checkpoint folder, with per-segment carries.
+all rows, sorts that whole group in a single task. ``prefix_scan`` is one plan
+for all of them, whatever the sizes: the caller names *levels*, expressions that
+cut each key's order into segments fixed by the data (a date, the first digits
+of a hash, the exponent and leading bits of a score), coarse to fine.
+
+1. One aggregation, combined map-side, gives each segment's sums and count.
+2. Per level, a window over the siblings of a segment carries what comes before
+   it; a segment has only as many children as its level has values.
+3. The rows are shuffled once, by key and segment, joined with their segment's
+   carry on that same partitioning, and summed inside the segment.
+
+No job runs while the plan is built, nothing is sampled and nothing is
+checkpointed: the segments depend on each row alone, so recomputed tasks agree.
 """
 
 from __future__ import annotations
@@ -24,11 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.session import ensure_checkpoint_dir
-
-# Largest group a single task may sort in the plain keyed window.
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
                    broadcast: bool = False) -> DataFrame:
@@ -49,150 +41,119 @@ def hash_key(salt: str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(salt), F.col(id_col).cast("string")))
 
 
+def carried(before: Column, own: Column) -> Column:
+    """A running sum continued: NULL only while no value has been seen."""
+    return F.coalesce(before + own, before, own)
+
+
+def _carries(df: DataFrame, keys: list[str], levels: dict[str, Column], values: list[str],
+             descending: bool) -> DataFrame:
+    """Per finest segment: rows and sums before it (``_b_*``) and of its whole key (``_t_*``)."""
+    seg = list(levels)
+    cols = ["_n", *[f"_s_{v}" for v in values]]
+    sums = df.withColumns(levels).groupBy(*keys, *seg).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
+    by_level = [sums]
+    for depth in range(len(seg) - 1, 0, -1):
+        by_level.insert(0, by_level[0].groupBy(*keys, *seg[:depth]).agg(*[F.sum(c).alias(c) for c in cols]))
+    out = None
+    for depth, part in enumerate(by_level):
+        parent = [*keys, *seg[:depth]]
+        order = F.col(seg[depth]).desc() if descending else F.col(seg[depth]).asc()
+        siblings = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        own = part.select(*parent, seg[depth], *[F.sum(c).over(siblings).alias(f"_o{c}") for c in cols], *(
+            [F.sum(c).over(Window.partitionBy(*parent)).alias(f"_t{c}") for c in cols] if depth == 0 else []))
+        if out is None:
+            out = own.withColumnsRenamed({f"_o{c}": f"_b{c}" for c in cols})
+        else:
+            out = join_null_safe(own, out, parent).withColumns(
+                {f"_b{c}": carried(F.col(f"_b{c}"), F.col(f"_o{c}")) for c in cols}).drop(*[f"_o{c}" for c in cols])
+    return out
+
+
+def prefix_scan(df: DataFrame, keys: list[str], levels: dict[str, Column], order: list[str], *,
+                sources: DataFrame | None = None, extra: DataFrame | None = None, descending: bool = False,
+                rank_col: str | None = None, running: dict[str, str] | None = None, inclusive: bool = True,
+                totals: dict[str, str] | None = None, counts: str | None = None) -> DataFrame:
+    """Row numbers, running sums (ROWS frame), key totals and counts of ``df``.
+
+    ``levels`` maps segment columns, coarse to fine, to expressions that never
+    decrease along ``order`` (never increase, if ``descending``) within a key.
+    The rows of one finest segment are summed in one task, so its size is the
+    caller's bound. ``running`` and ``totals`` map output to input columns;
+    without ``inclusive`` the current row is left out. NULL keys and segments
+    are groups of their own. ``sources``, if given, is what the sums come from
+    (``df`` with rows that were not joined away yet, for instance), and
+    ``extra`` holds a row per key whose columns are added: keys it doesn't
+    know drop out. Both spare a shuffle of the rows.
+    """
+    running, totals = running or {}, totals or {}
+    values = sorted(set(running.values()) | set(totals.values()))
+    carry = _carries(df if sources is None else sources, keys, levels, values, descending)
+    if extra is not None:
+        carry = carry.join(extra, keys)
+    seg = list(levels)
+    cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    local = Window.partitionBy(*keys, *seg).orderBy(*cols)
+    rows = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = join_null_safe(df.withColumns(levels), carry, [*keys, *seg])
+    if rank_col:
+        out = out.withColumn(rank_col, (F.coalesce("_b_n", F.lit(0)) + F.row_number().over(local)).cast("long"))
+    for name, c in running.items():
+        out = out.withColumn(name, carried(F.col(f"_b_s_{c}"), F.sum(c).over(rows)))
+    for name, c in totals.items():
+        out = out.withColumn(name, F.col(f"_t_s_{c}"))
+    if counts:
+        out = out.withColumn(counts, F.col("_t_n").cast("long"))
+    helpers = [f"{side}{c}" for side in ("_b", "_t") for c in ("_n", *[f"_s_{v}" for v in values])]
+    return out.drop(*seg, *helpers)
+
+
 def rank_by_hash(df: DataFrame, id_col: str, salt: str, by: list[str] | None = None,
                  rank_col: str = "rank", size_col: str | None = None,
-                 prefix_len: int = 3) -> DataFrame:
+                 digits: tuple[int, ...] = (3, 2)) -> DataFrame:
     """Dense 1-based rank of rows ordered by ``md5(salt || id)`` (ties by id)
     within each ``by`` group; optionally the group size.
 
-    ``by`` must have few distinct values (labels, experiments): the offsets
-    table has at most ``groups * 16**prefix_len`` rows.
+    ``by`` may have any number of values; the levels are runs of hex ``digits``
+    of the hash, uniform by construction (a million segments by default).
     """
     by = list(by or [])
-    h = "_h"
-    b = "_hb"
-    keyed = df.withColumn(h, hash_key(salt, id_col)).withColumn(
-        b, F.conv(F.substring(h, 1, prefix_len), 16, 10).cast("int"))
-    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *by, b,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("_size"),
-    )
-    local = Window.partitionBy(*by, b).orderBy(h, id_col)
-    out = (join_null_safe(keyed, offsets, [*by, b], broadcast=True)
-           .withColumn(rank_col, (F.col("_off") + F.row_number().over(local)).cast("long")))
-    if size_col:
-        out = out.withColumn(size_col, F.col("_size").cast("long"))
-    return out.drop(h, b, "_off", "_size")
+    keyed = df.withColumn("_h", hash_key(salt, id_col))
+    at, levels = 1, {}
+    for i, n in enumerate(digits):
+        levels[f"_d{i}"] = F.substring("_h", at, n)
+        at += n
+    if not by:  # one key for all rows
+        keyed, by = keyed.withColumn("_all", F.lit(0)), ["_all"]
+    out = prefix_scan(keyed, by, levels, ["_h", id_col], rank_col=rank_col, counts=size_col)
+    return out.drop("_h", "_all")
+
+
+def number_levels(value: Column, bits: int = 20) -> dict[str, Column]:
+    """Two levels that grow with a number: its signed exponent, then the leading ``bits`` of the rest.
+
+    A level-one segment has at most 2**(bits + 1) children, and scores that
+    crowd into one exponent are split again by the second level. NULL is a
+    segment of its own; NaN is not ordered and has to be excluded.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    limit = F.lit(float("inf"))
+    exponent = F.when(size == limit, F.lit(2000)).otherwise(F.floor(F.log2(F.when((size > 0) & (size < limit), size))).cast("int"))
+    signed = F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * (exponent + 3000))
+    rest = F.when((size > 0) & (size < limit), x / F.pow(F.lit(2.0), exponent.cast("double"))).otherwise(F.lit(0.0))
+    return {"_e": signed, "_m": F.when(x.isNotNull(), F.floor(rest * F.lit(float(1 << bits))).cast("long"))}
 
 
 def ordered_prefix(df: DataFrame, order_col: str, sums: dict[str, str],
                    descending: bool = True, inclusive: bool = True,
-                   n_buckets: int = 256) -> DataFrame:
-    """Running sums over ``order_col`` (one row per distinct value expected).
+                   totals: dict[str, str] | None = None) -> DataFrame:
+    """Running sums over a numeric ``order_col`` (one row per distinct value expected).
 
-    ``sums`` maps output column -> input column. With ``inclusive`` the
-    current row is included (``<=``), otherwise only strictly earlier rows.
-    The input is read twice (split points, then sums), so it is written once
-    to the shared checkpoint folder instead of being recomputed.
+    ``sums`` maps output to input columns. With ``inclusive`` the current row
+    counts, otherwise strictly earlier rows only; an empty sum is 0.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    b = "_qb"
-    ensure_checkpoint_dir(df.sparkSession)
-    src = df.withColumn("_ord", F.col(order_col).cast("double")).checkpoint(eager=True)
-    # At most n_buckets - 1 split points come back to the driver (a bounded
-    # list, like a range partitioner's sample); an empty input gets one bucket.
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    inner = sorted(set(src.approxQuantile("_ord", probs, 1e-3)))
-    inner = [x for x in inner if x == x] or [0.0]  # Bucketizer needs >= 3 splits
-    splits = [float("-inf")] + inner + [float("inf")]
-    model = Bucketizer(splits=splits, inputCol="_ord", outputCol=b, handleInvalid="keep")
-    bucketed = model.transform(src).withColumn(
-        b, (-F.col(b) if descending else F.col(b)).cast("int"))
-    totals = bucketed.groupBy(b).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # <= n_buckets rows
-    offsets = totals.select(b, *[
-        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
-        for c in sums.values()])
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    frame = (Window.partitionBy(b).orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = join_null_safe(bucketed, offsets, [b], broadcast=True)
-    for name, c in sums.items():
-        out = out.withColumn(
-            name, F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    return out.drop(b, "_ord", *[f"_o_{c}" for c in sums.values()])
-
-
-def max_group_rows(df: DataFrame, keys: list[str]) -> int:
-    """Size of the largest key group (one aggregation, combined map-side)."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def keyed_scan(df: DataFrame, keys: list[str], order: list[str],
-               rank_col: str | None = None,
-               running: dict[str, str] | None = None,
-               totals: dict[str, str] | None = None,
-               counts: str | None = None,
-               skew_safe: bool | None = None,
-               max_rows: int = DEFAULT_MAX_GROUP_ROWS,
-               segments: int | None = None) -> DataFrame:
-    """Per-key row_number / running sums (ROWS frame) / whole-group totals.
-
-    ``running`` and ``totals`` map output -> input column; ``counts`` names a
-    whole-group row count. ``skew_safe=None`` measures the largest group and
-    switches to the segmented plan only when it exceeds ``max_rows``.
-    """
-    running = running or {}
-    totals = totals or {}
-    if skew_safe is None:
-        skew_safe = max_group_rows(df, keys) > max_rows
-    if not skew_safe:
-        w_order = Window.partitionBy(*keys).orderBy(*order)
-        w_rows = w_order.rowsBetween(Window.unboundedPreceding, 0)
-        w_all = Window.partitionBy(*keys)
-        out = df
-        if rank_col:
-            out = out.withColumn(rank_col, F.row_number().over(w_order).cast("long"))
-        for name, c in running.items():
-            out = out.withColumn(name, F.sum(c).over(w_rows))
-        for name, c in totals.items():
-            out = out.withColumn(name, F.sum(c).over(w_all))
-        if counts:
-            out = out.withColumn(counts, F.count(F.lit(1)).over(w_all))
-        return out
-    return _segmented_scan(df, keys, order, rank_col, running, totals, counts, segments)
-
-
-def _segmented_scan(df, keys, order, rank_col, running, totals, counts, segments):
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = sorted(set(running.values()) | set(totals.values()))
-    # Range bounds are sampled over (keys, order), so a hot key spans many
-    # segments. The checkpoint freezes segment ids (reliable storage, survives
-    # executor loss) so the carries and the rows can never disagree.
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(o) for o in order])
-              .withColumn("_seg", F.spark_partition_id())
-              .checkpoint(eager=True))
-    pieces = ranged.groupBy("_seg", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    carries = pieces.select(
-        "_seg", *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
-        F.sum("_n").over(whole).alias("_t_n"),
-        *[F.sum(f"_s_{v}").over(before).alias(f"_o_{v}") for v in values],
-        *[F.sum(f"_s_{v}").over(whole).alias(f"_t_{v}") for v in values],
-    )
-    local = Window.partitionBy("_seg", *keys).orderBy(*order)
-    rows = local.rowsBetween(Window.unboundedPreceding, 0)
-    # Null-safe on the keys: a NULL key is a group of its own, never dropped.
-    out = join_null_safe(ranged, carries, ["_seg", *keys])
-    if rank_col:
-        out = out.withColumn(rank_col, (F.col("_o_n") + F.row_number().over(local)).cast("long"))
-    for name, c in running.items():
-        # NULL only while no value has been seen, as one window over the whole key gives.
-        own, carry = F.sum(c).over(rows), F.col(f"_o_{c}")
-        out = out.withColumn(name, F.coalesce(carry + own, carry, own))
-    for name, c in totals.items():
-        out = out.withColumn(name, F.col(f"_t_{c}"))
-    if counts:
-        out = out.withColumn(counts, F.col("_t_n"))
-    helper = ["_seg", "_o_n", "_t_n"] + [f"_o_{v}" for v in values] + [f"_t_{v}" for v in values]
-    return out.drop(*helper)
+    out = prefix_scan(df.withColumn("_all", F.lit(0)), ["_all"], number_levels(F.col(order_col)), [order_col],
+                      descending=descending, running=sums, inclusive=inclusive, totals=totals)
+    return out.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in sums}).drop("_all")

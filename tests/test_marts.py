@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 import pytest
-from helpers import d, make_customers, make_orders, make_spend
+from helpers import d, make_customers, make_orders, make_spend, money
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from marketlens.operators import insights, marts
+from marketlens.sources.staging import ORDERS
 
 
 def econ_rows(spark, customers, orders, spend):
@@ -70,14 +74,35 @@ def test_ltv_same_day_orders_ordered_by_id_with_row_frame(spark):
                                  (12, 1, "2025-01-15", 5), (20, 2, "2025-03-01", 1.00),
                                  (21, 2, "2025-03-02", 1.01),
                                  (99, 7, "2025-03-01", 3)])
-    for skew_safe in (False, True):
-        out = {r.order_id: r for r in marts.customer_ltv(customers, orders, skew_safe=skew_safe).collect()}
-        assert set(out) == {10, 11, 12, 20, 21}      # orphan order 99 dropped
-        assert [out[i].order_seq for i in (12, 10, 11)] == [1, 2, 3]
-        assert [out[i].cumulative_revenue for i in (12, 10, 11)] == [
-            Decimal("5.00"), Decimal("25.00"), Decimal("35.00")]
-        assert out[10].avg_order_value == Decimal("11.67")
-        assert out[20].avg_order_value == Decimal("1.01")   # 1.005 -> half away from zero
+    out = {r.order_id: r for r in marts.customer_ltv(customers, orders).collect()}
+    assert set(out) == {10, 11, 12, 20, 21}      # orphan order 99 dropped
+    assert [out[i].order_seq for i in (12, 10, 11)] == [1, 2, 3]
+    assert [out[i].cumulative_revenue for i in (12, 10, 11)] == [
+        Decimal("5.00"), Decimal("25.00"), Decimal("35.00")]
+    assert out[10].avg_order_value == Decimal("11.67")
+    assert out[20].avg_order_value == Decimal("1.01")   # 1.005 -> half away from zero
+
+
+def test_ltv_of_a_customer_with_a_third_of_all_orders_and_null_amounts(spark):
+    """Against one window per customer over the joined rows."""
+    rng = random.Random(5)
+    customers = make_customers(spark, [(i, ("seo", "email")[i % 2], "2024-01-01") for i in range(1, 40)])
+    rows = [(n, 1 if n % 3 == 0 else rng.randint(2, 45), d(f"2025-{1 + n % 3:02d}-{1 + rng.randint(0, 27):02d}"),
+             None if rng.random() < .2 else money(rng.randint(1, 9999) / 100)) for n in range(1, 1200)]
+    rows += [(5000 + i, 39, d("2025-01-01"), None) for i in range(3)]  # amounts are never known
+    orders = spark.createDataFrame(rows, ORDERS)
+    joined = orders.join(customers, "customer_id")
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    want = joined.select(
+        "customer_id", "channel", "order_id", "order_date", "total_amount",
+        F.row_number().over(w).cast("long").alias("order_seq"),
+        F.sum("total_amount").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(22,2)").alias("cumulative_revenue"),
+        F.round(F.avg(F.col("total_amount").cast("decimal(30,10)")).over(Window.partitionBy("customer_id")), 2)
+        .cast("decimal(38,2)").alias("avg_order_value"))
+    got = marts.customer_ltv(customers, orders)
+    key = lambda r: tuple(r)[2]
+    assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+    assert got.where("customer_id = 1").count() == 399
 
 
 def test_retention_counts_all_signups_drops_pre_signup_and_uses_calendar_months(spark):

@@ -32,6 +32,16 @@ def test_stratified_split_exact_shares(spark, feats):
     assert split.exceptAll(again).count() == 0
 
 
+@pytest.mark.parametrize("sizes, fraction, want", [
+    ({0: 183, 1: 17}, 0.25, {0: 46, 1: 4}), ({0: 150, 1: 51}, 0.25, {0: 38, 1: 13}), ({0: 3, 1: 3, 2: 3}, 0.25, {0: 1, 1: 1, 2: 1}),
+    ({0: 5, 1: 5}, 0.25, {0: 2, 1: 1}), ({0: 1, 1: 1}, 0.25, {0: 1, 1: 0}), ({0: 7}, 0.5, {0: 4}), ({0: 6, 1: 4}, 0.0, {0: 0, 1: 0})])
+def test_split_apportions_the_test_rows_by_largest_remainder(spark, sizes, fraction, want):
+    rows = [(1000 * c + i, c) for c, n in sizes.items() for i in range(n)]
+    split = modelling.stratified_split(spark.createDataFrame(rows, "customer_id long, churned int"), test_fraction=fraction)
+    got = {r.churned: r.n for r in split.groupBy("churned").agg(F.sum((F.col("split") == "test").cast("int")).alias("n")).collect()}
+    assert got == want and sum(want.values()) == math.ceil(fraction * len(rows))
+
+
 def test_class_weights_balanced(spark, feats):
     w = {r.churned: (r.class_count, r.weight) for r in modelling.class_weights(feats).collect()}
     assert w[1] == (80, 400 / (2 * 80)) and w[0] == (320, 400 / (2 * 320))

@@ -23,45 +23,93 @@ def test_rank_by_hash_matches_global_sort(spark):
 
 def test_ordered_prefix_matches_brute_force(spark):
     rng = random.Random(3)
-    vals = sorted({round(rng.random(), 3) for _ in range(900)})
-    rows = [(v, rng.randint(0, 5)) for v in vals]
-    df = spark.createDataFrame(rows, "s double, w long")
-    got = {r.s: (r.incl,) for r in ranking.ordered_prefix(df, "s", {"incl": "w"}, n_buckets=16).collect()}
-    exc = {r.s: r.exc for r in ranking.ordered_prefix(df, "s", {"exc": "w"}, inclusive=False,
-                                                         n_buckets=16).collect()}
-    for v, _ in rows:
-        assert got[v][0] == sum(w for s, w in rows if s >= v)
-        assert exc[v] == sum(w for s, w in rows if s > v)
-
-
-def test_keyed_scan_segmented_equals_plain_on_a_hot_key(spark):
+    vals = sorted({round(rng.random(), 3) for _ in range(900)} | {0.0, -0.5, -3.25, 1e-300, -1e-300, 5e-324, 1e300,
+                                                                  float("inf"), float("-inf"), 1.0, 2.0, -2.0}
+                  | {0.7 + k * 1e-9 for k in range(200)} | {-k for k in range(1, 40)})
+    rows = [(float(v), rng.randint(0, 5)) for v in vals]
+    df = spark.createDataFrame(rows, "s double, w long").repartition(5)
+    for descending in (True, False):
+        ahead = (lambda s, v: s > v) if descending else (lambda s, v: s < v)
+        incl = {r.s: r.a for r in ranking.ordered_prefix(df, "s", {"a": "w"}, descending=descending).collect()}
+        out = ranking.ordered_prefix(df, "s", {"a": "w"}, descending=descending, inclusive=False, totals={"t": "w"})
+        excl = {r.s: (r.a, r.t) for r in out.collect()}
+        for v, w in rows:
+            before = sum(x for s, x in rows if ahead(s, v))
+            assert excl[v] == (before, sum(x for _, x in rows)) and incl[v] == before + w
+
+
+def test_number_levels_never_fall_and_split_crowded_scores(spark):
+    rng = random.Random(1)
+    vals = sorted({rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(2000)}
+                  | {2.0 ** k * (1 + d * 2 ** -52) for k in range(-60, 60) for d in (-1, 0, 1)}
+                  | {0.9 + i * 1e-7 for i in range(500)} | {0.0, float("inf"), float("-inf")})
+    levels = ranking.number_levels(F.col("s"))
+    out = (spark.createDataFrame([(v,) for v in vals], "s double").withColumns(levels).collect())
+    tags = [(r["_e"], r["_m"]) for r in sorted(out, key=lambda r: r.s)]
+    assert tags == sorted(tags)
+    crowded = {(r["_e"], r["_m"]) for r in out if 0.9 <= r.s < 0.90005}
+    assert len(crowded) > 50
+
+
+def brute_scan(rows):
+    """(k, day, oid, v) -> (row number, running sum, total, count), NULL while no value was seen."""
+    none_first = lambda x: (x is not None, x or 0)
+    out = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (none_first(r[1]), none_first(r[2])))
+        total = None
+        for r in own:
+            total = total if r[3] is None else (total or 0) + r[3]
+        run = None
+        for n, r in enumerate(own, 1):
+            run = run if r[3] is None else (run or 0) + r[3]
+            out[(r[0], r[2])] = (n, run, total, len(own))
+    return out
+
+
+def scan(df, levels):
+    out = ranking.prefix_scan(df, ["k"], levels, ["day", "oid"], rank_col="rn", running={"cum": "v"},
+                              totals={"tot": "v"}, counts="cnt")
+    assert set(out.columns) == {"k", "day", "oid", "v", "rn", "cum", "tot", "cnt"}
+    return {(r.k, r.oid): (r.rn, r.cum, r.tot, r.cnt) for r in out.collect()}
+
+
+def level_sets():
+    return [{"_day": F.col("day")}, {"_week": F.floor(F.col("day") / 7), "_day": F.col("day")},
+            {"_day": F.col("day"), "_ids": F.floor(F.col("oid") / 16)}]
+
+
+def test_prefix_scan_on_a_key_with_a_third_of_all_rows(spark):
     rng = random.Random(11)
-    # key 1 holds a third of all rows; others are small
-    rows = [(1 if n % 3 == 0 else rng.randint(2, 60), rng.randint(0, 40), n, rng.randint(1, 9))
-            for n in range(3000)]
-    df = spark.createDataFrame(rows, "k long, day long, oid long, v long")
-    kwargs = dict(rank_col="rn", running={"cum": "v"}, totals={"tot": "v"}, counts="cnt")
-    plain = ranking.keyed_scan(df, ["k"], ["day", "oid"], skew_safe=False, **kwargs)
-    split = ranking.keyed_scan(df, ["k"], ["day", "oid"], skew_safe=True, segments=16, **kwargs)
-    cols = ["k", "oid", "rn", "cum", "tot", "cnt"]
-    a = sorted(tuple(r) for r in plain.select(*cols).collect())
-    b = sorted(tuple(r) for r in split.select(*cols).collect())
-    assert a == b
-    # automatic choice: a 1000-row group exceeds max_rows=100 -> segmented plan
-    auto = ranking.keyed_scan(df, ["k"], ["day", "oid"], max_rows=100, **kwargs)
-    assert sorted(tuple(r) for r in auto.select(*cols).collect()) == a
-    assert ranking.max_group_rows(df, ["k"]) == 1000
-    assert split.where(F.col("k") == 1).agg(F.max("rn")).first()[0] == 1000
-
-
-def test_keyed_scan_keeps_null_keys(spark):
-    rows = [(None, 1, 1, 5), (None, 2, 2, 7), (1, 1, 3, 1), (1, 2, 4, 2)]
-    df = spark.createDataFrame(rows, "k long, day long, oid long, v long")
-    kwargs = dict(rank_col="rn", running={"cum": "v"}, counts="cnt")
-    for safe in (False, True):
-        out = sorted((r.oid, r.rn, r.cum, r.cnt) for r in
-                     ranking.keyed_scan(df, ["k"], ["day", "oid"], skew_safe=safe, segments=3, **kwargs).collect())
-        assert out == [(1, 1, 5, 2), (2, 2, 12, 2), (3, 1, 1, 2), (4, 2, 3, 2)]
+    rows = [(1 if n % 3 == 0 else rng.randint(2, 60), rng.randint(0, 40), n, rng.choice([None, 1, 5, -3]))
+            for n in range(1500)]
+    rows += [(70, 1, 5000, None), (70, 2, 5001, None), (None, 3, 5002, 4), (None, 1, 5003, None), (None, None, 5004, 2),
+             (71, None, 5005, 1), (71, 0, 5006, 2)]
+    df = spark.createDataFrame(rows, "k long, day long, oid long, v long").repartition(6)
+    want = brute_scan(rows)
+    for levels in level_sets():
+        assert scan(df, levels) == want
+
+
+def test_prefix_scan_of_nothing_and_with_extra_columns(spark):
+    schema = "k long, day long, oid long, v long"
+    assert scan(spark.createDataFrame([], schema), {"_day": F.col("day")}) == {}
+    rows = [(1, 1, 1, 5), (2, 1, 2, 6), (None, 1, 3, 7)]
+    names = spark.createDataFrame([(1, "one")], "k long, name string")
+    out = ranking.prefix_scan(spark.createDataFrame(rows, schema), ["k"], {"_day": F.col("day")}, ["day", "oid"],
+                              extra=names, running={"cum": "v"}).collect()
+    assert [(r.k, r.name, r.cum) for r in out] == [(1, "one", 5)]  # keys that the names don't know drop out
+
+
+def test_scan_builds_one_plan_without_jobs(spark):
+    """No job, sample or checkpoint while the plan is built; rows are shuffled by key and segment."""
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id % 11 AS day", "id AS oid", "id AS v")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("scan-plan", "plan only")
+    ranking.prefix_scan(df, ["k"], {"_day": F.col("day")}, ["day", "oid"], rank_col="rn", running={"cum": "v"})
+    ranking.ordered_prefix(df.select("oid", "v"), "oid", {"cum": "v"})
+    assert not tracker.getJobIdsForGroup("scan-plan")
+    spark.sparkContext.setJobGroup("", "")
 
 
 def test_rank_by_hash_and_prefix_keep_null_groups(spark):
@@ -71,15 +119,5 @@ def test_rank_by_hash_and_prefix_keep_null_groups(spark):
     assert sorted(r["rank"] for r in out if r.grp is None) == [1, 2]
     assert sorted(r.size for r in out) == [2, 2, 2, 2]
     scores = spark.createDataFrame([(None, 1), (0.5, 2), (0.7, 3)], "s double, w long")
-    pref = ranking.ordered_prefix(scores, "s", {"cum": "w"}, n_buckets=4).collect()
-    assert len(pref) == 3
-
-
-def test_segmented_scan_equals_one_window_on_nulls(spark):
-    from marketlens.operators.ranking import keyed_scan
-    rows = [(1, i, None if i % 3 == 0 else 10 * i) for i in range(60)] + [(2, i, None) for i in range(5)]
-    df = spark.createDataFrame(rows, "k long, o long, v long")
-    scan = lambda safe: sorted(tuple(r) for r in keyed_scan(
-        df, ["k"], ["o"], running={"run": "v"}, totals={"all": "v"}, skew_safe=safe, segments=12)
-        .select("k", "o", F.coalesce("run", F.lit(-1)), F.coalesce("all", F.lit(-1))).collect())
-    assert scan(True) == scan(False)
+    pref = ranking.ordered_prefix(scores, "s", {"cum": "w"}).collect()
+    assert {r.s: r.cum for r in pref} == {0.7: 3, 0.5: 5, None: 6}
