@@ -104,8 +104,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from marketlens.llm import decontaminate, lexical
-    return {"op1_exact_topk": OP1_SQL, "op2_decontamination": decontaminate.SQL, "op12_lexical_search": lexical.SQL}
+    from marketlens.llm import decontaminate, lexical, repeats
+    return {"op1_exact_topk": OP1_SQL, "op2_decontamination": decontaminate.SQL, "op12_lexical_search": lexical.SQL,
+            "op13_repeated_bytes": repeats.SQL}
 
 
 OP1_SQL = """

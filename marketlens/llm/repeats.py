@@ -19,10 +19,13 @@ else, in another text or the same one. Bytes are those of UTF-8; matches stay in
 4. Marks go back to the part that sent the region (all others hold a copy, and know it), and
    are merged text by text.
 
-An anchor with more than ``HOT_REGIONS`` different regions (a common passage) is split: its
-regions go through step 2 again as single windows, whose groups have one string each. Texts
-are stored once, bucketed by part, and never shuffled: only hashes, verdicts and the regions
-that need the index are. No part, bucket or group grows with the corpus.
+An anchor with more than ``HOT_REGIONS`` different regions (a common passage) is split: each of
+its regions is cut by the anchor's offset in the window, into two, then four, ... ranges of
+offsets, and the pieces go through steps 2 to 4 like texts of their own. The windows of a piece
+share more bytes than the anchor, and those, hashed, are its new anchor; after eight rounds a
+piece is a single window. Texts are stored once, bucketed by part, and never shuffled: only
+hashes, verdicts and the regions that need the index are. No part, bucket or group grows with
+the corpus.
 
 Defined cases: null and empty texts are empty and keep nothing; texts shorter than
 ``length`` bytes are kept; rows that repeat remove each other whole, if long enough; very
@@ -47,11 +50,12 @@ from marketlens.session import scratch_path
 LENGTH = 200
 GRAM = 32
 #: Window starts that are hashed at once, and windows in a region at most.
-STRIDE, REGION = 1 << 17, 512
-PART_BYTES = 32 << 20
+STRIDE, REGION = 1 << 16, 512
+PART_BYTES = 12 << 20
 BUCKET_ENTRIES = 400_000
-INDEX_BYTES = 1_500_000
+INDEX_BYTES = 400_000
 HOT_REGIONS = 2048
+OFFSET_BITS = 8  # offsets of an anchor in its window are below 2**OFFSET_BITS
 #: Spark's own limit for a table; a bucket then has several parts, which stay groups of their own.
 MOST_BUCKETS = 100_000
 NOBODY, COPIES, SENDS, SPLIT = range(4)
@@ -105,6 +109,28 @@ def regions(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
     return lo, hi, _mixed(anchor), periodic
 
 
+def pieces(raw: bytes, level: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor, periodic) of a region's pieces, like ``regions``.
+
+    A piece is a run of windows around the same occurrence of the anchor, with offsets in the
+    same one of 2**level ranges; its anchor is the hash of the bytes that all such windows share.
+    """
+    n = len(raw) - length + 1
+    grams = _gram_hashes(np.frombuffer(raw, dtype=np.uint8))
+    found = np.flatnonzero(grams == grams.min())
+    start = np.arange(n)
+    here = found[np.searchsorted(found, start)]  # the anchor's first occurrence in each window
+    shift = OFFSET_BITS - level
+    part = (here - start) >> shift
+    new = np.ones(n, dtype=bool)
+    new[1:] = (part[1:] != part[:-1]) | (here[1:] != here[:-1])
+    lo = np.flatnonzero(new)
+    low = part[lo] << shift
+    cores = [raw[g - a:g - a - (1 << shift) + 1 + length] for g, a in zip(here[lo].tolist(), low.tolist())]
+    anchor = np.fromiter((xxhash.xxh3_64_intdigest(c, seed=a + 1) for c, a in zip(cores, low.tolist())), dtype=np.uint64, count=len(lo))
+    return lo, np.append(lo[1:], n) - 1, anchor, np.zeros(len(lo), dtype=bool)
+
+
 def _entries(anchor: np.ndarray, own: np.ndarray, periodic: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The distinct (anchor, hash, flags) of a part in order, and each region's place among them."""
     order = np.lexsort((own, anchor))
@@ -127,8 +153,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 TEXTS = "part long, no int, id {kind}, raw binary, lo binary, hi binary, place binary, entries binary"
 
 
-def _parse(length: int, kind: pa.DataType):
-    """Rows of texts with their regions; after a part's texts, a row with its entries."""
+def _parse(length: int, kind: pa.DataType, level: int):
+    """Rows of texts with their regions (pieces of regions, above level 0); after a part's texts, a row with its entries."""
     from pyspark import TaskContext
     names = ["part", "no", "id", "raw", "lo", "hi", "place", "entries"]
     types = [pa.int64(), pa.int32(), kind, pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -154,7 +180,7 @@ def _parse(length: int, kind: pa.DataType):
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 raw = raw or b""
-                lo, hi, anchor, periodic = regions(raw, length)
+                lo, hi, anchor, periodic = pieces(raw, level, length) if level else regions(raw, length)
                 own = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:e + length]) for a, e in zip(lo.tolist(), hi.tolist())),
                                   dtype=np.uint64, count=len(lo))
                 held.append((doc, raw, lo, hi, anchor, own, periodic))
@@ -253,57 +279,65 @@ def _cases(length: int):
 class RunIndex:
     """Runs of the Burrows-Wheeler transform of several strings, with the LCPs sampled at their heads and ends."""
 
-    FIRST = 7  # symbols of nine bits that fit one key
-
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(x) for x in strings], dtype=np.int64)
         self.ends = np.cumsum(sizes + 1) - 1  # each string's separator
         self.starts = self.ends - sizes
-        n = int(self.ends[-1]) + 1
-        sym = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
-        sym[self.ends] = 0
-        self.n, self.sym = n, sym
+        self.n = int(self.ends[-1]) + 1
+        text = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
+        number = np.cumsum(np.bincount(text, minlength=256) > 0)  # bytes that occur, from 1
+        self.sym = number[text].astype(np.int32)
+        self.sym[self.ends] = 0
         self.sep = np.repeat(self.ends, sizes + 1)  # where the string of each position ends
-        self._order()
+        self._order(int(number[-1]))
         self._runs()
 
     def _ahead(self, x: np.ndarray, h: int) -> np.ndarray:
         """``x`` from ``h`` positions on, never past the separator."""
-        return x[np.minimum(np.arange(self.n) + h, self.sep)]
-
-    @staticmethod
-    def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(len(key), dtype=np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return rank, int(new.sum())
-
-    def _order(self) -> None:
-        """Ranks of the first 7, 14, 28, ... symbols, until they tell all strings apart or nothing changes."""
-        key = np.zeros(self.n, dtype=np.int64)
-        for j in range(self.FIRST):
-            key = key * 512 + self._ahead(self.sym, j)
-        rank, distinct = self._ranks(key)
-        self.levels, h, longest = [(self.FIRST, rank)], self.FIRST, int((self.ends - self.starts).max()) + 1
+        return x[np.minimum(self._here + h, self.sep)]
+
+    def _ranks(self, key: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+        """Equal keys get equal ranks; sorts (key, position) as one number, so that equal keys stay in text order."""
+        if bits + self._bits <= 64:
+            both = np.sort(key << np.uint64(self._bits) | self._here.astype(np.uint64))
+            self.sa = (both & np.uint64((1 << self._bits) - 1)).astype(np.int64)
+            ordered = both >> np.uint64(self._bits)
+        else:
+            self.sa = np.argsort(key, kind="stable")
+            ordered = key[self.sa]
+        new = np.empty(self.n, dtype=bool)
+        new[0] = False
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        rank = np.empty(self.n, dtype=np.int32)
+        rank[self.sa] = np.cumsum(new, dtype=np.int32)
+        return rank, int(rank[self.sa[-1]]) + 1
+
+    def _order(self, symbols: int) -> None:
+        """Ranks of the first h, 2h, 4h, ... symbols, until they reach every string's end."""
+        self._here, self._bits = np.arange(self.n), max(1, self.n.bit_length())
+        wide = symbols.bit_length()
+        h = max(1, (64 - self._bits) // wide)
+        key = self.sym.astype(np.uint64)
+        for k in range(1, h):
+            key = key << np.uint64(wide) | self._ahead(self.sym, k).astype(np.uint64)
+        rank, distinct = self._ranks(key, h * wide)
+        self.levels, longest = [(h, rank)], int((self.ends - self.starts).max()) + 1
         while h < longest and distinct < self.n:
-            rank, more = self._ranks(rank * (distinct + 1) + self._ahead(rank, h))
+            b = distinct.bit_length()
+            rank, distinct = self._ranks(rank.astype(np.uint64) << np.uint64(b) | self._ahead(rank, h).astype(np.uint64), 2 * b)
             h *= 2
             self.levels.append((h, rank))
-            distinct = more
-        self.sa = np.argsort(rank, kind="stable")  # equal suffixes by position
+        self._first = self.levels[0][0]
 
     def _lcp(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common length of the suffixes at ``a`` and ``b``, from the ranks of every level."""
-        most = np.minimum(self.sep[a] - a, self.sep[b] - b)
-        x, y, got = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
-        for h, rank in [*self.levels[::-1], *[(1, self.sym)] * (self.FIRST - 1)]:
-            same = rank[x] == rank[y]
-            got += h * same
-            x = np.where(same, np.minimum(x + h, self.sep[a]), x)
-            y = np.where(same, np.minimum(y + h, self.sep[b]), y)
+        end_a, end_b = self.sep[a], self.sep[b]
+        most = np.minimum(end_a - a, end_b - b)
+        x, y, got = a, b, np.zeros(len(a), dtype=np.int64)
+        for h, rank in [*self.levels[::-1], *[(1, self.sym)] * (self._first - 1)]:
+            step = h * (rank[x] == rank[y])
+            got += step
+            x, y = np.minimum(x + step, end_a), np.minimum(y + step, end_b)
         return np.minimum(got, most)
 
     def _runs(self) -> None:
@@ -315,15 +349,15 @@ class RunIndex:
         self.runs = len(heads)
         zero = np.zeros(1, dtype=np.int64)
         self.head_at, self.tail_at = self.sa[heads], self.sa[tails]
-        self.head_lcp = np.concatenate([zero, self._lcp(self.sa[heads[1:] - 1], self.sa[heads[1:]])])
-        self.tail_lcp = np.concatenate([self._lcp(self.sa[tails[:-1]], self.sa[tails[:-1] + 1]), zero])
+        seams = self._lcp(self.sa[heads[1:] - 1], self.sa[heads[1:]])  # a run's end meets the next one's head
+        self.head_lcp, self.tail_lcp = np.concatenate([zero, seams]), np.concatenate([seams, zero])
 
     def _streamed(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Samples carried on in text order, one less at each position without a sample."""
         found = np.full(self.n, -1, dtype=np.int64)
         found[at] = value
-        last = np.maximum.accumulate(np.where(found >= 0, np.arange(self.n), -1))
-        return found[last] - (np.arange(self.n) - last)
+        last = np.maximum.accumulate(np.where(found >= 0, self._here, -1))
+        return found[last] - (self._here - last)
 
     def matching_statistics(self) -> np.ndarray:
         """The longest match of every position's suffix that starts elsewhere in the strings."""
@@ -346,31 +380,37 @@ def _indexed(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every window of the regions of a split anchor, by 128 bits: (part, place, at, w1, w2)."""
-    def run(batches):
-        for b in batches:
-            rows = []
-            for part, place, region in zip(*(b.column(c).to_pylist() for c in ("part", "place", "region"))):
-                for at in range(len(region) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(region[at:at + length])
-                    rows.append((part, place, at, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
-                names=["part", "place", "at", "w1", "w2"])
-    return run
+def _known(texts: pa.Table, marks: pa.Table) -> tuple[np.ndarray, dict[int, list]]:
+    """Of a part's entries: whether all windows are repeated, and the repeated ones of others."""
+    blob = next((x for x in texts["entries"].to_pylist() if x is not None), b"")
+    said = _said(len(blob) // 17, marks)
+    masks: dict[int, list] = {}
+    for e, m in zip(marks["first"].to_pylist(), marks["mask"].to_pylist()):
+        if m is not None:
+            masks.setdefault(e, []).append(np.frombuffer(m, dtype=np.int32))
+    return (said & 7 == COPIES) | (said >= REPEATED), masks
+
+
+def _repeated(texts: pa.Table, marks: pa.Table) -> pa.Table:
+    """(part, first, mask): the repeated windows of split regions, from their pieces; their ids say whose they are."""
+    whole, masks = _known(texts, marks)
+    out = []
+    for no, doc, lo, hi, place in zip(*(texts[c].to_pylist() for c in ("no", "id", "lo", "hi", "place"))):
+        if no < 0:
+            continue
+        p, lo, hi = (np.frombuffer(x, dtype=np.int32) for x in (place, lo, hi))
+        found = [np.arange(lo[i], hi[i] + 1) for i in np.flatnonzero(whole[p])]
+        found += [lo[i] + m for i in np.flatnonzero(~whole[p]) for m in masks.get(int(p[i]), ())]
+        if found:
+            out.append((doc["part"], doc["place"], np.concatenate(found).astype(np.int32).tobytes()))
+    return pa.table({"part": pa.array([r[0] for r in out], pa.int64()), "first": pa.array([r[1] for r in out], pa.int32()),
+                     "mask": pa.array([r[2] for r in out], pa.binary())})
 
 
 def _merged(length: int, kind: pa.DataType):
     """(id, n_bytes, spans, kept) of a part's texts, from the verdicts and the windows found in its regions."""
-    def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
-        blob = next((x for x in texts["entries"].to_pylist() if x is not None), b"")
-        said = _said(len(blob) // 17, verdicts)
-        whole = (said & 7 == COPIES) | (said >= REPEATED)
-        masks: dict[int, list] = {}
-        for e, m in zip(verdicts["first"].to_pylist(), verdicts["mask"].to_pylist()):
-            if m is not None:
-                masks.setdefault(e, []).append(np.frombuffer(m, dtype=np.int32))
+    def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        whole, masks = _known(texts, marks)
         some = whole.copy()
         some[list(masks)] = True
         out = []
@@ -409,17 +449,9 @@ def _bucketed(texts: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                    hot: int = HOT_REGIONS) -> DataFrame:
-    """id, n_bytes, spans (start and end of the bytes removed), kept (the remaining bytes) of every text."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM} bytes")
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = src.schema["id"].dataType
-    name, arrow, width = kind.simpleString(), to_arrow_type(kind), shuffle_width(spark)
-    texts = _bucketed(src.mapInArrow(_parse(length, arrow), TEXTS.format(kind=name)), min(MOST_BUCKETS, max(width, src.rdd.getNumPartitions())))
+def _marks(texts: DataFrame, length: int, hot: int, level: int) -> DataFrame:
+    """(part, first, verdicts, mask) of the stored texts' entries: what each part is told."""
+    width = shuffle_width(texts.sparkSession)
     entries = texts.where("no < 0").select("part", "entries")
     n = entries.agg(F.sum(F.length("entries"))).first()[0] or 0
     dealt = entries.mapInArrow(_dealt(max(width, math.ceil(n / 17 / BUCKET_ENTRIES))), "bucket long, part long, first int, entries binary")
@@ -427,26 +459,64 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cases = stored(texts.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(_cases(length), CASES), "cases")
 
     sent = cases.where("not split")
-    size = sent.agg(F.sum(F.length("region"))).first()[0] or 0
-    buckets = max(width, math.ceil(size / INDEX_BYTES))
-    marks = (sent.withColumn("bucket", (F.col("bucket") * buckets).cast("long")).groupBy("bucket")
-             .applyInArrow(_indexed(length), "part long, first int, mask binary"))
-
-    windows = stored(cases.where("split").select("part", "place", "region")
-                     .mapInArrow(_windows(length), "part long, place int, at int, w1 long, w2 long"), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    single = windows.join(again, ["w1", "w2"]).select("part", F.col("place").alias("first"), "at")
-    marks = marks.unionByName(single.groupBy("part", "first").agg(F.collect_list("at").alias("at"))
-                              .mapInArrow(_packed, "part long, first int, mask binary"))
-    back = stored(verdicts.select("part", "first", "verdicts", F.lit(None).cast("binary").alias("mask"))
-                  .unionByName(marks.withColumn("verdicts", F.lit(None).cast("binary"))), "marks")
-    out = texts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(
-        _merged(length, arrow), f"id {name}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    size, splits = cases.agg(F.sum(F.when(~F.col("split"), F.length("region"))), F.count(F.when(F.col("split"), 1))).first()
+    buckets = max(width, math.ceil((size or 0) / INDEX_BYTES))
+    masks = (sent.withColumn("bucket", (F.col("bucket") * buckets).cast("long")).groupBy("bucket")
+             .applyInArrow(_indexed(length), MASK))
+    if splits:
+        smaller = cases.where("split").select(F.struct("part", "place").alias("id"), F.col("region").alias("text"))
+        inner = _texts(smaller, length, level + 1)
+        found = inner.groupBy("part").cogroup(_marks(inner, length, hot, level + 1).groupBy("part")).applyInArrow(_repeated, MASK)
+        masks = masks.unionByName(found)
+    none = F.lit(None).cast("binary")
+    return stored(verdicts.withColumn("mask", none).unionByName(masks.withColumn("verdicts", none)), "marks")
+
+
+MASK = "part long, first int, mask binary"
+
+
+def _texts(src: DataFrame, length: int, level: int) -> DataFrame:
+    """(id, text) rows with their regions, in parts, stored in buckets."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = src.schema["id"].dataType
+    parsed = src.mapInArrow(_parse(length, to_arrow_type(kind), level), TEXTS.format(kind=kind.simpleString()))
+    return _bucketed(parsed, min(MOST_BUCKETS, max(shuffle_width(src.sparkSession), src.rdd.getNumPartitions())))
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                    hot: int = HOT_REGIONS) -> DataFrame:
+    """id, n_bytes, spans (start and end of the bytes removed), kept (the remaining bytes) of every text."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    if not 2 * GRAM <= length <= GRAM + (1 << OFFSET_BITS):
+        raise ValueError(f"length must be from {2 * GRAM} to {GRAM + (1 << OFFSET_BITS)} bytes")
+    texts = _texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), length, 0)
+    kind = texts.schema["id"].dataType
+    out = texts.groupBy("part").cogroup(_marks(texts, length, hot, 0).groupBy("part")).applyInArrow(
+        _merged(length, to_arrow_type(kind)),
+        f"id {kind.simpleString()}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
-def _packed(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([np.array(x, dtype=np.int32).tobytes() for x in b.column(2).to_pylist()], pa.binary())],
-            names=["part", "first", "mask"])
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (SELECT r, doc_id, b, h, CAST(octet_length(b) AS BIGINT) AS n FROM d
+), w AS (
+  SELECT r, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS x
+  FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM n WHERE n >= 200)
+), t AS (SELECT r, i, count(*) OVER (PARTITION BY x) AS k FROM w
+), s AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM t WHERE k > 1
+), g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM s
+), spans AS (SELECT r, span, min(i) AS a, max(i) + 200 AS e FROM g GROUP BY ALL
+), parts AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (coalesce(y, n) - x) AS BIGINT)), '' ORDER BY x) AS k
+  FROM parts JOIN n USING (r) GROUP BY r
+), total AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS gone, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       CASE WHEN k IS NULL THEN sha256(b) ELSE sha256(unhex(k)) END AS kept_sha256
+FROM n LEFT JOIN total USING (r) LEFT JOIN kept USING (r)
+"""

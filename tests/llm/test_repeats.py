@@ -49,7 +49,7 @@ def collected(df):
     return Counter((r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"])) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot, parts", [(2048, 5), (3, 2)])
+@pytest.mark.parametrize("hot, parts", [(2048, 5), (3, 2), (1, 3)])
 def test_removed_bytes_match_brute_force(spark, hot, parts):
     rows = fixture()
     got = collected(repeats.without_repeats(spark.createDataFrame(rows, DOC).repartition(parts), hot=hot))
@@ -90,3 +90,23 @@ def test_equal_windows_have_equal_anchors():
         each = np.repeat(anchor, hi - lo + 1)
         found.append(each[k:k + len(shared) - repeats.LENGTH + 1])
     assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+
+
+def test_pieces_of_equal_windows_agree_at_every_level():
+    rng = np.random.default_rng(8)
+    shared = bytes(rng.integers(0, 256, 300).tolist())
+    for shared in (shared, b"ab" * 150, b"x" * 300):
+        raws = [b + shared + e for b, e in ((b"", b""), (b"left" * 3, b"r"), (b"\x07" * 40, b"tail" * 9))]
+        for level in range(1, repeats.OFFSET_BITS + 1):
+            keys = []
+            for raw in raws:
+                for a, e, anchor, _ in zip(*repeats.regions(raw)):
+                    region = raw[a:e + repeats.LENGTH]
+                    lo, hi, key, _ = repeats.pieces(region, level)
+                    assert lo[0] == 0 and hi[-1] == e - a and (lo[1:] == hi[:-1] + 1).all()
+                    keys += [(region[w:w + repeats.LENGTH], k) for x, y, k in zip(lo, hi, key) for w in range(x, y + 1)]
+            by_window = {}
+            for w, k in keys:
+                assert by_window.setdefault(w, k) == k
+            if level == repeats.OFFSET_BITS:  # single windows: no two share a key
+                assert len(set(by_window.values())) == len(by_window)
