@@ -36,6 +36,11 @@ TEST_FRACTION = 0.25
 RANDOM_STATE = 42
 N_TREES = 300
 MAX_ITER = 1000
+# The optimiser stops when the objective's relative change is below this.
+TOLERANCE = 1e-10
+# A tree's leaf holds at least this share of the weights, so that a tree has at most 10,000 leaves on any
+# number of rows and the forest fits the driver; below 10,000 rows a leaf may hold a single one.
+LEAF_SHARE = 1e-4
 
 RUNS_SCHEMA = StructType([
     StructField("model", StringType(), False),
@@ -195,16 +200,16 @@ def fit_logistic(train: DataFrame, features: list[str] = NUMERIC_FEATURES,
     total_weight = train.agg(F.sum("weight")).first()[0]  # one scalar for regParam
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL, weightCol="weight",
                             regParam=1.0 / float(total_weight), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter)
+                            standardization=False, maxIter=max_iter, tol=TOLERANCE)
     return _fit(channel_encoder() + [_assembler(features), lr], train, rows=int(total_weight))
 
 
 def fit_forest(train: DataFrame, features: list[str] = NUMERIC_FEATURES, num_trees: int = N_TREES,
-               seed: int = RANDOM_STATE, max_depth: int = 30) -> PipelineModel:
-    """Balanced random forest (sqrt features per split, seeded)."""
+               seed: int = RANDOM_STATE, max_depth: int = 30, leaf_share: float = LEAF_SHARE) -> PipelineModel:
+    """Balanced random forest (sqrt features per split, seeded); ``leaf_share`` bounds a tree's size."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
                                 numTrees=num_trees, featureSubsetStrategy="sqrt",
-                                maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+                                maxDepth=max_depth, seed=seed, cacheNodeIds=True, minWeightFractionPerNode=leaf_share,
                                 maxMemoryInMB=512)
     return _fit(channel_encoder() + [_assembler(features), rf], train, rows=train.count())
 

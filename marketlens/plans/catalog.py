@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from marketlens.operators import (experiment, features, insights, marts, metrics, modelling, quality,
-                                  rollup, snapshot)
+                                  rollup, snapshot, training)
 from marketlens.session import scratch_path
 from marketlens.operators.frames import attach_one_row
 from marketlens.sources.staging import staged
@@ -374,7 +374,7 @@ def q_class_weights(spark, sf_dir):
 
 @query("scaled_features")
 def q_scaled_features(spark, sf_dir):
-    split = _split(spark, sf_dir)
+    split = _stored_split(spark, sf_dir)
     stats = modelling.fit_standardizer(split.where(F.col("split") == "train"))
     scaled = modelling.apply_standardizer(split, stats)
     return round_doubles(scaled.select(
@@ -383,7 +383,7 @@ def q_scaled_features(spark, sf_dir):
 
 @query("one_hot_channel")
 def q_one_hot_channel(spark, sf_dir):
-    split = _split(spark, sf_dir)
+    split = _stored_split(spark, sf_dir)
     model = modelling.fit_one_hot(split.where(F.col("split") == "train"))
     return modelling.one_hot_positions(model, split.select("customer_id", "channel"))
 
@@ -418,8 +418,13 @@ def q_accuracy(spark, sf_dir):
     return metrics.accuracy(_scored(spark, sf_dir))
 
 
+def _stored_split(spark, sf_dir):
+    """The features with their split, built once and stored."""
+    return training.store(_split(spark, sf_dir), scratch_path(spark, "split"))
+
+
 def _prepared(spark, sf_dir):
-    split = _split(spark, sf_dir)
+    split = _stored_split(spark, sf_dir)
     train, others = modelling.prepare(split.where(F.col("split") == "train"),
                                       {"test": split.where(F.col("split") == "test")})
     return train, others["test"]
@@ -432,6 +437,13 @@ def q_logistic_scores(spark, sf_dir):
     return modelling.score(modelling.fit_logistic(train), test)
 
 
+@query("logistic_audit")
+def q_logistic_audit(spark, sf_dir):
+    """The fitted optimum's gradient, and the scores by rule; zeros besides the row count."""
+    train, test = _prepared(spark, sf_dir)
+    return training.logistic_audit(modelling.fit_logistic(train), train, test)
+
+
 @query("forest_importance")
 def q_forest_importance(spark, sf_dir):
     """Random forest (300 trees, seed 42) feature importances."""
@@ -439,5 +451,20 @@ def q_forest_importance(spark, sf_dir):
     return modelling.importance(modelling.fit_forest(train))
 
 
+@query("forest_audit")
+def q_forest_audit(spark, sf_dir):
+    """Importances and test scores recomputed from the stored node table; zeros besides the row count."""
+    train, test = _prepared(spark, sf_dir)
+    return training.forest_audit(modelling.fit_forest(train), test, scratch_path(spark, "forest"))
+
+
+@query("model_runs")
+def q_model_runs(spark, sf_dir):
+    """Train, evaluate and record both models from one stored split; the runs with their audit."""
+    root = scratch_path(spark, "training")
+    scored = training.train_and_record(_features(spark, sf_dir), root)
+    return training.run_audit(scored, training.read_runs(spark, root))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)

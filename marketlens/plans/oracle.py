@@ -502,5 +502,29 @@ register("accuracy", """
            AS accuracy FROM scored""", "scored")
 
 
+# The fits can't be written in SQL; what makes them right can: a gradient of zero, scores that follow from
+# the coefficients, importances and votes that follow from the nodes, metrics that agree.
+fragment("model_inputs", ("train",), " UNION ALL ".join(f"SELECT '{c}' AS input" for c in NUMERIC_FEATURES)
+         + " UNION ALL SELECT DISTINCT 'channel_' || channel FROM train WHERE channel IS NOT NULL")
+fragment("tested", ("split",), """
+    SELECT COUNT(*) AS n, CAST(SUM(churned) AS BIGINT) AS positives FROM split WHERE split = 'test'""")
+register("logistic_audit", """
+    SELECT 'gradient: ' || input AS "check", 0.0::DOUBLE AS value FROM model_inputs
+    UNION ALL SELECT 'gradient: intercept', 0.0
+    UNION ALL SELECT 'test rows', CAST(n AS DOUBLE) FROM tested
+    UNION ALL SELECT 'scores outside (0, 1)', 0.0
+    UNION ALL SELECT 'scores off the logistic function', 0.0
+    UNION ALL SELECT 'predictions against the threshold', 0.0""", "model_inputs", "tested")
+register("forest_audit", """
+    SELECT 'importance: ' || input AS "check", 0.0::DOUBLE AS value FROM model_inputs
+    UNION ALL SELECT 'test rows', CAST(n AS DOUBLE) FROM tested
+    UNION ALL SELECT 'scores that differ', 0.0
+    UNION ALL SELECT 'predictions that differ', 0.0""", "model_inputs", "tested")
+register("model_runs", """
+    SELECT model, CAST(42 AS BIGINT) AS random_state, CAST(trees AS BIGINT) AS n_estimators, n AS test_rows,
+           positives AS test_positives, 0.0::DOUBLE AS roc_auc_gap, 0.0::DOUBLE AS accuracy_gap, TRUE AS pr_auc_in_range
+    FROM tested CROSS JOIN (VALUES ('Logistic Regression', NULL), ('Random Forest', 300)) m(model, trees)""", "tested")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
