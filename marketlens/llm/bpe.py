@@ -5,8 +5,10 @@ pieces it has not met before. They become token-position rows in an in-process
 DuckDB; a recursive query joins neighbouring tokens to the merge table and
 contracts every piece's leftmost pair of minimum rank until no pair is left. The
 same query decodes each piece by an ordered aggregation of its tokens' bytes.
-Documents are the concatenation of their pieces, both ways. The pieces' cache is
-cleared whenever it reaches ``CACHE_PIECES`` entries, so memory stays bounded.
+Documents are the concatenation of their pieces, both ways: their chunks between safe
+spaces are numbered once, and a batch's ids are one gather over what the numbers stand
+for. The cache outlives a task, as texts share most words; it is cleared whenever it
+reaches ``CACHE_ENTRIES`` entries or ``CACHE_BYTES`` bytes, so memory stays bounded.
 
 Defined cases: null texts are empty and give no ids; pieces that are a token as a
 whole are taken whole, as the tokenizer's library does; pieces of more than
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 LONG_BYTES = 256
 BLOCK_PIECES = 20_000
-CACHE_PIECES = 1_500_000
+CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 64 << 20
 
 #: Contract every piece's leftmost pair of minimum rank until a fixpoint, then decode.
 RECURSION = """
@@ -53,6 +56,22 @@ GROUP BY t.piece ORDER BY t.piece
 _BREAK = re.compile(r" (?=\S)(?<=\S )")
 
 
+class _Numbers(dict):
+    """Numbers strings in the order they are met; ``new`` holds those without ids so far."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+WHOLE, ODD, UNSAFE = range(3)  # a chunk decodes to itself, or not, or can't be looked up by itself
+
+
 class Coder:
     """Encodes and decodes pieces; one per worker process and vocabulary."""
 
@@ -76,10 +95,20 @@ class Coder:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        # Chunks by their text; those of ``spaced`` follow a space. None: not cut at safe places.
-        self.spaced: dict[str, bytes | None] = {}
-        self.spaced_text: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.odd: dict[str, bytes] = {}  # decoded bytes of the pieces that don't decode to themselves
+        self.spaced = _Numbers()  # chunks that follow a space
+        self.ids = np.empty(0, dtype="<u4")  # of all chunks, one after another
+        self.ends = np.zeros(1, dtype=np.int64)
+        self.kind = np.empty(0, dtype=np.uint8)
+        self.odd_chunks: dict[int, bytes] = {}
+        self.held = 0
+
+    def _keep(self, piece: str, raw: bytes, ids: bytes, text: bytes) -> None:
+        self.pieces[piece] = ids
+        self.held += len(raw) + len(ids)
+        if text != raw:
+            self.odd[piece] = text
 
     def _contract(self, pieces: list[str]) -> None:
         """Ids and bytes of new pieces, by one recursive query."""
@@ -92,14 +121,14 @@ class Coder:
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
         self.con.register("piece_bytes", pa.table({"piece": piece, "pos": pos, "tok": flat}))
         for i, ids, text in self.con.execute(RECURSION).fetchall():
-            self.pieces[pieces[i]] = np.array(ids, dtype="<u4").tobytes(), bytes.fromhex(text)
+            self._keep(pieces[i], raw[i], np.array(ids, dtype="<u4").tobytes(), bytes.fromhex(text))
         self.con.unregister("piece_bytes")
 
     def _contract_long(self, piece: str) -> None:
         """The same contraction for one long piece, with a heap of (rank, position)."""
         raw = piece.encode("utf-8", "surrogatepass")
         if raw in self.ranks:
-            self.pieces[piece] = np.array([self.ranks[raw]], dtype="<u4").tobytes(), raw
+            self._keep(piece, raw, np.array([self.ranks[raw]], dtype="<u4").tobytes(), raw)
             return
         n = len(raw)
         end, after, before = [i + 1 for i in range(n)], [i + 1 for i in range(n)], [i - 1 for i in range(n)]
@@ -119,14 +148,13 @@ class Coder:
                 if k >= 0 and (r := rank(k)) is not None:
                     heapq.heappush(heap, (r, k))
         ids = [self.ranks[raw[i:end[i]]] for i in range(n) if alive[i]]
-        self.pieces[piece] = np.array(ids, dtype="<u4").tobytes(), b"".join(self.token[i] for i in ids)
+        self._keep(piece, raw, np.array(ids, dtype="<u4").tobytes(), b"".join(self.token[i] for i in ids))
 
-    def _learn(self, chunks: set[str]) -> dict[str, list[str]]:
+    def _learn(self, chunks: list[str]) -> list[list[str]]:
         """Pieces of every chunk; new ones are contracted block by block."""
-        cut = {c: self.pattern.findall(c) for c in chunks}
-        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
+        cut = [self.pattern.findall(c) for c in chunks]
         small = []
-        for p in new:
+        for p in {p for ps in cut for p in ps if p not in self.pieces}:
             if len(p) * 4 > LONG_BYTES and len(p.encode("utf-8", "surrogatepass")) > LONG_BYTES:
                 self._contract_long(p)
             else:
@@ -135,44 +163,75 @@ class Coder:
             self._contract(small[i:i + BLOCK_PIECES])
         return cut
 
-    def _join(self, pieces: list[str]) -> tuple[bytes, bytes]:
-        if len(pieces) == 1:
-            return self.pieces[pieces[0]]
-        got = [self.pieces[p] for p in pieces]
-        return b"".join(x[0] for x in got), b"".join(x[1] for x in got)
+    def _decoded(self, pieces: list[str]) -> bytes | None:
+        """The bytes that the pieces decode to; None if these are their own."""
+        if not self.odd or not any(p in self.odd for p in pieces):
+            return None
+        return b"".join(self.odd[p] if p in self.odd else p.encode("utf-8", "surrogatepass") for p in pieces)
+
+    def _number(self, heads: list[str]) -> list[list[str]]:
+        """Ids of the chunks that were met for the first time; the pieces of ``heads``, learnt with them."""
+        new, self.spaced.new = self.spaced.new, []
+        first = len(self.kind)
+        kind = np.array([UNSAFE if not c or c[0].isspace() or c[-1].isspace() else WHOLE for c in new], dtype=np.uint8)
+        safe = np.flatnonzero(kind == WHOLE).tolist()
+        cut = self._learn([" " + new[i] for i in safe] + heads)
+        ids = [b""] * len(new)
+        for i, ps in zip(safe, cut):
+            ids[i] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+            if (text := self._decoded(ps)) is not None:
+                kind[i], self.odd_chunks[first + i] = ODD, text
+        self.held += sum(map(len, new)) + sum(map(len, ids))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])
+        self.kind = np.concatenate([self.kind, kind])
+        return cut[len(safe):]
+
+    def _plain(self, text: str, pieces: list[list[str]]) -> tuple[bytes, bytes]:
+        """(ids, decoded bytes) of one text from all its pieces."""
+        ps = [p for c in pieces for p in c]
+        text_bytes = self._decoded(ps)
+        return (b"".join([self.pieces[p] for p in ps]),
+                text.encode("utf-8", "surrogatepass") if text_bytes is None else text_bytes)
 
     def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of every text.
 
         A space between two characters that aren't white space always starts a new
-        piece, so texts are cut there and the chunks are looked up as they are.
+        piece, so texts are cut there and the chunks are looked up as they are. Where
+        all pieces decode to themselves, so does the text.
         """
-        if len(self.spaced) + len(self.pieces) > CACHE_PIECES:
+        if len(self.spaced) + len(self.pieces) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             self.clear()
         parts = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in parts)) - self.spaced.keys()
-        safe = set()
-        for c in new:
-            if not c or c[0].isspace() or c[-1].isspace():
-                self.spaced[c] = None
-            else:
-                safe.add(c)
-        heads = {p[0] for p in parts}
-        cut = self._learn({" " + c for c in safe} | heads)
-        for c in safe:
-            self.spaced[c], self.spaced_text[c] = self._join(cut[" " + c])
+        rest = [p[1:] for p in parts]
+        at = np.fromiter(map(self.spaced.__getitem__, chain.from_iterable(rest)), dtype=np.int64,
+                         count=sum(map(len, rest)))
+        heads = self._number([p[0] for p in parts])
+        kind, start = self.kind[at], self.ends[at]
+        size = self.ends[at + 1] - start
+        flat = self.ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+        to = np.concatenate([[0], np.cumsum(size)])
+        edge = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int64)
         out = []
-        for text, p in zip(texts, parts):
-            head, rest = p[0], p[1:]
-            if (head and head[-1].isspace()) or not head or None in map(self.spaced.__getitem__, rest):
+        for n, (text, p) in enumerate(zip(texts, parts)):
+            a, e = edge[n], edge[n + 1]
+            worst = kind[a:e].max() if e > a else WHOLE
+            head = p[0]
+            if not head or head[-1].isspace() or worst == UNSAFE:
                 chunks = _BREAK.split(text)
                 chunks = chunks[:1] + [" " + c for c in chunks[1:]]
-                pieces = self._learn(set(chunks))
-                out.append(self._join([x for c in chunks for x in pieces[c]]))
+                out.append(self._plain(text, self._learn(chunks)))
                 continue
-            ids, raw = self._join(cut[head])
-            out.append((ids + b"".join(map(self.spaced.__getitem__, rest)),
-                        raw + b"".join(map(self.spaced_text.__getitem__, rest))))
+            ids = b"".join([self.pieces[x] for x in heads[n]]) + flat[to[a]:to[e]].tobytes()
+            odd_head = self._decoded(heads[n])
+            if worst == WHOLE and odd_head is None:
+                raw = text.encode("utf-8", "surrogatepass")
+            else:
+                raw = head.encode("utf-8", "surrogatepass") if odd_head is None else odd_head
+                raw += b"".join(self.odd_chunks[i] if k == ODD else (" " + c).encode("utf-8", "surrogatepass")
+                                for i, k, c in zip(at[a:e].tolist(), kind[a:e].tolist(), rest[n]))
+            out.append((ids, raw))
         return out
 
 
