@@ -26,6 +26,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+from marketlens.llm.common import entering, held_by
 
 LONG_BYTES = 256
 BLOCK_PIECES = 20_000
@@ -239,13 +242,22 @@ _CODERS: dict[tuple[str, str], Coder] = {}
 
 
 def coder(vocab_path: str, pattern: str) -> Coder:
-    """This process's coder; tables and cache outlive a task when Spark reuses the worker."""
+    """This process's coder; tables and cache outlive a task when Spark reuses the worker, until
+    another operator's task starts in it."""
+    entering("bpe")
     key = (vocab_path, pattern)
     if key not in _CODERS:
         _CODERS[key] = Coder(*key)
+    held_by("bpe", _release)
     return _CODERS[key]
 
 
+def _release() -> None:
+    for c in _CODERS.values():
+        c.con.close()
+    _CODERS.clear()
+
+
 def encode(docs: DataFrame, vocab_path: str, pattern: str, *, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of every row."""
@@ -259,6 +271,6 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, *, id_col: str = "doc
                 names=["id", "n_tokens", "ids", "decoded"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary")
+    out = src.mapInArrow(run, StructType([StructField("id", src.schema["id"].dataType), StructField("n_tokens", LongType()),
+                                          StructField("ids", BinaryType()), StructField("decoded", BinaryType())]))
     return out.withColumnRenamed("id", id_col)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlens.session import scratch_path
@@ -40,5 +43,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that is no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    tries = (name if k == 0 else f"{name}_{k}" for k in range(len(taken) + 1))
+    return next(x for x in tries if x.lower() not in taken)
+
+
+#: What outlives a task in this worker process, by the operator that holds it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def held_by(name: str, release: Callable[[], None]) -> None:
+    _HELD[name] = release
+
+
+def entering(name: str) -> None:
+    """Called as an operator's tasks start: caches of other operators in this process go back to the system."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        import ctypes
+        import gc
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import fresh_name, stored
 
 SHINGLE = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,10 +117,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75)
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75) -> DataFrame:
     """The documents that contain no item, all their columns kept."""
+    name = fresh_name(docs, "contaminated")
     found = stored(contained_items(docs.select("doc_id", "text"), benchmark, percent=percent).select("key").distinct(),
-                   "decon-found").withColumnRenamed("key", "_contaminated")
+                   "decon-found").withColumnRenamed("key", name)
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.sha2("text", 256)))
-    return docs.join(found, key == F.col("_contaminated"), "left_anti")
+    return docs.join(found, key == F.col(name), "left_anti")
 
 
 SQL = """

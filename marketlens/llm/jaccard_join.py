@@ -47,7 +47,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketlens.llm.common import shuffle_width, stored
+from marketlens.llm.common import fresh_name, quoted, shuffle_width, stored
 from marketlens.llm.components import components
 from marketlens.llm.words import WordHash, shingle_set, words
 
@@ -115,14 +115,14 @@ def _packed(no: int, counts: np.ndarray) -> pa.RecordBatch:
 
 def _bucket_counts(batches):
     """(block, counts): a task's shingles, counted in buckets before anything is shuffled."""
-    memo, counts = WordHash(), np.zeros(1 << ORDER_BITS, dtype=np.int64)
+    memo, counts = WordHash(), np.zeros(1 << ORDER_BITS, dtype=np.int32)  # of one task's shingles
     for b in batches:
         sets = list(_sets(b, 1, memo))
         if sets:
             np.add.at(counts, _bucket(np.concatenate(sets)), 1)
     for no, block in enumerate(counts.reshape(ORDER_BLOCKS, -1)):
         if block.any():
-            yield _packed(no, block)
+            yield _packed(no, block.astype(np.int64))
 
 
 def _block_sums(batches):
@@ -348,12 +348,13 @@ def without_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     a null id, and documents without words, are in no group and stay.
     """
     found = stored(linked_components(docs.select("doc_id", "text"), percent=percent), "dedup-found")
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
-    again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again"))
-                   .agg(F.count("*").alias("_k")).where("_k > 1").select("_again"), "dedup-again")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = (kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-           .groupBy(F.col("doc_id").alias("_id")).agg(F.min(row).alias("_row")).select("_row.*"))
+    other = fresh_name(docs, "other_id")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct(), "dedup-gone")
+    again = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+                   .select(F.col("doc_id").alias(other)), "dedup-again")
+    same = F.col("doc_id") == F.col(other)
+    kept = docs.join(gone, same, "left_anti")
+    once = kept.join(again, same, "left_anti")
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
     return once.unionByName(one)

@@ -23,11 +23,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import entering, quoted, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract, with their groups left out.
@@ -40,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
 WINDOW_WORDS = 5
-SPAN = "array<struct<kind:string,start:int,end:int>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -99,9 +101,21 @@ def _fold(word: str) -> str:
     return word if word.islower() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
 
 
+def _outside(cover: list[tuple[int, int]]):
+    """Whether a match touches none of the spans; of those that start before its end, the furthest end decides."""
+    starts = [s for s, _ in cover]
+    furthest = list(accumulate((e for _, e in cover), max))
+
+    def free(m) -> bool:
+        k = bisect_left(starts, m.end())
+        return k == 0 or furthest[k - 1] <= m.start()
+    return free
+
+
 def _windows(batches):
     """(id, entity, context, term) for the words around every mention, and (id, null, null, term) for
     all words of a text with mentions."""
+    entering("pii")
     words = _word_pattern()
     for b in batches:
         rows = ([], [], [], [])
@@ -113,7 +127,7 @@ def _windows(batches):
             # The whole words of the text, so that none is cut and no window ends early.
             every = list(words.finditer(text))
             starts, ends = [m.start() for m in every], [m.end() for m in every]
-            free = lambda m: not any(s < m.end() and m.start() < e for s, e in cover)
+            free = _outside(cover)
             for kind, start, end in spans:
                 before, after = bisect_right(ends, start), bisect_left(starts, end)
                 left, right = every[max(0, before - WINDOW_WORDS):before], every[after:after + WINDOW_WORDS]
@@ -135,8 +149,9 @@ def disclosing_terms(docs: DataFrame, *, z: float = 1.64, generalise: float = 0.
 
     ``docs`` has id and text. ``terms`` is an array of (term, action).
     """
-    kind = docs.schema["id"].dataType.simpleString()
-    found = stored(docs.mapInArrow(_windows, f"id {kind}, entity string, context string, term string"), "pii-windows")
+    schema = StructType([StructField("id", docs.schema["id"].dataType),
+                         *[StructField(c, StringType()) for c in ("entity", "context", "term")]])
+    found = stored(docs.mapInArrow(_windows, schema), "pii-windows")
     seen = found.where(F.col("entity").isNotNull())
     ids = F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))  # a null id is one
     joint = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), ids.alias("n_te"))
@@ -204,6 +219,7 @@ def _spans(with_text: bool):
         return out
 
     def run(batches):
+        entering("pii")
         words = _word_pattern()
         for b in batches:
             found, cleaned = [], []
@@ -212,9 +228,9 @@ def _spans(with_text: bool):
                 spans, action = base_spans(text), {}
                 if terms:
                     what = {t["term"]: t["action"] for t in sorted(terms, key=lambda t: (t["term"], t["action"]))}
-                    cover = [(s, e) for _, s, e in spans]
+                    free = _outside(sorted((s, e) for _, s, e in spans))
                     for m in words.finditer(text):
-                        if (act := what.get(_fold(m[0]))) and not any(s < m.end() and m.start() < e for s, e in cover):
+                        if (act := what.get(_fold(m[0]))) and free(m):
                             spans.append(("term", m.start(), m.end()))
                             action[m.start()] = act
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
@@ -240,21 +256,21 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     src = (docs.select(F.col(id_col).alias("j_id"), (F.col(id_col) if carry is None else carry).alias("id"),
                        F.col(text_col).alias("text"))
            .join(terms, F.col("j_id").eqNullSafe(F.col("t_id")), "left").select("id", "text", "terms"))
-    kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_spans(with_text), f"id {kind}, spans {SPAN}" + ", clean_text string" * with_text)
+    schema = StructType([StructField("id", src.schema["id"].dataType), StructField("spans", SPANS)])
+    out = src.mapInArrow(_spans(with_text), schema.add("clean_text", StringType()) if with_text else schema)
     return out.withColumnRenamed("id", id_col if carry is None else "carried")
 
 
 def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with masked texts, and n_chars following them if there is such a column; nulls stay null."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
     out = sanitise(docs, carry=row, **thresholds)
     text = F.when(F.col("carried.text").isNotNull(), F.col("clean_text"))
     value = {"text": text}
     if "n_chars" in docs.columns:
         value["n_chars"] = F.when(text.isNotNull(), F.char_length(text)).otherwise(F.col("carried.n_chars")) \
             .cast(docs.schema["n_chars"].dataType)
-    return out.select(*[value.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[value.get(c, F.col(f"carried.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:

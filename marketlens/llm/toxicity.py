@@ -27,8 +27,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marketlens.llm.common import fold, stored
+from marketlens.llm.common import entering, fold, quoted, stored
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = "INSULT", "THREAT", "TARGET", "NEGATION", "REPORT"
 # Closed word classes in the four languages.
@@ -86,7 +87,7 @@ class Lexicon:
         """Whether a white-space token holds an insult or a threat."""
         got = self.memo.get(raw)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 150_000:
                 self.memo.clear()
             got = self.memo[raw] = any((x := self.read(w)) and x[0] in (INSULT, THREAT) for w in _WORD.findall(raw))
         return got
@@ -134,6 +135,7 @@ def _patterns(word: str):
 
 def _count_patterns(batches):
     """Documents of each label that hold a pattern, summed per task."""
+    entering("toxicity")
     counts: dict[str, list[int]] = {}
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -169,12 +171,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max
     marks = stored(marks, "toxicity-labels")
     size = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {t: min(1.0, max_train_docs / 2 / n) for t, n in size.items()}
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    edge = F.when(F.col("toxic") == 1, int(share.get(1, 1.0) * (1 << 20))).otherwise(int(share.get(0, 1.0) * (1 << 20)))
-    sample = marks.where(at < edge).select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("l_toxic"))
+    whole = 1 << 62
+    edge = F.when(F.col("toxic") == 1, int(share.get(1, 1.0) * whole)).otherwise(int(share.get(0, 1.0) * whole))
+    sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < edge) \
+        .select(F.col("doc_id").alias("l_id"), F.col("toxic").cast("int").alias("l_toxic"))
     # The sample has max_train_docs rows of two numbers: a broadcast of known size.
     joined = docs.join(F.broadcast(sample), F.col("id") == F.col("l_id"))
-    return stored(joined.select("text", F.col("l_toxic").alias("toxic")), "toxicity-train")
+    # An id's rows may be many: equal texts are one, and what is still too much is sampled by id and text.
+    rows = stored(joined.select("id", "text", F.col("l_toxic").alias("toxic")).dropDuplicates(["id", "text", "toxic"]), "toxicity-rows")
+    part = int(min(1.0, max_train_docs / max(1, rows.count())) * whole)
+    return stored(rows.where(F.pmod(F.xxhash64(F.lit(7), "id", "text"), F.lit(whole)) < part).select("text", "toxic"), "toxicity-train")
 
 
 def _varied(train: DataFrame, picked: dict[str, tuple[int, int]], min_contexts: int) -> dict[str, int]:
@@ -189,11 +195,11 @@ def _varied(train: DataFrame, picked: dict[str, tuple[int, int]], min_contexts:
             and (not r.pattern.endswith("*") or (r.words >= 3 and r.top <= 0.6 * r.n))}
 
 
-def fit(train: DataFrame, *, min_contexts: int = 5, min_share: float = 0.01, min_bound: float = 1.5):
+def fit(train: DataFrame, *, min_contexts: int = 5, min_bound: float = 1.5):
     """(insult weights, curve) from rows (text, toxic).
 
-    A pattern needs ``min_contexts`` contexts and ``min_share`` of the toxic
-    documents, and a log odds ratio whose lower bound is at least ``min_bound``.
+    A pattern needs ``min_contexts`` contexts, and a log odds ratio whose lower
+    bound is at least ``min_bound``.
     """
     spark = train.sparkSession
     texts = train.dropDuplicates(["toxic", "text"])
@@ -207,7 +213,7 @@ def fit(train: DataFrame, *, min_contexts: int = 5, min_share: float = 0.01, min
     bound = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     # Patterns of the bounded sample; the support leaves at most a few hundred per word of a text.
     picked = {r.pattern: (r.pos, r.neg) for r in
-              counted.where(F.col("pos") >= max(min_contexts, min_share * pos)).where(bound >= min_bound).collect()}
+              counted.where(F.col("pos") >= min_contexts).where(bound >= min_bound).collect()}
     weights = {}
     for pattern, contexts in (_varied(train, picked, min_contexts) if picked else {}).items():
         seen, against = picked[pattern]
@@ -244,6 +250,7 @@ def _features(shared, first: str):
     name = first.split()[0]
 
     def run(batches):
+        entering("toxicity")
         lexicon = shared.value
         for b in batches:
             at = b.schema.get_field_index
@@ -258,8 +265,8 @@ def _scored(rows: DataFrame, insults: dict[str, float], weights: tuple[float, ..
     """(id, score) of rows (id, text); id may be any column, such as a struct of the whole row."""
     a, d, b = weights
     shared = rows.sparkSession.sparkContext.broadcast(Lexicon(insults))
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_features(shared, "id"), f"id {kind}, total double, dense double")
+    found = rows.mapInArrow(_features(shared, "id"), StructType([
+        StructField("id", rows.schema["id"].dataType), StructField("total", DoubleType()), StructField("dense", DoubleType())]))
     z = F.lit(a) * F.col("total") + F.lit(d) * F.col("dense") + F.lit(b)
     return found.select("id", (1.0 / (1.0 + F.exp(-z))).alias("score"))
 
@@ -279,5 +286,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: i
     """The rows of ``docs`` (doc_id, text and any others) that score below the threshold."""
     base = docs.select(F.col("doc_id").alias("id"), "text")
     model = fit(training_rows(base, labels, folds, held, max_train_docs))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), "text")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("id"), "text")
     return _scored(rows, *model).where(F.col("score") < threshold).select("id.*")

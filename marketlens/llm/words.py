@@ -9,9 +9,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from marketlens.llm.common import entering
+
 SHINGLE = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -21,6 +23,10 @@ def words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hash of a word, remembered; cleared by ``trim`` once it grows large."""
 
+    def __init__(self):
+        super().__init__()
+        entering("words")
+
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
