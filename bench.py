@@ -66,8 +66,7 @@ def main() -> None:
                              ["cohort_month", "month_number"]),
     }
     snapshot.refresh_all(snap, f"{root}/snapshots")
-    events, states = f"{root}/events", f"{root}/states"
-    rollup.load_events_and_rollup(st["orders"], st["customers"], events, states)
+    rollup.load_events_and_rollup(st["orders"], st["customers"], f"{root}/load")
     setup = time.perf_counter() - t0
 
     def stored(name):
@@ -82,8 +81,8 @@ def main() -> None:
         "cohort_retention_view": lambda: (lambda t: marts.cohort_retention(t["customers"], t["orders"]))(s()),
         "cohort_retention_stored": stored("cohort_retention"),
         "rollup_recompute": lambda: (lambda t: rollup.rollup_from_orders(t["orders"], t["customers"]))(s()),
-        "rollup_raw_events": lambda: rollup.rollup_from_events(rollup.read_events(spark, events)),
-        "rollup_merged_states": lambda: rollup.merge_states(spark.read.parquet(states)),
+        "rollup_raw_events": lambda: rollup.rollup_from_events(rollup.read_load(spark, f"{root}/load")[0]),
+        "rollup_merged_states": lambda: rollup.merge_states(rollup.read_load(spark, f"{root}/load")[1]),
         "churn_features": lambda: (lambda t: features.build_customer_features(t["customers"], t["orders"]))(s()),
         "experiment_report": lambda: catalog.q_experiment_report(spark, sf_dir),
         "roc_auc": lambda: metrics.roc_auc(catalog._scored(spark, sf_dir)),

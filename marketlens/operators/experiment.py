@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.stats import chi2_sf_df1, normal_cdf, normal_quantile, two_sided_p
+from marketlens.operators.frames import attach_one_row
 from marketlens.operators.ranking import hash_key, rank_by_hash
+from marketlens.sources import manifest
+from marketlens.sources.staging import EXPERIMENT
 
 # Fixed values of the experiment design.
 ALPHA = 0.05
@@ -182,53 +185,85 @@ def analyse(arms: DataFrame, alpha: float = ALPHA, power: float = TARGET_POWER,
     return stage3.select("*", verdict.alias("verdict"), direction.alias("direction"))
 
 
-# --------------------------------------------------- replicated experiments
-def aa_replicates(outcomes: DataFrame, replicates: int, salt: str,
-                  id_col: str = "customer_id") -> DataFrame:
-    """Customers x R random splits of real outcomes (A/A calibration input).
+# --------------------------------------------------- stored experiments
+STORED = "assignments"
+
+
+def extend_assignment(stored: DataFrame, customers: DataFrame, salt: str, id_col: str = "customer_id") -> DataFrame:
+    """X1 for customers who came later: (id, variant) of those not in ``stored``.
 
-    Replicates are a generated column (``explode(sequence)``), and the caller
-    aggregates right after, so partial aggregation happens map-side. Each
-    replicate flips a fair coin per customer from ``md5(salt|r|id)``.
+    They are ranked after all stored ones, in ``md5(salt || id)`` order among
+    themselves, and the first of them are control until control holds
+    floor(n / 2) of all; nobody who is stored changes arm.
     """
-    rep = outcomes.select(id_col, "converted",
-                          F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))).alias("replicate"))
-    coin = F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"),
-                                         F.col(id_col).cast("string"))), 1, 1)
-    return rep.select("replicate", F.when(coin < "8", CONTROL).otherwise(TREATMENT).alias("variant"),
-                      "converted")
+    new = customers.select(id_col).distinct().join(stored.select(id_col), id_col, "left_anti")
+    ranked = rank_by_hash(new, id_col, salt, rank_col="_r", size_col="_n")
+    held = stored.agg(F.count(F.lit(1)).alias("_held"),
+                      F.coalesce(F.sum((F.col("variant") == CONTROL).cast("long")), F.lit(0)).alias("_control"))
+    edge = F.floor((F.col("_held") + F.col("_n")) / 2) - F.col("_control")
+    return attach_one_row(ranked, held).select(id_col, F.when(F.col("_r") <= edge, CONTROL).otherwise(TREATMENT).alias("variant"))
+
+
+def read_experiment(spark: SparkSession, root: str) -> DataFrame:
+    """The stored experiment table, in the declared schema; empty before the first load."""
+    folders = manifest.current(spark, root).folders.get(STORED)
+    if not folders:
+        return spark.createDataFrame([], EXPERIMENT)
+    return spark.read.schema(EXPERIMENT).parquet(*folders)
+
 
+def enrol(customers: DataFrame, orders: DataFrame, root: str, salt: str, sent_at: str,
+          window_days: int = CONVERSION_WINDOW_DAYS) -> int:
+    """Assign customers who aren't stored yet, attribute their conversions, and append them.
 
-def replicate_tests(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """X11 per replicate: arm counts, z-test, significance (degenerate = no)."""
-    arms = arm_counts(replicates, ["replicate"])
+    Stored rows are never rewritten. If another enrolment was published in
+    between, its customers could be assigned twice, so this one is refused.
+    """
+    spark = customers.sparkSession
+    now = manifest.current(spark, root)
+    new = extend_assignment(read_experiment(spark, root), customers, salt)
+    rows = attribute_conversions(new, orders, sent_at, window_days).select(*EXPERIMENT.fieldNames())
+    path = manifest.new_folder(root, STORED)
+    rows.write.parquet(path)
+
+    def add(seen: manifest.Version) -> manifest.Folders:
+        if seen.number != now.number:
+            raise manifest.ConcurrentRefresh(f"{root} was extended while new customers were assigned")
+        return {STORED: [*seen.folders.get(STORED, []), path]}
+    return manifest.commit(spark, root, add)
+
+
+# --------------------------------------------------- replicated experiments
+def replicate_tests(replicates: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
+    """X11 per replicate, a part of the experiment's own rows: arm counts, z-test, significance (degenerate = no)."""
+    arms = arm_counts(replicates, by)
     n1, x1, n2, x2 = (F.col(c) for c in ("n_control", "x_control", "n_treatment", "x_treatment"))
     z, _ = ztest(x1, n1, x2, n2)
     with_p = arms.select("*", z.alias("z")).withColumn("p_value", two_sided_p(F.col("z")))
     return with_p.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
-def rejection_rate(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """X11: share of replicates with p < alpha (one row)."""
-    tests = replicate_tests(replicates, alpha)
+def rejection_rate(replicates: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
+    """X11: share of the replicates ``by`` with p < alpha (one row)."""
+    tests = replicate_tests(replicates, by, alpha)
     return tests.agg(F.count(F.lit(1)).alias("replicates"),
                      F.sum(F.col("significant").cast("int")).cast("long").alias("rejections"),
                      _div(F.sum(F.col("significant").cast("int")), F.count(F.lit(1)))
                      .alias("rejection_rate"))
 
 
-def power_comparison(replicates: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Empirical rejection rate next to the mean theoretical power
-    evaluated at each replicate's observed rates and control-arm size."""
-    tests = replicate_tests(replicates, alpha)
-    p1 = _div(F.col("x_control"), F.col("n_control"))
-    p2 = _div(F.col("x_treatment"), F.col("n_treatment"))
-    tests = tests.withColumn("_arg", power_argument(p1, p2, F.col("n_control"), alpha))
-    theory = normal_cdf(F.col("_arg"))
+def power_comparison(replicates: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
+    """The replicates' rejection rate next to the mean power (X8) that the rates of the whole
+    experiment give at each replicate's control-arm size."""
+    tests = replicate_tests(replicates, by, alpha)
+    whole = arm_counts(replicates).select(_div(F.col("x_control"), F.col("n_control")).alias("_p1"),
+                                          _div(F.col("x_treatment"), F.col("n_treatment")).alias("_p2"))
+    tests = attach_one_row(tests, whole).withColumn(
+        "_arg", power_argument(F.col("_p1"), F.col("_p2"), F.col("n_control"), alpha))
     return tests.agg(
         F.count(F.lit(1)).alias("replicates"),
         _div(F.sum(F.col("significant").cast("int")), F.count(F.lit(1))).alias("empirical_power"),
-        F.avg(theory).alias("theoretical_power"),
+        F.avg(normal_cdf(F.col("_arg"))).alias("theoretical_power"),
     )
 
 
@@ -244,6 +279,6 @@ def expected_power(p1: float, p2: float, n: int, alpha: float = ALPHA) -> float:
 
 __all__ = [
     "assign", "attribute_conversions", "arm_summary", "arm_counts", "srm", "ztest", "diff_ci",
-    "required_n", "achieved_power", "analyse", "aa_replicates", "replicate_tests",
-    "rejection_rate", "power_comparison", "hash_key",
+    "required_n", "achieved_power", "analyse", "extend_assignment", "read_experiment", "enrol",
+    "replicate_tests", "rejection_rate", "power_comparison", "hash_key",
 ]

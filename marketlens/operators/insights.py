@@ -30,6 +30,17 @@ def present(df: DataFrame, kind: str) -> DataFrame:
     return df.orderBy(*[getattr(F.col(c), how)() for c, how in PRESENTATION_ORDER[kind]])
 
 
+def positioned(df: DataFrame, kind: str) -> DataFrame:
+    """O1-O4 as data: ``position`` counts a summary's rows from 1 in presentation order.
+
+    Summaries have a row per channel, calendar month, order depth or model
+    input, so one task numbers them.
+    """
+    order = [getattr(F.col(c), how)() for c, how in PRESENTATION_ORDER[kind]]
+    every = Window.partitionBy(F.lit(0)).orderBy(*order)
+    return df.withColumn("position", F.row_number().over(every).cast("long"))
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     """Fail at plan time when a required column is missing."""
     missing = [n for n in names if n not in df.columns]

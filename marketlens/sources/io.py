@@ -7,8 +7,18 @@ cluster, a shared folder); nothing is staged on the driver's local disk.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from marketlens.operators.frames import attach_one_row
+
+# Quotes inside a text are doubled; NULL is nothing between two commas, empty text a pair of quotes (the
+# writer's and the reader's default).
+# The reader takes a field that isn't there for this text, which no field holds; with its default, the
+# empty text, it couldn't tell the two apart.
+ABSENT = "\0NULL"
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 FEATURES_SCHEMA = StructType([
     StructField("customer_id", LongType(), False),
     StructField("channel", StringType(), True),
@@ -30,7 +40,19 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     marts whose size is bounded (channel-month, cohort-month tables).
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``export_csv`` wrote, typed by its schema: decimals, dates, and empty text apart from NULL."""
+    return spark.read.schema(schema).options(**CSV, mode="FAILFAST", nullValue=ABSENT).csv(path)
+
+
+def round_trip_gaps(df: DataFrame, back: DataFrame) -> DataFrame:
+    """One row: rows written, rows lost and rows that came back otherwise (multiset differences)."""
+    lost, other = df.exceptAll(back), back.exceptAll(df)
+    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    return attach_one_row(attach_one_row(n(df, "rows"), n(lost, "lost")), n(other, "changed"))
 
 
 def export_marts(marts: dict[str, DataFrame], root: str, single_file_for: set[str] = frozenset()) -> None:
@@ -48,7 +70,7 @@ def write_features(features: DataFrame, path: str, csv_path: str | None = None)
 
 def read_features_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read a features CSV with the declared schema (no inference pass)."""
-    return spark.read.schema(FEATURES_SCHEMA).option("header", True).csv(path)
+    return read_csv(spark, path, FEATURES_SCHEMA)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

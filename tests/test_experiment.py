@@ -7,6 +7,8 @@ from helpers import make_customers, make_orders
 from pyspark.sql import functions as F
 
 from marketlens.operators import experiment
+from marketlens.sources import manifest
+from marketlens.sources.staging import EXPERIMENT
 
 
 def analyse_one(spark, n1, x1, n2, x2):
@@ -88,20 +90,64 @@ def _simulated(spark, p1, p2, n, reps, seed):
 
 def test_empirical_power_matches_theory(spark):
     reps = _simulated(spark, 0.08, 0.12, 300, 500, seed=1)
-    empirical = experiment.rejection_rate(reps).collect()[0].rejection_rate
+    empirical = experiment.rejection_rate(reps, ["replicate"]).collect()[0].rejection_rate
     assert empirical == pytest.approx(experiment.expected_power(0.08, 0.12, 300), abs=0.05)
-    large = experiment.rejection_rate(_simulated(spark, 0.05, 0.5, 50, 200, seed=0)).collect()[0]
+    large = experiment.rejection_rate(_simulated(spark, 0.05, 0.5, 50, 200, seed=0), ["replicate"]).collect()[0]
     assert large.rejection_rate > 0.95
 
 
-def test_power_comparison_and_aa_calibration(spark):
-    outcomes = spark.range(1, 3001).select(F.col("id").alias("customer_id"),
-                                           (F.col("id") % 10 == 0).alias("converted"))
-    reps = experiment.aa_replicates(outcomes, 100, "aa")
-    rate = experiment.rejection_rate(reps).collect()[0]
-    assert rate.replicates == 100 and rate.rejection_rate <= 0.15
-    cmp = experiment.power_comparison(reps).collect()[0]
-    assert 0 <= cmp.theoretical_power <= 1 and cmp.replicates == 100
+def test_power_comparison_over_natural_replicates(spark):
+    """A/A outcomes by group: few rejections, and the power that the whole experiment's rates give at each size."""
+    rows = spark.range(1, 6001).select(
+        (F.col("id") % 60).alias("grp"), F.when(F.hash("id") % 2 == 0, "control").otherwise("treatment").alias("variant"),
+        (F.xxhash64("id") % 10 == 0).alias("converted"))
+    rate = experiment.rejection_rate(rows, ["grp"]).collect()[0]
+    assert rate.replicates == 60 and rate.rejection_rate <= 0.15
+    cmp = experiment.power_comparison(rows, ["grp"]).collect()[0]
+    arms = {r.variant: (r.n, r.x) for r in rows.groupBy("variant").agg(
+        F.count("*").alias("n"), F.sum(F.col("converted").cast("int")).alias("x")).collect()}
+    p1, p2 = (arms[v][1] / arms[v][0] for v in ("control", "treatment"))
+    sizes = [r.n for r in rows.where("variant = 'control'").groupBy("grp").agg(F.count("*").alias("n")).collect()]
+    want = sum(experiment.expected_power(p1, p2, n) for n in sizes) / len(sizes)
+    assert cmp.replicates == 60 and cmp.theoretical_power == pytest.approx(want, abs=1e-6)
+    assert cmp.empirical_power == pytest.approx(rate.rejection_rate)
+
+
+def test_enrolling_more_customers_moves_nobody(spark, tmp_dir):
+    root = f"{tmp_dir}/experiment"
+    everyone = make_customers(spark, [(i, "seo", "2025-01-01") for i in range(1, 400)])
+    orders = make_orders(spark, [(i, i, "2025-06-05", 5) for i in range(1, 400, 7)])
+    assert experiment.read_experiment(spark, root).count() == 0
+    arms = {}
+    for n, upto in enumerate((1, 8, 9, 120, 121, 399, 399), start=1):
+        assert experiment.enrol(everyone.where(F.col("customer_id") <= upto), orders, root, "s", "2025-06-01") == n
+        table = experiment.read_experiment(spark, root)
+        assert table.schema.fieldNames() == EXPERIMENT.fieldNames()
+        now = {r.customer_id: r.variant for r in table.collect()}
+        assert len(now) == table.count() == upto and arms.items() <= now.items()
+        assert sum(v == "control" for v in now.values()) == upto // 2
+        arms = now
+    assert {r.customer_id for r in table.where("converted").collect()} == set(range(1, 400, 7))
+    first = experiment.assign(everyone.where("customer_id <= 8"), "s").collect()
+    grown = experiment.extend_assignment(spark.createDataFrame([], "customer_id long, variant string"),
+                                         everyone.where("customer_id <= 8"), "s").collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, grown))
+
+
+def test_an_enrolment_overtaken_by_another_is_refused(spark, tmp_dir, monkeypatch):
+    root = f"{tmp_dir}/experiment"
+    customers = make_customers(spark, [(i, "seo", "2025-01-01") for i in range(1, 20)])
+    orders = make_orders(spark, [(1, 1, "2025-06-05", 5)])
+    plain = experiment.attribute_conversions
+
+    def late(*args, **kwargs):
+        monkeypatch.setattr(experiment, "attribute_conversions", plain)
+        experiment.enrol(customers, orders, root, "s", "2025-06-01")
+        return plain(*args, **kwargs)
+    monkeypatch.setattr(experiment, "attribute_conversions", late)
+    with pytest.raises(manifest.ConcurrentRefresh):
+        experiment.enrol(customers, orders, root, "s", "2025-06-01")
+    assert experiment.read_experiment(spark, root).count() == 19
 
 
 def test_empty_arm_gives_nulls_not_errors(spark):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
+import pytest
 from helpers import make_customers, make_orders
 
+
 from marketlens.operators import features
 from marketlens.sources import io
 
@@ -30,3 +35,28 @@ def test_export_marts_single_file_option(spark, tmp_dir):
     assert small.rdd.getNumPartitions() == 1
     io.export_csv(df, f"{tmp_dir}/small")   # replaces, does not append
     assert spark.read.option("header", True).csv(f"{tmp_dir}/small").count() == 10
+
+
+def test_csv_keeps_types_nulls_and_awkward_texts(spark, tmp_dir):
+    rows = [("a,b", Decimal("1.10"), dt.date(2025, 1, 31), 1.5, 3, True), ('say "x"', Decimal("-0.01"), None, None, None, None),
+            ("", None, dt.date(1999, 12, 31), float("inf"), -1, False), (None, Decimal("99999999.99"), dt.date(2024, 2, 29), 0.1, 0, True),
+            ("  padded  ", None, None, 1e-300, 2**62, None), ("back\\slash", None, None, None, None, None), ("NULL", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "t string, m decimal(12,2), d date, x double, n long, b boolean")
+    io.export_csv(df, f"{tmp_dir}/awkward")
+    back = io.read_csv(spark, f"{tmp_dir}/awkward", df.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert tuple(io.round_trip_gaps(df, back).first()) == (len(rows), 0, 0)
+    assert tuple(io.round_trip_gaps(df, back.where("n is null or n > 0")).first())[1] > 0
+
+
+def test_csv_that_breaks_its_schema_fails(spark, tmp_dir):
+    io.export_csv(spark.createDataFrame([("x",)], "n string"), f"{tmp_dir}/bad")
+    with pytest.raises(Exception, match="MALFORMED"):
+        io.read_csv(spark, f"{tmp_dir}/bad", spark.createDataFrame([], "n long").schema).collect()
+
+
+def test_views_answer_sql(spark):
+    io.register_views({"mart_test_view": spark.range(4)})
+    assert spark.sql("SELECT SUM(id) FROM mart_test_view").first()[0] == 6
+    io.register_views({"mart_test_view": spark.range(3)})
+    assert spark.sql("SELECT SUM(id) FROM mart_test_view").first()[0] == 3

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+import pytest
 from helpers import make_customers, make_orders
 
 from marketlens.operators import rollup
+from marketlens.sources import manifest
 from marketlens.streaming import rollup_stream
 
 
@@ -37,41 +39,97 @@ def _fixture(spark):
     return orders, customers
 
 
+def collected(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_three_ways_agree_and_reload_is_idempotent(spark, tmp_dir):
     orders, customers = _fixture(spark)
-    events, states = f"{tmp_dir}/events", f"{tmp_dir}/states"
-    rollup.load_events_and_rollup(orders, customers, events, states)
-    rollup.load_events_and_rollup(orders, customers, events, states)  # second load: unchanged
+    root = f"{tmp_dir}/load"
+    assert rollup.load_events_and_rollup(orders, customers, root) == 1
+    assert rollup.load_events_and_rollup(orders, customers, root) == 2  # second load: unchanged
+    events, states = rollup.read_load(spark, root)
     named = {
         "orders": rollup.rollup_from_orders(orders, customers),
-        "events": rollup.rollup_from_events(rollup.read_events(spark, events)),
-        "merged": rollup.merge_states(spark.read.parquet(states)),
+        "events": rollup.rollup_from_events(events),
+        "merged": rollup.merge_states(states),
     }
     report = {r.comparison: (r.only_left, r.only_right) for r in rollup.rollup_consistency(named).collect()}
     assert report == {"orders_vs_events": (0, 0), "orders_vs_merged": (0, 0)}
-    assert spark.read.parquet(events).count() == 599
-    assert {f.name for f in spark.read.parquet(events).schema} >= {"yyyymm"}
+    assert events.count() == 599
+    folder = manifest.current(spark, root).folders[rollup.EVENTS][0]
+    assert {f.name for f in spark.read.parquet(folder).schema} >= {"yyyymm"}
+
+
+def test_events_and_states_switch_together(spark, tmp_dir):
+    """A reader in between sees the old pair, whole, until the new one is named by the log."""
+    orders, customers = _fixture(spark)
+    root = f"{tmp_dir}/load"
+    with pytest.raises(FileNotFoundError):
+        rollup.read_load(spark, root)
+    rollup.load_events_and_rollup(orders.where("order_id < 100"), customers, root)
+    before = rollup.read_load(spark, root)
+    rollup._write_load(orders, customers, root)  # written, not published
+    events, states = rollup.read_load(spark, root)
+    assert events.count() == 99 and collected(rollup.merge_states(states)) == collected(rollup.rollup_from_events(events))
+    rollup.load_events_and_rollup(orders, customers, root)
+    events, states = rollup.read_load(spark, root)
+    assert events.count() == 599 and collected(rollup.merge_states(states)) == collected(rollup.rollup_from_events(events))
+    assert before[0].count() == 99 and collected(rollup.merge_states(before[1])) == collected(rollup.rollup_from_events(before[0]))
+    assert rollup.read_load(spark, root, 1)[0].count() == 99
+
+
+def test_second_load_is_added_once_and_compaction_changes_nothing(spark, tmp_dir):
+    orders, customers = _fixture(spark)
+    root = f"{tmp_dir}/load"
+    assert rollup.append_load(orders.where("order_id < 300"), customers, root, "daily", 1) == 1
+    assert rollup.append_load(orders.where("order_id >= 300"), customers, root, "daily", 2) == 2
+    assert rollup.append_load(orders.where("order_id >= 300"), customers, root, "daily", 2) == 2  # replayed
+    assert rollup.append_load(orders.where("order_id < 300"), customers, root, "daily", 1) == 2  # replayed late
+    whole = collected(rollup.rollup_from_orders(orders, customers))
+    assert collected(rollup.merge_states(rollup.read_load(spark, root)[1])) == whole
+    assert rollup.compact(spark, root) == 3
+    now = manifest.current(spark, root)
+    assert len(now.folders[rollup.STATES]) == 1 and len(now.folders[rollup.EVENTS]) == 2
+    events, states = rollup.read_load(spark, root)
+    assert collected(rollup.merge_states(states)) == collected(rollup.rollup_from_events(events)) == whole
+    assert states.count() == states.select(*rollup.ROLLUP_KEYS).distinct().count()
+    assert rollup.compact(spark, root) == 3  # nothing to merge
+
+
+def test_a_load_during_compaction_stays(spark, tmp_dir, monkeypatch):
+    orders, customers = _fixture(spark)
+    root = f"{tmp_dir}/load"
+    for n, part in enumerate(("order_id < 100", "order_id between 100 and 199")):
+        rollup.append_load(orders.where(part), customers, root, "daily", n)
+    plain = manifest.commit
+
+    def late(spark_, root_, update, **kwargs):
+        monkeypatch.setattr(manifest, "commit", plain)
+        rollup.append_load(orders.where("order_id >= 200"), customers, root, "daily", 2)
+        return plain(spark_, root_, update, **kwargs)
+    monkeypatch.setattr(manifest, "commit", late)
+    rollup.compact(spark, root)
+    assert len(manifest.current(spark, root).folders[rollup.STATES]) == 2
+    assert collected(rollup.merge_states(rollup.read_load(spark, root)[1])) == collected(rollup.rollup_from_orders(orders, customers))
 
 
 def test_stream_matches_batch_and_replayed_batch_is_idempotent(spark, tmp_dir):
     orders, customers = _fixture(spark)
     events = f"{tmp_dir}/events"
     rollup.write_events(rollup.order_events(orders, customers), events)
-    states, ckpt = f"{tmp_dir}/states-{uuid.uuid4().hex}", f"{tmp_dir}/ckpt"
-    q = rollup_stream.start_rollup_stream(spark, events, states, ckpt, max_files_per_trigger=2)
+    root, ckpt = f"{tmp_dir}/states-{uuid.uuid4().hex}", f"{tmp_dir}/ckpt"
+    q = rollup_stream.start_rollup_stream(spark, events, root, ckpt, "orders", max_files_per_trigger=2, compact_every=3)
     q.awaitTermination()
-    batches = spark.read.parquet(states).select("batch_id").distinct().count()
-    assert batches > 1
-    streamed = rollup_stream.read_rollup(spark, states)
+    now = manifest.current(spark, root)
+    assert now.loads["orders"] >= 3 and len(now.folders[rollup.STATES]) < 3  # compacted on the way
     batch = rollup.rollup_from_orders(orders, customers)
-    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
-    # A replayed micro-batch (at-least-once delivery) replaces its own partition.
-    replay_states = f"{tmp_dir}/replay-{uuid.uuid4().hex}"
-    sink = rollup_stream.write_batch_states(replay_states)
+    assert collected(rollup_stream.read_rollup(spark, root)) == collected(batch)
+    # A replayed micro-batch (at-least-once delivery) finds its number in the log.
+    replayed = f"{tmp_dir}/replay-{uuid.uuid4().hex}"
+    sink = rollup_stream.publish_batch_states(replayed, "orders")
     batch_rows = rollup.read_events(spark, events)
     sink(batch_rows, 3)
-    once = sorted(tuple(r) for r in rollup_stream.read_rollup(spark, replay_states).collect())
+    once = collected(rollup_stream.read_rollup(spark, replayed))
     sink(batch_rows, 3)
-    twice = sorted(tuple(r) for r in rollup_stream.read_rollup(spark, replay_states).collect())
-    assert once == twice
-    assert sorted(tuple(r) for r in batch.collect()) == once
+    assert collected(rollup_stream.read_rollup(spark, replayed)) == once == collected(batch)
