@@ -134,3 +134,68 @@ def test_toxicity_training_rows_are_bounded_in_rows(spark):
                                  "id long, text string")
     n = training_rows(docs, labels, 4, 2, 100).count()
     assert 0 < n <= 160
+
+
+# ------------------------------------------------------------ pages without an article
+LONG = "A long paragraph of an article that goes on for quite a while, with commas, clauses and a full stop at its end. " * 3
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div class='content has-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", [LONG, LONG]),
+    (f"<div class='page no-comments'><p>{LONG}</p></div>", [LONG]),
+    (f"<div id='related-work'><p>{LONG}</p></div>", [LONG]),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", ["Title", LONG]),
+    (f"<div class='wrap sidebar'><main><p>{LONG}</p></main></div>", [LONG]),
+    (f"<div><div>Title here</div><div><p>{LONG}</p><p>{LONG}</p></div><div>Closing words.</div></div>",
+     ["Title here", LONG, LONG, "Closing words."]),
+    (f"<div class='site-nav'><a>Home</a></div><div><p>{LONG}</p></div><div class='comment-list'><p>{LONG}</p><p>{LONG}</p></div>", [LONG]),
+    (f"<div class='ad'>{LONG}</div><p>{LONG}<button>Share this</button> indeed</p><div class='cookie-bar'>We use cookies</div>", [LONG + "indeed"]),
+    (f"<p>{LONG}</p><p>Short.</p><aside>{LONG}</aside><p>After it.</p><p>{LONG}</p>", [LONG, "Short.", "After it.", LONG]),
+    ("<p>hi</p>", ["hi"]), ("<nav>x</nav>", []), ("", []), (None, []), ("<script>var x = '<p>no</p>';</script>", []),
+    ("<div class='sidebar'><p>all there is</p></div>", ["all there is"])])
+def test_pages_without_an_article(html, want):
+    from marketlens.llm.html_text import main_text
+    assert main_text(html) == "\n".join(x.strip() for x in want)
+
+
+def test_link_lists_go_by_their_ratio_alone():
+    """No element or class tells these menus: only the cluster and the share of links do."""
+    from marketlens.llm import html_text
+    menu = "".join(f"<div><a href='/{i}'>Topic {i}</a></div>" for i in range(8))
+    page = f"<body>{menu}<div><p>{LONG}</p><p>See <a href='/x'>this</a>.</p><p>{LONG}</p></div>{menu}</body>"
+    got = html_text.main_text(page).split("\n")
+    assert [x for x in got if x.startswith("Topic")] == ["Topic 7", "Topic 0"][:len([x for x in got if x.startswith("Topic")])]
+    assert [x for x in got if not x.startswith("Topic")] == [LONG.strip(), "See this.", LONG.strip()]
+    flat = html_text.main_text(page, link_share=2.0).split("\n")
+    assert len(flat) > len(got)
+
+
+def test_smoothing_and_threshold_by_brute_force():
+    import math
+
+    import numpy as np
+
+    from marketlens.llm import html_text
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x = rng.exponential(20, int(rng.integers(1, 30)))
+        k = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
+        want = np.convolve(x, k, "full")[2:-2] / np.convolve(np.ones_like(x), k, "full")[2:-2]
+        got = html_text._smooth(list(x), 1.0, 2)
+        assert np.allclose(got, want)
+        edge = min(np.mean(got), math.sqrt(np.mean((np.array(got) - np.mean(got)) ** 2)))
+        assert html_text.cluster(got) == [v >= edge for v in got]
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div>" * n + "text" + "</div>" * n, lambda n: "<body>" + "<span>x" * n + "</b>" * n,
+                                  lambda n: "<ul><li>x" * n, lambda n: "<p><a>" * n + "end", lambda n: "<div class='ad'>" * n + "x"])
+def test_deep_pages_take_linear_time(make):
+    import time
+
+    from marketlens.llm.html_text import main_text
+    took = []
+    for n in (2000, 16000):
+        t = time.process_time()
+        main_text(make(n))
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0] + 0.3
