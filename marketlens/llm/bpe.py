@@ -7,8 +7,9 @@ contracts every piece's leftmost pair of minimum rank until no pair is left. The
 same query decodes each piece by an ordered aggregation of its tokens' bytes.
 Documents are the concatenation of their pieces, both ways: their chunks between safe
 spaces are numbered once, and a batch's ids are one gather over what the numbers stand
-for. The cache outlives a task, as texts share most words; it is cleared whenever it
-reaches ``CACHE_ENTRIES`` entries or ``CACHE_BYTES`` bytes, so memory stays bounded.
+for. What is known outlives a task, as texts share most words. Chunks are forgotten at
+``CACHE_CHUNKS`` or ``CACHE_BYTES``; pieces, which cost more, age at ``CACHE_PIECES`` and are
+forgotten if they aren't met again until the next time. So memory stays bounded.
 
 Defined cases: null texts are empty and give no ids; pieces that are a token as a
 whole are taken whole, as the tokenizer's library does; pieces of more than
@@ -31,8 +32,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from marketlens.llm.common import entering, held_by
 
 LONG_BYTES = 256
-BLOCK_PIECES = 20_000
-CACHE_ENTRIES, CACHE_BYTES = 1_200_000, 64 << 20
+BLOCK_PIECES = 10_000
+#: Chunks and pieces that are remembered; pieces live for two generations.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_BYTES = 400_000, 200_000, 32 << 20
 
 #: Contract every piece's leftmost pair of minimum rank until a fixpoint, then decode.
 RECURSION = """
@@ -99,7 +101,11 @@ class Coder:
 
     def clear(self) -> None:
         self.pieces: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.aged: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}  # decoded bytes of the pieces that don't decode to themselves
+        self._forget_chunks()
+
+    def _forget_chunks(self) -> None:
         self.spaced = _Numbers()  # chunks that follow a space
         self.ids = np.empty(0, dtype="<u4")  # of all chunks, one after another
         self.ends = np.zeros(1, dtype=np.int64)
@@ -109,7 +115,6 @@ class Coder:
 
     def _keep(self, piece: str, raw: bytes, ids: bytes, text: bytes) -> None:
         self.pieces[piece] = ids
-        self.held += len(raw) + len(ids)
         if text != raw:
             self.odd[piece] = text
 
@@ -158,7 +163,9 @@ class Coder:
         cut = [self.pattern.findall(c) for c in chunks]
         small = []
         for p in {p for ps in cut for p in ps if p not in self.pieces}:
-            if len(p) * 4 > LONG_BYTES and len(p.encode("utf-8", "surrogatepass")) > LONG_BYTES:
+            if (ids := self.aged.get(p)) is not None:
+                self.pieces[p] = ids
+            elif len(p) * 4 > LONG_BYTES and len(p.encode("utf-8", "surrogatepass")) > LONG_BYTES:
                 self._contract_long(p)
             else:
                 small.append(p)
@@ -204,8 +211,11 @@ class Coder:
         piece, so texts are cut there and the chunks are looked up as they are. Where
         all pieces decode to themselves, so does the text.
         """
-        if len(self.spaced) + len(self.pieces) > CACHE_ENTRIES or self.held > CACHE_BYTES:
-            self.clear()
+        if len(self.spaced) > CACHE_CHUNKS or self.held > CACHE_BYTES:
+            self._forget_chunks()
+        if len(self.pieces) > CACHE_PIECES:
+            self.aged, self.pieces = self.pieces, {}
+            self.odd = {p: x for p, x in self.odd.items() if p in self.aged}
         parts = [t.split(" ") for t in texts]
         rest = [p[1:] for p in parts]
         at = np.fromiter(map(self.spaced.__getitem__, chain.from_iterable(rest)), dtype=np.int64,

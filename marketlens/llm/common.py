@@ -55,8 +55,9 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return next(x for x in tries if x.lower() not in taken)
 
 
-#: What outlives a task in this worker process, by the operator that holds it.
+#: What outlives a task in this worker process, by the operator that holds it, and the one that ran last.
 _HELD: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
 
 
 def held_by(name: str, release: Callable[[], None]) -> None:
@@ -64,16 +65,18 @@ def held_by(name: str, release: Callable[[], None]) -> None:
 
 
 def entering(name: str) -> None:
-    """Called as an operator's tasks start: caches of other operators in this process go back to the system."""
-    others = [k for k in _HELD if k != name]
-    for k in others:
+    """Called as an operator's tasks start: what other operators left in this process goes back to the system."""
+    if _LAST == [name]:
+        return
+    for k in [k for k in _HELD if k != name]:
         _HELD.pop(k)()
-    if others:
+    if _LAST:
         import ctypes
         import gc
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
             ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _LAST[:] = [name]
 
 
 def shuffle_width(spark: SparkSession) -> int:
