@@ -17,6 +17,7 @@ from marketlens.functions.decimal import round_half_even_2
 from marketlens.operators.frames import attach_one_row
 
 CHURN_WINDOW_DAYS = 90
+# The columns of the features data set.
 FEATURE_COLUMNS = [
     "customer_id", "channel", "tenure_days", "total_orders", "total_revenue", "avg_order_value",
     "first_order_gap_days", "order_frequency", "days_since_last_order", "churned",

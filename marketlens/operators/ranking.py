@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str],
@@ -46,33 +47,58 @@ def carried(before: Column, own: Column) -> Column:
     return F.coalesce(before + own, before, own)
 
 
-def _carries(df: DataFrame, keys: list[str], levels: dict[str, Column], values: list[str],
-             descending: bool) -> DataFrame:
-    """Per finest segment: rows and sums before it (``_b_*``) and of its whole key (``_t_*``)."""
-    seg = list(levels)
+def _grouping(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that stand for ``cols`` and are never NULL: a value, and where needed a flag.
+
+    Joins and windows over the same plain columns share one shuffle; a null-safe
+    comparison would be planned as an expression that no window matches.
+    """
+    made, names = {}, []
+    for c in cols:
+        field = df.schema[c]
+        kind = field.dataType
+        zero = F.lit("") if isinstance(kind, StringType) else F.lit(0).cast("timestamp").cast(kind) \
+            if isinstance(kind, DateType | TimestampType | TimestampNTZType) else F.lit(0).cast(kind)
+        made[f"_v{c}"] = F.coalesce(F.col(c), zero) if field.nullable else F.col(c)
+        names.append(f"_v{c}")
+        made[f"_z{c}"] = F.col(c).isNull()
+        names.append(f"_z{c}")
+    return df.withColumns(made), names
+
+
+def _along(names: list[str], descending: bool) -> list[Column]:
+    """Window order over ``_grouping`` columns of one level: NULL first, or last if descending."""
+    value, flag = (F.col(n) for n in names)
+    return [flag.asc(), value.desc()] if descending else [flag.desc(), value.asc()]
+
+
+def _carries(df: DataFrame, keys: list[str], seg: list[list[str]], values: list[str], descending: bool) -> DataFrame:
+    """Per finest segment: rows and sums before it (``_b_*``) and of its whole key (``_t_*``).
+
+    ``keys`` and ``seg`` (by level) are ``_grouping`` columns.
+    """
     cols = ["_n", *[f"_s_{v}" for v in values]]
-    sums = df.withColumns(levels).groupBy(*keys, *seg).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
+    upto = [[*keys, *[c for level in seg[:d] for c in level]] for d in range(len(seg) + 1)]
+    sums = df.groupBy(*upto[-1]).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
     by_level = [sums]
     for depth in range(len(seg) - 1, 0, -1):
-        by_level.insert(0, by_level[0].groupBy(*keys, *seg[:depth]).agg(*[F.sum(c).alias(c) for c in cols]))
+        by_level.insert(0, by_level[0].groupBy(*upto[depth]).agg(*[F.sum(c).alias(c) for c in cols]))
     out = None
     for depth, part in enumerate(by_level):
-        parent = [*keys, *seg[:depth]]
-        order = F.col(seg[depth]).desc() if descending else F.col(seg[depth]).asc()
-        siblings = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        own = part.select(*parent, seg[depth], *[F.sum(c).over(siblings).alias(f"_o{c}") for c in cols], *(
+        parent = upto[depth]
+        siblings = Window.partitionBy(*parent).orderBy(*_along(seg[depth], descending)).rowsBetween(Window.unboundedPreceding, -1)
+        own = part.select(*upto[depth + 1], *[F.sum(c).over(siblings).alias(f"_o{c}") for c in cols], *(
             [F.sum(c).over(Window.partitionBy(*parent)).alias(f"_t{c}") for c in cols] if depth == 0 else []))
         if out is None:
             out = own.withColumnsRenamed({f"_o{c}": f"_b{c}" for c in cols})
         else:
-            out = join_null_safe(own, out, parent).withColumns(
+            out = own.join(out, parent).withColumns(
                 {f"_b{c}": carried(F.col(f"_b{c}"), F.col(f"_o{c}")) for c in cols}).drop(*[f"_o{c}" for c in cols])
     return out
 
 
 def prefix_scan(df: DataFrame, keys: list[str], levels: dict[str, Column], order: list[str], *,
-                sources: DataFrame | None = None, extra: DataFrame | None = None, descending: bool = False,
+                extra: DataFrame | None = None, descending: bool = False,
                 rank_col: str | None = None, running: dict[str, str] | None = None, inclusive: bool = True,
                 totals: dict[str, str] | None = None, counts: str | None = None) -> DataFrame:
     """Row numbers, running sums (ROWS frame), key totals and counts of ``df``.
@@ -82,31 +108,36 @@ def prefix_scan(df: DataFrame, keys: list[str], levels: dict[str, Column], order
     The rows of one finest segment are summed in one task, so its size is the
     caller's bound. ``running`` and ``totals`` map output to input columns;
     without ``inclusive`` the current row is left out. NULL keys and segments
-    are groups of their own. ``sources``, if given, is what the sums come from
-    (``df`` with rows that were not joined away yet, for instance), and
-    ``extra`` holds a row per key whose columns are added: keys it doesn't
-    know drop out. Both spare a shuffle of the rows.
+    are groups of their own. ``extra`` holds a row per key whose columns are
+    added beside the sums, where a key has few rows; keys it doesn't know, and
+    NULL keys, drop out.
     """
     running, totals = running or {}, totals or {}
     values = sorted(set(running.values()) | set(totals.values()))
-    carry = _carries(df if sources is None else sources, keys, levels, values, descending)
+    rows, by_key = _grouping(df, keys)
+    rows = rows.withColumns(levels)
+    seg = []
+    for name in levels:
+        rows, own = _grouping(rows, [name])
+        seg.append(own)
+    carry = _carries(rows, by_key, seg, values, descending)
     if extra is not None:
-        carry = carry.join(extra, keys)
-    seg = list(levels)
-    cols = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    local = Window.partitionBy(*keys, *seg).orderBy(*cols)
-    rows = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = join_null_safe(df.withColumns(levels), carry, [*keys, *seg])
+        known, same = _grouping(extra.dropna(subset=keys), keys)
+        carry = carry.join(known.select(*same, *[c for c in extra.columns if c not in keys]), same)
+    group = [*by_key, *[c for level in seg for c in level]]
+    local = Window.partitionBy(*group).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
+    frame = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = rows.join(carry, group)
     if rank_col:
         out = out.withColumn(rank_col, (F.coalesce("_b_n", F.lit(0)) + F.row_number().over(local)).cast("long"))
     for name, c in running.items():
-        out = out.withColumn(name, carried(F.col(f"_b_s_{c}"), F.sum(c).over(rows)))
+        out = out.withColumn(name, carried(F.col(f"_b_s_{c}"), F.sum(c).over(frame)))
     for name, c in totals.items():
         out = out.withColumn(name, F.col(f"_t_s_{c}"))
     if counts:
         out = out.withColumn(counts, F.col("_t_n").cast("long"))
     helpers = [f"{side}{c}" for side in ("_b", "_t") for c in ("_n", *[f"_s_{v}" for v in values])]
-    return out.drop(*seg, *helpers)
+    return out.drop(*group, *levels, *helpers)
 
 
 def rank_by_hash(df: DataFrame, id_col: str, salt: str, by: list[str] | None = None,
