@@ -14,7 +14,9 @@ forgotten if they aren't met again until the next time. So memory stays bounded.
 Defined cases: null texts are empty and give no ids; pieces that are a token as a
 whole are taken whole, as the tokenizer's library does; pieces of more than
 ``LONG_BYTES`` bytes go through the same contraction with a heap, as one recursion
-step per merge would be quadratic in their length; repeated rows are encoded each.
+step per merge would be quadratic in their length; repeated rows are encoded each; texts of
+any length are encoded whole; an empty table gives no rows. Extra columns, of any name, never
+reach the operator.
 """
 
 from __future__ import annotations

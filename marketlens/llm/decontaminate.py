@@ -20,7 +20,8 @@ Defined cases: null or empty texts contain nothing and are contained in nothing;
 item of fewer than five words is one shingle of that many words; rows that repeat a
 document or item id are one document or item with all their shingles; rows with a
 null document id are documents by their text; items with a null id take no part; an
-empty table gives no rows.
+empty table gives no rows; texts of any length are searched whole. Extra columns, of any
+name, never reach the search; the stage keeps them as they are.
 """
 
 from __future__ import annotations

@@ -34,7 +34,9 @@ order gives the same links. Shingles are 64-bit hashes of whole word sequences.
 Defined cases: null and empty texts have an empty set, link with nothing and are
 their own component; texts of fewer than five words are one shingle; rows that repeat
 an id are one document for links (each row keeps its own n_shingles); a null id is in
-no component (null), though its text counts for nobody else's links either.
+no component (null), though its text counts for nobody else's links either; texts of any
+length count whole; an empty table gives no rows. Extra columns, of any name, never reach
+the join; the stage keeps them as they are.
 """
 
 from __future__ import annotations

@@ -29,7 +29,9 @@ fall faster than 1 / r, or fewer than two of them are there, the absolute discou
 n1 / (n1 + 2 n2) takes its place; a distribution that would
 leave no mass is scaled to leave one count; rows that repeat are scored each, and
 count each; words and bigrams are identified by a 64-bit hash; ``phi`` above 0 leaves out
-the bigrams of words with a smaller share of the tokens, by default none.
+the bigrams of words with a smaller share of the tokens, by default none; texts of any length
+are counted and scored whole; an empty table gives no rows. Extra columns, of any name, never
+reach the model.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ result never depends on how rows are batched.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0; so
 does everything if no labelled row exists; rows without a label are not learnt
-from; ties go to the language that sorts first; repeated rows are scored each.
+from; ties go to the language that sorts first; repeated rows are scored each; texts of any
+length count whole; an empty table gives no rows. Extra columns, of any name, never reach
+the operator.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Defined cases: a vector that is null, or that holds a null or non-finite
 component, takes no part; rows that repeat an id count once, with the smallest
 vector; ids that are null take no part; vectors of different length are never
 compared; a component beyond the range of a long saturates, and so does a score.
-An empty table gives an empty result.
+An empty table gives an empty result. Extra columns, of any name, never reach the operator.
 """
 
 from __future__ import annotations

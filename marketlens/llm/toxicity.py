@@ -16,7 +16,11 @@ copies of one text count once. The other classes are short fixed word lists.
 Defined cases: null and empty texts, and texts without a match, get the curve's
 value at no evidence; without labelled rows the fixed curve and no learnt patterns
 apply; rows of ``labels`` that repeat an id count as toxic if one of them does; a
-null label is not learnt from.
+null label is not learnt from; texts of any length are read whole; rows that repeat are
+scored each, and learnt from once per id and text; where two patterns fit a word the
+heavier one counts, and equal scores are on one side of the threshold; an empty table
+gives no rows. Extra columns, of any name, never reach the scores; the stage keeps them
+as they are.
 """
 
 from __future__ import annotations

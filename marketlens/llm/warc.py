@@ -14,7 +14,8 @@ read, so a lost or repeated task leaves nothing behind in the result.
 Defined cases: a null payload is empty; a null page id keeps its record (an equal
 payload with an id is then the response; without one, all are responses); rows that
 repeat the largest id are all responses; control characters in a URL are
-percent-encoded in the header.
+percent-encoded in the header; payloads of any length are written whole; an empty table
+writes no archive and gives no rows. Extra columns, of any name, never reach the operator.
 """
 
 from __future__ import annotations
