@@ -7,9 +7,9 @@ contracts every piece's leftmost pair of minimum rank until no pair is left. The
 same query decodes each piece by an ordered aggregation of its tokens' bytes.
 Documents are the concatenation of their pieces, both ways: their chunks between safe
 spaces are numbered once, and a batch's ids are one gather over what the numbers stand
-for. What is known outlives a task, as texts share most words. Chunks are forgotten at
-``CACHE_CHUNKS`` or ``CACHE_BYTES``; pieces, which cost more, age at ``CACHE_PIECES`` and are
-forgotten if they aren't met again until the next time. So memory stays bounded.
+for. What is known outlives a task, as texts share most words. Chunks age at
+``CACHE_CHUNKS`` or ``CACHE_BYTES``, pieces at ``CACHE_PIECES``, and are forgotten if they
+aren't met again until the next time. So memory stays bounded.
 
 Defined cases: null texts are empty and give no ids; pieces that are a token as a
 whole are taken whole, as the tokenizer's library does; pieces of more than
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -35,8 +36,8 @@ from marketlens.llm.common import entering, held_by
 
 LONG_BYTES = 256
 BLOCK_PIECES = 10_000
-#: Chunks and pieces that are remembered; pieces live for two generations.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_BYTES = 400_000, 200_000, 32 << 20
+#: Chunks and pieces that a generation remembers; there are two of each.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_BYTES = 200_000, 120_000, 16 << 20
 
 #: Contract every piece's leftmost pair of minimum rank until a fixpoint, then decode.
 RECURSION = """
@@ -90,12 +91,16 @@ class Coder:
         with open(vocab_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {i: b for b, i in self.ranks.items()}
-        pairs = [(left, right, i) for b, i in self.ranks.items() for k in range(1, len(b))
-                 if (left := self.ranks.get(b[:k])) is not None and (right := self.ranks.get(b[k:])) is not None]
-        l, r, rank = (np.array(x, dtype=np.int32) for x in zip(*pairs))
+        l, r, rank = array("i"), array("i"), array("i")
+        for b, i in self.ranks.items():
+            for k in range(1, len(b)):
+                if (left := self.ranks.get(b[:k])) is not None and (right := self.ranks.get(b[k:])) is not None:
+                    l.append(left)
+                    r.append(right)
+                    rank.append(i)
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int32)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
-        self.con.register("m_in", pa.table({"l": l, "r": r, "rank": rank}))
+        self.con.register("m_in", pa.table({n: np.frombuffer(x, dtype=np.int32) for n, x in (("l", l), ("r", r), ("rank", rank))}))
         self.con.register("v_in", pa.table({"id": pa.array(list(self.token), pa.int32()),
                                             "hex": [b.hex() for b in self.token.values()]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m_in; CREATE TABLE vocabulary AS SELECT * FROM v_in")
@@ -105,9 +110,10 @@ class Coder:
         self.pieces: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.aged: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}  # decoded bytes of the pieces that don't decode to themselves
-        self._forget_chunks()
+        self._new_chunks()
+        self.aged_chunks = ({}, self.ids, self.ends, self.kind)
 
-    def _forget_chunks(self) -> None:
+    def _new_chunks(self) -> None:
         self.spaced = _Numbers()  # chunks that follow a space
         self.ids = np.empty(0, dtype="<u4")  # of all chunks, one after another
         self.ends = np.zeros(1, dtype=np.int64)
@@ -186,9 +192,15 @@ class Coder:
         new, self.spaced.new = self.spaced.new, []
         first = len(self.kind)
         kind = np.array([UNSAFE if not c or c[0].isspace() or c[-1].isspace() else WHOLE for c in new], dtype=np.uint8)
-        safe = np.flatnonzero(kind == WHOLE).tolist()
-        cut = self._learn([" " + new[i] for i in safe] + heads)
         ids = [b""] * len(new)
+        known, old_ids, old_ends, old_kind = self.aged_chunks
+        safe = []
+        for i in np.flatnonzero(kind == WHOLE).tolist():
+            if (k := known.get(new[i])) is not None and old_kind[k] == WHOLE:
+                ids[i] = old_ids[old_ends[k]:old_ends[k + 1]].tobytes()
+            else:
+                safe.append(i)
+        cut = self._learn([" " + new[i] for i in safe] + heads)
         for i, ps in zip(safe, cut):
             ids[i] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
             if (text := self._decoded(ps)) is not None:
@@ -214,7 +226,8 @@ class Coder:
         all pieces decode to themselves, so does the text.
         """
         if len(self.spaced) > CACHE_CHUNKS or self.held > CACHE_BYTES:
-            self._forget_chunks()
+            self.aged_chunks = (dict(self.spaced), self.ids, self.ends, self.kind)
+            self._new_chunks()
         if len(self.pieces) > CACHE_PIECES:
             self.aged, self.pieces = self.pieces, {}
             self.odd = {p: x for p, x in self.odd.items() if p in self.aged}

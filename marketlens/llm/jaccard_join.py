@@ -49,7 +49,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketlens.llm.common import fresh_name, quoted, shuffle_width, stored
+from marketlens.llm.common import fresh_name, lean, quoted, shuffle_width, stored
 from marketlens.llm.components import components
 from marketlens.llm.words import WordHash, shingle_set, words
 
@@ -145,9 +145,9 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
     """
     kind = "block int, counts binary"
     width = shuffle_width(docs.sparkSession)
-    blobs = docs.mapInArrow(_bucket_counts, kind).withColumn("part", F.spark_partition_id() % max(1, math.isqrt(width)))
-    some = blobs.repartition(width, "block", "part").drop("part").mapInArrow(_block_sums, kind)
-    total = some.repartition(ORDER_BLOCKS, "block").mapInArrow(_block_sums, kind)
+    blobs = docs.mapInArrow(lean("words", _bucket_counts), kind).withColumn("part", F.spark_partition_id() % max(1, math.isqrt(width)))
+    some = blobs.repartition(width, "block", "part").drop("part").mapInArrow(lean("words", _block_sums), kind)
+    total = some.repartition(ORDER_BLOCKS, "block").mapInArrow(lean("words", _block_sums), kind)
     level = np.zeros((ORDER_BLOCKS, (1 << ORDER_BITS) // ORDER_BLOCKS), dtype=np.uint8)
     for row in total.collect():
         counts = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
@@ -197,7 +197,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
     one = reps.select(F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("sig").alias("x_sig"))
     two = reps.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("sig").alias("y_sig"))
     pairs = stored(pairs.join(one, "x").join(two, "y").select("x", "y", "x_n", "y_n", "x_sig", "y_sig")
-                   .mapInArrow(_apart(percent), "x long, y long"), "join-pairs")
+                   .mapInArrow(lean("words", _apart(percent)), "x long, y long"), "join-pairs")
     need = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
     # Sorted, so that the ids are stored small and Spark sees how small.
     ids = stored(reps.join(need, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
@@ -212,7 +212,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
                 [pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())],
                 names=["cls", "set"])
 
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "cls long, set binary"), "join-sets")
+    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(lean("words", run), "cls long, set binary"), "join-sets")
 
     def check(batches):
         for b in batches:
@@ -228,7 +228,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) ->
     left = sets.select(F.col("cls").alias("x"), F.col("set").alias("x_set"))
     right = sets.select(F.col("cls").alias("y"), F.col("set").alias("y_set"))
     return stored(pairs.join(left, "x").join(right, "y").select("x", "y", "x_set", "y_set")
-                  .mapInArrow(check, "a long, b long"), "join-links")
+                  .mapInArrow(lean("words", check), "a long, b long"), "join-links")
 
 
 def _in_window(percent: int, a: str = "", b: str = "o_"):
@@ -291,7 +291,7 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    rows = stored(src.mapInArrow(_classes, f"doc_id {kind}, cls long, n long, sig binary"), "join-classes")
+    rows = stored(src.mapInArrow(lean("words", _classes), f"doc_id {kind}, cls long, n long, sig binary"), "join-classes")
     known = rows.where("doc_id is not null and cls is not null")
     reps = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                            F.first("sig").alias("sig")), "join-reps")
@@ -302,7 +302,7 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     copies = stored(known.select(F.col("cls").alias("x"), "doc_id").join(
         reps.select(F.col("cls").alias("x"), "rep"), "x").where("doc_id <> rep").select(row_key.alias("copy")).distinct()
         .orderBy("copy"), "join-copies")
-    lists = named.mapInArrow(_prefixes(shared, percent), f"doc_id {kind}, x long, n long, keys array<long>")
+    lists = named.mapInArrow(lean("words", _prefixes(shared, percent)), f"doc_id {kind}, x long, n long, keys array<long>")
     spread = (lists.join(copies, row_key == F.col("copy"), "left_anti")
               .select("x", "n", F.posexplode("keys").alias("pos", "s")))
     # One exchange: whether a region holds two classes, or more, and its pivot.

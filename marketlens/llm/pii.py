@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from marketlens.llm.common import entering, quoted, stored
+from marketlens.llm.common import lean, quoted, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the contract, with their groups left out.
@@ -117,7 +117,6 @@ def _outside(cover: list[tuple[int, int]]):
 def _windows(batches):
     """(id, entity, context, term) for the words around every mention, and (id, null, null, term) for
     all words of a text with mentions."""
-    entering("pii")
     words = _word_pattern()
     for b in batches:
         rows = ([], [], [], [])
@@ -153,7 +152,7 @@ def disclosing_terms(docs: DataFrame, *, z: float = 1.64, generalise: float = 0.
     """
     schema = StructType([StructField("id", docs.schema["id"].dataType),
                          *[StructField(c, StringType()) for c in ("entity", "context", "term")]])
-    found = stored(docs.mapInArrow(_windows, schema), "pii-windows")
+    found = stored(docs.mapInArrow(lean("pii", _windows), schema), "pii-windows")
     seen = found.where(F.col("entity").isNotNull())
     ids = F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))  # a null id is one
     joint = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), ids.alias("n_te"))
@@ -221,7 +220,6 @@ def _spans(with_text: bool):
         return out
 
     def run(batches):
-        entering("pii")
         words = _word_pattern()
         for b in batches:
             found, cleaned = [], []
@@ -259,7 +257,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        F.col(text_col).alias("text"))
            .join(terms, F.col("j_id").eqNullSafe(F.col("t_id")), "left").select("id", "text", "terms"))
     schema = StructType([StructField("id", src.schema["id"].dataType), StructField("spans", SPANS)])
-    out = src.mapInArrow(_spans(with_text), schema.add("clean_text", StringType()) if with_text else schema)
+    out = src.mapInArrow(lean("pii", _spans(with_text)), schema.add("clean_text", StringType()) if with_text else schema)
     return out.withColumnRenamed("id", id_col if carry is None else "carried")
 
 

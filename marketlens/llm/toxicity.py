@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marketlens.llm.common import entering, fold, quoted, stored
+from marketlens.llm.common import fold, lean, quoted, stored
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = "INSULT", "THREAT", "TARGET", "NEGATION", "REPORT"
 # Closed word classes in the four languages.
@@ -139,7 +139,6 @@ def _patterns(word: str):
 
 def _count_patterns(batches):
     """Documents of each label that hold a pattern, summed per task."""
-    entering("toxicity")
     counts: dict[str, list[int]] = {}
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -191,7 +190,7 @@ def _varied(train: DataFrame, picked: dict[str, tuple[int, int]], min_contexts:
     """Contexts of the patterns that stand in different ones, and of prefixes that start several words."""
     wanted = train.sparkSession.sparkContext.broadcast(frozenset(picked))
     by_word = (train.where("toxic = 1").select("text")
-               .mapInArrow(_count_contexts(wanted), "pattern string, word string, context string").distinct()
+               .mapInArrow(lean("toxicity", _count_contexts(wanted)), "pattern string, word string, context string").distinct()
                .groupBy("pattern", "word").agg(F.count("*").alias("n")))
     rows = (by_word.groupBy("pattern").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("words"))
             .collect())
@@ -211,7 +210,7 @@ def fit(train: DataFrame, *, min_contexts: int = 5, min_bound: float = 1.5):
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return {}, DEFAULT_CURVE
-    counted = (texts.mapInArrow(_count_patterns, "pattern string, neg long, pos long")
+    counted = (texts.mapInArrow(lean("toxicity", _count_patterns), "pattern string, neg long, pos long")
                .groupBy("pattern").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     bound = odds - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
@@ -225,7 +224,7 @@ def fit(train: DataFrame, *, min_contexts: int = 5, min_bound: float = 1.5):
         if weight > 0:  # near copies alone are no evidence
             weights[pattern] = weight
     shared = spark.sparkContext.broadcast(Lexicon(weights))
-    points = train.mapInArrow(_features(shared, "toxic int"), "toxic int, total double, dense double").collect()
+    points = train.mapInArrow(lean("toxicity", _features(shared, "toxic int")), "toxic int, total double, dense double").collect()
     x = np.array([(p.total, p.dense) for p in points])
     return weights, _logistic(x, np.array([p.toxic for p in points], dtype=float))
 
@@ -254,7 +253,6 @@ def _features(shared, first: str):
     name = first.split()[0]
 
     def run(batches):
-        entering("toxicity")
         lexicon = shared.value
         for b in batches:
             at = b.schema.get_field_index
@@ -262,6 +260,7 @@ def _features(shared, first: str):
             yield pa.RecordBatch.from_arrays(
                 [b.column(at(name)), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))],
                 names=[name, "total", "dense"])
+        lexicon.memo.clear()  # the broadcast value stays in the worker process
     return run
 
 
@@ -269,7 +268,7 @@ def _scored(rows: DataFrame, insults: dict[str, float], weights: tuple[float, ..
     """(id, score) of rows (id, text); id may be any column, such as a struct of the whole row."""
     a, d, b = weights
     shared = rows.sparkSession.sparkContext.broadcast(Lexicon(insults))
-    found = rows.mapInArrow(_features(shared, "id"), StructType([
+    found = rows.mapInArrow(lean("toxicity", _features(shared, "id")), StructType([
         StructField("id", rows.schema["id"].dataType), StructField("total", DoubleType()), StructField("dense", DoubleType())]))
     z = F.lit(a) * F.col("total") + F.lit(d) * F.col("dense") + F.lit(b)
     return found.select("id", (1.0 / (1.0 + F.exp(-z))).alias("score"))
