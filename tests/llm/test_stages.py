@@ -199,3 +199,29 @@ def test_deep_pages_take_linear_time(make):
         main_text(make(n))
         took.append(time.process_time() - t)
     assert took[1] < 20 * took[0] + 0.3
+
+
+# ------------------------------------------------------- queries on empty tables and clashing columns
+TABLES = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars int, id string, key string, spans string",
+    "labels": "doc_id long, quality int, toxic int, id string", "benchmark": "item_id long, text string, doc_id string",
+    "pages": "page_id long, url string, html string, text string, row string",
+    "embeddings": "vec_id long, embedding array<float>, id string, score string",
+    "conversations": "conv_id long, turn long, role string, text string, seg string, idx string",
+}
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for name, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["op1_exact_topk", "op2_decontamination", "op4_toxicity", "op5_katz_lm", "op6_html_extraction", "op7_pii",
+                                  "op8_language_id", "op9_warc", "op10_byte_bpe", "op11_conversation_repair",
+                                  "op12_lexical_search", "op13_repeated_bytes"])
+def test_queries_on_empty_tables(spark, empty_dir, name):
+    from marketlens.llm import queries
+    assert queries.queries()[name](spark, empty_dir).count() == 0
