@@ -34,6 +34,7 @@ def test_golden_values_of_the_published_experiment(spark):
     assert r.verdict.startswith("NO SHIP (inconclusive)") and r.direction == "positive"
 
 
+# The inputs and results are the published golden values, which have to match.
 def test_hand_computed_z_and_power(spark):
     r = analyse_one(spark, 100, 8, 100, 12)
     assert r.z == pytest.approx(0.9428, abs=1e-3) and r.p_value == pytest.approx(0.3458, abs=1e-3)
