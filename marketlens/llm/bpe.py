@@ -8,8 +8,8 @@ same query decodes each piece by an ordered aggregation of its tokens' bytes.
 Documents are the concatenation of their pieces, both ways: their chunks between safe
 spaces are numbered once, and a batch's ids are one gather over what the numbers stand
 for. What is known outlives a task, as texts share most words. Chunks age at
-``CACHE_CHUNKS`` or ``CACHE_BYTES``, pieces at ``CACHE_PIECES``, and are forgotten if they
-aren't met again until the next time. So memory stays bounded.
+1.5 times ``cache_entries`` or ``CACHE_BYTES``, pieces at ``cache_entries``, and are forgotten if
+they aren't met again until the next time. So memory stays bounded.
 
 Defined cases: null texts are empty and give no ids; pieces that are a token as a
 whole are taken whole, as the tokenizer's library does; pieces of more than
@@ -36,8 +36,9 @@ from marketlens.llm.common import entering, held_by
 
 LONG_BYTES = 256
 BLOCK_PIECES = 10_000
-#: Chunks and pieces that a generation remembers; there are two of each.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_BYTES = 200_000, 120_000, 16 << 20
+#: Entries of a generation: pieces, and half as many chunks more; there are two generations. A worker
+#: takes about 130 bytes an entry, and larger generations contract fewer pieces again.
+CACHE_ENTRIES, CACHE_BYTES = 350_000, 48 << 20
 
 #: Contract every piece's leftmost pair of minimum rank until a fixpoint, then decode.
 RECURSION = """
@@ -83,10 +84,12 @@ WHOLE, ODD, UNSAFE = range(3)  # a chunk decodes to itself, or not, or can't be
 class Coder:
     """Encodes and decodes pieces; one per worker process and vocabulary."""
 
-    def __init__(self, vocab_path: str, pattern: str):
+    def __init__(self, vocab_path: str, pattern: str, entries: int = CACHE_ENTRIES):
         import duckdb
         import regex
 
+        self.entries = entries
+
         self.pattern = regex.compile(pattern)
         with open(vocab_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -225,10 +228,10 @@ class Coder:
         piece, so texts are cut there and the chunks are looked up as they are. Where
         all pieces decode to themselves, so does the text.
         """
-        if len(self.spaced) > CACHE_CHUNKS or self.held > CACHE_BYTES:
+        if len(self.spaced) > 1.5 * self.entries or self.held > CACHE_BYTES:
             self.aged_chunks = (dict(self.spaced), self.ids, self.ends, self.kind)
             self._new_chunks()
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > self.entries:
             self.aged, self.pieces = self.pieces, {}
             self.odd = {p: x for p, x in self.odd.items() if p in self.aged}
         parts = [t.split(" ") for t in texts]
@@ -266,7 +269,7 @@ class Coder:
 _CODERS: dict[tuple[str, str], Coder] = {}
 
 
-def coder(vocab_path: str, pattern: str) -> Coder:
+def coder(vocab_path: str, pattern: str, entries: int = CACHE_ENTRIES) -> Coder:
     """This process's coder; tables and cache outlive a task when Spark reuses the worker, until
     another operator's task starts in it."""
     entering("bpe")
@@ -274,6 +277,7 @@ def coder(vocab_path: str, pattern: str) -> Coder:
     if key not in _CODERS:
         _CODERS[key] = Coder(*key)
     held_by("bpe", _release)
+    _CODERS[key].entries = entries
     return _CODERS[key]
 
 
@@ -284,10 +288,10 @@ def _release() -> None:
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, *, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (binary) of every row."""
     def run(batches):
-        c = coder(vocab_path, pattern)
+        c = coder(vocab_path, pattern, cache_entries)
         for b in batches:
             got = c.code([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
