@@ -45,7 +45,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes."""
     from marketlens.llm.queries import bpe_digests
     prepare(spark)
-    return bpe_digests(docs.select("doc_id", "text"))
+    # A small cache: workers that earlier stages used idle beside this one's.
+    return bpe_digests(docs.select("doc_id", "text"), cache_entries=60_000)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
