@@ -234,8 +234,22 @@ def enrol(customers: DataFrame, orders: DataFrame, root: str, salt: str, sent_at
 
 
 # --------------------------------------------------- replicated experiments
+def aa_replicates(outcomes: DataFrame, replicates: int, salt: str, id_col: str = "customer_id") -> DataFrame:
+    """A/A calibration input: ``replicates`` random splits of the real outcomes, (replicate, variant, converted).
+
+    Replicate r flips a fair coin per customer from ``md5(salt|r|id)``. Every row makes ``replicates`` rows, so the
+    outcomes, few bytes each, are dealt to all tasks first; the caller aggregates right after, combining map-side.
+    """
+    width = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rep = outcomes.select(id_col, "converted").repartition(width).select(
+        id_col, "converted", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))).alias("replicate"))
+    coin = F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("replicate").cast("string"),
+                                         F.col(id_col).cast("string"))), 1, 1)
+    return rep.select("replicate", F.when(coin < "8", CONTROL).otherwise(TREATMENT).alias("variant"), "converted")
+
+
 def replicate_tests(replicates: DataFrame, by: list[str], alpha: float = ALPHA) -> DataFrame:
-    """X11 per replicate, a part of the experiment's own rows: arm counts, z-test, significance (degenerate = no)."""
+    """X11 per replicate, a part or a new split of the experiment's own rows: arm counts, z-test, significance (degenerate = no)."""
     arms = arm_counts(replicates, by)
     n1, x1, n2, x2 = (F.col(c) for c in ("n_control", "x_control", "n_treatment", "x_treatment"))
     z, _ = ztest(x1, n1, x2, n2)
@@ -280,5 +294,5 @@ def expected_power(p1: float, p2: float, n: int, alpha: float = ALPHA) -> float:
 __all__ = [
     "assign", "attribute_conversions", "arm_summary", "arm_counts", "srm", "ztest", "diff_ci",
     "required_n", "achieved_power", "analyse", "extend_assignment", "read_experiment", "enrol",
-    "replicate_tests", "rejection_rate", "power_comparison", "hash_key",
+    "aa_replicates", "replicate_tests", "rejection_rate", "power_comparison", "hash_key",
 ]

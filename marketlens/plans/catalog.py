@@ -346,6 +346,8 @@ def q_experiment_stored_arms(spark, sf_dir):
     return experiment.read_experiment(spark, root)
 
 
+AA_SALT = "aa-calibration"
+AA_REPLICATES = 200
 REPLICATE = ["channel", "cohort"]
 
 
@@ -358,7 +360,9 @@ def _replicates(spark, sf_dir):
 
 @query("replicate_rejection_rate")
 def q_replicate_rejection_rate(spark, sf_dir):
-    return round_doubles(experiment.rejection_rate(_replicates(spark, sf_dir), REPLICATE))
+    """X11: A/A calibration, the rejection rate over random splits of all customers' real outcomes."""
+    splits = experiment.aa_replicates(_experiment(spark, sf_dir), AA_REPLICATES, AA_SALT)
+    return round_doubles(experiment.rejection_rate(splits, ["replicate"]))
 
 
 @query("power_comparison")

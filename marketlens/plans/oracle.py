@@ -246,6 +246,8 @@ EXPERIMENT = "email_reactivation"
 EXPERIMENT_SALT = "email-reactivation-2025"
 SENT_AT = "1998-06-01"
 DUMP_DAY = "1997-01-01"
+AA_SALT = "aa-calibration"
+AA_REPLICATES = 200
 ALPHA, POWER, CONFIDENCE, SRM_ALPHA = 0.05, 0.80, 0.95, 0.01
 
 fragment("assigned", ("stg_customers",), f"""
@@ -354,11 +356,22 @@ fragment("aa_tests", ("exp", "stg_customers"), f"""
     SELECT *, {_ST['significant']} AS significant
     FROM (SELECT c.channel, date_trunc('month', c.signup_date) AS cohort, {ARM_COUNTS}
           FROM exp e JOIN stg_customers c ON c.customer_id = e.customer_id GROUP BY ALL)""")
+# A/A calibration: every customer's real outcome in so many random splits.
+fragment("aa", ("exp",), f"""
+    SELECT r.replicate,
+           CASE WHEN substr(md5(concat_ws('|', '{AA_SALT}', CAST(r.replicate AS VARCHAR),
+                                          CAST(e.customer_id AS VARCHAR))), 1, 1) < '8'
+                THEN 'control' ELSE 'treatment' END AS variant,
+           e.converted
+    FROM exp e CROSS JOIN range(1, {AA_REPLICATES + 1}) r(replicate)""")
+fragment("aa_split_tests", ("aa",), f"""
+    SELECT replicate, {_ST['significant']} AS significant
+    FROM (SELECT replicate, {ARM_COUNTS} FROM aa GROUP BY replicate)""")
 register("replicate_rejection_rate", f"""
     SELECT COUNT(*) AS replicates, CAST(SUM(CAST(significant AS INTEGER)) AS BIGINT) AS rejections,
            {R('CAST(SUM(CAST(significant AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)')}
                AS rejection_rate
-    FROM aa_tests""", "aa_tests")
+    FROM aa_split_tests""", "aa_split_tests")
 _ZA = normal_quantile(1 - ALPHA / 2)
 _POWER_ARG = (f"((ABS(p2 - p1) * SQRT(CAST(n_control AS DOUBLE)) - {_ZA!r} * SQRT(2.0 * ((p1 + p2) / 2) * (1.0 - (p1 + p2) / 2)))"
               " / NULLIF(SQRT(p1 * (1.0 - p1) + p2 * (1.0 - p2)), 0))")

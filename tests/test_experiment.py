@@ -97,6 +97,19 @@ def test_empirical_power_matches_theory(spark):
     assert large.rejection_rate > 0.95
 
 
+def test_every_outcome_is_in_every_random_split(spark):
+    outcomes = spark.range(1, 3001).select(F.col("id").alias("customer_id"), (F.col("id") % 10 == 0).alias("converted"))
+    reps = experiment.aa_replicates(outcomes, 100, "aa")
+    assert reps.count() == 300_000 and reps.where("converted").count() == 30_000
+    rate = experiment.rejection_rate(reps, ["replicate"]).collect()[0]
+    assert rate.replicates == 100 and rate.rejection_rate <= 0.15
+
+
+def test_the_rejection_rate_is_that_of_200_splits(spark):
+    from marketlens.plans import catalog
+    assert catalog.queries()["replicate_rejection_rate"](spark, "/root/testdata/sf0.001").first().replicates == 200
+
+
 def test_power_comparison_over_natural_replicates(spark):
     """A/A outcomes by group: few rejections, and the power that the whole experiment's rates give at each size."""
     rows = spark.range(1, 6001).select(
