@@ -411,12 +411,15 @@ def _marts(spark, sf_dir):
 
 @query("export_round_trip")
 def q_export_round_trip(spark, sf_dir):
-    """Marts as CSV, features as Parquet and CSV, read back by schema and compared row by row."""
+    """Marts as CSV, features as Parquet and CSV, read back by schema and compared row by row.
+
+    Marts and features are built once and stored; the exports and the comparisons read these.
+    """
     root = scratch_path(spark, "exports")
-    built = _marts(spark, sf_dir)
+    built = {n: training.store(df, f"{root}/built/{n}") for n, df in _marts(spark, sf_dir).items()}
     io.export_marts(built, root, single_file_for={"channel_economics", "cohort_retention"})
     gaps = {n: io.round_trip_gaps(df, io.read_csv(spark, f"{root}/{n}", df.schema)) for n, df in built.items()}
-    feats = _features(spark, sf_dir).select(*io.FEATURES_SCHEMA.fieldNames())
+    feats = training.store(_features(spark, sf_dir).select(*io.FEATURES_SCHEMA.fieldNames()), f"{root}/built/features")
     io.write_features(feats, f"{root}/features", csv_path=f"{root}/features_csv")
     gaps["features"] = io.round_trip_gaps(feats, io.read_features(spark, f"{root}/features"))
     gaps["features_csv"] = io.round_trip_gaps(feats, io.read_features_csv(spark, f"{root}/features_csv"))

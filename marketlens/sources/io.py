@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from marketlens.operators.frames import attach_one_row
-
 # Quotes inside a text are doubled; NULL is nothing between two commas, empty text a pair of quotes (the
 # writer's and the reader's default).
 # The reader takes a field that isn't there for this text, which no field holds; with its default, the
@@ -49,10 +47,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def round_trip_gaps(df: DataFrame, back: DataFrame) -> DataFrame:
-    """One row: rows written, rows lost and rows that came back otherwise (multiset differences)."""
-    lost, other = df.exceptAll(back), back.exceptAll(df)
-    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
-    return attach_one_row(attach_one_row(n(df, "rows"), n(lost, "lost")), n(other, "changed"))
+    """One row: rows written, rows lost and rows that came back otherwise (multiset differences).
+
+    Both sides are read once: equal rows meet in one aggregation, which combines map-side and counts each side's.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    side = lambda x, n: x.toDF(*names).withColumn("n_df", F.lit(n)).withColumn("n_back", F.lit(1 - n))
+    met = side(df, 1).union(side(back, 0)).groupBy(*names).agg(F.sum("n_df").alias("n_df"), F.sum("n_back").alias("n_back"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    gap = F.col("n_df") - F.col("n_back")
+    return met.agg(total(F.col("n_df"), "rows"), total(F.greatest(gap, F.lit(0)), "lost"), total(F.greatest(-gap, F.lit(0)), "changed"))
 
 
 def export_marts(marts: dict[str, DataFrame], root: str, single_file_for: set[str] = frozenset()) -> None:

@@ -60,3 +60,19 @@ def test_views_answer_sql(spark):
     assert spark.sql("SELECT SUM(id) FROM mart_test_view").first()[0] == 6
     io.register_views({"mart_test_view": spark.range(3)})
     assert spark.sql("SELECT SUM(id) FROM mart_test_view").first()[0] == 3
+
+
+def test_round_trip_gaps_count_repeated_rows_and_read_each_side_once(spark, tmp_dir):
+    for name, rows in (("a", [(1, "x"), (1, "x"), (None, None)]), ("b", [(1, "x"), (None, None), (None, None), (2, "y")])):
+        spark.createDataFrame(rows, "n long, t string").write.parquet(f"{tmp_dir}/{name}")
+    a, b = (spark.read.schema("n long, t string").parquet(f"{tmp_dir}/{name}") for name in "ab")
+    gaps = io.round_trip_gaps(a, b)
+    assert tuple(gaps.first()) == (3, 1, 2) and tuple(io.round_trip_gaps(a.limit(0), b.limit(0)).first()) == (0, 0, 0)
+    assert gaps._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_the_export_query_builds_every_mart_once(spark):
+    from marketlens.plans import catalog
+    out = catalog.queries()["export_round_trip"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().toString()
+    assert "orders.parquet" not in plan and "Window" not in plan
