@@ -94,17 +94,6 @@ def difference_bound(sig_x: bytes, sig_y: bytes) -> int:
     return int(np.abs(p - q).sum())
 
 
-def _classes(batches):
-    """(doc_id, cls, n, sig) of every row."""
-    memo = WordHash()
-    for b in batches:
-        sets = list(_sets(b, 1, memo))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([_class_of(s) for s in sets], pa.int64()),
-             pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())],
-            names=["doc_id", "cls", "n", "sig"])
-
-
 def _bucket(s: np.ndarray) -> np.ndarray:
     """The count bucket of every shingle, by bits that the region keys' order doesn't start with."""
     return (s & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
@@ -115,16 +104,27 @@ def _packed(no: int, counts: np.ndarray) -> pa.RecordBatch:
                                       names=["block", "counts"])
 
 
-def _bucket_counts(batches):
-    """(block, counts): a task's shingles, counted in buckets before anything is shuffled."""
+def _classes(batches):
+    """(doc_id, cls, n, sig) of every row; then (block, counts), the shingles of a task's rows with an id, counted in
+    buckets before anything is shuffled. Both from one pass, in rows of their own, the other columns null."""
     memo, counts = WordHash(), np.zeros(1 << ORDER_BITS, dtype=np.int32)  # of one task's shingles
+    id_type = None
+    names = ["doc_id", "cls", "n", "sig", "block", "counts"]
     for b in batches:
-        sets = list(_sets(b, 1, memo))
-        if sets:
-            np.add.at(counts, _bucket(np.concatenate(sets)), 1)
+        sets, id_type = list(_sets(b, 1, memo)), b.schema.field(0).type
+        known = [s for s, ok in zip(sets, b.column(0).is_valid().to_pylist()) if ok and len(s)]
+        if known:
+            np.add.at(counts, _bucket(np.concatenate(known)), 1)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([_class_of(s) for s in sets], pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()),
+             pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
     for no, block in enumerate(counts.reshape(ORDER_BLOCKS, -1)):
         if block.any():
-            yield _packed(no, block.astype(np.int64))
+            packed = _packed(no, block.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 *packed.columns], names=names)
 
 
 def _block_sums(batches):
@@ -138,14 +138,14 @@ def _block_sums(batches):
         yield _packed(no, counts)
 
 
-def _frequencies(docs: DataFrame) -> np.ndarray:
+def _frequencies(blobs: DataFrame) -> np.ndarray:
     """4 * log2 of the shingles of all documents in every bucket: a byte for any 64-bit count.
 
-    ``ORDER_BLOCKS`` rows of a fixed size reach the driver.
+    ``blobs`` has the tasks' (block, counts). ``ORDER_BLOCKS`` rows of a fixed size reach the driver.
     """
     kind = "block int, counts binary"
-    width = shuffle_width(docs.sparkSession)
-    blobs = docs.mapInArrow(lean("words", _bucket_counts), kind).withColumn("part", F.spark_partition_id() % max(1, math.isqrt(width)))
+    width = shuffle_width(blobs.sparkSession)
+    blobs = blobs.withColumn("part", F.spark_partition_id() % max(1, math.isqrt(width)))
     some = blobs.repartition(width, "block", "part").drop("part").mapInArrow(lean("words", _block_sums), kind)
     total = some.repartition(ORDER_BLOCKS, "block").mapInArrow(lean("words", _block_sums), kind)
     level = np.zeros((ORDER_BLOCKS, (1 << ORDER_BITS) // ORDER_BLOCKS), dtype=np.uint8)
@@ -291,12 +291,14 @@ def linked_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    rows = stored(src.mapInArrow(lean("words", _classes), f"doc_id {kind}, cls long, n long, sig binary"), "join-classes")
+    both = stored(src.mapInArrow(lean("words", _classes), f"doc_id {kind}, cls long, n long, sig binary, block int, counts binary"),
+                  "join-classes")
+    rows = both.where("block is null").select("doc_id", "cls", "n", "sig")
     known = rows.where("doc_id is not null and cls is not null")
     reps = stored(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
                                            F.first("sig").alias("sig")), "join-reps")
     named = src.where("doc_id is not null and text is not null")
-    shared = spark.sparkContext.broadcast(_frequencies(named))
+    shared = spark.sparkContext.broadcast(_frequencies(both.where("block is not null").select("block", "counts")))
     # Copies go before their shingles are spread: rows that aren't their class's first.
     row_key = F.xxhash64("x", "doc_id")
     copies = stored(known.select(F.col("cls").alias("x"), "doc_id").join(

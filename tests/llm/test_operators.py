@@ -436,3 +436,20 @@ def test_pipeline_stages(spark, texts):
         docs, left = out, now
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in last.collect()} == left
+
+
+def test_one_pass_makes_the_classes_and_the_shingle_counts():
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from marketlens.llm import jaccard_join
+    texts = ["a b c d e f g", "a b c d e f g", "", None, "x y"]
+    given = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, None], pa.int64()), pa.array(texts)], names=["id", "text"])
+    out = pa.Table.from_batches(jaccard_join._classes(iter([given]))).to_pylist()
+    rows, blocks = [r for r in out if r["block"] is None], [r for r in out if r["block"] is not None]
+    assert [r["n"] for r in rows] == [3, 3, 0, 0, 1] and [r["doc_id"] for r in rows] == [1, 2, 3, 4, None]
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64) for r in blocks])
+    assert sorted(counts[counts > 0]) == [2, 2, 2]  # a row without an id isn't counted
+    assert list(jaccard_join._classes(iter([]))) == []
