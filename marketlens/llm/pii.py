@@ -44,6 +44,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
 WINDOW_WORDS = 5
+#: Rows of a result batch, about.
+ROWS_AT_ONCE = 10_000
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
@@ -108,9 +110,9 @@ def _outside(cover: list[tuple[int, int]]):
     starts = [s for s, _ in cover]
     furthest = list(accumulate((e for _, e in cover), max))
 
-    def free(m) -> bool:
-        k = bisect_left(starts, m.end())
-        return k == 0 or furthest[k - 1] <= m.start()
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k == 0 or furthest[k - 1] <= start
     return free
 
 
@@ -120,29 +122,47 @@ def _windows(batches):
     words = _word_pattern()
     for b in batches:
         rows = ([], [], [], [])
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+
+        def batch():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], b.schema.field(0).type), *(pa.array(c, pa.string()) for c in rows[1:])],
+                names=["id", "entity", "context", "term"])
+
+        def put(*row):
+            for col, x in zip(rows, row):
+                col.append(x)
+
+        # A text at a time, and its results in batches of their own, however many mentions it has.
+        for doc, text in zip(b.column(0), b.column(1)):
+            doc, text = doc.as_py(), text.as_py()
             spans = base_spans(text or "")
             if not spans:
                 continue
             cover = sorted((s, e) for _, s, e in spans)
             # The whole words of the text, so that none is cut and no window ends early.
-            every = list(words.finditer(text))
-            starts, ends = [m.start() for m in every], [m.end() for m in every]
+            starts, ends, terms, same = [], [], [], {}
+            for m in words.finditer(text):
+                starts.append(m.start())
+                ends.append(m.end())
+                term = _fold(m[0])
+                terms.append(same.setdefault(term, term))
             free = _outside(cover)
             for kind, start, end in spans:
                 before, after = bisect_right(ends, start), bisect_left(starts, end)
-                left, right = every[max(0, before - WINDOW_WORDS):before], every[after:after + WINDOW_WORDS]
-                near = [_fold(m[0]) for m in left + right if free(m)]
-                context = " ".join(near)
+                near = [terms[i] for i in (*range(max(0, before - WINDOW_WORDS), before),
+                                           *range(after, min(after + WINDOW_WORDS, len(terms)))) if free(starts[i], ends[i])]
+                context, found = " ".join(near), entity(kind, text[start:end])
                 for term in set(near):
-                    for col, x in zip(rows, (doc, entity(kind, text[start:end]), context, term)):
-                        col.append(x)
-            for term in {_fold(m[0]) for m in every}:
-                for col, x in zip(rows, (doc, None, None, term)):
-                    col.append(x)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], b.schema.field(0).type), *(pa.array(c, pa.string()) for c in rows[1:])],
-            names=["id", "entity", "context", "term"])
+                    put(doc, found, context, term)
+                if len(rows[0]) >= ROWS_AT_ONCE:
+                    yield batch()
+                    rows = ([], [], [], [])
+            for term in set(terms):
+                put(doc, None, None, term)
+            if len(rows[0]) >= ROWS_AT_ONCE:
+                yield batch()
+                rows = ([], [], [], [])
+        yield batch()
 
 
 def disclosing_terms(docs: DataFrame, *, z: float = 1.64, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
@@ -230,7 +250,7 @@ def _spans(with_text: bool):
                     what = {t["term"]: t["action"] for t in sorted(terms, key=lambda t: (t["term"], t["action"]))}
                     free = _outside(sorted((s, e) for _, s, e in spans))
                     for m in words.finditer(text):
-                        if (act := what.get(_fold(m[0]))) and free(m):
+                        if (act := what.get(_fold(m[0]))) and free(m.start(), m.end()):
                             spans.append(("term", m.start(), m.end()))
                             action[m.start()] = act
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])

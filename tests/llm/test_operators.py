@@ -453,3 +453,15 @@ def test_one_pass_makes_the_classes_and_the_shingle_counts():
     counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64) for r in blocks])
     assert sorted(counts[counts > 0]) == [2, 2, 2]  # a row without an id isn't counted
     assert list(jaccard_join._classes(iter([]))) == []
+
+
+def test_windows_of_many_mentions_come_in_small_batches():
+    import pyarrow as pa
+
+    from marketlens.llm import pii
+    text = " ".join(f"mail{'abcdefghij'[i % 10]} word{'klmnopqrst'[i // 10 % 10]} user{i}@example.org" for i in range(20_000))
+    given = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([text, "no mention"])], names=["id", "text"])
+    out = list(pii._windows(iter([given])))
+    assert max(b.num_rows for b in out) < 2 * pii.ROWS_AT_ONCE < sum(b.num_rows for b in out)
+    rows = {tuple(r.values()) for b in out for r in b.to_pylist()}
+    assert len({e for _, e, _, _ in rows if e}) == 20_000 and all(i == 1 for i, *_ in rows)
