@@ -169,9 +169,17 @@ def _assembler(features: list[str]) -> VectorAssembler:
                            outputCol="features")
 
 
+# A fit's partitions: one for every 10,000 rows, up to 12 that a small cluster works on at once, and one for every 100,000
+# rows of larger tables. Each adds up the statistics of all open nodes of a forest, so that many small ones cost more than
+# they save. The rows alone decide, because a seeded bootstrap is drawn by partition.
+SMALL_PARTITION, SMALL_PARTITIONS = 10_000, 12
 ROWS_PER_PARTITION = 100_000
 
 
+def fit_partitions(rows: int) -> int:
+    return max(1, min(SMALL_PARTITIONS, -(-rows // SMALL_PARTITION)), -(-rows // ROWS_PER_PARTITION))
+
+
 def _fit(stages: list, train: DataFrame, rows: int) -> PipelineModel:
     """Fit with the training rows persisted and sized to their volume.
 
@@ -180,8 +188,7 @@ def _fit(stages: list, train: DataFrame, rows: int) -> PipelineModel:
     overhead if a small training set stayed spread over many partitions.
     The cache is released as soon as the fit returns.
     """
-    parts = max(1, -(-int(rows) // ROWS_PER_PARTITION))
-    cached = train.repartition(parts).persist()
+    cached = train.repartition(fit_partitions(int(rows))).persist()
     try:
         return Pipeline(stages=stages).fit(cached)
     finally:

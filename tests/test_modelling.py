@@ -101,3 +101,9 @@ def test_fit_partitions_follow_the_rows_alone(spark, monkeypatch):
     parts = 4 * spark.sparkContext.defaultParallelism + 3
     modelling._fit([], spark.range(10), rows=parts * modelling.ROWS_PER_PARTITION)
     assert seen == [parts]
+
+
+def test_a_fit_is_dealt_to_several_tasks():
+    """From some ten thousand rows on; more tasks than a small cluster has only for large tables."""
+    parts = [modelling.fit_partitions(n) for n in (0, 1, 10_000, 67_500, 675_000, 4_050_000)]
+    assert parts == [1, 1, 1, 7, 12, 41]
