@@ -105,8 +105,8 @@ def _fold(word: str) -> str:
     return word if word.islower() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word)
 
 
-def _outside(cover: list[tuple[int, int]]):
-    """Whether a match touches none of the spans; of those that start before its end, the furthest end decides."""
+def _free_between(cover: list[tuple[int, int]]):
+    """Whether start to end touches none of the spans; of those that start before its end, the furthest end decides."""
     starts = [s for s, _ in cover]
     furthest = list(accumulate((e for _, e in cover), max))
 
@@ -116,6 +116,12 @@ def _outside(cover: list[tuple[int, int]]):
     return free
 
 
+def _outside(cover: list[tuple[int, int]]):
+    """Whether a match touches none of the spans."""
+    free = _free_between(cover)
+    return lambda m: free(m.start(), m.end())
+
+
 def _windows(batches):
     """(id, entity, context, term) for the words around every mention, and (id, null, null, term) for
     all words of a text with mentions."""
@@ -146,7 +152,7 @@ def _windows(batches):
                 ends.append(m.end())
                 term = _fold(m[0])
                 terms.append(same.setdefault(term, term))
-            free = _outside(cover)
+            free = _free_between(cover)
             for kind, start, end in spans:
                 before, after = bisect_right(ends, start), bisect_left(starts, end)
                 near = [terms[i] for i in (*range(max(0, before - WINDOW_WORDS), before),
@@ -250,7 +256,7 @@ def _spans(with_text: bool):
                     what = {t["term"]: t["action"] for t in sorted(terms, key=lambda t: (t["term"], t["action"]))}
                     free = _outside(sorted((s, e) for _, s, e in spans))
                     for m in words.finditer(text):
-                        if (act := what.get(_fold(m[0]))) and free(m.start(), m.end()):
+                        if (act := what.get(_fold(m[0]))) and free(m):
                             spans.append(("term", m.start(), m.end()))
                             action[m.start()] = act
                 found.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
