@@ -1,13 +1,13 @@
-"""Churn models with Spark ML.
+"""Churn models.
 
 Preparation is plain DataFrame work so it scales and stays checkable:
 a hash-ordered stratified split (test rows apportioned by largest remainder, no single-task window),
 balanced class weights from a per-class count, and standardisation with the
 population standard deviation of the training split (one aggregation, joined
 back as a one-row broadcast). The channel is one-hot encoded with Spark ML
-(unseen categories encode as all zeros). Models are ``pyspark.ml``
-estimators fitted on the cluster; scoring returns (id, label, score,
-prediction) for the metrics module.
+(unseen categories encode as all zeros). Models are fitted on the cluster,
+the logistic regression by ``pyspark.ml`` and the forest by ``forest``;
+scoring returns (id, label, score, prediction) for the metrics module.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
                                TimestampType)
 
+from marketlens.operators import forest
 from marketlens.operators.features import assert_no_leakage
 from marketlens.operators.frames import attach_one_row
 from marketlens.operators.ranking import join_null_safe, rank_by_hash
@@ -39,7 +40,7 @@ MAX_ITER = 1000
 # The optimiser stops when the objective's relative change is below this.
 TOLERANCE = 1e-10
 # A tree's leaf holds at least this share of the weights, so that a tree has at most 10,000 leaves on any
-# number of rows and the forest fits the driver; below 10,000 rows a leaf may hold a single one.
+# number of rows and the arrays to score with fit the driver; below 10,000 rows a leaf may hold a single one.
 LEAF_SHARE = 1e-4
 
 RUNS_SCHEMA = StructType([
@@ -170,8 +171,7 @@ def _assembler(features: list[str]) -> VectorAssembler:
 
 
 # A fit's partitions: one for every 10,000 rows, up to 12 that a small cluster works on at once, and one for every 100,000
-# rows of larger tables. Each adds up the statistics of all open nodes of a forest, so that many small ones cost more than
-# they save. The rows alone decide, because a seeded bootstrap is drawn by partition.
+# rows of larger tables. The rows alone decide.
 SMALL_PARTITION, SMALL_PARTITIONS = 10_000, 12
 ROWS_PER_PARTITION = 100_000
 
@@ -214,11 +214,11 @@ def fit_logistic(train: DataFrame, features: list[str] = NUMERIC_FEATURES,
 def fit_forest(train: DataFrame, features: list[str] = NUMERIC_FEATURES, num_trees: int = N_TREES,
                seed: int = RANDOM_STATE, max_depth: int = 30, leaf_share: float = LEAF_SHARE) -> PipelineModel:
     """Balanced random forest (sqrt features per split, seeded); ``leaf_share`` bounds a tree's size."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight",
-                                numTrees=num_trees, featureSubsetStrategy="sqrt",
-                                maxDepth=max_depth, seed=seed, cacheNodeIds=True, minWeightFractionPerNode=leaf_share,
-                                maxMemoryInMB=512)
-    return _fit(channel_encoder() + [_assembler(features), rf], train, rows=train.count())
+    encoders = Pipeline(stages=channel_encoder() + [_assembler(features)]).fit(train)
+    rows = encoders.transform(train).select("features", F.col(LABEL).alias("label"), "weight",
+                                            F.xxhash64(*train.columns).alias("key"))
+    fitted = forest.fit(rows, num_trees, seed, max_depth, leaf_share, inputs=len(feature_names(encoders, features)), numeric=len(features))
+    return PipelineModel(encoders.stages + [fitted])
 
 
 def score(model: PipelineModel, df: DataFrame, id_col: str = "customer_id") -> DataFrame:

@@ -135,8 +135,7 @@ def forest_audit(model: PipelineModel, test: DataFrame, path: str) -> DataFrame:
     gaps = (own.join(given.withColumnRenamed("importance", "given"), "feature")
             .select(F.concat(F.lit("importance: "), F.col("feature")).alias("check"),
                     F.round(F.abs(F.col("importance") - F.col("given")), 9).alias("value")))
-    depth = max(t.depth for t in forest.trees)
-    walked = trees.score_nodes(nodes, trees.model_inputs(model, test), forest.getNumTrees, depth)
+    walked = trees.score_nodes(nodes, trees.model_inputs(model, test), forest.getNumTrees, forest.depth)
     scored = modelling.score(model, test)
     both = scored.select("id", F.col("score").alias("s"), F.col("prediction").alias("p")).join(walked, "id", "left")
     far = F.coalesce(F.abs(F.col("s") - F.col("score")) > 1e-9, F.lit(True))
