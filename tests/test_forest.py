@@ -159,3 +159,19 @@ def test_a_summary_keeps_the_weights_and_the_quantiles():
         exact = values[order][np.searchsorted(np.cumsum(weights[order]), q * weights.sum())]
         near = points[np.searchsorted(np.cumsum(sums), q * sums.sum())]
         assert abs((weights[values <= near]).sum() - (weights[values <= exact]).sum()) < weights.sum() / 250
+
+
+def test_a_level_is_one_pass_over_the_rows_that_are_not_in_leaves(monkeypatch):
+    x, y, w = sample()
+    read = []
+    kept = forest._Chunks.__iter__
+    monkeypatch.setattr(forest._Chunks, "__iter__", lambda self: (read.append((id(self), len(c[2]))) or c for c in kept(self)))
+    parts = [block(x[i:i + 1000], y[i:i + 1000], w[i:i + 1000], bucket=i) for i in range(0, 3_000, 1000)]
+    _, _, left, _, weights = unpacked(forest.grow(1, parts, **PLAN))
+    depth, level, sums = 0, [0], []
+    while level:  # the rows of a level's pass are those of the level's parents that were not closed
+        sums.append(sum(weights[n].sum() for n in level))
+        level, depth = [c for n in level if left[n] != forest.LEAF for c in (left[n], left[n] + 1)], depth + 1
+    assert sums[0] == pytest.approx(weights[0].sum()) and len(sums) <= PLAN["max_depth"] + 1
+    assert len(read) <= 3 * len(sums) and sum(n for _, n in read) <= 3_000 * len(sums)
+    assert all(a >= b - 1e-9 for a, b in zip(sums, sums[1:]))
