@@ -175,3 +175,19 @@ def test_a_level_is_one_pass_over_the_rows_that_are_not_in_leaves(monkeypatch):
     assert sums[0] == pytest.approx(weights[0].sum()) and len(sums) <= PLAN["max_depth"] + 1
     assert len(read) <= 3 * len(sums) and sum(n for _, n in read) <= 3_000 * len(sums)
     assert all(a >= b - 1e-9 for a, b in zip(sums, sums[1:]))
+
+
+def test_a_tree_on_ten_times_the_rows_needs_no_more_memory(monkeypatch):
+    import tracemalloc
+    monkeypatch.setattr(forest, "SPOOL_BYTES", 1)
+
+    def peak(blocks):
+        tracemalloc.start()
+        try:
+            forest.grow(0, (block(*sample(5_000, seed), bucket=seed) for seed in range(blocks)), **PLAN | {"least": 50.0 * blocks})
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(1)
+    assert peak(50) < 1.5 * peak(5)
