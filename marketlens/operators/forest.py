@@ -21,6 +21,7 @@ import ctypes
 import gc
 import math
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -424,17 +425,22 @@ class ForestModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         sent, splits = self._arrays(), self.splits
 
+        def scored(batches):
+            for features in batches:
+                if not len(features):
+                    yield pd.Series([], dtype=object)
+                    continue
+                x = np.stack(features.to_numpy())
+                x = np.stack([np.searchsorted(s, x[:, j]).astype(np.uint8) for j, s in enumerate(splits)], axis=1)
+                ones = np.zeros(len(x))
+                for tree in sent.value:
+                    ones += tree.scores(x)
+                zeros = sum(t.votes for t in sent.value) - ones
+                yield pd.Series(list(np.stack([zeros, ones], axis=1)))
+
         @F.pandas_udf("array<double>")
-        def votes(features: pd.Series) -> pd.Series:
-            if not len(features):
-                return pd.Series([], dtype=object)
-            x = np.stack(features.to_numpy())
-            x = np.stack([np.searchsorted(s, x[:, j]).astype(np.uint8) for j, s in enumerate(splits)], axis=1)
-            ones = np.zeros(len(x))
-            for tree in sent.value:
-                ones += tree.scores(x)
-            zeros = sum(t.votes for t in sent.value) - ones
-            return pd.Series(list(np.stack([zeros, ones], axis=1)))
+        def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            return lean(scored)(batches)
 
         raw = vector_to_array("rawPrediction")
         total = raw[0] + raw[1]
